@@ -56,7 +56,7 @@ def compact(archive: DataFrame, landing: DataFrame) -> DataFrame:
     parts = _with_rank(archive.select(*[c for c in archive.columns if c in CORE_COLUMNS + ["land_date", "row_seq"]]), 0)
     news = _with_rank(landing.select(*[c for c in landing.columns if c in CORE_COLUMNS + ["land_date", "row_seq"]]), 1)
     union = parts.unionByName(news, allowMissingColumns=True)
-    ranked = union.select(*CORE_COLUMNS, *RANK_COLUMNS)
+    ranked = union.select(*CORE_COLUMNS, *[c for c in RANK_COLUMNS if c not in CORE_COLUMNS])
     latest = latest_by_id(ranked, order_by=RANK_COLUMNS)
     return latest.select(*CORE_COLUMNS).withColumn("year", year_of("time"))
 

@@ -52,3 +52,67 @@ placed AS (SELECT CAST(floor((lat + 90.0) / 2.0) AS BIGINT) AS row, CAST(floor((
            FROM surface WHERE threshold = 6.5 AND horizon = 30)
 SELECT g.row, g.col, CAST(6.5 AS DOUBLE) AS threshold, 30 AS horizon, coalesce(p.p, 0.0) AS p
 FROM grid g LEFT JOIN placed p ON g.row = p.row AND g.col = p.col"""
+
+# ---- phase 2 ----------------------------------------------------------------------
+
+VIEW = "(SELECT * FROM catalog WHERE time >= 1709251200000 AND time < 1709251200000 + 7889400000 " \
+       "AND magnitude >= CAST(4.5 AS FLOAT) AND coalesce(CAST(depth_km AS DOUBLE), 0.0) <= 300.0)"
+
+WEB6 = """SELECT time, round_even(CAST(lat AS DOUBLE), 4) AS lat, round_even(CAST(lon AS DOUBLE), 4) AS lon,
+       round_even(CAST(coalesce(depth_km, CAST(0.0 AS FLOAT)) AS DOUBLE), 1) AS depth_km,
+       round_even(CAST(magnitude AS DOUBLE), 1) AS magnitude, coalesce(place, '') AS place"""
+
+# Camera unit vector of the default viewpoint and the facing test on the unit sphere.
+_CAM = (-0.197, 1.108, 1.405)
+_N = sum(c * c for c in _CAM) ** 0.5
+UX, UY, UZ = (repr(c / _N) for c in _CAM)
+FACING = f"""(((-1.0 * sin(radians(90.0 - CAST(lat AS DOUBLE)))) * cos(radians(CAST(lon AS DOUBLE) + 180.0))) * {UX}
+  + (1.0 * cos(radians(90.0 - CAST(lat AS DOUBLE)))) * {UY}
+  + ((1.0 * sin(radians(90.0 - CAST(lat AS DOUBLE)))) * sin(radians(CAST(lon AS DOUBLE) + 180.0))) * {UZ}) > 0.0"""
+
+ORACLE["min_magnitude"] = f"{CTE} SELECT * FROM catalog WHERE magnitude >= CAST(4.6 AS FLOAT)"
+ORACLE["view_filter"] = f"{CTE} SELECT * FROM {VIEW}"
+ORACLE["bbox"] = f"{CTE} SELECT * FROM catalog WHERE lat BETWEEN -30.0 AND 45.0 AND lon BETWEEN -90.0 AND 90.0"
+ORACLE["event_range"] = f"""{CTE} SELECT * FROM catalog WHERE time >= 946684800000 AND time < 1262304000000
+  AND magnitude >= CAST(4.5 AS FLOAT) ORDER BY time"""
+ORACLE["regional_filter"] = f"""{CTE} SELECT * FROM catalog
+  WHERE coalesce(CAST(magnitude AS DOUBLE), 0.0) >= 4.8 AND coalesce(CAST(magnitude AS DOUBLE), 0.0) >= 2.0"""
+# now = 2024-05-01T18:00Z: trailing 30 whole days = [2024-04-01, 2024-05-01)
+ORACLE["trailing_days"] = f"{CTE} SELECT * FROM catalog WHERE time >= 1711929600000 AND time < 1714521600000"
+ORACLE["today_events"] = f"{CTE} SELECT * FROM catalog WHERE time >= 1714521600000 AND time < 1714586400000"
+ORACLE["facing"] = f"{CTE} SELECT * FROM catalog WHERE {FACING}"
+ORACLE["window_stats"] = f"""{CTE}, w AS ({WEB6} FROM {VIEW})
+SELECT count(*) AS n, max(magnitude) AS max_magnitude, round_even(avg(magnitude), 4) AS avg_magnitude,
+       round_even(avg(depth_km), 4) AS avg_depth_km FROM w"""
+ORACLE["yearly_counts"] = f"""{CTE} SELECT CAST(year(make_timestamp(time * 1000)) AS INTEGER) AS yr, count(*) AS n
+  FROM catalog GROUP BY 1 ORDER BY 1"""
+ORACLE["visible_recent"] = f"{CTE} SELECT * FROM {VIEW} WHERE {FACING} ORDER BY time DESC, id LIMIT 100"
+ORACLE["significant"] = f"""{CTE} SELECT * FROM catalog WHERE coalesce(CAST(magnitude AS DOUBLE), 0.0) >= 3.0
+  ORDER BY magnitude DESC, time, id LIMIT 12"""
+ORACLE["playhead"] = f"{CTE} SELECT * FROM catalog ORDER BY time, id LIMIT 50"
+ORACLE["freshness"] = f"""{CTE} SELECT id, time,
+  CASE WHEN rn <= 39 THEN 1.0 - CAST(rn AS DOUBLE) / 40.0 ELSE 0.0 END AS freshness
+  FROM (SELECT id, time, row_number() OVER (ORDER BY time DESC, id DESC) AS rn FROM catalog)"""
+ORACLE["timeline_ticks"] = f"""{CTE}, b AS (SELECT min(time) AS t0, max(time) AS t1 FROM catalog)
+SELECT id, time,
+  round_even(CAST(time - t0 AS DOUBLE) / CAST(CASE WHEN t1 - t0 = 0 THEN 1 ELSE t1 - t0 END AS DOUBLE) * 100.0, 6) AS pct,
+  round_even(greatest(4.0, least(38.0, greatest(2.0, 1.8 * pow(2.0, CAST(magnitude AS DOUBLE) - 1.0)) * 2.0)), 6) AS height,
+  CASE WHEN magnitude IS NULL THEN NULL WHEN magnitude < 2 THEN '#4fc3f7' WHEN magnitude < 4 THEN '#81c784'
+       WHEN magnitude < 5 THEN '#fff176' WHEN magnitude < 6 THEN '#ffb74d' WHEN magnitude < 7 THEN '#ff7043'
+       ELSE '#e53935' END AS color
+FROM catalog, b"""
+
+LATEST = """latest AS (SELECT id, time, lat, lon, depth_km, magnitude, mag_type, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY land_date DESC, row_seq DESC) AS rn FROM catalog) WHERE rn = 1)"""
+
+ORACLE["sql_count"] = f"{CTE}, {LATEST} SELECT count(*) AS n FROM latest"
+ORACLE["sql_top_magnitude"] = f"""{CTE}, {LATEST} SELECT * FROM latest WHERE magnitude >= 8.0
+  ORDER BY magnitude DESC, time, id LIMIT 20"""
+ORACLE["sql_yearly"] = f"""{CTE}, {LATEST} SELECT CAST(year(make_timestamp(time * 1000)) AS INTEGER) AS yr, count(*) AS n
+  FROM latest GROUP BY 1 ORDER BY 1"""
+ORACLE["sql_region"] = f"""{CTE}, {LATEST} SELECT * FROM latest WHERE magnitude >= 5.0 AND lat BETWEEN 32 AND 49
+  AND lon BETWEEN -125 AND -114 ORDER BY time, id LIMIT 20"""
+# events_all = compacted archive (rows landed before 2024-01-15) + the later landing rows
+ORACLE["sql_count_all"] = f"""{CTE} SELECT
+  (SELECT count(*) FROM (SELECT DISTINCT id FROM catalog WHERE land_date < DATE '2024-01-15'))
+  + (SELECT count(*) FROM catalog WHERE land_date >= DATE '2024-01-15') AS n"""

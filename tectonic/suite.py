@@ -61,3 +61,120 @@ def q_hazard_surface(spark, sf_dir):
 def q_hazard_raster(spark, sf_dir):
     surface = hazard.hazard_surface(_cells(spark, sf_dir), [hazard.DEFAULT_SCENARIO])
     return hazard.hazard_raster(surface, [hazard.DEFAULT_SCENARIO])
+
+
+# ---- phase 2: filters, stats, top-k, SQL ------------------------------------------
+
+from .operators import stats, topk  # noqa: E402
+from .sources import views  # noqa: E402
+from .sources import web  # noqa: E402
+
+SPLIT_LAND_DATE = "2024-01-15"   # rows landed before it form the archive, the rest the landing area
+
+
+def _view_rows(spark, sf_dir):
+    c = load_catalog(spark, sf_dir)
+    return filters.view_filter(c, VIEW_START_MS, VIEW_DURATION_MS, VIEW_MIN_MAG, VIEW_MAX_DEPTH)
+
+
+@register("min_magnitude")
+def q_min_magnitude(spark, sf_dir):
+    return filters.min_magnitude(load_catalog(spark, sf_dir), 4.6)
+
+
+@register("view_filter")
+def q_view_filter(spark, sf_dir):
+    return _view_rows(spark, sf_dir)
+
+
+@register("bbox")
+def q_bbox(spark, sf_dir):
+    return filters.bbox(load_catalog(spark, sf_dir), -30.0, 45.0, -90.0, 90.0)
+
+
+@register("event_range")
+def q_event_range(spark, sf_dir):
+    # 2000-01-01 .. 2010-01-01
+    return filters.event_range(load_catalog(spark, sf_dir), 946_684_800_000, 1_262_304_000_000, 4.5)
+
+
+@register("regional_filter")
+def q_regional_filter(spark, sf_dir):
+    return filters.regional_filter(load_catalog(spark, sf_dir), show_micro=False, min_mag=4.8)
+
+
+@register("trailing_days")
+def q_trailing_days(spark, sf_dir):
+    return filters.trailing_days(load_catalog(spark, sf_dir), NOW_MS, 30)
+
+
+@register("today_events")
+def q_today_events(spark, sf_dir):
+    return filters.today_events(load_catalog(spark, sf_dir), NOW_MS)
+
+
+@register("facing")
+def q_facing(spark, sf_dir):
+    return filters.facing(load_catalog(spark, sf_dir))
+
+
+@register("window_stats")
+def q_window_stats(spark, sf_dir):
+    return stats.window_stats(web.web_rows(_view_rows(spark, sf_dir), min_mag=None))
+
+
+@register("yearly_counts")
+def q_yearly_counts(spark, sf_dir):
+    return stats.yearly_counts(load_catalog(spark, sf_dir))
+
+
+@register("visible_recent")
+def q_visible_recent(spark, sf_dir):
+    return topk.visible_recent(_view_rows(spark, sf_dir))
+
+
+@register("significant")
+def q_significant(spark, sf_dir):
+    return topk.significant(load_catalog(spark, sf_dir), 3.0, 12)
+
+
+@register("playhead")
+def q_playhead(spark, sf_dir):
+    return topk.playhead(load_catalog(spark, sf_dir), 50)
+
+
+@register("freshness")
+def q_freshness(spark, sf_dir):
+    return topk.freshness(load_catalog(spark, sf_dir))
+
+
+@register("timeline_ticks")
+def q_timeline_ticks(spark, sf_dir):
+    return stats.timeline_ticks(load_catalog(spark, sf_dir))
+
+
+def _register_catalog_views(spark, sf_dir):
+    c = load_catalog(spark, sf_dir)
+    early = F.col("land_date") < F.lit(SPLIT_LAND_DATE).cast("date")
+    archive = dedupe.compact(c.filter(early), c.limit(0))
+    views.register_frames(spark, archive, c.filter(~early))
+
+
+def _sql(text):
+    def run(spark, sf_dir):
+        _register_catalog_views(spark, sf_dir)
+        return spark.sql(text)
+    return run
+
+
+# The reference's documented ad-hoc queries (ties broken by time and id where it limits).
+SQL_TEXT = {
+    "sql_count": "SELECT COUNT(*) AS n FROM events",
+    "sql_top_magnitude": "SELECT * FROM events WHERE magnitude >= 8.0 ORDER BY magnitude DESC, time, id LIMIT 20",
+    "sql_yearly": "SELECT year(epoch_ms(time)) yr, COUNT(*) n FROM events GROUP BY yr ORDER BY yr",
+    "sql_region": "SELECT * FROM events WHERE magnitude >= 5.0 AND lat BETWEEN 32 AND 49 "
+                  "AND lon BETWEEN -125 AND -114 ORDER BY time, id LIMIT 20",
+    "sql_count_all": "SELECT COUNT(*) AS n FROM events_all",
+}
+for _k, _t in SQL_TEXT.items():
+    QUERIES[_k] = _sql(_t)
