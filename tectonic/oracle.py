@@ -116,3 +116,40 @@ ORACLE["sql_region"] = f"""{CTE}, {LATEST} SELECT * FROM latest WHERE magnitude
 ORACLE["sql_count_all"] = f"""{CTE} SELECT
   (SELECT count(*) FROM (SELECT DISTINCT id FROM catalog WHERE land_date < DATE '2024-01-15'))
   + (SELECT count(*) FROM catalog WHERE land_date >= DATE '2024-01-15') AS n"""
+
+# ---- phase 3 ----------------------------------------------------------------------
+
+ORACLE["latest_by_id"] = f"""{CTE} SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY land_date DESC, row_seq DESC) AS rn FROM catalog) WHERE rn = 1"""
+ORACLE["compact"] = f"""{CTE}, {LATEST} SELECT *, CAST(year(make_timestamp(time * 1000)) AS INTEGER) AS year FROM latest"""
+ORACLE["with_live"] = f"""{CTE}
+{WEB6} FROM catalog WHERE time >= 1704067200000 AND time < 1714521600000 AND magnitude >= CAST(2.5 AS FLOAT)
+UNION ALL
+{WEB6} FROM catalog WHERE time >= 1714521600000 AND time < 1714586400000 AND magnitude >= CAST(2.5 AS FLOAT)"""
+ORACLE["missing_years"] = f"""{CTE} SELECT CAST(range AS INTEGER) AS year FROM range(1900, 2026)
+  WHERE range NOT IN (SELECT DISTINCT year(make_timestamp(time * 1000)) FROM catalog WHERE time IS NOT NULL)"""
+_DAYS = """days AS (SELECT CAST(d AS DATE) AS land_date FROM generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY) t(d)),
+miss AS (SELECT land_date FROM days WHERE land_date NOT IN (SELECT DISTINCT land_date FROM catalog WHERE land_date IS NOT NULL))"""
+ORACLE["missing_days"] = f"{CTE}, {_DAYS} SELECT * FROM miss"
+ORACLE["plan_requests"] = f"""{CTE}, {_DAYS},
+isl AS (SELECT land_date, land_date - CAST(row_number() OVER (ORDER BY land_date) AS INTEGER) AS k FROM miss)
+SELECT min(land_date) AS start_day, max(land_date) AS end_day, count(*) AS n_days,
+       epoch_ms(CAST(min(land_date) AS TIMESTAMP)) AS start_ms, epoch_ms(CAST(max(land_date) + 1 AS TIMESTAMP)) AS end_ms
+FROM isl GROUP BY k"""
+_S, _E, _SPAN = 473385600000, 1735689600000, 1735689600000 - 473385600000
+ORACLE["size_bounded_splits"] = f"""{CTE},
+b AS (SELECT ((time - {_S} + 1) * 16384 - 1) // {_SPAN} AS d, count(*) AS n FROM catalog
+      WHERE time >= {_S} AND time < {_E} GROUP BY 1),
+nodes AS (SELECT l AS level, d >> (14 - l) AS idx, CAST(sum(n) AS BIGINT) AS n FROM b, range(0, 15) r(l) GROUP BY 1, 2),
+split AS (SELECT * FROM nodes WHERE n >= 1000),
+children AS (SELECT level + 1 AS level, idx * 2 + c AS idx FROM split, (VALUES (0), (1)) v(c) WHERE level < 14),
+root AS (SELECT coalesce((SELECT n FROM nodes WHERE level = 0 AND idx = 0), 0) AS n),
+leaves AS (
+  SELECT c.level, c.idx, coalesce(nd.n, 0) AS n, false AS too_dense
+  FROM children c LEFT JOIN nodes nd ON c.level = nd.level AND c.idx = nd.idx WHERE coalesce(nd.n, 0) < 1000
+  UNION ALL SELECT 0, 0, n, false FROM root WHERE n < 1000
+  UNION ALL SELECT level, idx, n, true FROM split WHERE level = 14)
+SELECT CAST(level AS INTEGER) AS level, CAST(idx AS BIGINT) AS idx,
+       {_S} + idx * {_SPAN} // (CAST(1 AS BIGINT) << CAST(level AS INTEGER)) AS start_ms,
+       {_S} + (idx + 1) * {_SPAN} // (CAST(1 AS BIGINT) << CAST(level AS INTEGER)) AS end_ms,
+       CAST(n AS BIGINT) AS n, too_dense FROM leaves"""

@@ -178,3 +178,60 @@ SQL_TEXT = {
 }
 for _k, _t in SQL_TEXT.items():
     QUERIES[_k] = _sql(_t)
+
+
+# ---- phase 3: dedupe and request planning ----------------------------------------
+
+from .plans import calendar, splits  # noqa: E402
+
+PLAN_START, PLAN_THROUGH = "2023-12-25", "2024-02-05"
+SPLIT_START_MS, SPLIT_END_MS = 473_385_600_000, 1_735_689_600_000   # 1985-01-01 .. 2025-01-01
+SPLIT_MAX_ROWS = 1000
+
+
+def _archive_and_landing(spark, sf_dir):
+    c = load_catalog(spark, sf_dir)
+    early = F.col("land_date") < F.lit(SPLIT_LAND_DATE).cast("date")
+    return dedupe.compact(c.filter(early), c.limit(0)), c.filter(~early)
+
+
+@register("latest_by_id")
+def q_latest_by_id(spark, sf_dir):
+    return dedupe.latest_by_id(load_catalog(spark, sf_dir))
+
+
+@register("compact")
+def q_compact(spark, sf_dir):
+    archive, landing = _archive_and_landing(spark, sf_dir)
+    return dedupe.compact(archive, landing)
+
+
+@register("with_live")
+def q_with_live(spark, sf_dir):
+    c = load_catalog(spark, sf_dir)
+    midnight = filters.utc_midnight(NOW_MS)
+    archive = web.web_rows(filters.time_between(c, 1_704_067_200_000, midnight), min_mag=2.5)  # 2024 so far
+    live = web.web_rows(filters.today_events(c, NOW_MS), min_mag=2.5)
+    return dedupe.with_live(archive, live)
+
+
+@register("missing_years")
+def q_missing_years(spark, sf_dir):
+    return calendar.missing_years(load_catalog(spark, sf_dir), 1900, AS_OF_YEAR - 1)
+
+
+@register("missing_days")
+def q_missing_days(spark, sf_dir):
+    landed = calendar.landed_days_of(load_catalog(spark, sf_dir))
+    return calendar.missing_days(landed, PLAN_START, PLAN_THROUGH)
+
+
+@register("plan_requests")
+def q_plan_requests(spark, sf_dir):
+    landed = calendar.landed_days_of(load_catalog(spark, sf_dir))
+    return calendar.plan_requests(landed, PLAN_START, PLAN_THROUGH)
+
+
+@register("size_bounded_splits")
+def q_size_bounded_splits(spark, sf_dir):
+    return splits.size_bounded_splits(load_catalog(spark, sf_dir), SPLIT_START_MS, SPLIT_END_MS, SPLIT_MAX_ROWS)
