@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from .numeric import _c, to_fixed
+from .numeric import _c, to_fixed  # noqa: F401  (to_fixed re-exported)
 
 
 def year_of(time_ms) -> Column:

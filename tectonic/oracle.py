@@ -153,3 +153,153 @@ SELECT CAST(level AS INTEGER) AS level, CAST(idx AS BIGINT) AS idx,
        {_S} + idx * {_SPAN} // (CAST(1 AS BIGINT) << CAST(level AS INTEGER)) AS start_ms,
        {_S} + (idx + 1) * {_SPAN} // (CAST(1 AS BIGINT) << CAST(level AS INTEGER)) AS end_ms,
        CAST(n AS BIGINT) AS n, too_dense FROM leaves"""
+
+# ---- phase 4 ----------------------------------------------------------------------
+
+from .functions.style import HEAT_STOPS, MAGNITUDE_CLASSES  # noqa: E402
+
+
+def _d(x: float) -> str:
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+def _fixed(x: str, k: int) -> str:
+    """Fixed-decimal text from integer arithmetic (same rule as ``numeric.to_fixed``)."""
+    s = f"CAST(floor(abs(CAST({x} AS DOUBLE)) * {_d(float(10 ** k))} + 0.5) AS BIGINT)"
+    sign = f"(CASE WHEN CAST({x} AS DOUBLE) < 0 THEN '-' ELSE '' END)"
+    whole = f"CAST(CAST(floor({s} / {10 ** k}) AS BIGINT) AS VARCHAR)"
+    if k == 0:
+        body = f"{sign} || {whole}"
+    else:
+        body = f"{sign} || {whole} || '.' || lpad(CAST({s} % {10 ** k} AS VARCHAR), {k}, '0')"
+    return f"(CASE WHEN {x} IS NULL THEN NULL ELSE {body} END)"
+
+
+def _mag_case(col: str, pick) -> str:
+    parts = [f"CASE WHEN {col} IS NULL THEN NULL"]
+    for bound, label, rgb, hexv in MAGNITUDE_CLASSES:
+        val = pick(label, rgb, hexv)
+        parts.append(f" ELSE {val}" if bound is None else f" WHEN {col} < {_d(bound)} THEN {val}")
+    return "".join(parts) + " END"
+
+
+def _depth_rgb(d: str) -> tuple[str, str, str]:
+    dd = f"greatest(0.0, least(700.0, coalesce(CAST({d} AS DOUBLE), 0.0)))"
+    t1, t2, t3 = f"({dd} / 70.0)", f"(({dd} - 70.0) / 230.0)", f"(({dd} - 300.0) / 400.0)"
+
+    def piece(a, b, c):
+        return f"(CASE WHEN {dd} < 70 THEN {a} WHEN {dd} < 300 THEN {b} ELSE {c} END)"
+
+    r = piece("1.0", f"(1.0 - {t2} * {_d(0.65)})", f"({_d(0.35)} - {t3} * {_d(0.25)})")
+    g = piece(f"({_d(0.25)} + {t1} * {_d(0.35)})", f"({_d(0.60)} - {t2} * {_d(0.15)})", f"({_d(0.45)} - {t3} * {_d(0.15)})")
+    b = piece(_d(0.05), f"({_d(0.05)} + {t2} * {_d(0.30)})", f"({_d(0.35)} + {t3} * {_d(0.65)})")
+    return r, g, b
+
+
+def _css(r: str, g: str, b: str) -> str:
+    def ch(x):
+        return f"CAST(CAST(floor(({x}) * 255.0 + 0.5) AS BIGINT) AS VARCHAR)"
+    return f"'rgb(' || {ch(r)} || ',' || {ch(g)} || ',' || {ch(b)} || ')'"
+
+
+def _xyz(lat: str, lon: str, depth: str | None) -> tuple[str, str, str]:
+    r = "1.0" if depth is None else f"((6371.0 - ({depth})) / 6371.0)"
+    if depth is None:
+        r = "((6371.0 - 0.0) / 6371.0)"
+    phi = f"radians(90.0 - CAST({lat} AS DOUBLE))"
+    th = f"radians(CAST({lon} AS DOUBLE) + 180.0)"
+    return (f"((-{r}) * sin({phi})) * cos({th})", f"{r} * cos({phi})", f"({r} * sin({phi})) * sin({th})")
+
+
+def _r9(x: str) -> str:
+    # "+ 0.0" turns a rounded -0.0 into 0.0, as Spark's bround gives
+    return f"(round_even({x}, 9) + 0.0)"
+
+
+ORACLE["web_rows"] = f"{CTE} {WEB6} FROM catalog WHERE magnitude >= CAST(4.0 AS FLOAT)"
+ORACLE["web_rows_5"] = f"""{CTE} SELECT time, round_even(CAST(lat AS DOUBLE), 4) AS lat, round_even(CAST(lon AS DOUBLE), 4) AS lon,
+  round_even(CAST(coalesce(depth_km, CAST(0.0 AS FLOAT)) AS DOUBLE), 1) AS depth_km,
+  round_even(CAST(magnitude AS DOUBLE), 1) AS magnitude FROM catalog WHERE magnitude >= CAST(4.0 AS FLOAT)"""
+ORACLE["read_web_json"] = f"""{CTE} SELECT time, lat, lon, depth_km, magnitude, nullif(place, '') AS place FROM (
+  {WEB6} FROM catalog WHERE magnitude >= CAST(4.0 AS FLOAT))"""
+_Z = "CASE WHEN coalesce(CAST(depth_km AS DOUBLE), 0.0) = 0 THEN 0.0 ELSE -CAST(depth_km AS DOUBLE) END"
+ORACLE["geojson_features"] = f"""{CTE} SELECT id, time, 'Feature' AS feature_type, 'Point' AS geometry_type,
+  CAST(lon AS DOUBLE) AS coord_lon, CAST(lat AS DOUBLE) AS coord_lat, {_Z} AS coord_z,
+  CAST(magnitude AS DOUBLE) AS magnitude, mag_type, CAST(depth_km AS DOUBLE) AS depth_km, place FROM catalog"""
+ORACLE["geojson_points"] = f"""{CTE} SELECT CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat, {_Z} AS depth,
+  CASE WHEN magnitude IS NULL OR isnan(magnitude) OR magnitude = 0 THEN 0.0 ELSE CAST(magnitude AS DOUBLE) END AS mag,
+  time, CASE WHEN place IS NULL OR place = '' THEN 'Unknown' ELSE place END AS place FROM catalog ORDER BY time"""
+
+
+def _seg(kind: str, li: int, si: int, a: tuple[str, str], b: tuple[str, str]) -> str:
+    return (f"SELECT row_seq AS feature, {li} AS line_idx, {si} AS seg_idx, {a[0]} AS lon1, {a[1]} AS lat1, "
+            f"{b[0]} AS lon2, {b[1]} AS lat2 FROM c WHERE mag_type = '{kind}'")
+
+
+_LO, _LA = "CAST(lon AS DOUBLE)", "CAST(lat AS DOUBLE)"
+ORACLE["line_segments"] = f"""{CTE}, c AS (SELECT * FROM catalog)
+{_seg('mb', 0, 0, (_LO, _LA), (f'{_LO} + 1.0', _LA))}
+UNION ALL {_seg('mb', 0, 1, (f'{_LO} + 1.0', _LA), (f'{_LO} + 1.0', f'{_LA} + 1.0'))}
+UNION ALL {_seg('mw', 0, 0, (_LO, _LA), (_LO, f'{_LA} + 1.0'))}
+UNION ALL {_seg('mw', 1, 0, (f'{_LO} - 1.0', _LA), (f'{_LO} - 1.0', f'{_LA} - 1.0'))}
+UNION ALL {_seg('mw', 1, 1, (f'{_LO} - 1.0', f'{_LA} - 1.0'), (f'{_LO} - 2.0', f'{_LA} - 1.0'))}"""
+
+_X, _Y, _ZZ = _xyz("lat", "lon", "coalesce(CAST(depth_km AS DOUBLE), 0.0)")
+ORACLE["to_cartesian"] = f"{CTE} SELECT id, time, {_r9(_X)} AS x, {_r9(_Y)} AS y, {_r9(_ZZ)} AS z FROM catalog"
+
+_SX, _SY, _SZ = _xyz("lat", "lon", None)
+_VD = "(CAST(depth_km AS DOUBLE) / 700.0 * 0.15 * 6371.0)"
+_HX, _HY, _HZ = _xyz("lat", "lon", _VD)
+_DR, _DG, _DB = _depth_rgb("depth_km")
+ORACLE["depth_line"] = f"""{CTE}, w AS ({WEB6} FROM catalog)
+SELECT time, {_r9(_SX)} AS sx, {_r9(_SY)} AS sy, {_r9(_SZ)} AS sz, {_r9(_HX)} AS hx, {_r9(_HY)} AS hy, {_r9(_HZ)} AS hz,
+  {_r9(f'{_DR} * 0.3')} AS surface_r, {_r9(f'{_DG} * 0.3')} AS surface_g, {_r9(f'{_DB} * 0.3')} AS surface_b,
+  {_r9(_DR)} AS hypo_r, {_r9(_DG)} AS hypo_g, {_r9(_DB)} AS hypo_b FROM w"""
+
+_MR = _mag_case("magnitude", lambda lab, rgb, h: _d(rgb[0]))
+_MG = _mag_case("magnitude", lambda lab, rgb, h: _d(rgb[1]))
+_MB = _mag_case("magnitude", lambda lab, rgb, h: _d(rgb[2]))
+ORACLE["magnitude_band"] = f"""{CTE}, w AS ({WEB6} FROM catalog)
+SELECT time, magnitude, {_mag_case('magnitude', lambda lab, rgb, h: repr(lab))} AS band,
+  {_MR} AS r, {_MG} AS g, {_MB} AS b, {_mag_case('magnitude', lambda lab, rgb, h: repr(h))} AS hex,
+  {_css(_MR, _MG, _MB)} AS css FROM w"""
+ORACLE["depth_rgb"] = f"""{CTE} SELECT id, depth_km, {_r9(_DR)} AS r, {_r9(_DG)} AS g, {_r9(_DB)} AS b,
+  {_css(_DR, _DG, _DB)} AS css FROM catalog"""
+ORACLE["depth_band"] = f"""{CTE} SELECT id, depth_km, CASE WHEN coalesce(CAST(depth_km AS DOUBLE), 0.0) < 70 THEN 'Shallow'
+  WHEN coalesce(CAST(depth_km AS DOUBLE), 0.0) < 300 THEN 'Intermediate' ELSE 'Deep' END AS band FROM catalog"""
+_M = "CAST(magnitude AS DOUBLE)"
+ORACLE["point_size"] = f"""{CTE} SELECT id, magnitude,
+  CASE WHEN magnitude IS NULL THEN NULL ELSE {_r9(f'greatest(1.0, ({_M} - 2.0) * {_d(1.2)})')} END AS size,
+  CASE WHEN magnitude IS NULL THEN NULL ELSE {_r9(f'greatest(2.0, {_d(1.8)} * pow(2.0, {_M} - 1.0))')} END AS radius
+  FROM catalog"""
+_AGE = "greatest(0.0, least(1.0, (CAST(time AS DOUBLE) - 1709251200000.0) / 7889400000.0))"
+ORACLE["window_age"] = f"""{CTE} SELECT id, time, {_r9(_AGE)} AS age, {_r9(f'pow({_AGE}, 6.0)')} AS fade FROM {VIEW}"""
+
+
+def _heat() -> tuple[list[str], str]:
+    t = f"greatest(0.0, least(1.0, (p - {_d(0.01)}) / {_d(1.0 - 0.01)}))"
+    seg_t = [f"({t} / 0.25)", f"(({t} - 0.25) / 0.25)", f"(({t} - 0.5) / 0.25)", f"(({t} - 0.75) / 0.25)"]
+    chans = []
+    for k in range(3):
+        mixes = [f"({_d(HEAT_STOPS[i][k])} + ({_d(HEAT_STOPS[i + 1][k])} - {_d(HEAT_STOPS[i][k])}) * {seg_t[i]})" for i in range(4)]
+        v = (f"CASE WHEN {t} < 0.25 THEN {mixes[0]} WHEN {t} < 0.5 THEN {mixes[1]} "
+             f"WHEN {t} < 0.75 THEN {mixes[2]} ELSE {mixes[3]} END")
+        chans.append(f"CASE WHEN p IS NULL OR p <= {_d(0.01)} THEN NULL ELSE {_r9(v)} END")
+    alpha = _r9(f"greatest(0.0, least({_d(0.72)}, p * 2.5))")
+    return chans, alpha
+
+
+_HC, _HA = _heat()
+ORACLE["heat_rgb"] = f"""{CTE}, {CELLS}, {SCENARIOS}, {SURFACE}
+SELECT lat, lon, threshold, horizon, p, {_HC[0]} AS r, {_HC[1]} AS g, {_HC[2]} AS b, {_HA} AS alpha FROM surface"""
+ORACLE["depth_bar"] = f"""{CTE} SELECT id, depth_km, CASE WHEN CAST(depth_km AS DOUBLE) > 0 THEN
+  {_r9(f'least({_d(0.12 * 800.0)}, (1.0 - least(CAST(depth_km AS DOUBLE), 300.0) / 300.0) * 60.0 + 4.0)')} END AS bar
+  FROM catalog"""
+ORACLE["event_label"] = f"""{CTE}, w AS ({WEB6} FROM catalog)
+SELECT time,
+  CASE WHEN place IS NOT NULL AND place <> '' THEN place ELSE {_fixed('lat', 1)} || '°, ' || {_fixed('lon', 1)} || '°' END AS label,
+  {_fixed('lat', 3)} || '° ' || (CASE WHEN lat >= 0 THEN 'N' ELSE 'S' END) || ', ' || {_fixed('abs(lon)', 3)} || '° '
+    || (CASE WHEN lon >= 0 THEN 'E' ELSE 'W' END) AS coordinates,
+  {_fixed('depth_km', 0)} || ' km deep' AS depth_list, {_fixed('depth_km', 1)} || ' km deep' AS depth_detail,
+  'M' || {_fixed('magnitude', 1)} AS mag_label FROM w"""
+ORACLE["date_label"] = f"""{CTE} SELECT id, time, strftime(make_timestamp(time * 1000), '%b %-d, %Y') AS date FROM catalog"""

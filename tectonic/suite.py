@@ -235,3 +235,152 @@ def q_plan_requests(spark, sf_dir):
 @register("size_bounded_splits")
 def q_size_bounded_splits(spark, sf_dir):
     return splits.size_bounded_splits(load_catalog(spark, sf_dir), SPLIT_START_MS, SPLIT_END_MS, SPLIT_MAX_ROWS)
+
+
+# ---- phase 4: exports, geometry, display scalars ---------------------------------
+
+from .functions import geo as geo_fn  # noqa: E402
+from .functions import labels as label_fn  # noqa: E402
+from .functions import style as style_fn  # noqa: E402
+from .functions.numeric import round_half_even as rnd  # noqa: E402
+from .sources import geojson  # noqa: E402
+
+CANVAS_HEIGHT = 800.0
+
+
+@register("web_rows")
+def q_web_rows(spark, sf_dir):
+    return web.web_rows(load_catalog(spark, sf_dir), min_mag=4.0, with_place=True)
+
+
+@register("web_rows_5")
+def q_web_rows_5(spark, sf_dir):
+    return web.web_rows(load_catalog(spark, sf_dir), min_mag=4.0, with_place=False)
+
+
+@register("read_web_json")
+def q_read_web_json(spark, sf_dir):
+    rows = web.web_rows(load_catalog(spark, sf_dir), min_mag=4.0)
+    return web.parse_web_lines(web.web_json_lines(rows))
+
+
+@register("geojson_features")
+def q_geojson_features(spark, sf_dir):
+    f = geojson.geojson_features(load_catalog(spark, sf_dir)).select("feature")
+    return f.select(
+        F.col("feature.properties.id").alias("id"), F.col("feature.properties.time").alias("time"),
+        F.col("feature.type").alias("feature_type"), F.col("feature.geometry.type").alias("geometry_type"),
+        F.element_at("feature.geometry.coordinates", 1).alias("coord_lon"),
+        F.element_at("feature.geometry.coordinates", 2).alias("coord_lat"),
+        F.element_at("feature.geometry.coordinates", 3).alias("coord_z"),
+        F.col("feature.properties.magnitude").alias("magnitude"),
+        F.col("feature.properties.mag_type").alias("mag_type"),
+        F.col("feature.properties.depth_km").alias("depth_km"),
+        F.col("feature.properties.place").alias("place"),
+    )
+
+
+@register("geojson_points")
+def q_geojson_points(spark, sf_dir):
+    return geojson.parse_geojson_points(geojson.geojson_lines(load_catalog(spark, sf_dir)))
+
+
+@register("line_segments")
+def q_line_segments(spark, sf_dir):
+    geoms = geojson.event_geometry_text(load_catalog(spark, sf_dir))
+    return geojson.line_segments(geoms, keys=["feature"])
+
+
+@register("to_cartesian")
+def q_to_cartesian(spark, sf_dir):
+    c = load_catalog(spark, sf_dir)
+    x, y, z = geo_fn.cartesian_xyz("lat", "lon", F.coalesce(F.col("depth_km"), F.lit(0.0)))
+    return c.select("id", "time", rnd(x, 9).alias("x"), rnd(y, 9).alias("y"), rnd(z, 9).alias("z"))
+
+
+@register("depth_line")
+def q_depth_line(spark, sf_dir):
+    rows = web.web_rows(load_catalog(spark, sf_dir), min_mag=None)
+    sx, sy, sz = geo_fn.cartesian_xyz("lat", "lon", None)
+    hx, hy, hz = geo_fn.cartesian_xyz("lat", "lon", geo_fn.visual_depth_km("depth_km"))
+    rgb = style_fn.depth_rgb("depth_km")
+    return rows.select(
+        "time",
+        *[rnd(v, 9).alias(n) for v, n in ((sx, "sx"), (sy, "sy"), (sz, "sz"), (hx, "hx"), (hy, "hy"), (hz, "hz"))],
+        *[rnd(rgb[ch] * F.lit(0.3), 9).alias(f"surface_{ch}") for ch in "rgb"],
+        *[rnd(rgb[ch], 9).alias(f"hypo_{ch}") for ch in "rgb"],
+    )
+
+
+@register("magnitude_band")
+def q_magnitude_band(spark, sf_dir):
+    rows = web.web_rows(load_catalog(spark, sf_dir), min_mag=None)
+    rgb = style_fn.magnitude_rgb("magnitude")
+    return rows.select(
+        "time", "magnitude", style_fn.magnitude_band("magnitude").alias("band"),
+        rgb["r"].alias("r"), rgb["g"].alias("g"), rgb["b"].alias("b"),
+        style_fn.magnitude_hex("magnitude").alias("hex"),
+        style_fn.rgb_css(rgb).alias("css"),
+    )
+
+
+@register("depth_rgb")
+def q_depth_rgb(spark, sf_dir):
+    c = load_catalog(spark, sf_dir)
+    rgb = style_fn.depth_rgb("depth_km")
+    return c.select("id", "depth_km", *[rnd(rgb[ch], 9).alias(ch) for ch in "rgb"], style_fn.rgb_css(rgb).alias("css"))
+
+
+@register("depth_band")
+def q_depth_band(spark, sf_dir):
+    return load_catalog(spark, sf_dir).select("id", "depth_km", style_fn.depth_band("depth_km").alias("band"))
+
+
+@register("point_size")
+def q_point_size(spark, sf_dir):
+    return load_catalog(spark, sf_dir).select(
+        "id", "magnitude",
+        rnd(style_fn.point_size("magnitude"), 9).alias("size"),
+        rnd(style_fn.mag_radius("magnitude"), 9).alias("radius"),
+    )
+
+
+@register("window_age")
+def q_window_age(spark, sf_dir):
+    rows = _view_rows(spark, sf_dir)
+    age = style_fn.window_age("time", VIEW_START_MS, VIEW_START_MS + VIEW_DURATION_MS)
+    return rows.select("id", "time", rnd(age, 9).alias("age"), rnd(style_fn.age_fade(age), 9).alias("fade"))
+
+
+@register("heat_rgb")
+def q_heat_rgb(spark, sf_dir):
+    s = hazard.hazard_surface(_cells(spark, sf_dir))
+    rgb = style_fn.heat_rgb("p")
+    return s.select(
+        "lat", "lon", "threshold", "horizon", "p",
+        *[rnd(rgb[ch], 9).alias(ch) for ch in "rgb"],
+        rnd(style_fn.heat_alpha("p"), 9).alias("alpha"),
+    )
+
+
+@register("depth_bar")
+def q_depth_bar(spark, sf_dir):
+    return load_catalog(spark, sf_dir).select("id", "depth_km", rnd(style_fn.depth_bar("depth_km", CANVAS_HEIGHT), 9).alias("bar"))
+
+
+@register("event_label")
+def q_event_label(spark, sf_dir):
+    rows = web.web_rows(load_catalog(spark, sf_dir), min_mag=None)
+    return rows.select(
+        "time",
+        label_fn.event_label("place", "lat", "lon").alias("label"),
+        label_fn.coordinate_label("lat", "lon").alias("coordinates"),
+        label_fn.depth_label("depth_km", 0).alias("depth_list"),
+        label_fn.depth_label("depth_km", 1).alias("depth_detail"),
+        F.concat(F.lit("M"), label_fn.to_fixed("magnitude", 1)).alias("mag_label"),
+    )
+
+
+@register("date_label")
+def q_date_label(spark, sf_dir):
+    return load_catalog(spark, sf_dir).select("id", "time", label_fn.date_label("time").alias("date"))
