@@ -303,3 +303,41 @@ SELECT time,
   {_fixed('depth_km', 0)} || ' km deep' AS depth_list, {_fixed('depth_km', 1)} || ' km deep' AS depth_detail,
   'M' || {_fixed('magnitude', 1)} AS mag_label FROM w"""
 ORACLE["date_label"] = f"""{CTE} SELECT id, time, strftime(make_timestamp(time * 1000), '%b %-d, %Y') AS date FROM catalog"""
+
+# ---- phase 5 ----------------------------------------------------------------------
+
+from .operators.series import frame_count  # noqa: E402
+
+_SS, _SE, _SD, _ST = 631152000000, 1717200000000, 31557600000, 31557600000 // 4
+_K = frame_count(_SS, _SE, _SD, _ST)
+ORACLE["window_series"] = f"""{CTE}, w AS ({WEB6} FROM catalog WHERE magnitude >= CAST(4.5 AS FLOAT)),
+frames AS (SELECT range AS frame, {_SS} + range * {_ST} AS frame_start FROM range({_K})
+           UNION ALL SELECT {_K}, {_SE - _SD}),
+agg AS (SELECT f.frame, f.frame_start, count(w.time) AS n, max(w.magnitude) AS max_magnitude,
+               sum(CAST(round(w.magnitude * 10.0) AS BIGINT)) AS mag10, sum(CAST(round(w.depth_km * 10.0) AS BIGINT)) AS dep10
+        FROM frames f LEFT JOIN w ON w.time >= f.frame_start AND w.time < f.frame_start + {_SD}
+        GROUP BY 1, 2)
+SELECT frame, frame_start, n, max_magnitude,
+  CASE WHEN n > 0 THEN round_even(CAST(mag10 AS DOUBLE) / CAST(n AS DOUBLE) / 10.0, 4) END AS avg_magnitude,
+  CASE WHEN n > 0 THEN round_even(CAST(dep10 AS DOUBLE) / CAST(n AS DOUBLE) / 10.0, 4) END AS avg_depth_km,
+  round_even(greatest(0.0, least(1.0, CAST(frame_start - {_SS} AS DOUBLE) / {float(_SE - _SS)!r})), 6) AS progress
+FROM agg"""
+
+_PX = "((plon - (-180.0)) / 360.0 * 7200.0)"
+_PY = "((1.0 - (plat - (-90.0)) / 180.0) * 3600.0)"
+_EX = "((CAST(lon AS DOUBLE) - (-180.0)) / 360.0 * 7200.0)"
+_EY = "((1.0 - (CAST(lat AS DOUBLE) - (-90.0)) / 180.0) * 3600.0)"
+_REACH = ("greatest(greatest(2.0, CAST(1.8 AS DOUBLE) * pow(2.0, coalesce(CAST(magnitude AS DOUBLE), 0.0) - 1.0)) + 4.0, 10.0)")
+ORACLE["nearest_event"] = f"""{CTE},
+locs AS (SELECT DISTINCT lat, lon FROM catalog),
+pr AS (SELECT {_PX} AS px, {_PY} AS py FROM (
+  SELECT CAST(lat AS DOUBLE) - 0.6 AS plat,
+         CAST(lon AS DOUBLE) + 0.5 + (CAST(lat AS DOUBLE) - 3.0 * floor(CAST(lat AS DOUBLE) / 3.0)) * 0.4 AS plon FROM locs)),
+ev AS (SELECT id, time, {_EX} AS x, {_EY} AS y, {_REACH} AS reach FROM catalog),
+pairs AS (SELECT pr.px, pr.py, ev.id, ev.time, sqrt((pr.px - ev.x) * (pr.px - ev.x) + (pr.py - ev.y) * (pr.py - ev.y)) AS d, ev.reach
+          FROM pr, ev),
+hit AS (SELECT * FROM pairs WHERE d < reach),
+best AS (SELECT px, py, id, time, d FROM (
+  SELECT *, row_number() OVER (PARTITION BY px, py ORDER BY d, time, id) AS rn FROM hit) WHERE rn = 1)
+SELECT pr.px, pr.py, best.id, best.time, round_even(best.d, 6) AS dist
+FROM pr LEFT JOIN best ON pr.px = best.px AND pr.py = best.py"""

@@ -384,3 +384,36 @@ def q_event_label(spark, sf_dir):
 @register("date_label")
 def q_date_label(spark, sf_dir):
     return load_catalog(spark, sf_dir).select("id", "time", label_fn.date_label("time").alias("date"))
+
+
+# ---- phase 5: moving windows and nearest lookup ------------------------------------
+
+from .operators import nearest, series  # noqa: E402
+from .schema import YEAR_MS  # noqa: E402
+
+SERIES_START_MS = 631_152_000_000        # 1990-01-01
+SERIES_END_MS = 1_717_200_000_000        # 2024-06-01 (data end)
+WORLD = {"min_lat": -90.0, "max_lat": 90.0, "min_lon": -180.0, "max_lon": 180.0}
+WORLD_W, WORLD_H = 7200.0, 3600.0
+
+
+@register("window_series")
+def q_window_series(spark, sf_dir):
+    rows = web.web_rows(load_catalog(spark, sf_dir), min_mag=4.5)
+    return series.window_series(rows, SERIES_START_MS, SERIES_END_MS, YEAR_MS, YEAR_MS // 4)
+
+
+def probe_points(catalog):
+    """One probe per distinct epicentre, offset by 0.5 + 0.4*(lat mod 3) degrees east and 0.6 south."""
+    locs = catalog.select("lat", "lon").distinct()
+    plat = F.col("lat").cast("double") - F.lit(0.6)
+    plon = F.col("lon").cast("double") + F.lit(0.5) + F.pmod(F.col("lat").cast("double"), F.lit(3.0)) * F.lit(0.4)
+    from .functions.geo import project_box
+    px, py = project_box(plat, plon, WORLD, WORLD_W, WORLD_H)
+    return locs.select(px.alias("px"), py.alias("py"))
+
+
+@register("nearest_event")
+def q_nearest_event(spark, sf_dir):
+    c = load_catalog(spark, sf_dir)
+    return nearest.nearest_event(probe_points(c), c, WORLD, WORLD_W, WORLD_H)
