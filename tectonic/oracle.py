@@ -341,3 +341,27 @@ best AS (SELECT px, py, id, time, d FROM (
   SELECT *, row_number() OVER (PARTITION BY px, py ORDER BY d, time, id) AS rn FROM hit) WHERE rn = 1)
 SELECT pr.px, pr.py, best.id, best.time, round_even(best.d, 6) AS dist
 FROM pr LEFT JOIN best ON pr.px = best.px AND pr.py = best.py"""
+
+# ---- phase 6 ----------------------------------------------------------------------
+
+ORACLE["write_catalog"] = ORACLE["compact"]
+ORACLE["land_daily"] = f"""{CTE},
+days AS (SELECT CAST(d AS DATE) AS land_date FROM generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY) t(d)),
+counts AS (SELECT land_date, count(*) AS n FROM catalog GROUP BY 1),
+alld AS (SELECT land_date FROM days UNION SELECT land_date FROM counts)
+SELECT a.land_date, coalesce(c.n, 0) AS n FROM alld a LEFT JOIN counts c ON a.land_date = c.land_date"""
+ORACLE["read_landing"] = f"{CTE} SELECT * FROM catalog"
+ORACLE["read_hazard"] = ORACLE["hazard_cells"]
+ORACLE["sync"] = ORACLE["compact"]
+ORACLE["live_stream"] = ORACLE["normalize"]
+ORACLE["stream_upsert"] = ORACLE["compact"]
+_WS, _WD, _WL = 864000000, 2592000000, 86400000   # 10-day slide, 30-day window, 1-day lateness
+ORACLE["stream_window_stats"] = f"""{CTE},
+ev AS (SELECT time, magnitude, depth_km, CAST(floor(time / {float(_WS)!r}) AS BIGINT) AS b FROM catalog),
+win AS (SELECT (b - k) * {_WS} AS window_start, magnitude, depth_km, time FROM ev, range(0, {_WD // _WS}) t(k)),
+agg AS (SELECT window_start, window_start + {_WD} AS window_end, count(*) AS n,
+               max(CAST(magnitude AS DOUBLE)) AS max_magnitude,
+               round_even(avg(CAST(magnitude AS DOUBLE)), 4) AS avg_magnitude,
+               round_even(avg(coalesce(CAST(depth_km AS DOUBLE), 0.0)), 4) AS avg_depth_km
+        FROM win WHERE time >= window_start AND time < window_start + {_WD} GROUP BY 1)
+SELECT * FROM agg WHERE window_end <= (SELECT max(time) FROM catalog) - {_WL}"""

@@ -21,6 +21,13 @@ RAW_DOUBLE_COLUMNS = [
     "horizontalError", "depthError", "magError", "magNst",
 ]
 
+# Column order of the catalog service's CSV format.
+RAW_CSV_COLUMNS = [
+    "time", "latitude", "longitude", "depth", "mag", "magType", "nst", "gap", "dmin", "rms",
+    "net", "id", "updated", "place", "type", "horizontalError", "depthError", "magError",
+    "magNst", "status", "locationSource", "magSource",
+]
+
 # Raw CSV null markers.
 RAW_NULL_MARKERS = ["", "null"]
 

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import CORE_COLUMNS, RAW_DOUBLE_COLUMNS, RAW_NULL_MARKERS, RAW_RENAMES
+from pyspark.sql import types as T
+
+from ..schema import CORE_COLUMNS, RAW_CSV_COLUMNS, RAW_DOUBLE_COLUMNS, RAW_NULL_MARKERS, RAW_RENAMES
+
+# Every raw column as text, in the service's order (streaming sources need a schema).
+RAW_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_CSV_COLUMNS])
 
 # Fixed value: the raw time text format once the UTC 'Z' is removed.
 RAW_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]"
@@ -26,7 +31,7 @@ def read_event_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
         spark.read.option("header", "true").option("inferSchema", "false")
         .option("mode", "PERMISSIVE").csv(path)
     )
-    return raw.select([_null_markers(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    return apply_null_markers(raw)
 
 
 def parse_event_time(col: Column) -> Column:
@@ -38,13 +43,14 @@ def parse_event_time(col: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(stripped, F.lit(RAW_TIME_FORMAT)))
 
 
-def normalize(raw: DataFrame) -> DataFrame:
+def normalize(raw: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
     """Rename raw columns to core names, parse time, keep the 8 core columns, cast.
 
     Only the renames whose source is present are applied; a core column that is
     still missing makes the ``select`` fail, as in the reference. Extra columns
-    are dropped. Numbers go text -> double -> float like the reference's
-    float64 read followed by its float32 cast.
+    are dropped (``keep`` names columns to carry along, e.g. landing keys).
+    Numbers go text -> double -> float like the reference's float64 read
+    followed by its float32 cast.
     """
     present = {k: v for k, v in RAW_RENAMES.items() if k in raw.columns}
     df = raw.withColumnsRenamed(present) if present else raw
@@ -65,7 +71,8 @@ def normalize(raw: DataFrame) -> DataFrame:
         num("lat"), num("lon"), num("depth_km"), num("magnitude"),
         F.col("mag_type").cast("string").alias("mag_type"),
         F.col("place").cast("string").alias("place"),
-    ).select(*CORE_COLUMNS)
+        *[F.col(c) for c in keep],
+    ).select(*CORE_COLUMNS, *keep)
 
 
 RAW_RENAMES_INV = {v: k for k, v in RAW_RENAMES.items()}
@@ -78,19 +85,35 @@ def raw_text_from_catalog(catalog: DataFrame) -> DataFrame:
     so ``normalize(raw_text_from_catalog(c))`` must give back ``c``'s core columns.
     """
     iso = F.date_format(F.timestamp_millis("time"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return catalog.select(
-        iso.alias("time"),
-        F.col("lat").cast("string").alias("latitude"),
-        F.col("lon").cast("string").alias("longitude"),
-        F.coalesce(F.col("depth_km").cast("string"), F.lit("")).alias("depth"),
-        F.col("magnitude").cast("string").alias("mag"),
-        F.col("mag_type").alias("magType"),
-        F.lit("").alias("nst"),
-        F.col("id"),
-        F.coalesce(F.col("place"), F.lit("null")).alias("place"),
-        F.lit("earthquake").alias("type"),
-    )
+    given = {
+        "time": iso,
+        "latitude": F.col("lat").cast("string"),
+        "longitude": F.col("lon").cast("string"),
+        "depth": F.coalesce(F.col("depth_km").cast("string"), F.lit("")),
+        "mag": F.col("magnitude").cast("string"),
+        "magType": F.col("mag_type"),
+        "id": F.col("id"),
+        "place": F.coalesce(F.col("place"), F.lit("null")),
+        "type": F.lit("earthquake"),
+    }
+    extra = [c for c in catalog.columns if c in ("land_date", "row_seq")]
+    return catalog.select(*[given.get(c, F.lit("")).alias(c) for c in RAW_CSV_COLUMNS], *extra)
+
+
+def write_event_csv(raw: DataFrame, path: str, by_day: bool = True) -> None:
+    """Write raw text rows as header CSV, one folder per ``land_date`` (as landed files arrive)."""
+    cols = list(RAW_CSV_COLUMNS)
+    w = raw.select(*cols, *(["land_date"] if by_day else []))
+    writer = w.write.mode("overwrite").option("header", "true").option("emptyValue", "")
+    if by_day:
+        writer = writer.partitionBy("land_date")
+    writer.csv(path)
 
 
 def apply_null_markers(raw: DataFrame) -> DataFrame:
-    return raw.select([_null_markers(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    """Map both null markers to null in every text column (partition columns keep their type)."""
+    types = dict(raw.dtypes)
+    return raw.select([
+        (_null_markers(F.col(f"`{c}`")) if types[c] == "string" else F.col(f"`{c}`")).alias(c)
+        for c in raw.columns
+    ])

@@ -417,3 +417,95 @@ def probe_points(catalog):
 def q_nearest_event(spark, sf_dir):
     c = load_catalog(spark, sf_dir)
     return nearest.nearest_event(probe_points(c), c, WORLD, WORLD_W, WORLD_H)
+
+
+# ---- phase 6: storage round trips, sync, streams -----------------------------------
+# These write to a fresh folder under the shared checkpoint location and return
+# what Spark reads back, so the check covers the sink and the scan together.
+
+import uuid  # noqa: E402
+
+from .plans import sync as sync_plan  # noqa: E402
+from .session import scratch_path  # noqa: E402
+from .sources import hazard_io  # noqa: E402
+from .sources import parquet as pq  # noqa: E402
+from .streaming import live  # noqa: E402
+
+STREAM_WINDOW = ("30 days", "10 days", "1 day")
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"tectonic-{name}-{uuid.uuid4().hex}")
+
+
+@register("write_catalog")
+def q_write_catalog(spark, sf_dir):
+    path = _scratch(spark, "catalog")
+    archive, landing = _archive_and_landing(spark, sf_dir)
+    pq.write_catalog(dedupe.compact(archive, landing), path)
+    return pq.read_catalog(spark, path)
+
+
+@register("land_daily")
+def q_land_daily(spark, sf_dir):
+    path = _scratch(spark, "landing")
+    c = load_catalog(spark, sf_dir)
+    pq.land_daily(c, path, calendar.day_calendar(spark, PLAN_START, PLAN_THROUGH))
+    return pq.read_landed_days(spark, path)
+
+
+@register("read_landing")
+def q_read_landing(spark, sf_dir):
+    path = _scratch(spark, "landing")
+    pq.land_daily(load_catalog(spark, sf_dir), path)
+    return pq.read_landing(spark, path)
+
+
+@register("read_hazard")
+def q_read_hazard(spark, sf_dir):
+    path = _scratch(spark, "hazard")
+    hazard_io.write_hazard(_cells(spark, sf_dir), path)
+    return hazard_io.read_hazard(spark, path)
+
+
+def _raw_csv(spark, sf_dir, by_day=True):
+    path = _scratch(spark, "raw")
+    c = load_catalog(spark, sf_dir)
+    csv_src.write_event_csv(csv_src.raw_text_from_catalog(c), path, by_day=by_day)
+    return path
+
+
+@register("sync")
+def q_sync(spark, sf_dir):
+    raw = _raw_csv(spark, sf_dir)
+    path = _scratch(spark, "sync")
+    sync_plan.sync(spark, raw, path, "2024-01-01", "2024-01-31", min_mag=2.5, export_mag=4.0,
+                   web_path=path + "/web")
+    return pq.read_catalog(spark, path)
+
+
+@register("live_stream")
+def q_live_stream(spark, sf_dir):
+    raw = _raw_csv(spark, sf_dir, by_day=False)
+    out, ck = _scratch(spark, "live"), _scratch(spark, "ck")
+    q = (live.live_stream(spark, raw).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ck).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("stream_upsert")
+def q_stream_upsert(spark, sf_dir):
+    raw = _raw_csv(spark, sf_dir, by_day=False)
+    path, ck = _scratch(spark, "archive"), _scratch(spark, "ck")
+    live.start_stream_upsert(live.live_stream(spark, raw), path, ck, available_now=True).awaitTermination()
+    return pq.read_catalog(spark, path)
+
+
+@register("stream_window_stats")
+def q_stream_window_stats(spark, sf_dir):
+    raw = _raw_csv(spark, sf_dir, by_day=False)
+    out, ck = _scratch(spark, "windows"), _scratch(spark, "ck")
+    stats_df = live.stream_window_stats(live.live_stream(spark, raw), *STREAM_WINDOW)
+    live.start_window_stats(stats_df, out, ck, available_now=True).awaitTermination()
+    return spark.read.parquet(out)
