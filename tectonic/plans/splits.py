@@ -62,9 +62,13 @@ def size_bounded_splits(
         .select("level", "idx", F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n"))
         .filter(F.col("n") < F.lit(int(max_rows)))
     )
-    root_n = spark.range(1).select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("idx")).join(
-        nodes, ["level", "idx"], "left"
-    ).select("level", "idx", F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n"))
+    # root count (0 when nothing is in range): a one-row global aggregate, no join
+    root_n = (
+        nodes.filter(F.col("level") == 0).select("n")
+        .unionByName(spark.range(1).select(F.lit(0).cast("long").alias("n")))
+        .agg(F.sum("n").alias("n"))
+        .select(F.lit(0).alias("level"), F.lit(0).cast("long").alias("idx"), "n")
+    )
     root_leaf = root_n.filter(F.col("n") < F.lit(int(max_rows)))
     too_dense = split.filter(F.col("level") == depth).select("level", "idx", "n")
     leaves = child_leaves.withColumn("too_dense", F.lit(False)).unionByName(

@@ -1,0 +1,95 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from conftest import SF0001, core_df, rows
+from tectonic.operators import dedupe
+from tectonic.plans import sync as sync_plan
+from tectonic.schema import CORE_COLUMNS
+from tectonic.sources import csv as csv_src
+from tectonic.sources import parquet as pq
+from tectonic.sources.fixture import load_catalog
+
+NY = 1_704_067_200_000   # 2024-01-01T00:00Z
+
+
+def _landing(spark, data):
+    df = core_df(spark, [d[:6] for d in data])
+    extra = spark.createDataFrame([(d[0], d[1], dt.date.fromisoformat(d[6]), d[7]) for d in data],
+                                  "id string, time long, land_date date, row_seq long")
+    return df.join(extra, ["id", "time"])
+
+
+def test_latest_by_id_archive_then_days(spark):
+    archive = core_df(spark, [("a", 1, 0.0, 0.0, 1.0, 4.0), ("b", 1, 0.0, 0.0, 1.0, 4.0)])
+    landing = _landing(spark, [
+        ("a", 2, 0.0, 0.0, 1.0, 5.0, "2024-01-02", 1),
+        ("a", 3, 0.0, 0.0, 1.0, 6.0, "2024-01-01", 9),
+        ("c", 4, 0.0, 0.0, 1.0, 7.0, "2024-01-01", 1),
+    ])
+    out = {r["id"]: r["magnitude"] for r in dedupe.compact(archive, landing).collect()}
+    assert out == {"a": 5.0, "b": 4.0, "c": 7.0}
+
+
+def test_null_ids_form_one_group(spark):
+    df = core_df(spark, [(None, 1, 0.0, 0.0, 1.0, 4.0), (None, 2, 0.0, 0.0, 1.0, 5.0), ("x", 1, 0.0, 0.0, 1.0, 4.0)])
+    out = dedupe.latest_by_id(df, order_by=["time"])
+    assert sorted((r["id"] or "", r["time"]) for r in out.collect()) == [("", 2), ("x", 1)]
+
+
+def test_latest_by_id_is_idempotent(spark):
+    c = load_catalog(spark, SF0001)
+    once = dedupe.latest_by_id(c)
+    assert rows(dedupe.latest_by_id(once)) == rows(once)
+    assert once.count() == 900
+
+
+def test_revision_across_new_year_moves_the_event(spark, tmp_path):
+    path = str(tmp_path / "cat")
+    first = _landing(spark, [("q", NY - 1000, 0.0, 0.0, 1.0, 4.0, "2023-12-31", 1),
+                             ("r", NY - 5000, 0.0, 0.0, 1.0, 4.0, "2023-12-31", 2)])
+    assert sync_plan.upsert(spark, path, first) == [2023]
+    # the only 2023 event of id r is revised to a 2024 time: 2023 keeps q, 2024 gets r
+    second = _landing(spark, [("r", NY + 5000, 0.0, 0.0, 1.0, 4.5, "2024-01-01", 1)])
+    assert sync_plan.upsert(spark, path, second) == [2023, 2024]
+    got = rows(pq.read_catalog(spark, path), "id", "year")
+    assert got == [("q", 2023), ("r", 2024)]
+    # revising q into 2024 too leaves 2023 empty: its partition is removed
+    third = _landing(spark, [("q", NY + 7000, 0.0, 0.0, 1.0, 4.5, "2024-01-02", 1)])
+    sync_plan.upsert(spark, path, third)
+    assert rows(pq.read_catalog(spark, path), "id", "year") == [("q", 2024), ("r", 2024)]
+    assert not (tmp_path / "cat" / "archive" / "year=2023").exists()
+
+
+def test_write_catalog_replaces_only_touched_years(spark, tmp_path):
+    path = str(tmp_path / "cat")
+    df = core_df(spark, [("a", NY - 10, 0.0, 0.0, 1.0, 4.0), ("b", NY + 10, 0.0, 0.0, 1.0, 4.0)])
+    pq.write_catalog(df, path)
+    pq.write_catalog(core_df(spark, [("c", NY + 20, 0.0, 0.0, 1.0, 4.0)]), path)
+    assert rows(pq.read_catalog(spark, path), "id") == [("a",), ("c",)]
+    assert rows(pq.read_catalog(spark, path, years=[2023]), "id") == [("a",)]
+
+
+def test_read_catalog_empty_when_absent(spark, tmp_path):
+    df = pq.read_catalog(spark, str(tmp_path / "nothing"))
+    assert df.count() == 0 and df.columns == CORE_COLUMNS + ["year"]
+
+
+def test_sync_is_incremental_and_matches_batch(spark, tmp_path):
+    c = load_catalog(spark, SF0001)
+    raw = str(tmp_path / "raw")
+    csv_src.write_event_csv(csv_src.raw_text_from_catalog(c), raw)
+    path = str(tmp_path / "cat")
+    first = sync_plan.sync(spark, raw, path, "2024-01-01", "2024-01-10", web_path=str(tmp_path / "web"))
+    assert len(first["days"]) == 10
+    second = sync_plan.sync(spark, raw, path, "2024-01-01", "2024-02-02", web_path=str(tmp_path / "web"))
+    assert second["days"][0] == "2024-01-11" and len(second["days"]) == 23
+    third = sync_plan.sync(spark, raw, path, "2024-01-01", "2024-02-02")
+    assert third == {"days": [], "years": []}
+    expect = dedupe.latest_by_id(c).select(*CORE_COLUMNS)
+    assert rows(pq.read_catalog(spark, path).select(*CORE_COLUMNS)) == rows(expect)
+    # empty days after the data are recorded as landed with n = 0
+    landed = {r["land_date"].isoformat(): r["n"] for r in pq.read_landed_days(spark, path).collect()}
+    assert landed["2024-02-02"] == 0 and landed["2024-01-05"] > 0
+    web = spark.read.text(str(tmp_path / "web"))
+    assert web.count() == pq.read_catalog(spark, path).filter(F.col("magnitude") >= 2.5).count()
