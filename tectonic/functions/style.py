@@ -139,3 +139,20 @@ def rgb_css(rgb) -> Column:
     s = _c(rgb)
     parts = [js_round(s[ch] * F.lit(255.0)).cast("string") for ch in "rgb"]
     return F.concat(F.lit("rgb("), parts[0], F.lit(","), parts[1], F.lit(","), parts[2], F.lit(")"))
+
+
+# Timeline views (start of the "all" and "1990" views, Unix ms).
+VIEW_ALL_START_MS = -2_208_988_800_000   # 1900-01-01T00:00Z
+VIEW_1990_START_MS = 631_152_000_000     # 1990-01-01T00:00Z
+
+
+def view_bounds(mode: str, data_end_ms: int, year_ms: int = 31_557_600_000) -> tuple[int, int]:
+    """``(view_start, view_length)`` of the timeline: all (1900), 1990, or the recent year."""
+    start = {"all": VIEW_ALL_START_MS, "1990": VIEW_1990_START_MS, "recent": data_end_ms - year_ms}[mode]
+    return start, data_end_ms - start
+
+
+def view_progress(window_start, view_start_ms: int, view_length_ms: int) -> Column:
+    """Playhead position on the timeline bar: ``clamp((start - view_start) / view_length, 0, 1)``."""
+    x = (_c(window_start).cast("double") - F.lit(float(view_start_ms))) / F.lit(float(view_length_ms))
+    return clamp(x, 0.0, 1.0)

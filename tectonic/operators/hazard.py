@@ -100,13 +100,9 @@ def hazard_surface(cells: DataFrame, scenarios: list[tuple[float, int]] | None =
         F.struct(F.lit(float(m)).alias("threshold"), F.lit(int(t)).alias("horizon"))
         for m, t in scenarios
     ])
-    s = cells.select("lat", "lon", "a", "b", "n", "catalog_years", F.explode(arr).alias("_s"))
-    p = exceedance_probability(F.col("a"), F.col("b"), F.col("catalog_years"), F.col("_s.threshold"), F.col("_s.horizon"))
-    return s.select(
-        "lat", "lon",
-        F.col("_s.threshold").alias("threshold"), F.col("_s.horizon").alias("horizon"),
-        round_half_even(p, digits).alias("p"),
-    )
+    s = cells.select("lat", "lon", "a", "b", "catalog_years", F.inline(arr))
+    p = exceedance_probability(F.col("a"), F.col("b"), F.col("catalog_years"), F.col("threshold"), F.col("horizon"))
+    return s.select("lat", "lon", "threshold", "horizon", round_half_even(p, digits).alias("p"))
 
 
 def raster_index(lat_col, lon_col):
@@ -130,10 +126,10 @@ def hazard_raster(surface: DataFrame, scenarios: list[tuple[float, int]] | None
         for m, t in scenarios
     ])
     grid = spark.range(RASTER_WIDTH * RASTER_HEIGHT).select(
-        (F.col("id") / RASTER_WIDTH).cast("long").alias("row"),
+        F.expr(f"id div {RASTER_WIDTH}").alias("row"),
         (F.col("id") % RASTER_WIDTH).alias("col"),
-        F.explode(arr).alias("_s"),
-    ).select("row", "col", F.col("_s.threshold").alias("threshold"), F.col("_s.horizon").alias("horizon"))
+        F.inline(arr),
+    )
     row, col = raster_index("lat", "lon")
     wanted = F.struct(F.col("threshold"), F.col("horizon")).isin(*[
         F.struct(F.lit(float(m)).alias("threshold"), F.lit(int(t)).alias("horizon")) for m, t in scenarios

@@ -10,23 +10,24 @@ from ..functions.numeric import round_half_even
 from ..functions.style import magnitude_hex, tick_height
 
 
-def stats_columns(digits: int = 4):
+def stats_columns(digits: int = 4, mag: str = "magnitude", depth: str = "depth_km"):
     """count, max magnitude, mean magnitude, mean depth (null when there are no rows)."""
     return [
         F.count(F.lit(1)).alias("n"),
-        F.max(F.col("magnitude").cast("double")).alias("max_magnitude"),
-        round_half_even(F.avg(F.col("magnitude").cast("double")), digits).alias("avg_magnitude"),
-        round_half_even(F.avg(F.col("depth_km").cast("double")), digits).alias("avg_depth_km"),
+        F.max(F.col(mag).cast("double")).alias("max_magnitude"),
+        round_half_even(F.avg(F.col(mag).cast("double")), digits).alias("avg_magnitude"),
+        round_half_even(F.avg(F.col(depth).cast("double")), digits).alias("avg_depth_km"),
     ]
 
 
-def window_stats(rows: DataFrame, digits: int = 4) -> DataFrame:
+def window_stats(rows: DataFrame, digits: int = 4, mag: str = "magnitude", depth: str = "depth_km") -> DataFrame:
     """One-row global aggregate (partial per task, final merge of one row per task).
 
     Over web rows depth is already 0 for missing values, as the viewer sees it;
-    over raw points (the regional page) pass the raw rows.
+    the regional page's statistics run over its raw, unfiltered points
+    (``window_stats(points, mag="mag", depth="depth")``).
     """
-    return rows.agg(*stats_columns(digits))
+    return rows.agg(*stats_columns(digits, mag, depth))
 
 
 def yearly_counts(df: DataFrame) -> DataFrame:

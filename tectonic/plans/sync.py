@@ -53,13 +53,13 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> list[int]:
     archive = pq.read_catalog(spark, path)
     inc = incoming.withColumn("year", year_of("time"))
     old_years = archive.join(inc.select("id").distinct(), "id", "left_semi").select("year")
-    touched = sorted(set(_years(inc)) | set(_years(old_years)))
+    touched = _years(inc.select("year").unionByName(old_years))
     if not touched:
         return []
     affected = archive.filter(F.col("year").isin(touched))
     merged = compact(affected, inc.drop("year"))
     stage = scratch_path(spark, f"upsert-{uuid.uuid4().hex}")
-    merged.write.mode("overwrite").partitionBy("year").parquet(stage)
+    merged.write.mode("overwrite").parquet(stage)
     staged = spark.read.parquet(stage)
     present = set(_years(staged))
     pq.write_catalog(staged, path)
@@ -83,6 +83,18 @@ def land_raw_days(spark: SparkSession, raw: DataFrame, path: str, days: list[dat
     pq.land_daily(core, path, spark.createDataFrame([(d,) for d in days], "land_date date"))
 
 
+def append_day(spark: SparkSession, raw: DataFrame, path: str, day, min_mag: float = 2.5,
+               overwrite: bool = False) -> bool:
+    """Land one day of raw rows; skip a day already landed unless ``overwrite``. Returns whether it ran."""
+    d = day if isinstance(day, date) else date.fromisoformat(str(day))
+    if not overwrite:
+        landed = pq.read_landed_days(spark, path).filter(F.col("land_date") == F.lit(d.isoformat()).cast("date"))
+        if landed.take(1):
+            return False
+    land_raw_days(spark, raw, path, [d], min_mag)
+    return True
+
+
 def sync(
     spark: SparkSession,
     raw_path: str,

@@ -67,3 +67,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def spread_small_input(df, key: str):
+    """Hash-spread a scan that yields fewer partitions than the cores.
+
+    A cluster-sized input already arrives in thousands of splits and is left
+    alone (no extra shuffle); a small file that is a single row group would
+    otherwise run every narrow step in one task.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df

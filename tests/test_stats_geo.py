@@ -127,3 +127,35 @@ def test_significant_ties_keep_time_order(spark):
     df = core_df(spark, [("b", 2, 0.0, 0.0, 1.0, 5.0), ("a", 1, 0.0, 0.0, 1.0, 5.0), ("c", 3, 0.0, 0.0, 1.0, 6.0),
                          ("d", 0, 0.0, 0.0, 1.0, 2.9)])
     assert [r["id"] for r in topk.significant(df, 3.0, 12).collect()] == ["c", "a", "b"]
+
+
+def test_regional_stats_over_raw_points(spark, tmp_path):
+    p = tmp_path / "fc.json"
+    p.write_text('{"features":[{"geometry":{"coordinates":[-117,35,5]},"properties":{"mag":null,"time":2}},'
+                 '{"geometry":{"coordinates":[-118,36,7]},"properties":{"mag":3.0,"time":1}}]}')
+    r = stats.window_stats(geojson.read_geojson_points(spark, str(p)), mag="mag", depth="depth").collect()[0]
+    assert (r["n"], r["max_magnitude"], r["avg_magnitude"], r["avg_depth_km"]) == (2, 3.0, 1.5, 6.0)
+
+
+def test_view_progress(spark):
+    start, length = style.view_bounds("recent", 10 * 31_557_600_000)
+    df = spark.createDataFrame([(start - 5,), (start + length // 2,), (start + 2 * length,)], "w long")
+    assert [r[0] for r in df.select(style.view_progress("w", start, length)).collect()] == [0.0, 0.5, 1.0]
+
+
+def test_append_day_skips_landed(spark, tmp_path):
+    from tectonic.plans import sync as sync_plan
+    from tectonic.sources import csv as csv_src
+    from tectonic.sources import parquet as pq
+    from tectonic.sources.fixture import load_catalog
+    from conftest import SF0001
+
+    raw_path = str(tmp_path / "raw")
+    csv_src.write_event_csv(csv_src.raw_text_from_catalog(load_catalog(spark, SF0001)), raw_path)
+    raw = csv_src.read_event_csv(spark, raw_path)
+    path = str(tmp_path / "cat")
+    assert sync_plan.append_day(spark, raw, path, "2024-01-05") is True
+    n = pq.read_landing(spark, path).count()
+    assert n > 0 and sync_plan.append_day(spark, raw, path, "2024-01-05") is False
+    assert sync_plan.append_day(spark, raw, path, "2024-01-05", overwrite=True) is True
+    assert pq.read_landing(spark, path).count() == n
