@@ -37,12 +37,12 @@ def yearly_counts(df: DataFrame) -> DataFrame:
 def timeline_ticks(df: DataFrame, digits: int = 6) -> DataFrame:
     """Tick per event: position ``(t - t0) / span * 100`` (span 0 counts as 1), height, colour.
 
-    ``t0``/``t1`` come from scalar subqueries (one tiny aggregate job, its value
-    inlined in the projection) rather than a join or an unpartitioned window.
+    ``t0``/``t1`` come from one scalar subquery (a partial/final aggregate whose
+    single row is inlined in the projection) rather than a join or an
+    unpartitioned window.
     """
-    bounds = df.agg(F.min("time").alias("t0"), F.max("time").alias("t1"))
-    t0 = bounds.select("t0").scalar()
-    t1 = bounds.select("t1").scalar()
+    bounds = df.agg(F.struct(F.min("time").alias("t0"), F.max("time").alias("t1")).alias("b")).scalar()
+    t0, t1 = bounds["t0"], bounds["t1"]
     span = F.when((t1 - t0) == 0, F.lit(1)).otherwise(t1 - t0).cast("double")
     pct = (F.col("time") - t0).cast("double") / span * F.lit(100.0)
     cols = [c for c in ("id", "time") if c in df.columns]
