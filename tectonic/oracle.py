@@ -365,3 +365,14 @@ agg AS (SELECT window_start, window_start + {_WD} AS window_end, count(*) AS n,
                round_even(avg(coalesce(CAST(depth_km AS DOUBLE), 0.0)), 4) AS avg_depth_km
         FROM win WHERE time >= window_start AND time < window_start + {_WD} GROUP BY 1)
 SELECT * FROM agg WHERE window_end <= (SELECT max(time) FROM catalog) - {_WL}"""
+
+
+# Registered outputs carry dates as ISO text (see ``suite.dates_as_text``).
+_DATE_COLUMNS = {k: ["land_date"] for k in (
+    "min_magnitude", "view_filter", "bbox", "event_range", "regional_filter", "trailing_days",
+    "today_events", "facing", "visible_recent", "significant", "playhead", "latest_by_id",
+    "read_landing", "missing_days", "land_daily")}
+_DATE_COLUMNS["plan_requests"] = ["start_day", "end_day"]
+for _k, _cols in _DATE_COLUMNS.items():
+    _rep = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _cols)
+    ORACLE[_k] = f"SELECT * REPLACE ({_rep}) FROM ({ORACLE[_k]})"

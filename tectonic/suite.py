@@ -28,9 +28,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def dates_as_text(df: DataFrame) -> DataFrame:
+    """Registered outputs carry dates as ISO text, so any client compares them the same way."""
+    dates = {f.name for f in df.schema.fields if f.dataType.typeName() == "date"}
+    if not dates:
+        return df
+    return df.select(*[F.col(c).cast("string").alias(c) if c in dates else F.col(c) for c in df.columns])
+
+
 def register(name: str):
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: dates_as_text(fn(spark, sf_dir))
         return fn
     return deco
 
