@@ -17,7 +17,12 @@ def _raw_files(spark, tmp_path, catalog):
 
 def test_stream_upsert_equals_batch_compact(spark, tmp_path):
     c = load_catalog(spark, SF0001)
-    raw = _raw_files(spark, tmp_path, c)
+    raw = str(tmp_path / "incoming")
+    text = csv_src.raw_text_from_catalog(c).persist()
+    days = sorted(r[0] for r in c.select("land_date").distinct().collect())
+    for d in days:   # files arrive day by day; each micro-batch takes one file, later batches win
+        (text.filter(F.col("land_date") == F.lit(d)).drop("land_date").coalesce(1)
+         .write.mode("append").option("header", "true").csv(raw))
     path = str(tmp_path / "cat")
     stream = live.live_stream(spark, raw, max_files_per_trigger=1)
     live.start_stream_upsert(stream, path, str(tmp_path / "ck"), available_now=True).awaitTermination()
