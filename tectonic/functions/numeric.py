@@ -42,10 +42,12 @@ def clamp(col, lo: float, hi: float) -> Column:
 
 
 def to_fixed(col, digits: int) -> Column:
-    """Number to text with ``digits`` decimals, ties away from zero on the double's value.
+    """Number to text with ``digits`` decimals, halves rounded away from zero (``toFixed``).
 
-    Built from integer arithmetic so every engine gives the same text
-    (``format_string`` rounds on the shortest decimal form instead).
+    Built from ``floor(|x| * 10^digits + 0.5)`` so every engine gives the same
+    text (``format_string`` rounds the shortest decimal form instead). The tie
+    is decided on the double product: a value within one ulp of a half may
+    round the other way than an exact-decimal rule would.
     """
     c = _c(col).cast("double")
     scale = 10 ** digits

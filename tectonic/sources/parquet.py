@@ -12,8 +12,6 @@ produces are replaced, and commit only when every task has finished.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,11 +141,3 @@ def drop_landing(spark: SparkSession, path: str, dates: list[str] | None = None)
     else:
         for d in dates:
             _delete(spark, _join(path, "landing", f"land_date={d}"))
-
-
-def local_dir(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def exists_local(path: str) -> bool:
-    return os.path.exists(local_dir(path))
