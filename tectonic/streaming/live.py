@@ -21,6 +21,20 @@ from ..sources.csv import RAW_TEXT_SCHEMA, apply_null_markers, normalize
 DEFAULT_TRIGGER = "60 seconds"
 
 
+def interval_text(ms: int | str) -> str:
+    """A span in ms as a Spark interval string, e.g. a quarter of ``YEAR_MS`` ->
+    ``91 days 7 hours 30 minutes`` (strings pass through unchanged)."""
+    if isinstance(ms, str):
+        return ms
+    rest, parts = int(ms), []
+    for unit, size in (("days", 86_400_000), ("hours", 3_600_000), ("minutes", 60_000),
+                       ("seconds", 1_000), ("milliseconds", 1)):
+        q, rest = divmod(rest, size)
+        if q:
+            parts.append(f"{q} {unit}")
+    return " ".join(parts) or "0 seconds"
+
+
 def live_stream(spark: SparkSession, landing_csv: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming frame of normalized events from CSV files dropped into ``landing_csv``."""
     ensure_utc(spark)
@@ -66,14 +80,19 @@ def start_stream_upsert(stream: DataFrame, path: str, checkpoint: str,
     return _trigger(w, available_now, interval).start()
 
 
-def stream_window_stats(stream: DataFrame, duration: str, step: str, lateness: str, digits: int = 4) -> DataFrame:
+def stream_window_stats(stream: DataFrame, duration, step, lateness, digits: int = 4) -> DataFrame:
     """Sliding-window statistics with a watermark: late rows beyond ``lateness`` leave the running
-    statistics (the batch ``window_series`` over the merged archive stays the reference)."""
+    statistics (the batch ``window_series`` over the merged archive stays the reference).
+
+    Spans are interval strings or ms (e.g. ``WINDOW_STEPS_MS["3 MO"]``). Each row
+    lands in ``duration / step`` windows, so keep that ratio small; long spans
+    with fine steps belong to the batch ``window_series``.
+    """
     ts = F.timestamp_millis("time")
     return (
         stream.withColumn("ts", ts)
-        .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", duration, step).alias("w"))
+        .withWatermark("ts", interval_text(lateness))
+        .groupBy(F.window("ts", interval_text(duration), interval_text(step)).alias("w"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.max(F.col("magnitude").cast("double")).alias("max_magnitude"),

@@ -64,3 +64,14 @@ def test_window_stats_stream_emits_closed_windows(spark, tmp_path):
     assert got.count() > 0 and got.filter(F.col("window_end") > wm).count() == 0
     total = got.filter(F.col("window_start") % (3 * 864_000_000) == 0).agg(F.sum("n")).collect()[0][0]
     assert total <= c.count()
+
+
+def test_interval_text_for_viewer_windows():
+    from tectonic.schema import WINDOW_STEPS_MS
+    got = {k: live.interval_text(v) for k, v in WINDOW_STEPS_MS.items()}
+    assert got == {
+        "1 MO": "30 days 10 hours 30 minutes", "3 MO": "91 days 7 hours 30 minutes",
+        "6 MO": "182 days 15 hours", "1 YR": "365 days 6 hours",
+        "5 YR": "1826 days 6 hours", "10 YR": "3652 days 12 hours",
+    }
+    assert live.interval_text("1 day") == "1 day"
