@@ -80,13 +80,16 @@ def write_catalog(df: DataFrame, path: str, partitions: int | None = None) -> No
 
     Range-partitioned on ``(year, time)``: a year holding a third of all rows is
     spread over many tasks, each writing a time-sorted file (tight row-group
-    statistics for time filters), instead of one task per year.
+    statistics for time filters), instead of one task per year. Without an
+    explicit ``partitions`` the range shuffle starts at
+    ``spark.sql.shuffle.partitions`` and AQE coalesces it to the advisory
+    partition size, so task size follows the data, not a constant.
     """
     if "year" not in df.columns:
         df = df.withColumn("year", year_of("time"))
     out = df.select(*CORE_COLUMNS, "year")
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = out.repartitionByRange(n, "year", "time").sortWithinPartitions("year", "time")
+    spread = out.repartitionByRange(partitions, "year", "time") if partitions else out.repartitionByRange("year", "time")
+    out = spread.sortWithinPartitions("year", "time")
     _dynamic_writer(out).partitionBy("year").parquet(_join(path, "archive"))
 
 
@@ -119,8 +122,7 @@ def land_daily(df: DataFrame, path: str, days: DataFrame | None = None) -> None:
     if "row_seq" not in df.columns:
         df = df.withColumn("row_seq", F.col("time"))
     rows = df.select(*CORE_COLUMNS, "land_date", "row_seq")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.repartitionByRange(n, "land_date", "row_seq").sortWithinPartitions("land_date", "row_seq")
+    spread = rows.repartitionByRange("land_date", "row_seq").sortWithinPartitions("land_date", "row_seq")
     _dynamic_writer(spread).partitionBy("land_date").parquet(_join(path, "landing"))
     counts = rows.groupBy("land_date").agg(F.count(F.lit(1)).alias("n"))
     if days is not None:

@@ -55,8 +55,7 @@ def write_web_json(rows: DataFrame, path: str) -> None:
     """
     if "year" not in rows.columns:
         rows = rows.withColumn("year", year_of("time"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "year", "time").sortWithinPartitions("year", "time")
+    ordered = rows.repartitionByRange("year", "time").sortWithinPartitions("year", "time")
     (web_json_lines(ordered).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year").text(path))
 
