@@ -57,13 +57,15 @@ def event_range(df: DataFrame, start_ms: int, end_ms: int, min_mag: float = 2.5)
 def view_filter(df: DataFrame, start_ms, duration_ms, min_mag: float, max_depth: float) -> DataFrame:
     """The viewer's window: ``start <= time < start + duration``, magnitude floor, depth ceiling.
 
-    Null depth counts as 0, as in the exported rows the viewer filters.
+    Null depth counts as 0, as in the exported rows the viewer filters; written
+    as ``depth IS NULL OR depth <= max`` so Parquet can evaluate it.
     """
     end_ms = start_ms + duration_ms
     out = time_between(df, start_ms, end_ms)
     out = min_magnitude(out, min_mag)
-    depth = F.coalesce(F.col("depth_km").cast("double"), F.lit(0.0))
-    return out.filter(depth <= F.lit(float(max_depth)))
+    depth = F.col("depth_km")
+    within = depth <= F.lit(float(max_depth))
+    return out.filter((depth.isNull() | within) if max_depth >= 0 else within)
 
 
 def bbox(df: DataFrame, min_lat: float, max_lat: float, min_lon: float, max_lon: float) -> DataFrame:

@@ -47,6 +47,8 @@ def test_year_pruning(spark, tmp_path):
     df = filters.view_filter(pq.read_catalog(spark, path), ny, 1000, 2.5, 700)
     plan = _plan(df)
     assert "PartitionFilters: [isnotnull(year" in plan and "(year#" in plan
+    for pushed in ("GreaterThanOrEqual(time,", "LessThan(time,", "GreaterThanOrEqual(magnitude,", "Or(IsNull(depth_km)"):
+        assert pushed in plan, pushed
     assert [r["id"] for r in df.collect()] == ["b"]
 
 
