@@ -476,10 +476,22 @@ def q_read_hazard(spark, sf_dir):
     return hazard_io.read_hazard(spark, path)
 
 
+_RAW_CSV: dict = {}
+
+
 def _raw_csv(spark, sf_dir, by_day=True):
-    path = _scratch(spark, "raw")
-    c = load_catalog(spark, sf_dir)
-    csv_src.write_event_csv(csv_src.raw_text_from_catalog(c), path, by_day=by_day)
+    """The landed CSV input rendered from ``events`` (the catalog service's files).
+
+    It is input data, not operator work, so it is rendered once per process and
+    table folder and reused while it exists.
+    """
+    key = (sf_dir, by_day)
+    path = _RAW_CSV.get(key)
+    if path is None or not pq._has_data(spark, path):
+        path = _scratch(spark, "raw")
+        c = load_catalog(spark, sf_dir)
+        csv_src.write_event_csv(csv_src.raw_text_from_catalog(c), path, by_day=by_day)
+        _RAW_CSV[key] = path
     return path
 
 
