@@ -84,6 +84,10 @@ def stream_window_stats(stream: DataFrame, duration, step, lateness, digits: int
     """Sliding-window statistics with a watermark: late rows beyond ``lateness`` leave the running
     statistics (the batch ``window_series`` over the merged archive stays the reference).
 
+    A late row is dropped once the watermark of an earlier batch has passed it;
+    within the batch that moves the watermark Spark may still count it (its
+    late-row filter uses the previous batch's watermark).
+
     Spans are interval strings or ms (e.g. ``WINDOW_STEPS_MS["3 MO"]``). Each row
     lands in ``duration / step`` windows, so keep that ratio small; long spans
     with fine steps belong to the batch ``window_series``.

@@ -75,3 +75,25 @@ def test_interval_text_for_viewer_windows():
         "5 YR": "1826 days 6 hours", "10 YR": "3652 days 12 hours",
     }
     assert live.interval_text("1 day") == "1 day"
+
+
+def test_window_stats_drop_rows_behind_the_watermark(spark, tmp_path):
+    from conftest import core_df
+
+    day = 86_400_000
+    raw = str(tmp_path / "in")
+    batches = [
+        [("a", 100 * day, 1.0, 1.0, 1.0, 5.0), ("b", 130 * day, 1.0, 1.0, 1.0, 5.0)],
+        [("b2", 131 * day, 1.0, 1.0, 1.0, 5.0)],              # watermark is now 129 days
+        [("late", 101 * day, 1.0, 1.0, 1.0, 9.0)],            # behind it, and its window already closed
+        [("c", 200 * day, 1.0, 1.0, 1.0, 5.0)],
+    ]
+    for rows_ in batches:
+        text = csv_src.raw_text_from_catalog(core_df(spark, rows_))
+        text.coalesce(1).write.mode("append").option("header", "true").csv(raw)
+    out = str(tmp_path / "w")
+    s = live.stream_window_stats(live.live_stream(spark, raw, max_files_per_trigger=1), "10 days", "10 days", "1 day")
+    live.start_window_stats(s, out, str(tmp_path / "ck"), available_now=True).awaitTermination()
+    got = {r["window_start"] // day: (r["n"], r["max_magnitude"]) for r in spark.read.parquet(out).collect()}
+    assert got[100] == (1, 5.0)          # the late 9.0 never entered its window
+    assert got[130] == (2, 5.0) and 200 not in got   # the last window is still open
