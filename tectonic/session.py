@@ -74,8 +74,11 @@ def spread_small_input(df, key: str):
 
     A cluster-sized input already arrives in thousands of splits and is left
     alone (no extra shuffle); a small file that is a single row group would
-    otherwise run every narrow step in one task.
+    otherwise run every narrow step in one task. Session conf
+    ``tectonic.spreadSmallInput=false`` turns it off.
     """
+    if df.sparkSession.conf.get("tectonic.spreadSmallInput", "true").lower() == "false":
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target, key)
