@@ -6,6 +6,8 @@ aliases every computed column with the Spark query's name.
 
 from __future__ import annotations
 
+from .functions.style import HEAT_STOPS, MAGNITUDE_CLASSES
+from .operators.series import frame_count
 from .sources.fixture import CATALOG_SQL
 
 CTE = f"WITH catalog AS ({CATALOG_SQL})"
@@ -156,7 +158,6 @@ SELECT CAST(level AS INTEGER) AS level, CAST(idx AS BIGINT) AS idx,
 
 # ---- phase 4 ----------------------------------------------------------------------
 
-from .functions.style import HEAT_STOPS, MAGNITUDE_CLASSES  # noqa: E402
 
 
 def _d(x: float) -> str:
@@ -306,7 +307,6 @@ ORACLE["date_label"] = f"""{CTE} SELECT id, time, strftime(make_timestamp(time *
 
 # ---- phase 5 ----------------------------------------------------------------------
 
-from .operators.series import frame_count  # noqa: E402
 
 _SS, _SE, _SD, _ST = 631152000000, 1717200000000, 31557600000, 31557600000 // 4
 _K = frame_count(_SS, _SE, _SD, _ST)

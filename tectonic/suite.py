@@ -7,14 +7,26 @@ reference takes from the clock (now, the current year) are fixed here.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import dedupe, filters, hazard
+from .functions import geo as geo_fn
+from .functions import labels as label_fn
+from .functions import style as style_fn
+from .functions.numeric import round_half_even as rnd
+from .operators import dedupe, filters, hazard, nearest, series, stats, topk
+from .plans import calendar, splits
+from .plans import sync as sync_plan
+from .schema import YEAR_MS
+from .session import scratch_path
 from .sources import csv as csv_src
+from .sources import geojson, hazard_io, views, web
+from .sources import parquet as pq
 from .sources.fixture import load_catalog
+from .streaming import live
 
 # Fixed query parameters (the reference reads these from the clock or the UI).
 AS_OF_YEAR = 2026
@@ -73,9 +85,6 @@ def q_hazard_raster(spark, sf_dir):
 
 # ---- phase 2: filters, stats, top-k, SQL ------------------------------------------
 
-from .operators import stats, topk  # noqa: E402
-from .sources import views  # noqa: E402
-from .sources import web  # noqa: E402
 
 SPLIT_LAND_DATE = "2024-01-15"   # rows landed before it form the archive, the rest the landing area
 
@@ -190,7 +199,6 @@ for _k, _t in SQL_TEXT.items():
 
 # ---- phase 3: dedupe and request planning ----------------------------------------
 
-from .plans import calendar, splits  # noqa: E402
 
 PLAN_START, PLAN_THROUGH = "2023-12-25", "2024-02-05"
 SPLIT_START_MS, SPLIT_END_MS = 473_385_600_000, 1_735_689_600_000   # 1985-01-01 .. 2025-01-01
@@ -247,11 +255,6 @@ def q_size_bounded_splits(spark, sf_dir):
 
 # ---- phase 4: exports, geometry, display scalars ---------------------------------
 
-from .functions import geo as geo_fn  # noqa: E402
-from .functions import labels as label_fn  # noqa: E402
-from .functions import style as style_fn  # noqa: E402
-from .functions.numeric import round_half_even as rnd  # noqa: E402
-from .sources import geojson  # noqa: E402
 
 CANVAS_HEIGHT = 800.0
 
@@ -396,8 +399,6 @@ def q_date_label(spark, sf_dir):
 
 # ---- phase 5: moving windows and nearest lookup ------------------------------------
 
-from .operators import nearest, series  # noqa: E402
-from .schema import YEAR_MS  # noqa: E402
 
 SERIES_START_MS = 631_152_000_000        # 1990-01-01
 SERIES_END_MS = 1_717_200_000_000        # 2024-06-01 (data end)
@@ -416,8 +417,7 @@ def probe_points(catalog):
     locs = catalog.select("lat", "lon").distinct()
     plat = F.col("lat").cast("double") - F.lit(0.6)
     plon = F.col("lon").cast("double") + F.lit(0.5) + F.pmod(F.col("lat").cast("double"), F.lit(3.0)) * F.lit(0.4)
-    from .functions.geo import project_box
-    px, py = project_box(plat, plon, WORLD, WORLD_W, WORLD_H)
+    px, py = geo_fn.project_box(plat, plon, WORLD, WORLD_W, WORLD_H)
     return locs.select(px.alias("px"), py.alias("py"))
 
 
@@ -431,13 +431,7 @@ def q_nearest_event(spark, sf_dir):
 # These write to a fresh folder under the shared checkpoint location and return
 # what Spark reads back, so the check covers the sink and the scan together.
 
-import uuid  # noqa: E402
 
-from .plans import sync as sync_plan  # noqa: E402
-from .session import scratch_path  # noqa: E402
-from .sources import hazard_io  # noqa: E402
-from .sources import parquet as pq  # noqa: E402
-from .streaming import live  # noqa: E402
 
 STREAM_WINDOW = ("30 days", "10 days", "1 day")
 
