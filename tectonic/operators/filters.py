@@ -101,6 +101,22 @@ def today_events(df: DataFrame, now_ms: int) -> DataFrame:
     return time_between(df, utc_midnight(now_ms), now_ms)
 
 
+def unlanded_events(df: DataFrame, landed_days: DataFrame, now_ms: int, since_ms: int | None = None) -> DataFrame:
+    """Live layer without the gap: events before ``now`` whose UTC day has not landed yet.
+
+    Between midnight and the nightly sync yesterday is in neither the archive nor
+    today's feed; keeping every unlanded day closes that gap. ``landed_days`` has
+    one row per landed date (calendar-sized), so it is restricted to the span
+    and broadcast; ``since_ms`` bounds how far back the live layer reaches.
+    """
+    out = df.filter(F.col("time") < F.lit(int(now_ms)))
+    if since_ms is not None:
+        out = out.filter(F.col("time") >= F.lit(int(since_ms)))
+    day = F.to_date(F.timestamp_millis("time"))
+    have = landed_days.select(F.col("land_date").alias("_day")).distinct()
+    return out.join(F.broadcast(have), day == F.col("_day"), "left_anti")
+
+
 def facing(df: DataFrame, camera: tuple[float, float, float] = DEFAULT_CAMERA) -> DataFrame:
     """Events on the camera's half of the globe."""
     return df.filter(facing_expr("lat", "lon", camera))

@@ -128,6 +128,11 @@ ORACLE["with_live"] = f"""{CTE}
 {WEB6} FROM catalog WHERE time >= 1704067200000 AND time < 1714521600000 AND magnitude >= CAST(2.5 AS FLOAT)
 UNION ALL
 {WEB6} FROM catalog WHERE time >= 1714521600000 AND time < 1714586400000 AND magnitude >= CAST(2.5 AS FLOAT)"""
+ORACLE["unlanded_events"] = f"""{CTE},
+landed AS (SELECT DISTINCT CAST(make_timestamp(time * 1000) AS DATE) AS d FROM catalog WHERE time < 1714003200000)
+SELECT id, time, lat, lon, depth_km, magnitude, mag_type, place FROM catalog
+WHERE time < 1714586400000 AND time >= 1704067200000
+  AND CAST(make_timestamp(time * 1000) AS DATE) NOT IN (SELECT d FROM landed)"""
 ORACLE["missing_years"] = f"""{CTE} SELECT CAST(range AS INTEGER) AS year FROM range(1900, 2026)
   WHERE range NOT IN (SELECT DISTINCT year(make_timestamp(time * 1000)) FROM catalog WHERE time IS NOT NULL)"""
 _DAYS = """days AS (SELECT CAST(d AS DATE) AS land_date FROM generate_series(DATE '2023-12-25', DATE '2024-02-05', INTERVAL 1 DAY) t(d)),

@@ -201,6 +201,8 @@ for _k, _t in SQL_TEXT.items():
 
 
 PLAN_START, PLAN_THROUGH = "2023-12-25", "2024-02-05"
+LANDED_UNTIL_MS = 1_714_003_200_000   # 2024-04-25T00:00:00Z
+CORE = ["id", "time", "lat", "lon", "depth_km", "magnitude", "mag_type", "place"]
 SPLIT_START_MS, SPLIT_END_MS = 473_385_600_000, 1_735_689_600_000   # 1985-01-01 .. 2025-01-01
 SPLIT_MAX_ROWS = 1000
 
@@ -231,6 +233,15 @@ def q_with_live(spark, sf_dir):
     return dedupe.with_live(archive, live)
 
 
+@register("unlanded_events")
+def q_unlanded_events(spark, sf_dir):
+    # the archive holds every UTC day with an event before 2024-04-25; live is the rest up to now
+    c = load_catalog(spark, sf_dir)
+    landed = c.filter(F.col("time") < F.lit(LANDED_UNTIL_MS)).select(
+        F.to_date(F.timestamp_millis("time")).alias("land_date")).distinct()
+    return filters.unlanded_events(c, landed, NOW_MS, since_ms=1_704_067_200_000).select(*CORE)
+
+
 @register("missing_years")
 def q_missing_years(spark, sf_dir):
     return calendar.missing_years(load_catalog(spark, sf_dir), 1900, AS_OF_YEAR - 1)

@@ -70,3 +70,20 @@ def test_to_fixed_ties_away_from_zero(spark):
     assert got == ["13", "-1", "0", None]
     got1 = [r[1] for r in df.select(to_fixed("x", 0), to_fixed("x", 1)).collect()]
     assert got1 == ["12.5", "-1.3", "0.0", None]
+
+
+def test_unlanded_events_close_the_midnight_gap(spark):
+    import datetime as dt
+
+    day = 86_400_000
+    now = 19_001 * day + 30 * 60_000          # 00:30, the nightly sync has not run yet
+    df = core_df(spark, [
+        ("landed", 18_999 * day + 5, 0.0, 0.0, 1.0, 5.0),
+        ("yesterday", 19_000 * day + 5, 0.0, 0.0, 1.0, 5.0),
+        ("today", 19_001 * day + 5, 0.0, 0.0, 1.0, 5.0),
+        ("future", now + 5, 0.0, 0.0, 1.0, 5.0),
+    ])
+    landed = spark.createDataFrame([(dt.date(1970, 1, 1) + dt.timedelta(days=18_999), 1)], "land_date date, n long")
+    got = sorted(r["id"] for r in filters.unlanded_events(df, landed, now).collect())
+    assert got == ["today", "yesterday"]
+    assert [r["id"] for r in filters.today_events(df, now).collect()] == ["today"]
