@@ -8,7 +8,8 @@ not the job, and a re-run resumes from what has landed:
 2. land the raw rows of those days (``land_daily``), recording empty days too;
 3. ``upsert`` the landing area into the archive: only the years an incoming id
    touches (its old year and its new one) are rewritten;
-4. export web rows for those years.
+4. export web rows for those years;
+5. optionally refit the hazard grid from the merged archive.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 from ..functions.labels import year_of
 from ..operators.dedupe import compact
 from ..operators.filters import min_magnitude
+from ..operators.hazard import hazard_cells
 from ..session import ensure_utc, scratch_path
 from ..sources import parquet as pq
 from ..sources.csv import apply_null_markers, normalize, read_event_csv
+from ..sources.hazard_io import write_hazard
 from ..sources.web import web_rows, write_web_json
 from .calendar import missing_days
 
@@ -117,11 +120,15 @@ def sync(
     export_mag: float = 2.5,
     web_path: str | None = None,
     drop_landing: bool = True,
+    hazard_path: str | None = None,
+    as_of_year: int | None = None,
 ) -> dict:
     """Land every missing day in ``[start, through]`` from landed CSV, merge, export.
 
     ``raw_path`` holds the service's CSV files under ``land_date=YYYY-MM-DD``
-    folders. Returns a small summary (days landed, years rewritten).
+    folders. With ``hazard_path`` (and ``as_of_year``) the hazard grid is
+    refitted from the merged archive in the same job. Returns a small summary
+    (days landed, years rewritten).
     """
     ensure_utc(spark)
     landed = pq.read_landed_days(spark, path)
@@ -136,4 +143,8 @@ def sync(
     if web_path and touched:
         rows = web_rows(pq.read_catalog(spark, path, touched), export_mag, with_place=True, keep_year=True)
         write_web_json(rows, web_path)
+    if hazard_path and touched:
+        if as_of_year is None:
+            raise ValueError("as_of_year is required with hazard_path (no clock reads)")
+        write_hazard(hazard_cells(pq.read_catalog(spark, path), as_of_year), hazard_path)
     return {"days": [d.isoformat() for d in todo], "years": touched}

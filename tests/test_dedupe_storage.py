@@ -80,8 +80,13 @@ def test_sync_is_incremental_and_matches_batch(spark, tmp_path):
     raw = str(tmp_path / "raw")
     csv_src.write_event_csv(csv_src.raw_text_from_catalog(c), raw)
     path = str(tmp_path / "cat")
-    first = sync_plan.sync(spark, raw, path, "2024-01-01", "2024-01-10", web_path=str(tmp_path / "web"))
+    first = sync_plan.sync(spark, raw, path, "2024-01-01", "2024-01-10", web_path=str(tmp_path / "web"),
+                           hazard_path=str(tmp_path / "hz"), as_of_year=2026)
     assert len(first["days"]) == 10
+    from tectonic.operators import hazard
+    from tectonic.sources import hazard_io
+    assert rows(hazard_io.read_hazard(spark, str(tmp_path / "hz"))) == rows(
+        hazard.hazard_cells(pq.read_catalog(spark, path), 2026))
     second = sync_plan.sync(spark, raw, path, "2024-01-01", "2024-02-02", web_path=str(tmp_path / "web"))
     assert second["days"][0] == "2024-01-11" and len(second["days"]) == 23
     third = sync_plan.sync(spark, raw, path, "2024-01-01", "2024-02-02")
