@@ -7,8 +7,9 @@ key (``id``) so results repeat run to run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import DEFAULT_CAMERA
 from .filters import facing
@@ -45,16 +46,16 @@ def playhead(df: DataFrame, k: int) -> DataFrame:
 def freshness(df: DataFrame, span: int = FRESHNESS_SPAN) -> DataFrame:
     """``max(0, 1 - age/span)`` with age 1 for the newest event, 2 for the next...
 
-    Only the newest ``span - 1`` rows are non-zero. The cut-off key is a scalar
-    subquery over a TakeOrderedAndProject; ranks are computed only on the rows
-    at or above it (at most ``span - 1`` of them), everything else gets 0 in a
-    plain projection: no join and no window over the whole table.
+    Only the newest ``span - 1`` rows are non-zero. Their keys ``(time, id)``
+    come from one scalar subquery (a TakeOrderedAndProject, then at most
+    ``span - 1`` keys gathered newest first); every row then finds its age by
+    position in that small array in a single projection pass: no join, no
+    union and no window over the table.
     """
     key = F.struct(F.col("time"), F.col("id"))
     top = df.select(key.alias("k")).orderBy(F.col("k").desc()).limit(span - 1)
-    cutoff = top.agg(F.min("k")).scalar()
-    fresh = df.filter(key >= cutoff)
-    rank = F.row_number().over(Window.orderBy(F.col("time").desc(), F.col("id").desc()))
-    head = fresh.select("id", "time", (F.lit(1.0) - rank.cast("double") / F.lit(float(span))).alias("freshness"))
-    rest = df.filter(~(key >= cutoff) | cutoff.isNull()).select("id", "time", F.lit(0.0).alias("freshness"))
-    return head.unionByName(rest)
+    newest = top.agg(F.sort_array(F.collect_list("k"), asc=False).alias("ks")).scalar()
+    empty = F.array().cast(T.ArrayType(df.select(key.alias("k")).schema["k"].dataType))
+    age = F.array_position(F.coalesce(newest, empty), key)
+    fresh = F.when(age > 0, F.lit(1.0) - age.cast("double") / F.lit(float(span))).otherwise(F.lit(0.0))
+    return df.select("id", "time", fresh.alias("freshness"))
