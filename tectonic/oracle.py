@@ -357,6 +357,7 @@ alld AS (SELECT land_date FROM days UNION SELECT land_date FROM counts)
 SELECT a.land_date, coalesce(c.n, 0) AS n FROM alld a LEFT JOIN counts c ON a.land_date = c.land_date"""
 ORACLE["read_landing"] = f"{CTE} SELECT * FROM catalog"
 ORACLE["read_hazard"] = ORACLE["hazard_cells"]
+ORACLE["hazard_document"] = ORACLE["hazard_cells"]
 ORACLE["sync"] = ORACLE["compact"]
 ORACLE["live_stream"] = ORACLE["normalize"]
 ORACLE["stream_upsert"] = ORACLE["compact"]

@@ -484,6 +484,13 @@ def q_read_hazard(spark, sf_dir):
 _RAW_CSV: dict = {}
 
 
+@register("hazard_document")
+def q_hazard_document(spark, sf_dir):
+    path = _scratch(spark, "hazard-doc")
+    hazard_io.write_hazard_document(_cells(spark, sf_dir), path)
+    return hazard_io.read_hazard_document(spark, path)
+
+
 def _raw_csv(spark, sf_dir, by_day=True):
     """The landed CSV input rendered from ``events`` (the catalog service's files).
 

@@ -9,7 +9,7 @@ from tectonic.operators import filters
 from tectonic.sources import parquet as pq
 from tectonic.suite import QUERIES
 
-STORAGE = {"write_catalog", "land_daily", "read_landing", "read_hazard", "sync", "live_stream",
+STORAGE = {"write_catalog", "land_daily", "read_landing", "read_hazard", "hazard_document", "sync", "live_stream",
            "stream_upsert", "stream_window_stats"}
 
 

@@ -78,3 +78,14 @@ def test_views_without_landing(spark, tmp_path):
     pq.write_catalog(core_df(spark, [("a", NY, 1.0, 1.0, 1.0, 8.5)]), path)
     got = views.query(spark, path, "SELECT * FROM events WHERE magnitude >= 8.0 ORDER BY magnitude DESC LIMIT 20")
     assert got.columns == CORE_COLUMNS and got.count() == 1
+
+
+def test_hazard_document_round_trip(spark, tmp_path):
+    cells = hazard.hazard_cells(load_catalog(spark, SF0001), 2026)
+    doc = hazard_io.hazard_document(cells).collect()[0][0]
+    parsed = json.loads(doc)
+    assert parsed["mc"] == 4.5 and parsed["catalog_years"] == 36
+    assert len(parsed["cells"]) == cells.count() and all(len(c) == 5 and isinstance(c[4], int) for c in parsed["cells"])
+    hazard_io.write_hazard_document(cells, str(tmp_path / "hz"))
+    back = hazard_io.read_hazard_document(spark, str(tmp_path / "hz"))
+    assert rows(back) == rows(cells)

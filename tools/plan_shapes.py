@@ -14,7 +14,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-STORAGE = {"write_catalog", "land_daily", "read_landing", "read_hazard", "sync", "live_stream",
+STORAGE = {"write_catalog", "land_daily", "read_landing", "read_hazard", "hazard_document", "sync", "live_stream",
            "stream_upsert", "stream_window_stats"}
 
 
