@@ -9,8 +9,9 @@ Plan: events are first reduced per ``(x, y, reach)`` to their earliest
 one candidate); each candidate is exploded to the grid cells its reach box
 covers; probes map to one cell; an equi-join on the cell plus a residual
 distance test yields candidate pairs, and ``min`` of ``(distance, time, id)``
-per probe picks the winner (again partial-aggregated). No cross join and no
-all-pairs step: a pair exists only where the probe's cell lies in the reach box.
+per probe picks the winner (again partial-aggregated; probes with nothing in
+reach enter it with a null candidate). No cross join and no all-pairs step: a
+pair exists only where the probe's cell lies in the reach box.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def nearest_event(
     cell_px: float = 32.0,
     digits: int = 6,
 ) -> DataFrame:
-    """For each probe (pixel columns ``px``, ``py``): nearest event ``id``, ``time``, ``dist`` or nulls."""
+    """For each distinct probe key (pixel columns ``px``, ``py``): nearest event ``id``, ``time``, ``dist`` or nulls."""
     keys = probe_keys or ["px", "py"]
     cands = (
         event_pixels(events, bounds, width, height)
@@ -64,7 +65,10 @@ def nearest_event(
         p.join(cells, ["cx", "cy"])
         .select(*keys, dist.alias("d"), "reach", "first")
         .filter(F.col("d") < F.col("reach"))
+        .select(*keys, F.struct("d", F.col("first.time").alias("time"), F.col("first.id").alias("id")).alias("c"))
     )
-    best = pairs.groupBy(*keys).agg(F.min(F.struct("d", F.col("first.time").alias("time"), F.col("first.id").alias("id"))).alias("b"))
-    out = probes.select(*keys).join(best, keys, "left")
-    return out.select(*keys, F.col("b.id").alias("id"), F.col("b.time").alias("time"), round_half_even("b.d", digits).alias("dist"))
+    # every probe also enters the aggregate with a null candidate, so a probe
+    # with nothing in reach keeps its row (min skips nulls) without a join
+    none = probes.select(*keys, F.lit(None).cast(pairs.schema["c"].dataType).alias("c"))
+    best = pairs.unionByName(none).groupBy(*keys).agg(F.min("c").alias("b"))
+    return best.select(*keys, F.col("b.id").alias("id"), F.col("b.time").alias("time"), round_half_even("b.d", digits).alias("dist"))
