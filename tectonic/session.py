@@ -80,6 +80,14 @@ def spread_small_input(df, key: str):
     if df.sparkSession.conf.get("tectonic.spreadSmallInput", "true").lower() == "false":
         return df
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    files = tuple(df.inputFiles())
+    splits = _SPLITS.get(files)
+    if splits is None:
+        splits = _SPLITS[files] = df.rdd.getNumPartitions()
+    if splits < target:
         return df.repartition(target, key)
     return df
+
+
+# scan split counts by input file set (files are immutable inputs; planning them once is enough)
+_SPLITS: dict = {}
