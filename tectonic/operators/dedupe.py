@@ -47,15 +47,18 @@ def latest_by_id(df: DataFrame, order_by: list[str] | None = None, key: str = "i
     return merged.select(key, "_latest.*").select(*cols)
 
 
-def compact(archive: DataFrame, landing: DataFrame) -> DataFrame:
+def compact(archive: DataFrame, landing: DataFrame | None = None) -> DataFrame:
     """Archive + landed rows, latest version per id, with ``year`` derived from ``time``.
 
     The year comes from the event's own time, so a revision that moves an event
-    across New Year leaves exactly one copy, in its new year.
+    across New Year leaves exactly one copy, in its new year. Without
+    ``landing`` the archive rows alone are merged (a first build).
     """
-    parts = _with_rank(archive.select(*[c for c in archive.columns if c in CORE_COLUMNS + ["land_date", "row_seq"]]), 0)
-    news = _with_rank(landing.select(*[c for c in landing.columns if c in CORE_COLUMNS + ["land_date", "row_seq"]]), 1)
-    union = parts.unionByName(news, allowMissingColumns=True)
+    keep = CORE_COLUMNS + ["land_date", "row_seq"]
+    union = _with_rank(archive.select(*[c for c in archive.columns if c in keep]), 0)
+    if landing is not None:
+        news = _with_rank(landing.select(*[c for c in landing.columns if c in keep]), 1)
+        union = union.unionByName(news, allowMissingColumns=True)
     ranked = union.select(*CORE_COLUMNS, *[c for c in RANK_COLUMNS if c not in CORE_COLUMNS])
     latest = latest_by_id(ranked, order_by=RANK_COLUMNS)
     return latest.select(*CORE_COLUMNS).withColumn("year", year_of("time"))

@@ -173,7 +173,7 @@ def q_timeline_ticks(spark, sf_dir):
 def _register_catalog_views(spark, sf_dir):
     c = load_catalog(spark, sf_dir)
     early = F.col("land_date") < F.lit(SPLIT_LAND_DATE).cast("date")
-    archive = dedupe.compact(c.filter(early), c.limit(0))
+    archive = dedupe.compact(c.filter(early))
     views.register_frames(spark, archive, c.filter(~early))
 
 
@@ -210,7 +210,7 @@ SPLIT_MAX_ROWS = 1000
 def _archive_and_landing(spark, sf_dir):
     c = load_catalog(spark, sf_dir)
     early = F.col("land_date") < F.lit(SPLIT_LAND_DATE).cast("date")
-    return dedupe.compact(c.filter(early), c.limit(0)), c.filter(~early)
+    return dedupe.compact(c.filter(early)), c.filter(~early)
 
 
 @register("latest_by_id")

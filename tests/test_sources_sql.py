@@ -64,7 +64,7 @@ def test_hazard_round_trip(spark, tmp_path):
 def test_query_over_stored_catalog(spark, tmp_path):
     path = str(tmp_path / "cat")
     c = load_catalog(spark, SF0001)
-    pq.write_catalog(dedupe.compact(c.filter(F.col("land_date") < "2024-01-15"), c.limit(0)), path)
+    pq.write_catalog(dedupe.compact(c.filter(F.col("land_date") < "2024-01-15")), path)
     pq.land_daily(c.filter(F.col("land_date") >= "2024-01-15"), path)
     n = views.query(spark, path, "SELECT COUNT(*) AS n FROM events").collect()[0]["n"]
     assert n == 900
