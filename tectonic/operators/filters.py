@@ -50,8 +50,13 @@ def time_between(df: DataFrame, start_ms, end_ms) -> DataFrame:
 
 
 def event_range(df: DataFrame, start_ms: int, end_ms: int, min_mag: float = 2.5) -> DataFrame:
-    """A range request: ``[start, end)``, magnitude floor, time ascending."""
-    return min_magnitude(time_between(df, start_ms, end_ms), min_mag).orderBy("time")
+    """A range request: ``[start, end)``, magnitude floor, time ascending (ties by id).
+
+    The global sort range-partitions on ``(time, id)``, so rows sharing one
+    millisecond do not all land in one task.
+    """
+    ordered = ["time", "id"] if "id" in df.columns else ["time"]
+    return min_magnitude(time_between(df, start_ms, end_ms), min_mag).orderBy(*ordered)
 
 
 def view_filter(df: DataFrame, start_ms, duration_ms, min_mag: float, max_depth: float) -> DataFrame:

@@ -80,7 +80,8 @@ def write_catalog(df: DataFrame, path: str, partitions: int | None = None) -> No
 
     Range-partitioned on ``(year, time)``: a year holding a third of all rows is
     spread over many tasks, each writing a time-sorted file (tight row-group
-    statistics for time filters), instead of one task per year. Without an
+    statistics for time filters), instead of one task per year; ``id`` breaks
+    ties so a single hot millisecond spreads too. Without an
     explicit ``partitions`` the range shuffle starts at
     ``spark.sql.shuffle.partitions`` and AQE coalesces it to the advisory
     partition size, so task size follows the data, not a constant.
@@ -88,8 +89,10 @@ def write_catalog(df: DataFrame, path: str, partitions: int | None = None) -> No
     if "year" not in df.columns:
         df = df.withColumn("year", year_of("time"))
     out = df.select(*CORE_COLUMNS, "year")
-    spread = out.repartitionByRange(partitions, "year", "time") if partitions else out.repartitionByRange("year", "time")
-    out = spread.sortWithinPartitions("year", "time")
+    # id breaks ties so even one hot millisecond spreads over tasks
+    keys = ["year", "time", "id"]
+    spread = out.repartitionByRange(partitions, *keys) if partitions else out.repartitionByRange(*keys)
+    out = spread.sortWithinPartitions(*keys)
     _dynamic_writer(out).partitionBy("year").parquet(_join(path, "archive"))
 
 
@@ -122,7 +125,8 @@ def land_daily(df: DataFrame, path: str, days: DataFrame | None = None) -> None:
     if "row_seq" not in df.columns:
         df = df.withColumn("row_seq", F.col("time"))
     rows = df.select(*CORE_COLUMNS, "land_date", "row_seq")
-    spread = rows.repartitionByRange("land_date", "row_seq").sortWithinPartitions("land_date", "row_seq")
+    keys = ["land_date", "row_seq", "id"]
+    spread = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     _dynamic_writer(spread).partitionBy("land_date").parquet(_join(path, "landing"))
     counts = rows.groupBy("land_date").agg(F.count(F.lit(1)).alias("n"))
     if days is not None:

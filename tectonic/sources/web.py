@@ -55,7 +55,8 @@ def write_web_json(rows: DataFrame, path: str) -> None:
     """
     if "year" not in rows.columns:
         rows = rows.withColumn("year", year_of("time"))
-    ordered = rows.repartitionByRange("year", "time").sortWithinPartitions("year", "time")
+    tie = F.xxhash64(*[F.col(c) for c in rows.columns]).alias("_tie")   # spreads a hot millisecond
+    ordered = rows.repartitionByRange("year", "time", tie).sortWithinPartitions("year", "time")
     (web_json_lines(ordered).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("year").text(path))
 
