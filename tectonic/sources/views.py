@@ -41,6 +41,6 @@ def register_views(spark: SparkSession, path: str, name: str = "events") -> None
 
 
 def query(spark: SparkSession, path: str, sql: str) -> DataFrame:
-    """``sp-query``: run SQL over the stored catalog (lazy; Catalyst plans it)."""
+    """Ad-hoc SQL over the stored catalog (lazy; Catalyst plans it)."""
     register_views(spark, path)
     return spark.sql(sql)
