@@ -72,16 +72,27 @@ def plan_requests(landed_days: DataFrame, start, through, refresh_days: list | N
 
     Output ``start_day``, ``end_day`` (inclusive), ``n_days``, and the half-open
     request bounds ``start_ms`` / ``end_ms`` (midnight to midnight). The first run
-    is one bulk range; later runs one range per gap. Islands are keyed by
-    ``date_sub(day, row_number)``; the ordering pass covers a calendar whose
-    length is a parameter (checked against ``MAX_PLAN_DAYS``), never the data.
+    is one bulk range; later runs one range per gap.
+
+    Islands are keyed by ``day - rank`` (consecutive days share it), where the
+    rank of a missing day is its position within its year (a window
+    partitioned by year) plus the missing days of all earlier years (a prefix
+    sum over at most one row per year, broadcast back). The calendar length is
+    a parameter, checked against ``MAX_PLAN_DAYS``.
     """
     s, t = _as_date(start), _as_date(through)
     if (t - s).days + 1 > MAX_PLAN_DAYS:
         raise ValueError(f"calendar of {(t - s).days + 1} days exceeds {MAX_PLAN_DAYS}")
-    miss = missing_days(landed_days, s, t, refresh_days)
-    rn = F.row_number().over(Window.orderBy("land_date"))
-    islands = miss.select("land_date", F.date_sub("land_date", rn).alias("_island"))
+    miss = missing_days(landed_days, s, t, refresh_days).withColumn("_year", F.year("land_date"))
+    per_year = miss.groupBy("_year").agg(F.count(F.lit(1)).alias("_n"))
+    before = per_year.select(
+        "_year",
+        (F.sum("_n").over(Window.orderBy("_year").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
+    )
+    in_year = F.row_number().over(Window.partitionBy("_year").orderBy("land_date"))
+    ranked = miss.select("land_date", "_year", in_year.alias("_k")).join(F.broadcast(before), "_year")
+    rank = (F.col("_k") + F.coalesce(F.col("_before"), F.lit(0))).cast("int")
+    islands = ranked.select("land_date", F.date_sub("land_date", rank).alias("_island"))
     out = islands.groupBy("_island").agg(
         F.min("land_date").alias("start_day"), F.max("land_date").alias("end_day"),
         F.count(F.lit(1)).alias("n_days"),

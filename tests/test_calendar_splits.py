@@ -89,3 +89,13 @@ def test_splits_tile_the_range(spark):
     assert leaves[0][0] == 0 and leaves[-1][1] == 1000
     assert all(a[1] == b[0] for a, b in zip(leaves, leaves[1:]))
     assert sum(x[2] for x in leaves) == len(times) and all(x[2] < 50 for x in leaves)
+
+
+def test_islands_across_years(spark):
+    landed = _landed(spark, [("2023-12-20", 3), ("2024-01-10", 0)])
+    plan = sorted((r["start_day"].isoformat(), r["end_day"].isoformat(), r["n_days"])
+                  for r in calendar.plan_requests(landed, "2023-12-15", "2024-01-15").collect())
+    assert plan == [("2023-12-15", "2023-12-19", 5), ("2023-12-21", "2024-01-09", 20), ("2024-01-11", "2024-01-15", 5)]
+    long_gap = calendar.plan_requests(_landed(spark, [("2021-06-01", 1)]), "2020-01-01", "2023-12-31").collect()
+    assert sorted((r["start_day"].isoformat(), r["end_day"].isoformat()) for r in long_gap) == [
+        ("2020-01-01", "2021-05-31"), ("2021-06-02", "2023-12-31")]
