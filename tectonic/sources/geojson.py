@@ -100,10 +100,14 @@ def _points(features: Column) -> list[Column]:
     ]
 
 
+def geojson_point_rows(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Feature-per-line text -> regional points (no ordering; usable on a stream)."""
+    return lines.select(*_points(F.from_json(F.col(column), POINT_FEATURE)))
+
+
 def parse_geojson_points(lines: DataFrame, column: str = "value") -> DataFrame:
     """Feature-per-line text -> regional points, time ascending."""
-    f = F.from_json(F.col(column), POINT_FEATURE)
-    return lines.select(*_points(f)).orderBy(*POINT_ORDER)
+    return geojson_point_rows(lines, column).orderBy(*POINT_ORDER)
 
 
 def read_geojson_points(spark: SparkSession, path: str) -> DataFrame:

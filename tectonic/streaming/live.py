@@ -17,6 +17,7 @@ from ..operators.filters import today_events
 from ..plans.sync import upsert
 from ..session import ensure_utc
 from ..sources.csv import RAW_TEXT_SCHEMA, apply_null_markers, normalize
+from ..sources.geojson import geojson_point_rows
 
 DEFAULT_TRIGGER = "60 seconds"
 
@@ -45,6 +46,14 @@ def live_stream(spark: SparkSession, landing_csv: str, max_files_per_trigger: in
     return normalize(apply_null_markers(raw))
 
 
+def point_stream(spark: SparkSession, landing_geojson: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming regional points from newline-delimited GeoJSON features dropped into a folder."""
+    reader = spark.readStream.format("text")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    return geojson_point_rows(reader.load(landing_geojson))
+
+
 def _trigger(writer, available_now: bool, interval: str):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
 

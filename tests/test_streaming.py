@@ -97,3 +97,16 @@ def test_window_stats_drop_rows_behind_the_watermark(spark, tmp_path):
     got = {r["window_start"] // day: (r["n"], r["max_magnitude"]) for r in spark.read.parquet(out).collect()}
     assert got[100] == (1, 5.0)          # the late 9.0 never entered its window
     assert got[130] == (2, 5.0) and 200 not in got   # the last window is still open
+
+
+def test_point_stream_matches_batch_parse(spark, tmp_path):
+    from tectonic.sources import geojson
+
+    c = load_catalog(spark, SF0001)
+    src = str(tmp_path / "features")
+    geojson.write_geojson(c, src)
+    out = str(tmp_path / "points")
+    q = (live.point_stream(spark, src).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert rows(spark.read.parquet(out)) == rows(geojson.parse_geojson_points(geojson.geojson_lines(c)))
