@@ -118,7 +118,12 @@ def unlanded_events(df: DataFrame, landed_days: DataFrame, now_ms: int, since_ms
     if since_ms is not None:
         out = out.filter(F.col("time") >= F.lit(int(since_ms)))
     day = F.to_date(F.timestamp_millis("time"))
-    have = landed_days.select(F.col("land_date").alias("_day")).distinct()
+    have = landed_days.select(F.col("land_date").alias("_day"))
+    last = F.to_date(F.timestamp_millis(F.lit(int(now_ms))))
+    span = F.col("_day") <= last
+    if since_ms is not None:
+        span = span & (F.col("_day") >= F.to_date(F.timestamp_millis(F.lit(int(since_ms)))))
+    have = have.filter(span).distinct()   # at most one row per day of the span
     return out.join(F.broadcast(have), day == F.col("_day"), "left_anti")
 
 
