@@ -79,11 +79,14 @@ def spread_small_input(df, key: str):
     """
     if df.sparkSession.conf.get("tectonic.spreadSmallInput", "true").lower() == "false":
         return df
-    target = df.sparkSession.sparkContext.defaultParallelism
-    files = tuple(df.inputFiles())
-    splits = _SPLITS.get(files)
-    if splits is None:
-        splits = _SPLITS[files] = df.rdd.getNumPartitions()
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        files = tuple(df.inputFiles())
+        splits = _SPLITS.get(files)
+        if splits is None:
+            splits = _SPLITS[files] = df.rdd.getNumPartitions()
+    except Exception:  # a session without RDD access: leave the plan as it is
+        return df
     if splits < target:
         return df.repartition(target, key)
     return df
