@@ -72,3 +72,18 @@ def test_matches_duckdb_at_sf0001(spark, name):
                       for r in rows)
 
     assert norm([tuple(r) for r in s_rows], sdf.columns) == norm(d_rows, d_cols)
+
+
+def test_landing_year_filter_prunes_partitions(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from conftest import core_df
+    path = str(tmp_path / "cat")
+    rows_ = core_df(spark, [("a", 1_703_980_800_000, 0.0, 0.0, 1.0, 4.0), ("b", 1_704_067_200_000, 0.0, 0.0, 1.0, 4.0)])
+    days = spark.createDataFrame([("a", dt.date(2023, 12, 31)), ("b", dt.date(2024, 1, 1))], "id string, land_date date")
+    pq.land_daily(rows_.join(days, "id").withColumn("row_seq", F.col("time")), path)
+    df = pq.read_landing(spark, path, year=2024)
+    assert [r["id"] for r in df.collect()] == ["b"]
+    assert "PartitionFilters: [isnotnull(land_date" in _plan(df)
