@@ -98,3 +98,15 @@ def test_sync_is_incremental_and_matches_batch(spark, tmp_path):
     assert landed["2024-02-02"] == 0 and landed["2024-01-05"] > 0
     web = spark.read.text(str(tmp_path / "web"))
     assert web.count() == pq.read_catalog(spark, path).filter(F.col("magnitude") >= 2.5).count()
+
+
+def test_upsert_revision_window_matches_full_lookup(spark, tmp_path):
+    first = _landing(spark, [("q", NY - 1000, 0.0, 0.0, 1.0, 4.0, "2023-12-31", 1),
+                             ("r", NY - 5000, 0.0, 0.0, 1.0, 4.0, "2023-12-31", 2)])
+    second = _landing(spark, [("r", NY + 5000, 0.0, 0.0, 1.0, 4.5, "2024-01-01", 1)])
+    full, windowed = str(tmp_path / "full"), str(tmp_path / "win")
+    for path, years in ((full, None), (windowed, 1)):
+        sync_plan.upsert(spark, path, first, revision_years=years)
+        sync_plan.upsert(spark, path, second, revision_years=years)
+    assert rows(pq.read_catalog(spark, windowed)) == rows(pq.read_catalog(spark, full))
+    assert rows(pq.read_catalog(spark, full), "id", "year") == [("q", 2023), ("r", 2024)]
