@@ -10,13 +10,18 @@ Two documents link when the Jaccard similarity of their sets of 5-word shingles
    share a prefix shingle. Copies that a task has met already are not indexed again. Shingles that one
    document alone has in its prefix are dropped.
 3. The join on prefix shingles keeps pairs that pass the length filter and the positional filter (what
-   can still follow the common shingle must suffice). A shingle's documents are not all paired: each is
-   first joined with the smallest of them only. Verified pairs merge documents into components; then
-   only pairs of documents of different components are joined, component by component within a shingle,
-   so a group of thousands of near copies costs in proportion to its size, not to its square, and
-   no link between components is lost.
-4. A pair is verified once, by exact intersection of the two sets; the suffix filter (sizes of the
-   sets' parts by hash range bound the overlap) goes before.
+   can still follow the common shingle must suffice), later also a suffix filter: each set has a parity
+   bitmap, one bit per hash range, and two bitmaps differ in at most as many bits as the sets differ in
+   shingles. A shingle's documents are not all paired. In each
+   of a few rounds every document meets a pivot per seed, the least by a seeded hash of those its
+   shingles' documents offer, unless both are in one component already; verified pairs merge components.
+   Shingles whose documents are all in one component drop out.
+4. The exact rest: all pairs of documents of different components that share a prefix shingle and pass
+   the filters. The largest component of a shingle's documents meets the others only, and the others
+   each other, so members of a large group are not compared among themselves and no link between
+   components is lost.
+5. A pair is verified once, by intersection of the two sets (48 bits of each hash); a second suffix filter
+   (sizes of the sets' parts by hash range) goes before and saves sending the sets.
 
 The intermediate tables are written to the shared folder, so a lost executor repeats one step only.
 
@@ -44,6 +49,11 @@ SIMILAR = (80, 100)
 SKETCH_BITS = 22      # 2**22 counters of 4 bytes: 16 MB, whatever the corpus
 SKETCH_PARTS = 16
 HASH_RANGES = 64
+SENT_BYTES = 6        # of each hash in a set sent for verification
+PARITY_BITS = 512
+PARITY = [f"parity{i}" for i in range(PARITY_BITS // 64)]
+#: Seeds of the rounds with pivots.
+ROUNDS = ((0,), (1, 2, 3, 4), (5, 6, 7, 8), (9, 10, 11, 12))
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -145,31 +155,38 @@ def _prefix_index(docs: DataFrame, sketch: np.ndarray, k: int) -> DataFrame:
     return docs.mapInArrow(run, "gram long, doc_id long, pos int, n int")
 
 
-def _passes(a: str, b: str):
-    """Length and positional filter on columns n and pos of two index rows of one shingle."""
+def _passes(a: str, b: str, parity: bool = False):
+    """Length, positional and, with parity bitmaps, suffix filter of two index rows of one shingle."""
     share, of = SIMILAR
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))   # with the common shingle itself
-    return (of * F.least(na, nb) >= share * F.greatest(na, nb)) & ((share + of) * rest >= share * (na + nb))
+    enough = (of * F.least(na, nb) >= share * F.greatest(na, nb)) & ((share + of) * rest >= share * (na + nb))
+    if parity:
+        apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0))
+        enough &= (share + of) * (na + nb - apart) >= 2 * share * (na + nb)
+    return enough
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, n, ranges, grams) of the documents named: the set and the sizes of its parts by hash range."""
+    """(id, n, ranges, grams, parity bitmap) of the documents named: the set and the sizes of its parts by hash range."""
     shift = np.uint64(64 - int(math.log2(HASH_RANGES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ranges, blobs = [], [], []
+            n, ranges, blobs, parity = [], [], [], []
             for _, grams in shingle_sets(batch.column(1), k):
                 n.append(len(grams))
+                odd = np.bincount((grams >> np.uint64(64 - int(math.log2(PARITY_BITS)))).astype(np.int64), minlength=PARITY_BITS) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 ranges.append(np.bincount((grams >> shift).astype(np.int64), minlength=HASH_RANGES).astype(np.uint32).tobytes())
-                blobs.append(grams.tobytes())
+                blobs.append(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES].tobytes())
+            bitmaps = np.array(parity, np.int64).reshape(-1, len(PARITY))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(ranges, pa.binary()), pa.array(blobs, pa.binary())],
-                ["id", "n", "ranges", "grams"])
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(ranges, pa.binary()), pa.array(blobs, pa.binary()),
+                 *[pa.array(np.ascontiguousarray(b)) for b in bitmaps.T]], ["id", "n", "ranges", "grams", *PARITY])
 
     wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    return wanted.mapInArrow(run, "id long, n int, ranges binary, grams binary")
+    return wanted.mapInArrow(run, "id long, n int, ranges binary, grams binary, " + ", ".join(f"{p} long" for p in PARITY))
 
 
 def _close_enough(common: int, na: int, nb: int) -> bool:
@@ -184,6 +201,13 @@ def _both(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return out.select("a", "b", *[f"{c}_{s}" for c in columns for s in "ab"])
 
 
+def _hashes(raw: bytes) -> np.ndarray:
+    parts = np.frombuffer(raw, np.uint8).reshape(-1, SENT_BYTES)
+    out = np.zeros((len(parts), 8), np.uint8)
+    out[:, :SENT_BYTES] = parts
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: suffix filter, then exact intersection."""
     def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +224,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = _hashes(x.as_buffer()), _hashes(y.as_buffer())
                 at = np.searchsorted(x, y)
                 common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
                 keep.append(_close_enough(common, len(x), len(y)))
@@ -215,6 +239,38 @@ def _pairs(joined: DataFrame) -> DataFrame:
         F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def _pivot_pairs(active: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+    """Per document and seed one pair with a pivot of another component, if any of its shingles has one."""
+    bitmap = [p for p in PARITY if p in active.columns]
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("draw"), "id", "pos", "n", "component", *bitmap)).alias(f"p{seed}") for seed in seeds]
+    pivots = materialize(active.groupBy("gram").agg(*drawn), "pivots")
+    y = pivots.select("gram", F.explode(F.array(*[F.struct(F.lit(seed).alias("seed"), F.col(f"p{seed}").alias("p")) for seed in seeds])).alias("s"))
+    y = y.select("gram", "s.seed", "s.p.*")
+    x, y = active.alias("x"), y.alias("y")
+    near = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.component") != F.col("y.component")) & _passes("x", "y", bool(bitmap)))
+    best = near.groupBy("x.id", "seed").agg(F.min(F.struct("draw", F.col("y.id").alias("pivot"))).alias("best"))
+    return _pairs(best.select("id", F.col("best.pivot").alias("other")))
+
+
+def _mixed(live: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
+    """Index rows, with components and bitmaps, of the shingles whose documents are in several components."""
+    placed = live.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spread = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
+    return placed.join(materialize(spread, "mixed"), "gram").join(sets.select("id", *PARITY), "id")
+
+
+def _rest_pairs(active: DataFrame) -> DataFrame:
+    """All pairs of documents of different components that share a shingle and pass the filters."""
+    sizes = active.groupBy("gram", "component").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("gram").agg(F.max_by("component", F.struct("m", "component")).alias("largest"))
+    marked = materialize(active.join(materialize(largest, "largest"), "gram"), "marked")
+    most, others = marked.where("component = largest"), marked.where("component <> largest")
+    x, y, z = most.alias("x"), others.alias("y"), others.alias("z")
+    first = x.join(y, (F.col("x.gram") == F.col("y.gram")) & _passes("x", "y", True)).select("x.id", F.col("y.id").alias("other"))
+    second = z.join(y, (F.col("z.gram") == F.col("y.gram")) & (F.col("z.component") < F.col("y.component")) & _passes("z", "y", True))
+    return _pairs(first.unionByName(second.select("z.id", F.col("y.id").alias("other"))))
+
+
 def similar_documents(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the size of every document's set and the smallest id that its
     links reach."""
@@ -237,30 +293,24 @@ def similar_documents(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", t
     release(index)
     release(shared)
 
-    # each document with the smallest of its shingle's documents
-    lead = materialize(live.groupBy("gram").agg(F.min(F.struct("n", "id", "pos")).alias("lead"), F.count("*").alias("m"))
-                       .where("m > 1").select("gram", "lead.*"), "leads")
-    x, y = live.alias("x"), lead.alias("y")
-    near = x.join(y, F.col("x.gram") == F.col("y.gram")).where(_passes("x", "y"))
-    star = materialize(_pairs(near.select("x.id", F.col("y.id").alias("other"))), "star")
-    sets = materialize(_sets(docs, star.selectExpr("a as id").union(star.selectExpr("b")).distinct(), k), "star-sets")
-    links = materialize(_verify(star, sets), "links")
-    comp = materialize(components(links), "components")
-    release(sets)
-
-    # documents of different components that share a prefix shingle
-    placed = live.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-    placed = materialize(placed.join(materialize(mixed, "mixed"), "gram"), "placed")
-    groups = placed.select("gram", "component").distinct()
-    meets = groups.alias("p").join(groups.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.component") < F.col("q.component")))
-    meets = meets.select("p.gram", F.col("p.component").alias("component"), F.col("q.component").alias("other_component"))
-    left = placed.join(meets, ["gram", "component"]).select("gram", "id", "pos", "n", F.col("other_component").alias("component"))
-    x, y = left.alias("x"), placed.alias("y")
-    cross = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") == F.col("y.component")) & _passes("x", "y"))
-    cross = _pairs(cross.select("x.id", F.col("y.id").alias("other"))).join(star, ["a", "b"], "left_anti")
-    cross = materialize(cross, "cross")
-    sets = materialize(_sets(docs, cross.selectExpr("a as id").union(cross.selectExpr("b")).distinct(), k), "cross-sets")
+    sets = materialize(_sets(docs, live.select("id").distinct(), k), "shingle-sets")
+
+    # rounds with pivots
+    links = tried = comp = None
+    active = live.withColumn("component", F.col("id"))
+    for seeds in ROUNDS:
+        pairs = materialize(_pivot_pairs(active, seeds), "pairs")
+        found = materialize(_verify(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), sets), "links")
+        links = found if links is None else links.unionByName(found)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        comp = materialize(components(links), "components")
+        before, active = active, materialize(_mixed(live, comp, sets), "active")
+        if before is not active and seeds != ROUNDS[0]:
+            release(before)
+        if not active.take(1):
+            break
+
+    cross = materialize(_rest_pairs(active).join(tried.distinct(), ["a", "b"], "left_anti"), "cross")
     more = materialize(_verify(cross, sets), "links")
     comp = materialize(components(links.unionByName(more)), "components")
 
