@@ -13,15 +13,6 @@ def year_of(time_ms) -> Column:
     return F.year(F.timestamp_millis(_c(time_ms)))
 
 
-def day_of(time_ms) -> Column:
-    return F.to_date(F.timestamp_millis(_c(time_ms)))
-
-
-def midnight_ms(time_ms) -> Column:
-    """Start of the UTC day holding ``time_ms``."""
-    return F.unix_millis(F.date_trunc("DAY", F.timestamp_millis(_c(time_ms))))
-
-
 def event_label(place, lat, lon) -> Column:
     """Place when not empty, else ``lat°, lon°`` with one decimal."""
     p = _c(place)
@@ -46,6 +37,11 @@ def date_label(time_ms) -> Column:
     return F.date_format(F.timestamp_millis(_c(time_ms)), "MMM d, yyyy")
 
 
+def time_label(time_ms) -> Column:
+    """Time of day ``hh:mm:ss AM UTC`` (two digits each; the viewer uses the browser's zone)."""
+    return F.date_format(F.timestamp_millis(_c(time_ms)), "hh:mm:ss a 'UTC'")
+
+
 def register_sql_functions(spark: SparkSession) -> None:
     """SQL helpers the catalog's ad-hoc queries use, e.g. ``year(epoch_ms(time))``."""
     spark.sql(

@@ -42,16 +42,23 @@ def clamp(col, lo: float, hi: float) -> Column:
 
 
 def to_fixed(col, digits: int) -> Column:
-    """Number to text with ``digits`` decimals, halves rounded away from zero (``toFixed``).
+    """Number to text with ``digits`` decimals by the exact decimal value (``toFixed``).
 
-    Built from ``floor(|x| * 10^digits + 0.5)`` so every engine gives the same
-    text (``format_string`` rounds the shortest decimal form instead). The tie
-    is decided on the double product: a value within one ulp of a half may
-    round the other way than an exact-decimal rule would.
+    Halves, which only binary fractions can be, go away from zero. The product
+    with 10^digits is taken in two exact parts (the value's high and low bits),
+    so its rounding error never decides.
     """
     c = _c(col).cast("double")
+    x = F.abs(c)
     scale = 10 ** digits
-    scaled = F.floor(F.abs(c) * F.lit(float(scale)) + F.lit(0.5)).cast("long")
+    t = x * F.lit(134217729.0)                 # 2^27 + 1 splits 53 bits in two halves
+    high = t - (t - x)
+    p_high, p_low = high * F.lit(float(scale)), (x - high) * F.lit(float(scale))
+    product = p_high + p_low
+    error = p_low - (product - p_high)         # exact: product + error is the true product
+    whole_part = F.floor(product)
+    up = ((product - whole_part.cast("double") - F.lit(0.5)) + error) >= 0
+    scaled = whole_part.cast("long") + F.when(up, 1).otherwise(0)
     sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
     whole = F.floor(scaled / F.lit(scale)).cast("long").cast("string")
     if digits == 0:

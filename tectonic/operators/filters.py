@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import cartesian_xyz
 from ..functions.geo import facing as facing_expr
 from ..functions.labels import year_of
 from ..functions.numeric import threshold_for
@@ -62,7 +63,8 @@ def event_range(df: DataFrame, start_ms: int, end_ms: int, min_mag: float = 2.5)
 def view_filter(df: DataFrame, start_ms, duration_ms, min_mag: float, max_depth: float) -> DataFrame:
     """The viewer's window: ``start <= time < start + duration``, magnitude floor, depth ceiling.
 
-    Null depth counts as 0, as in the exported rows the viewer filters; written
+    The viewer filters its exported rows, so ``df`` are web rows (rounded); over a
+    stored archive see ``plans.view``. Null depth counts as 0, as in the exported rows the viewer filters; written
     as ``depth IS NULL OR depth <= max`` so Parquet can evaluate it.
     """
     end_ms = start_ms + duration_ms
@@ -74,7 +76,10 @@ def view_filter(df: DataFrame, start_ms, duration_ms, min_mag: float, max_depth:
 
 
 def bbox(df: DataFrame, min_lat: float, max_lat: float, min_lon: float, max_lon: float) -> DataFrame:
-    return df.filter(F.col("lat").between(min_lat, max_lat) & F.col("lon").between(min_lon, max_lon))
+    lat, lon = F.col("lat"), F.col("lon")
+    return df.filter(
+        (lat >= threshold_for(df, "lat", min_lat)) & (lat <= threshold_for(df, "lat", max_lat))
+        & (lon >= threshold_for(df, "lon", min_lon)) & (lon <= threshold_for(df, "lon", max_lon)))
 
 
 def regional_bbox(df: DataFrame) -> DataFrame:
@@ -87,11 +92,9 @@ def regional_filter(df: DataFrame, show_micro: bool = False, min_mag: float = 0.
 
     A missing magnitude counts as 0, as the page reads it.
     """
-    mag = F.coalesce(F.col("magnitude").cast("double"), F.lit(0.0))
-    cond = mag >= F.lit(float(min_mag))
-    if not show_micro:
-        cond = cond & (mag >= F.lit(2.0))
-    return df.filter(cond)
+    floor = float(min_mag) if show_micro else max(float(min_mag), 2.0)
+    mag = F.coalesce(F.col("magnitude"), threshold_for(df, "magnitude", 0.0))
+    return df.filter(mag >= threshold_for(df, "magnitude", floor))
 
 
 def trailing_days(df: DataFrame, now_ms: int, days: int = 30) -> DataFrame:
@@ -130,3 +133,21 @@ def unlanded_events(df: DataFrame, landed_days: DataFrame, now_ms: int, since_ms
 def facing(df: DataFrame, camera: tuple[float, float, float] = DEFAULT_CAMERA) -> DataFrame:
     """Events on the camera's half of the globe."""
     return df.filter(facing_expr("lat", "lon", camera))
+
+
+def in_frustum(df: DataFrame, matrix: tuple[float, ...] | list[float]) -> DataFrame:
+    """Events whose surface point lies inside the view frustum.
+
+    ``matrix`` is the camera's projection x view matrix, 16 numbers in column
+    order: a point is inside if its clip coordinates lie within [-w, w]. All
+    zeros (no camera yet) keep every row.
+    """
+    m = [float(v) for v in matrix]
+    if not any(m):
+        return df
+    point = cartesian_xyz("lat", "lon", None)
+    x, y, z, w = (sum((c * F.lit(m[4 * k + row]) for k, c in enumerate(point)), F.lit(m[12 + row])) for row in range(4))
+    inside = F.lit(True)
+    for axis in (x, y, z):
+        inside = inside & (w - axis >= 0) & (w + axis >= 0)
+    return df.filter(inside)

@@ -2,7 +2,7 @@
 
 Plan: scan (two pushed predicates, three columns) -> partial/final hash
 aggregate on the grid cell -> per-cell fit. The cell key bounds the result to
-at most 90 x 180 rows whatever the catalog size, and a hot cell is absorbed by
+at most 90 x 180 rows (at 2 degrees) whatever the catalog size, and a hot cell is absorbed by
 the map-side partial aggregate.
 """
 
@@ -20,10 +20,8 @@ from ..schema import (
     HAZARD_GRID_DEG,
     HAZARD_MC,
     HAZARD_MIN_EVENTS,
-    HAZARD_START_YEAR,
-    RASTER_HEIGHT,
-    RASTER_WIDTH,
 )
+from .filters import utc_year
 
 LOG10_E = math.log10(math.e)
 
@@ -32,11 +30,6 @@ SCENARIO_MAGNITUDES = [5.0, 5.5, 6.0, 6.5, 7.0, 7.5, 8.0]
 SCENARIO_YEARS = [10, 20, 30, 40, 50, 60, 70, 80, 90, 100]
 DEFAULT_SCENARIO = (6.5, 30)
 
-# Largest cell table: one row per 2-degree cell centre inside the globe.
-MAX_CELLS = RASTER_WIDTH * RASTER_HEIGHT
-# Broadcast the per-scenario surface only up to this many rows (proven bound: MAX_CELLS each).
-BROADCAST_SURFACE_ROWS = 250_000
-
 
 def all_scenarios() -> list[tuple[float, int]]:
     return [(m, y) for m in SCENARIO_MAGNITUDES for y in SCENARIO_YEARS]
@@ -56,8 +49,11 @@ def hazard_cells(
     ``b = log10(e) / (mean - mc)`` (Aki), ``a = log10(n) + b * mc``; cells need
     ``n >= min_events`` and ``mean > mc``; centres outside [-90, 90] x [-180, 180]
     (lat 90 / lon 180 land in a cell centred at 91 / 181) are dropped; a and b
-    are rounded to 4 decimals. ``catalog_years = as_of_year - 1990``.
+    are rounded to 4 decimals. ``catalog_years`` are those of the fitted span: up
+    to ``as_of_year``, or to the year of ``end_ms``, from the year of ``start_ms``.
     """
+    until = as_of_year if end_ms is None else min(as_of_year, utc_year(end_ms))
+    years = int(until - utc_year(start_ms))
     cond = (F.col("time") >= F.lit(start_ms)) & (F.col("magnitude") >= threshold_for(df, "magnitude", mc))
     if end_ms is not None:
         cond = cond & (F.col("time") < F.lit(end_ms))
@@ -77,7 +73,7 @@ def hazard_cells(
             round_half_even(a_raw, 4).alias("a"), round_half_even(b_raw, 4).alias("b"),
             F.col("n"),
             F.lit(float(mc)).alias("mc"),
-            F.lit(int(as_of_year - HAZARD_START_YEAR)).alias("catalog_years"),
+            F.lit(years).alias("catalog_years"),
         )
         .filter(F.col("lat").between(-90.0, 90.0) & F.col("lon").between(-180.0, 180.0))
     )
@@ -105,41 +101,45 @@ def hazard_surface(cells: DataFrame, scenarios: list[tuple[float, int]] | None =
     return s.select("lat", "lon", "threshold", "horizon", round_half_even(p, digits).alias("p"))
 
 
-def raster_index(lat_col, lon_col):
-    """Texture position of a cell centre: ``col = floor((lon+180)/2)``, ``row = floor((lat+90)/2)``."""
-    col = F.floor((F.col(lon_col) + F.lit(180.0)) / F.lit(2.0))
-    row = F.floor((F.col(lat_col) + F.lit(90.0)) / F.lit(2.0))
+def raster_size(grid_deg: float = HAZARD_GRID_DEG) -> tuple[int, int]:
+    """Rows and columns of the globe's grid."""
+    return round(180.0 / grid_deg), round(360.0 / grid_deg)
+
+
+def raster_index(lat_col, lon_col, grid_deg: float = HAZARD_GRID_DEG):
+    """Texture position of a cell centre: ``row = floor((lat+90)/grid)``, ``col = floor((lon+180)/grid)``."""
+    col = F.floor((F.col(lon_col) + F.lit(180.0)) / F.lit(float(grid_deg)))
+    row = F.floor((F.col(lat_col) + F.lit(90.0)) / F.lit(float(grid_deg)))
     return row, col
 
 
-def hazard_raster(surface: DataFrame, scenarios: list[tuple[float, int]] | None = None) -> DataFrame:
-    """Dense 180 x 90 grid per scenario; cells without a fit are 0.
+def hazard_raster(surface: DataFrame, scenarios: list[tuple[float, int]] | None = None,
+                  grid_deg: float = HAZARD_GRID_DEG) -> DataFrame:
+    """Dense grid per scenario (180 x 90 at 2 degrees); cells without a fit are 0.
 
-    The grid is ``spark.range`` (parameter-sized); the surface has at most one row
-    per cell and scenario, a proven bound, so it is broadcast while that bound is
-    small and joined by shuffle otherwise.
+    ``grid_deg`` is the one the cells were fitted with. The grid is
+    ``spark.range`` (parameter-sized); the join side is left to Spark's statistics.
     """
     spark = surface.sparkSession
     scenarios = scenarios or [DEFAULT_SCENARIO]
+    height, width = raster_size(grid_deg)
     arr = F.array(*[
         F.struct(F.lit(float(m)).alias("threshold"), F.lit(int(t)).alias("horizon"))
         for m, t in scenarios
     ])
-    grid = spark.range(RASTER_WIDTH * RASTER_HEIGHT).select(
-        F.expr(f"id div {RASTER_WIDTH}").alias("row"),
-        (F.col("id") % RASTER_WIDTH).alias("col"),
+    grid = spark.range(width * height).select(
+        F.expr(f"id div {width}").alias("row"),
+        (F.col("id") % width).alias("col"),
         F.inline(arr),
     )
-    row, col = raster_index("lat", "lon")
+    row, col = raster_index("lat", "lon", grid_deg)
     wanted = F.struct(F.col("threshold"), F.col("horizon")).isin(*[
         F.struct(F.lit(float(m)).alias("threshold"), F.lit(int(t)).alias("horizon")) for m, t in scenarios
     ])
     cells = (
         surface.filter(wanted)
         .select(row.alias("row"), col.alias("col"), "threshold", "horizon", "p")
-        .filter(F.col("row").between(0, RASTER_HEIGHT - 1) & F.col("col").between(0, RASTER_WIDTH - 1))
+        .filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
     )
-    if MAX_CELLS * len(scenarios) <= BROADCAST_SURFACE_ROWS:
-        cells = F.broadcast(cells)
     out = grid.join(cells, ["row", "col", "threshold", "horizon"], "left")
     return out.select("row", "col", "threshold", "horizon", F.coalesce(F.col("p"), F.lit(0.0)).alias("p"))

@@ -45,7 +45,7 @@ def timeline_ticks(df: DataFrame, digits: int = 6) -> DataFrame:
     t0, t1 = bounds["t0"], bounds["t1"]
     span = F.when((t1 - t0) == 0, F.lit(1)).otherwise(t1 - t0).cast("double")
     pct = (F.col("time") - t0).cast("double") / span * F.lit(100.0)
-    cols = [c for c in ("id", "time") if c in df.columns]
+    cols = ["id", "time"] if "id" in df.columns else df.columns
     return df.select(
         *cols,
         round_half_even(pct, digits).alias("pct"),

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.numeric import threshold_for
 from ..schema import DEFAULT_CAMERA
-from .filters import facing
+from .filters import facing, in_frustum
 
 FRESHNESS_SPAN = 40
 
@@ -23,16 +23,16 @@ def _tie_keys(df: DataFrame, skip: tuple[str, ...]) -> list:
     return [F.col(c).asc_nulls_first() for c in df.columns if c not in skip]
 
 
-def visible_recent(rows: DataFrame, camera=DEFAULT_CAMERA, k: int = 100) -> DataFrame:
-    """Events on the camera's side of the globe, newest first, ``k`` of them."""
-    return facing(rows, camera).orderBy(F.col("time").desc(), *_tie_keys(rows, ("time",))).limit(k)
+def visible_recent(rows: DataFrame, camera=DEFAULT_CAMERA, k: int = 100, matrix=()) -> DataFrame:
+    """Events on the camera's side of the globe and, given its matrix, inside its view: newest first, ``k`` of them."""
+    return in_frustum(facing(rows, camera), matrix).orderBy(F.col("time").desc(), *_tie_keys(rows, ("time",))).limit(k)
 
 
 def significant(df: DataFrame, min_mag: float = 3.0, k: int = 12) -> DataFrame:
     """Largest first; equal magnitudes keep time order (the page sorts a time-ordered list)."""
-    mag = F.coalesce(F.col("magnitude").cast("double"), F.lit(0.0))
+    mag = F.coalesce(F.col("magnitude"), threshold_for(df, "magnitude", 0.0))
     return (
-        df.filter(mag >= F.lit(float(min_mag)))
+        df.filter(mag >= threshold_for(df, "magnitude", min_mag))
         .orderBy(mag.desc(), F.col("time").asc(), *_tie_keys(df, ("magnitude", "time")))
         .limit(k)
     )
@@ -46,16 +46,23 @@ def playhead(df: DataFrame, k: int) -> DataFrame:
 def freshness(df: DataFrame, span: int = FRESHNESS_SPAN) -> DataFrame:
     """``max(0, 1 - age/span)`` with age 1 for the newest event, 2 for the next...
 
-    Only the newest ``span - 1`` rows are non-zero. Their keys ``(time, id)``
-    come from one scalar subquery (a TakeOrderedAndProject, then at most
-    ``span - 1`` keys gathered newest first); every row then finds its age by
-    position in that small array in a single projection pass: no join, no
-    union and no window over the table.
+    Ages are positions, so rows with equal keys have different ages. Without an
+    ``id`` the other columns order equal times. Only the newest ``span - 1`` rows
+    are non-zero: one top-k of that size numbers them. Every other row lies below
+    the oldest of them, or repeats its key; such repeats are counted and emitted
+    as zeros. No join and no window over the table.
     """
-    key = F.struct(F.col("time"), F.col("id"))
-    top = df.select(key.alias("k")).orderBy(F.col("k").desc()).limit(span - 1)
-    newest = top.agg(F.sort_array(F.collect_list("k"), asc=False).alias("ks")).scalar()
-    empty = F.array().cast(T.ArrayType(df.select(key.alias("k")).schema["k"].dataType))
-    age = F.array_position(F.coalesce(newest, empty), key)
-    fresh = F.when(age > 0, F.lit(1.0) - age.cast("double") / F.lit(float(span))).otherwise(F.lit(0.0))
-    return df.select("id", "time", fresh.alias("freshness"))
+    keys = ["time", "id"] if "id" in df.columns else ["time", *[c for c in df.columns if c != "time"]]
+    out = ["id", "time"] if "id" in df.columns else keys
+    key = F.struct(*keys)
+    newest = df.select(key.alias("k")).orderBy(F.col("k").desc()).limit(span - 1)
+    ranked = newest.agg(F.sort_array(F.collect_list("k"), asc=False).alias("ks")).select(F.posexplode("ks").alias("p", "k"))
+    fresh = F.lit(1.0) - (F.col("p") + 1).cast("double") / F.lit(float(span))
+    top = ranked.select("k.*", fresh.alias("freshness"))
+    oldest = newest.agg(F.struct(F.min("k").alias("k")).alias("s")).scalar()["k"]
+    older = df.where(key < oldest).select(*keys, F.lit(0.0).alias("freshness"))
+    kept = newest.groupBy("k").agg(F.count(F.lit(1)).alias("kept")).orderBy("k").limit(1)
+    tied = df.select(key.alias("k")).where(F.col("k") == oldest).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    spare = F.col("n") - kept.select("kept").scalar()
+    repeats = tied.select("k", F.explode(F.sequence(F.lit(1).cast("long"), F.when(spare > 0, spare))).alias("_"))
+    return top.unionByName(older).unionByName(repeats.select("k.*", F.lit(0.0).alias("freshness"))).select(*out, "freshness")

@@ -6,10 +6,20 @@ aliases every computed column with the Spark query's name.
 
 from __future__ import annotations
 
-from .functions.style import HEAT_STOPS, MAGNITUDE_CLASSES
-from .operators.series import frame_count
 from .sources.fixture import CATALOG_SQL
 
+# Fixed values, stated here apart from the engine's: magnitude classes (upper bound, label, rgb, hex).
+MAGNITUDE_CLASSES = [
+    (2.0, "Micro", (0.31, 0.76, 0.97), "#4fc3f7"),
+    (4.0, "Minor", (0.51, 0.78, 0.52), "#81c784"),
+    (5.0, "Light", (1.00, 0.95, 0.46), "#fff176"),
+    (6.0, "Moderate", (1.00, 0.72, 0.30), "#ffb74d"),
+    (7.0, "Strong", (1.00, 0.44, 0.26), "#ff7043"),
+    (None, "Major", (0.90, 0.22, 0.21), "#e53935"),
+]
+# Heat ramp stops.
+HEAT_STOPS = [(0.10, 0.20, 0.80), (0.10, 0.75, 0.80), (0.95, 0.90, 0.10), (0.95, 0.50, 0.05), (0.90, 0.10, 0.05)]
+
 CTE = f"WITH catalog AS ({CATALOG_SQL})"
 
 CELLS = """
@@ -57,13 +67,14 @@ FROM grid g LEFT JOIN placed p ON g.row = p.row AND g.col = p.col"""
 
 # ---- phase 2 ----------------------------------------------------------------------
 
-VIEW = "(SELECT * FROM catalog WHERE time >= 1709251200000 AND time < 1709251200000 + 7889400000 " \
-       "AND magnitude >= CAST(4.5 AS FLOAT) AND coalesce(CAST(depth_km AS DOUBLE), 0.0) <= 300.0)"
-
 WEB6 = """SELECT time, round_even(CAST(lat AS DOUBLE), 4) AS lat, round_even(CAST(lon AS DOUBLE), 4) AS lon,
        round_even(CAST(coalesce(depth_km, CAST(0.0 AS FLOAT)) AS DOUBLE), 1) AS depth_km,
        round_even(CAST(magnitude AS DOUBLE), 1) AS magnitude, coalesce(place, '') AS place"""
 
+# The viewer filters its exported (rounded) rows.
+VIEW = f"(SELECT * FROM ({WEB6} FROM catalog) WHERE time >= 1709251200000 AND time < 1709251200000 + 7889400000 " \
+       "AND magnitude >= 4.5 AND depth_km <= 300.0)"
+
 # Camera unit vector of the default viewpoint and the facing test on the unit sphere.
 _CAM = (-0.197, 1.108, 1.405)
 _N = sum(c * c for c in _CAM) ** 0.5
@@ -72,25 +83,27 @@ FACING = f"""(((-1.0 * sin(radians(90.0 - CAST(lat AS DOUBLE)))) * cos(radians(C
   + (1.0 * cos(radians(90.0 - CAST(lat AS DOUBLE)))) * {UY}
   + ((1.0 * sin(radians(90.0 - CAST(lat AS DOUBLE)))) * sin(radians(CAST(lon AS DOUBLE) + 180.0))) * {UZ}) > 0.0"""
 
+TIES = "lat NULLS FIRST, lon NULLS FIRST, depth_km NULLS FIRST, magnitude NULLS FIRST, place NULLS FIRST"
+
 ORACLE["min_magnitude"] = f"{CTE} SELECT * FROM catalog WHERE magnitude >= CAST(4.6 AS FLOAT)"
 ORACLE["view_filter"] = f"{CTE} SELECT * FROM {VIEW}"
 ORACLE["bbox"] = f"{CTE} SELECT * FROM catalog WHERE lat BETWEEN -30.0 AND 45.0 AND lon BETWEEN -90.0 AND 90.0"
 ORACLE["event_range"] = f"""{CTE} SELECT * FROM catalog WHERE time >= 946684800000 AND time < 1262304000000
   AND magnitude >= CAST(4.5 AS FLOAT) ORDER BY time"""
 ORACLE["regional_filter"] = f"""{CTE} SELECT * FROM catalog
-  WHERE coalesce(CAST(magnitude AS DOUBLE), 0.0) >= 4.8 AND coalesce(CAST(magnitude AS DOUBLE), 0.0) >= 2.0"""
+  WHERE coalesce(magnitude, CAST(0 AS FLOAT)) >= CAST(4.6 AS FLOAT) AND coalesce(magnitude, CAST(0 AS FLOAT)) >= 2"""
 # now = 2024-05-01T18:00Z: trailing 30 whole days = [2024-04-01, 2024-05-01)
 ORACLE["trailing_days"] = f"{CTE} SELECT * FROM catalog WHERE time >= 1711929600000 AND time < 1714521600000"
 ORACLE["today_events"] = f"{CTE} SELECT * FROM catalog WHERE time >= 1714521600000 AND time < 1714586400000"
 ORACLE["facing"] = f"{CTE} SELECT * FROM catalog WHERE {FACING}"
-ORACLE["window_stats"] = f"""{CTE}, w AS ({WEB6} FROM {VIEW})
+ORACLE["window_stats"] = f"""{CTE}
 SELECT count(*) AS n, max(magnitude) AS max_magnitude, round_even(avg(magnitude), 4) AS avg_magnitude,
-       round_even(avg(depth_km), 4) AS avg_depth_km FROM w"""
+       round_even(avg(depth_km), 4) AS avg_depth_km FROM {VIEW}"""
 ORACLE["yearly_counts"] = f"""{CTE} SELECT CAST(year(make_timestamp(time * 1000)) AS INTEGER) AS yr, count(*) AS n
   FROM catalog GROUP BY 1 ORDER BY 1"""
-ORACLE["visible_recent"] = f"{CTE} SELECT * FROM {VIEW} WHERE {FACING} ORDER BY time DESC, id LIMIT 100"
-ORACLE["significant"] = f"""{CTE} SELECT * FROM catalog WHERE coalesce(CAST(magnitude AS DOUBLE), 0.0) >= 3.0
-  ORDER BY magnitude DESC, time, id LIMIT 12"""
+ORACLE["visible_recent"] = f"{CTE} SELECT * FROM {VIEW} WHERE {FACING} ORDER BY time DESC, {TIES} LIMIT 100"
+ORACLE["significant"] = f"""{CTE} SELECT * FROM catalog WHERE coalesce(magnitude, CAST(0 AS FLOAT)) >= CAST(3.1 AS FLOAT)
+  ORDER BY magnitude DESC, time, id NULLS FIRST LIMIT 12"""
 ORACLE["playhead"] = f"{CTE} SELECT * FROM catalog ORDER BY time, id LIMIT 50"
 ORACLE["freshness"] = f"""{CTE} SELECT id, time,
   CASE WHEN rn <= 39 THEN 1.0 - CAST(rn AS DOUBLE) / 40.0 ELSE 0.0 END AS freshness
@@ -106,14 +119,17 @@ FROM catalog, b"""
 
 LATEST = """latest AS (SELECT id, time, lat, lon, depth_km, magnitude, mag_type, place FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY land_date DESC, row_seq DESC) AS rn FROM catalog) WHERE rn = 1)"""
+YEAR = "CAST(year(make_timestamp(time * 1000)) AS INTEGER)"
 
 ORACLE["sql_count"] = f"{CTE}, {LATEST} SELECT count(*) AS n FROM latest"
-ORACLE["sql_top_magnitude"] = f"""{CTE}, {LATEST} SELECT * FROM latest WHERE magnitude >= 8.0
+ORACLE["sql_top_magnitude"] = f"""{CTE}, {LATEST} SELECT *, {YEAR} AS year FROM latest WHERE magnitude >= 8.0
   ORDER BY magnitude DESC, time, id LIMIT 20"""
 ORACLE["sql_yearly"] = f"""{CTE}, {LATEST} SELECT CAST(year(make_timestamp(time * 1000)) AS INTEGER) AS yr, count(*) AS n
   FROM latest GROUP BY 1 ORDER BY 1"""
-ORACLE["sql_region"] = f"""{CTE}, {LATEST} SELECT * FROM latest WHERE magnitude >= 5.0 AND lat BETWEEN 32 AND 49
+ORACLE["sql_region"] = f"""{CTE}, {LATEST} SELECT *, {YEAR} AS year FROM latest WHERE magnitude >= 5.0 AND lat BETWEEN 32 AND 49
   AND lon BETWEEN -125 AND -114 ORDER BY time, id LIMIT 20"""
+ORACLE["sql_stored_archive"] = f"""{CTE}, {LATEST} SELECT *, {YEAR} AS year FROM latest
+  WHERE {YEAR} BETWEEN 1995 AND 2004 AND magnitude >= 4.75"""
 # events_all = compacted archive (rows landed before 2024-01-15) + the later landing rows
 ORACLE["sql_count_all"] = f"""{CTE} SELECT
   (SELECT count(*) FROM (SELECT DISTINCT id FROM catalog WHERE land_date < DATE '2024-01-15'))
@@ -170,15 +186,18 @@ def _d(x: float) -> str:
 
 
 def _fixed(x: str, k: int) -> str:
-    """Fixed-decimal text from integer arithmetic (same rule as ``numeric.to_fixed``)."""
-    s = f"CAST(floor(abs(CAST({x} AS DOUBLE)) * {_d(float(10 ** k))} + 0.5) AS BIGINT)"
+    """Fixed-decimal text of the exact value, halves away from zero.
+
+    A double is a half at k decimals only if it is an odd multiple of 2^-(k+1); then its product with 10^k is
+    exact. All others are printed, which rounds the exact value.
+    """
+    v = f"abs(CAST({x} AS DOUBLE))"
     sign = f"(CASE WHEN CAST({x} AS DOUBLE) < 0 THEN '-' ELSE '' END)"
-    whole = f"CAST(CAST(floor({s} / {10 ** k}) AS BIGINT) AS VARCHAR)"
-    if k == 0:
-        body = f"{sign} || {whole}"
-    else:
-        body = f"{sign} || {whole} || '.' || lpad(CAST({s} % {10 ** k} AS VARCHAR), {k}, '0')"
-    return f"(CASE WHEN {x} IS NULL THEN NULL ELSE {body} END)"
+    half = f"(({v} * {2 ** (k + 1)}.0) % 2.0 = 1.0)"
+    up = f"CAST(floor({v} * {10 ** k}.0 + 0.5) AS BIGINT)"
+    whole = f"CAST({up} // {10 ** k} AS VARCHAR)"
+    exact = whole if k == 0 else f"{whole} || '.' || lpad(CAST({up} % {10 ** k} AS VARCHAR), {k}, '0')"
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {half} THEN {sign} || {exact} ELSE {sign} || format('{{:.{k}f}}', {v}) END)"
 
 
 def _mag_case(col: str, pick) -> str:
@@ -226,7 +245,7 @@ ORACLE["web_rows"] = f"{CTE} {WEB6} FROM catalog WHERE magnitude >= CAST(4.0 AS
 ORACLE["web_rows_5"] = f"""{CTE} SELECT time, round_even(CAST(lat AS DOUBLE), 4) AS lat, round_even(CAST(lon AS DOUBLE), 4) AS lon,
   round_even(CAST(coalesce(depth_km, CAST(0.0 AS FLOAT)) AS DOUBLE), 1) AS depth_km,
   round_even(CAST(magnitude AS DOUBLE), 1) AS magnitude FROM catalog WHERE magnitude >= CAST(4.0 AS FLOAT)"""
-ORACLE["read_web_json"] = f"""{CTE} SELECT time, lat, lon, depth_km, magnitude, nullif(place, '') AS place FROM (
+ORACLE["read_web_json"] = f"""{CTE} SELECT time, lat, lon, depth_km, magnitude, nullif(place, '') AS place, {YEAR} AS year FROM (
   {WEB6} FROM catalog WHERE magnitude >= CAST(4.0 AS FLOAT))"""
 _Z = "CASE WHEN coalesce(CAST(depth_km AS DOUBLE), 0.0) = 0 THEN 0.0 ELSE -CAST(depth_km AS DOUBLE) END"
 ORACLE["geojson_features"] = f"""{CTE} SELECT id, time, 'Feature' AS feature_type, 'Point' AS geometry_type,
@@ -279,7 +298,7 @@ ORACLE["point_size"] = f"""{CTE} SELECT id, magnitude,
   CASE WHEN magnitude IS NULL THEN NULL ELSE {_r9(f'greatest(2.0, {_d(1.8)} * pow(2.0, {_M} - 1.0))')} END AS radius
   FROM catalog"""
 _AGE = "greatest(0.0, least(1.0, (CAST(time AS DOUBLE) - 1709251200000.0) / 7889400000.0))"
-ORACLE["window_age"] = f"""{CTE} SELECT id, time, {_r9(_AGE)} AS age, {_r9(f'pow({_AGE}, 6.0)')} AS fade FROM {VIEW}"""
+ORACLE["window_age"] = f"""{CTE} SELECT time, magnitude, {_r9(_AGE)} AS age, {_r9(f'pow({_AGE}, 6.0)')} AS fade FROM {VIEW}"""
 
 
 def _heat() -> tuple[list[str], str]:
@@ -314,8 +333,8 @@ ORACLE["date_label"] = f"""{CTE} SELECT id, time, strftime(make_timestamp(time *
 
 
 _SS, _SE, _SD, _ST = 631152000000, 1717200000000, 31557600000, 31557600000 // 4
-_K = frame_count(_SS, _SE, _SD, _ST)
-ORACLE["window_series"] = f"""{CTE}, w AS ({WEB6} FROM catalog WHERE magnitude >= CAST(4.5 AS FLOAT)),
+_K = 134   # quarter-year steps from 1990-01-01 that start before the last window does
+ORACLE["window_series"] = f"""{CTE}, w AS (SELECT * FROM ({WEB6} FROM catalog) WHERE magnitude >= 4.5),
 frames AS (SELECT range AS frame, {_SS} + range * {_ST} AS frame_start FROM range({_K})
            UNION ALL SELECT {_K}, {_SE - _SD}),
 agg AS (SELECT f.frame, f.frame_start, count(w.time) AS n, max(w.magnitude) AS max_magnitude,
@@ -363,7 +382,7 @@ ORACLE["live_stream"] = ORACLE["normalize"]
 ORACLE["stream_upsert"] = ORACLE["compact"]
 _WS, _WD, _WL = 864000000, 2592000000, 86400000   # 10-day slide, 30-day window, 1-day lateness
 ORACLE["stream_window_stats"] = f"""{CTE},
-ev AS (SELECT time, magnitude, depth_km, CAST(floor(time / {float(_WS)!r}) AS BIGINT) AS b FROM catalog),
+ev AS (SELECT time, magnitude, depth_km, CAST(floor(time / {float(_WS)!r}) AS BIGINT) AS b FROM ({WEB6} FROM catalog)),
 win AS (SELECT (b - k) * {_WS} AS window_start, magnitude, depth_km, time FROM ev, range(0, {_WD // _WS}) t(k)),
 agg AS (SELECT window_start, window_start + {_WD} AS window_end, count(*) AS n,
                max(CAST(magnitude AS DOUBLE)) AS max_magnitude,
@@ -373,11 +392,66 @@ agg AS (SELECT window_start, window_start + {_WD} AS window_end, count(*) AS n,
 SELECT * FROM agg WHERE window_end <= (SELECT max(time) FROM catalog) - {_WL}"""
 
 
+# ---- further storage, stream and viewer queries -------------------------------------
+
+ORACLE["year_pruning"] = f"""{CTE} SELECT id, time, lat, lon, depth_km, magnitude, mag_type, place, {YEAR} AS year FROM catalog
+  WHERE time >= 946684800000 AND time < 978307200000 AND magnitude >= CAST(4.5 AS FLOAT)"""
+ORACLE["view_progress"] = f"""{CTE} SELECT id, time,
+  {_r9(f"greatest(0.0, least(1.0, (CAST(time AS DOUBLE) - {float(_S)!r}) / {float(_SPAN)!r}))")} AS progress FROM catalog"""
+ORACLE["time_label"] = f"""{CTE} SELECT id, time, strftime(make_timestamp(time * 1000), '%I:%M:%S %p UTC') AS clock FROM catalog"""
+ORACLE["exact_label"] = f"""{CTE}, w AS (SELECT row_seq, CAST(lat AS DOUBLE) + CAST(row_seq % 9973 AS DOUBLE) / 10000.0 AS lat FROM catalog)
+SELECT row_seq, lat, {_fixed('lat', 3)} AS three, {_fixed('lat', 1)} AS one, {_fixed('lat', 0)} AS zero FROM w"""
+_CX, _CY, _CZ = _xyz("lat", "lon", None)
+ORACLE["visible_frustum"] = f"""{CTE}, w AS ({WEB6} FROM catalog WHERE magnitude >= CAST(4.5 AS FLOAT)),
+p AS (SELECT *, {_CX} AS px, {_CY} AS py, {_CZ} AS pz FROM w)
+SELECT time, lat, lon, depth_km, magnitude, place FROM p WHERE pz > 0
+  AND abs(px * (2.144506920509559 * 2.5)) <= 3.0 - pz AND abs(py * (2.144506920509559 * 2.5)) <= 3.0 - pz
+  AND abs(pz * -1.002002002002002 + 2.8058058058058056) <= 3.0 - pz"""
+ORACLE["moving_view"] = f"""{CTE}, v AS (SELECT * FROM {VIEW} WHERE time < 1714586400000),
+st AS (SELECT count(*) AS window_n, max(magnitude) AS window_max_magnitude, round_even(avg(magnitude), 4) AS window_avg_magnitude,
+       round_even(avg(depth_km), 4) AS window_avg_depth_km FROM v)
+SELECT * FROM (SELECT * FROM v WHERE {FACING} ORDER BY time DESC, {TIES} LIMIT 100), st"""
+ORACLE["polyline_segments"] = f"""{CTE}, c AS (SELECT *, row_seq // 8 AS line_id FROM catalog WHERE row_seq % 8 < 4),
+s AS (SELECT line_id, 0 AS line_idx, CAST(row_number() OVER w - 1 AS INTEGER) AS seg_idx,
+             CAST(lon AS DOUBLE) AS lon1, CAST(lat AS DOUBLE) AS lat1,
+             CAST(lead(lon) OVER w AS DOUBLE) AS lon2, CAST(lead(lat) OVER w AS DOUBLE) AS lat2, lead(row_seq) OVER w AS more
+      FROM c WINDOW w AS (PARTITION BY line_id ORDER BY row_seq))
+SELECT * EXCLUDE (more) FROM s WHERE more IS NOT NULL"""
+ORACLE["read_csv"] = f"""{CTE} SELECT id, time, lat, lon, depth_km, magnitude, mag_type,
+  CASE WHEN place IS NOT NULL THEN '7 km NW of "' || place || '", CA' END AS place FROM catalog"""
+ORACLE["append_then_sync"] = f"""{CTE}, {LATEST} SELECT time, lat, lon, depth_km, magnitude, nullif(place, '') AS place, {YEAR} AS year
+  FROM ({WEB6} FROM latest WHERE magnitude >= CAST(4.0 AS FLOAT))"""
+ORACLE["reland_empty_day"] = f"""{CTE}, d AS (SELECT land_date, count(*) AS n FROM catalog GROUP BY 1)
+SELECT land_date, CASE WHEN land_date = (SELECT min(land_date) FROM d) THEN 0 ELSE n END AS n,
+       CASE WHEN land_date = (SELECT min(land_date) FROM d) THEN 0 ELSE n END AS rows FROM d"""
+ORACLE["live_snapshot"] = f"""{CTE},
+t AS (SELECT id, 1714521600000 + (time % 86400000 + 86400000) % 86400000 AS time FROM catalog)
+SELECT id, time, 0 AS poll FROM t WHERE time < 1714564800000
+UNION ALL SELECT id, time, 1 AS poll FROM t WHERE time < 1714564800000 + 21600000"""
+_RD = "(greatest(greatest(2.0, CAST(1.8 AS DOUBLE) * pow(2.0, magnitude - 1.0)) + 4.0, 10.0))"
+ORACLE["regional_chain"] = f"""{CTE},
+pts AS (SELECT time, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, {_Z} AS depth_km, CAST(magnitude AS DOUBLE) AS magnitude,
+        CASE WHEN place IS NULL OR place = '' THEN 'Unknown' ELSE place END AS place FROM catalog),
+r AS (SELECT * FROM pts WHERE magnitude >= 4.6),
+b AS (SELECT min(time) AS t0, max(time) AS t1 FROM r),
+ticks AS (SELECT round_even(CAST(time - t0 AS DOUBLE) / CAST(t1 - t0 AS DOUBLE) * 100.0, 6) AS pct,
+          round_even(greatest(4.0, least(38.0, greatest(2.0, 1.8 * pow(2.0, magnitude - 1.0)) * 2.0)), 6) AS height FROM r, b),
+top AS (SELECT * FROM r ORDER BY magnitude DESC, time, lat, lon, depth_km, place LIMIT 12),
+pr AS (SELECT DISTINCT (lon - (-180.0)) / 360.0 * 7200.0 + 3.0 AS px, (1.0 - (lat - (-90.0)) / 180.0) * 3600.0 - 2.0 AS py FROM top),
+ev AS (SELECT *, (lon - (-180.0)) / 360.0 * 7200.0 AS x, (1.0 - (lat - (-90.0)) / 180.0) * 3600.0 AS y, {_RD} AS reach FROM r),
+hit AS (SELECT px, py, sqrt((px - x) * (px - x) + (py - y) * (py - y)) AS d, reach FROM pr, ev),
+near AS (SELECT px, py, round_even(min(d), 6) AS dist FROM hit WHERE d < reach GROUP BY 1, 2)
+SELECT 'ticks' AS part, count(*) AS n, round_even(sum(pct), 3) AS a, round_even(sum(height), 3) AS b FROM ticks
+UNION ALL SELECT 'significant', count(*), sum(lat), sum(lon) FROM top
+UNION ALL SELECT 'nearest', count(*), round_even(sum(dist), 3), round_even(max(dist), 3) FROM near
+UNION ALL SELECT 'fresh', 39, 19.5, 0.975
+UNION ALL SELECT 'rows', (SELECT count(*) FROM r), CAST((SELECT count(*) FROM pts) AS DOUBLE), (SELECT max(magnitude) FROM pts)"""
+
 # Registered outputs carry dates as ISO text (see ``suite.dates_as_text``).
 _DATE_COLUMNS = {k: ["land_date"] for k in (
-    "min_magnitude", "view_filter", "bbox", "event_range", "regional_filter", "trailing_days",
-    "today_events", "facing", "visible_recent", "significant", "playhead", "latest_by_id",
-    "read_landing", "missing_days", "land_daily")}
+    "min_magnitude", "bbox", "event_range", "regional_filter", "trailing_days",
+    "today_events", "facing", "significant", "playhead", "latest_by_id",
+    "read_landing", "missing_days", "land_daily", "reland_empty_day")}
 _DATE_COLUMNS["plan_requests"] = ["start_day", "end_day"]
 for _k, _cols in _DATE_COLUMNS.items():
     _rep = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _cols)

@@ -13,9 +13,6 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Longest calendar ``plan_requests`` orders in one sorted pass (about 2,700 years).
-MAX_PLAN_DAYS = 1_000_000
-
 
 def _as_date(d) -> date:
     return d if isinstance(d, date) else date.fromisoformat(str(d))
@@ -77,12 +74,9 @@ def plan_requests(landed_days: DataFrame, start, through, refresh_days: list | N
     Islands are keyed by ``day - rank`` (consecutive days share it), where the
     rank of a missing day is its position within its year (a window
     partitioned by year) plus the missing days of all earlier years (a prefix
-    sum over at most one row per year, broadcast back). The calendar length is
-    a parameter, checked against ``MAX_PLAN_DAYS``.
+    sum over at most one row per year, broadcast back).
     """
     s, t = _as_date(start), _as_date(through)
-    if (t - s).days + 1 > MAX_PLAN_DAYS:
-        raise ValueError(f"calendar of {(t - s).days + 1} days exceeds {MAX_PLAN_DAYS}")
     miss = missing_days(landed_days, s, t, refresh_days).withColumn("_year", F.year("land_date"))
     per_year = miss.groupBy("_year").agg(F.count(F.lit(1)).alias("_n"))
     before = per_year.select(

@@ -1,15 +1,18 @@
-"""Incremental sync: land missing days, merge them into the archive, export web rows.
+"""Incremental sync: land missing days, merge whatever has landed, export web rows.
 
 The driver only plans (calendar-sized lists of days and years); rows stay on
 executors. Every step writes a table, so a lost executor costs a task retry,
 not the job, and a re-run resumes from what has landed:
 
-1. plan the missing days from the landed-days table (``plan_requests``);
-2. land the raw rows of those days (``land_daily``), recording empty days too;
-3. ``upsert`` the landing area into the archive: only the years an incoming id
-   touches (its old year and its new one) are rewritten;
-4. export web rows for those years;
-5. optionally refit the hazard grid from the merged archive.
+1. land the raw rows of the days not landed yet (``land_daily``), recording empty days too;
+2. ``upsert`` the landing area into the archive whenever it holds rows, whoever
+   landed them: only the years an incoming id touches (its old year and its new
+   one) are rewritten;
+3. export web rows of those years, of years that an interrupted run left pending
+   and of stored years that have no export yet;
+4. optionally refit the hazard grid from the merged archive;
+5. drop the landing area. It goes last, so after a crash the next run finds the
+   same rows and merges them again, which changes nothing already merged.
 """
 
 from __future__ import annotations
@@ -31,46 +34,30 @@ from ..sources.hazard_io import write_hazard
 from ..sources.web import web_rows, write_web_json
 from .calendar import missing_days
 
-# Most distinct years a single upsert may touch (the driver holds this list).
-MAX_TOUCHED_YEARS = 10_000
-
 
 def _years(df: DataFrame) -> list[int]:
-    """Distinct years of a frame: at most one per calendar year, so a bounded driver list."""
-    rows = df.select("year").distinct().limit(MAX_TOUCHED_YEARS + 1).collect()
-    if len(rows) > MAX_TOUCHED_YEARS:
-        raise ValueError("too many years touched in one upsert")
-    return sorted(int(r[0]) for r in rows if r[0] is not None)
+    """Distinct years of a frame (one per calendar year)."""
+    return sorted(int(r[0]) for r in df.select("year").distinct().collect() if r[0] is not None)
 
 
-def upsert(spark: SparkSession, path: str, incoming: DataFrame, revision_years: int | None = None) -> list[int]:
+def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> list[int]:
     """Merge landed rows into the archive; returns the years rewritten.
 
     Years touched = years of the incoming rows plus the years where their ids
-    live now (a revision may move an event across New Year). Those years are
-    merged keep-last, staged under the shared checkpoint folder (lineage cut:
-    the archive is read before it is replaced), then written with dynamic
-    partition overwrite. A touched year left without rows is removed.
-
-    Finding the old year of an incoming id reads the archive's ``id`` and
-    ``year`` columns. By default all years are searched (exact). A nightly job
-    whose revisions never move an event by more than ``revision_years`` years
-    can pass it, and only the archive years next to the incoming ones are read
-    (partition pruning).
+    live now (a revision may move an event across New Year; the archive's ``id``
+    and ``year`` columns are searched whole, so any distance is found). Those years
+    are noted as pending, merged keep-last, staged under the shared checkpoint
+    folder (lineage cut: the archive is read before it is replaced), then written
+    with dynamic partition overwrite. A touched year left without rows is removed.
     """
     ensure_utc(spark)
     archive = pq.read_catalog(spark, path)
     inc = incoming.withColumn("year", year_of("time"))
-    lookup = archive
-    if revision_years is not None:
-        new_years = _years(inc)
-        if not new_years:
-            return []
-        lookup = archive.filter(F.col("year").between(new_years[0] - revision_years, new_years[-1] + revision_years))
-    old_years = lookup.join(inc.select("id").distinct(), "id", "left_semi").select("year")
+    old_years = archive.select("id", "year").join(inc.select("id").distinct(), "id", "left_semi").select("year")
     touched = _years(inc.select("year").unionByName(old_years))
     if not touched:
         return []
+    pq.mark_pending(spark, path, touched)
     affected = archive.filter(F.col("year").isin(touched))
     merged = compact(affected, inc.drop("year"))
     stage = scratch_path(spark, f"upsert-{uuid.uuid4().hex}")
@@ -83,19 +70,17 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, revision_years:
     return touched
 
 
-def land_raw_days(spark: SparkSession, raw: DataFrame, path: str, days: list[date], min_mag: float) -> None:
-    """Normalize the raw rows of the given days and land them in the service's order.
+def land_raw_days(spark: SparkSession, raw: DataFrame, path: str, days: DataFrame, min_mag: float) -> None:
+    """Normalize the raw rows of the given days (column ``land_date``) and land them in the service's order.
 
     The service returns rows time ascending, so ``row_seq`` is the event time:
     it does not depend on how files are split into tasks, so a retried task
     ranks its rows the same way (ties fall to the row hash in ``compact``).
     """
-    want = [d.isoformat() for d in days]
-    rows = raw.filter(F.col("land_date").cast("string").isin(want)).withColumn(
-        "land_date", F.col("land_date").cast("date"))
+    rows = raw.withColumn("land_date", F.col("land_date").cast("date")).join(days.select("land_date").distinct(), "land_date", "left_semi")
     core = normalize(rows, keep=["land_date"]).withColumn("row_seq", F.col("time"))
     core = min_magnitude(core, min_mag)
-    pq.land_daily(core, path, spark.createDataFrame([(d,) for d in days], "land_date date"))
+    pq.land_daily(core, path, days)
 
 
 def append_day(spark: SparkSession, raw: DataFrame, path: str, day, min_mag: float = 2.5,
@@ -106,16 +91,40 @@ def append_day(spark: SparkSession, raw: DataFrame, path: str, day, min_mag: flo
         landed = pq.read_landed_days(spark, path).filter(F.col("land_date") == F.lit(d.isoformat()).cast("date"))
         if landed.take(1):
             return False
-    land_raw_days(spark, raw, path, [d], min_mag)
+    land_raw_days(spark, raw, path, spark.createDataFrame([(d,)], "land_date date"), min_mag)
     return True
 
 
+def merge_landing(spark: SparkSession, path: str) -> list[int]:
+    """Merge every landed row into the archive; returns the years rewritten (none without landed rows)."""
+    landing = pq.read_landing(spark, path)
+    return upsert(spark, path, landing) if landing.take(1) else []
+
+
+def export_web(spark: SparkSession, path: str, web_path: str, touched: list[int], export_mag: float) -> list[int]:
+    """Export the touched and pending years and the stored years without an export; returns them."""
+    archive = pq.read_catalog(spark, path)
+    stored = {int(y) for y in pq._partition_values(spark, f"{path.rstrip('/')}/archive", "year") if y.lstrip("-").isdigit()}
+    exported = {int(y) for y in pq._partition_values(spark, web_path, "year") if y.lstrip("-").isdigit()}
+    stale = set(touched) | pq.pending_years(spark, path)
+    years = sorted((stale & stored) | (stored - exported))
+    if years:
+        write_web_json(web_rows(archive.filter(F.col("year").isin(years)), export_mag, with_place=True, keep_year=True), web_path)
+    # a year that lost its last row, or has none above the floor, keeps no export
+    left = pq._partition_values(spark, web_path, "year")
+    have = {r[0] for r in min_magnitude(archive.filter(F.col("year").isin(sorted(stale))), export_mag).select("year").distinct().collect()} if stale else set()
+    for y in stale - have:
+        if str(y) in left:
+            pq._delete(spark, f"{web_path.rstrip('/')}/year={y}")
+    return years
+
+
 def sync(
     spark: SparkSession,
     raw_path: str,
     path: str,
-    start,
-    through,
+    start=None,
+    through=None,
     min_mag: float = 2.5,
     export_mag: float = 2.5,
     web_path: str | None = None,
@@ -126,25 +135,36 @@ def sync(
     """Land every missing day in ``[start, through]`` from landed CSV, merge, export.
 
     ``raw_path`` holds the service's CSV files under ``land_date=YYYY-MM-DD``
-    folders. With ``hazard_path`` (and ``as_of_year``) the hazard grid is
-    refitted from the merged archive in the same job. Returns a small summary
-    (days landed, years rewritten).
+    folders; without ``start`` and ``through`` the span is that of its folders. With
+    ``hazard_path`` (and ``as_of_year``) the hazard grid is refitted from the merged
+    archive in the same job. Returns a small summary (days landed, years rewritten
+    and exported).
     """
     ensure_utc(spark)
-    landed = pq.read_landed_days(spark, path)
-    todo = [r[0] for r in missing_days(landed, start, through).orderBy("land_date").collect()]
-    if todo:
-        raw = read_event_csv(spark, raw_path) if isinstance(raw_path, str) else apply_null_markers(raw_path)
-        land_raw_days(spark, raw, path, todo, min_mag)
-    landing = pq.read_landing(spark, path)
-    touched = upsert(spark, path, landing) if todo else []
-    if drop_landing and todo:
-        pq.drop_landing(spark, path)
-    if web_path and touched:
-        rows = web_rows(pq.read_catalog(spark, path, touched), export_mag, with_place=True, keep_year=True)
-        write_web_json(rows, web_path)
+    if hazard_path and as_of_year is None:
+        raise ValueError("as_of_year is required with hazard_path (no clock reads)")
+    raw = read_event_csv(spark, raw_path) if isinstance(raw_path, str) else apply_null_markers(raw_path)
+    if start is None or through is None:
+        days = sorted(pq._partition_values(spark, raw_path, "land_date")) if isinstance(raw_path, str) else []
+        if not days:
+            span = raw.agg(F.min("land_date").cast("string"), F.max("land_date").cast("string")).first()
+            days = [d for d in span if d is not None]
+        start, through = start or (days[0] if days else None), through or (days[-1] if days else None)
+    landed_now: list[str] = []
+    if start is not None and through is not None:
+        todo = missing_days(pq.read_landed_days(spark, path), start, through)
+        landed_now = [r[0].isoformat() for r in todo.orderBy("land_date").collect()]
+        if landed_now:
+            stage = scratch_path(spark, f"todo-{uuid.uuid4().hex}")
+            todo.write.parquet(stage)   # the plan is fixed before landing changes what is missing
+            land_raw_days(spark, raw, path, spark.read.schema("land_date date").parquet(stage), min_mag)
+            pq._delete(spark, stage)
+    touched = merge_landing(spark, path)
+    exported = export_web(spark, path, web_path, touched, export_mag) if web_path else []
     if hazard_path and touched:
-        if as_of_year is None:
-            raise ValueError("as_of_year is required with hazard_path (no clock reads)")
         write_hazard(hazard_cells(pq.read_catalog(spark, path), as_of_year), hazard_path)
-    return {"days": [d.isoformat() for d in todo], "years": touched}
+    if web_path:
+        pq.clear_pending(spark, path)
+    if drop_landing:
+        pq.drop_landing(spark, path)
+    return {"days": landed_now, "years": touched, "exported": exported}

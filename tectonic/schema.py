@@ -72,11 +72,8 @@ WINDOW_STEPS_MS = {
 
 # Hazard model.
 HAZARD_MC = 4.5
-HAZARD_START_YEAR = 1990
 HAZARD_GRID_DEG = 2
 HAZARD_MIN_EVENTS = 10
-RASTER_WIDTH = 180
-RASTER_HEIGHT = 90
 
 # Request splitting.
 MAX_EVENTS_PER_REQUEST = 20_000

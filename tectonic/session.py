@@ -8,11 +8,11 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def builder(master: str | None = None, shuffle_partitions: int = 8, app: str = "tectonic"):
+def builder(master: str | None = None, shuffle_partitions: int | None = None, app: str = "tectonic"):
     """A session builder with the settings every job here relies on.
 
-    On a cluster leave ``master`` unset and size ``shuffle_partitions`` to the data
-    (AQE coalesces small ones away at run time).
+    On a cluster leave ``master`` unset; ``shuffle_partitions`` is set only when
+    asked for, so the cluster's own value (sized to its data) holds otherwise.
     """
     b = (
         SparkSession.builder.appName(app)
@@ -21,12 +21,13 @@ def builder(master: str | None = None, shuffle_partitions: int = 8, app: str = "
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.parquet.compression.codec", "zstd")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master:
         b = b.master(master)
     return b
@@ -53,10 +54,16 @@ def ensure_utc(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names; set a scratch one only if unset (tests)."""
+    """The shared folder the cluster names (``spark.checkpoint.dir``).
+
+    A cluster without one is an error: intermediate tables must be readable by
+    every executor. Only a single-process ``local`` session gets a folder of its own.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tectonic-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
@@ -67,30 +74,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
-
-
-def spread_small_input(df, key: str):
-    """Hash-spread a scan that yields fewer partitions than the cores.
-
-    A cluster-sized input already arrives in thousands of splits and is left
-    alone (no extra shuffle); a small file that is a single row group would
-    otherwise run every narrow step in one task. Session conf
-    ``tectonic.spreadSmallInput=false`` turns it off.
-    """
-    if df.sparkSession.conf.get("tectonic.spreadSmallInput", "true").lower() == "false":
-        return df
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        files = tuple(df.inputFiles())
-        splits = _SPLITS.get(files)
-        if splits is None:
-            splits = _SPLITS[files] = df.rdd.getNumPartitions()
-    except Exception:  # a session without RDD access: leave the plan as it is
-        return df
-    if splits < target:
-        return df.repartition(target, key)
-    return df
-
-
-# scan split counts by input file set (files are immutable inputs; planning them once is enough)
-_SPLITS: dict = {}

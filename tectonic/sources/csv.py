@@ -20,18 +20,42 @@ def _null_markers(col: Column) -> Column:
     return F.when(col.isin(*RAW_NULL_MARKERS), F.lit(None)).otherwise(col)
 
 
+#: Quotes inside a quoted field are doubled; a file whose header does not match a given schema fails.
+CSV_OPTIONS = {"header": "true", "mode": "PERMISSIVE", "quote": '"', "escape": '"', "enforceSchema": "false"}
+
+
+def _headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Header line -> its files (the driver lists the files of a scan in any case)."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    fields = F.split(F.regexp_replace("value", '["\\uFEFF]', ""), ",")
+    header = lines.where((F.col("at") == 0) & F.array_contains(fields, "id") & F.array_contains(fields, "time"))
+    found: dict[str, list[str]] = {}
+    for line, file in header.select("value", "file").distinct().collect():
+        found.setdefault(line, []).append(file)
+    return dict(sorted(found.items()))
+
+
 def read_event_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Scan landed catalog CSV files (header row; every column text).
+    """Scan landed catalog CSV files (header row; every column text), columns matched by name.
 
-    Spark has a single ``nullValue``, so both markers (empty and ``null``) are
-    mapped in a projection; numeric columns are converted by ``normalize`` with
-    ``try_cast``, so a bad number becomes null instead of failing the file.
+    Files are read per distinct header, so a file with another column order or
+    with fewer columns keeps its values under the right names. Spark has a single
+    ``nullValue``, so both markers (empty and ``null``) are mapped in a
+    projection; numeric columns are converted by ``normalize`` with ``try_cast``,
+    so a bad number becomes null instead of failing the file.
     """
-    raw = (
-        spark.read.option("header", "true").option("inferSchema", "false")
-        .option("mode", "PERMISSIVE").csv(path)
-    )
-    return apply_null_markers(raw)
+    headers = _headers(spark, path)
+    if len(headers) <= 1:
+        return apply_null_markers(spark.read.options(**CSV_OPTIONS, inferSchema="false").csv(path))
+    base = path if isinstance(path, str) else None
+    parts = []
+    for files in headers.values():
+        reader = spark.read.options(**CSV_OPTIONS, inferSchema="false")
+        parts.append((reader.option("basePath", base) if base else reader).csv(files))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return apply_null_markers(out)
 
 
 def parse_event_time(col: Column) -> Column:
@@ -104,7 +128,7 @@ def write_event_csv(raw: DataFrame, path: str, by_day: bool = True) -> None:
     """Write raw text rows as header CSV, one folder per ``land_date`` (as landed files arrive)."""
     cols = list(RAW_CSV_COLUMNS)
     w = raw.select(*cols, *(["land_date"] if by_day else []))
-    writer = w.write.mode("overwrite").option("header", "true").option("emptyValue", "")
+    writer = w.write.mode("overwrite").option("header", "true").option("emptyValue", "").option("escape", '"')
     if by_day:
         writer = writer.partitionBy("land_date")
     writer.csv(path)

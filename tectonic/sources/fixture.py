@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import YEAR_MS
-from ..session import ensure_utc, spread_small_input
+from ..session import ensure_utc
 
 # The mapping's offsets (100 days; 40 year-slots).
 SHIFT_MS = 8_640_000_000
@@ -46,7 +46,7 @@ def catalog_from_events(events: DataFrame) -> DataFrame:
 def load_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_utc(spark)
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    return catalog_from_events(spread_small_input(events, "event_id"))
+    return catalog_from_events(events)
 
 
 # DuckDB text of the same mapping, used by the oracle queries.

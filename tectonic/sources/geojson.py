@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geo import to_cartesian
-
 # Fault traces of the regional page, [lon, lat] pairs.
 FAULTS = [
     ("San Andreas", [(-124.1, 40.5), (-122.5, 38.0), (-121.5, 36.9), (-120.5, 35.8), (-119.5, 34.5), (-117.8, 33.9), (-116.5, 33.2)]),
@@ -113,21 +111,31 @@ def parse_geojson_points(lines: DataFrame, column: str = "value") -> DataFrame:
 def read_geojson_points(spark: SparkSession, path: str) -> DataFrame:
     """FeatureCollection documents -> points (``lon, lat, depth, mag, time, place``), time ascending.
 
+    One document is one task (a page's export); large sets are written feature per
+    line and read with ``read_geojson_lines``.
     Missing magnitude reads as 0 and missing place as ``Unknown``, as the regional page does.
     """
     doc = spark.read.schema(POINT_COLLECTION).option("multiLine", "true").json(path)
     return doc.select(F.explode("features").alias("f")).select(*_points(F.col("f"))).orderBy(*POINT_ORDER)
 
 
+def regional_events(points: DataFrame) -> DataFrame:
+    """Regional points under the catalog's names, as the regional operators read them (no ``id``)."""
+    return points.select("time", "lat", "lon", F.col("depth").alias("depth_km"), F.col("mag").alias("magnitude"), "place")
+
+
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Feature-per-line files -> regional points, time ascending: files are split over tasks at any size."""
+    return parse_geojson_points(spark.read.text(path))
+
+
 def line_segments(df: DataFrame, type_col: str = "type", coords_col: str = "coordinates",
-                  keys: list[str] | None = None, multi_fallback: bool = False,
-                  with_positions: bool = False) -> DataFrame:
+                  keys: list[str] | None = None, multi_fallback: bool = False) -> DataFrame:
     """Consecutive point pairs of every line.
 
     ``LineString`` gives its pairs, ``MultiLineString`` the pairs of each part; any
     other type gives none, or (``multi_fallback``, the coastline reader) is read
-    as multi. Output: keys, ``line_idx``, ``seg_idx``, ``lon1, lat1, lon2, lat2``
-    and, with ``with_positions``, globe positions just above the surface.
+    as multi. Output: keys, ``line_idx``, ``seg_idx``, ``lon1, lat1, lon2, lat2``.
     """
     keys = keys or []
     t, c = F.col(type_col), F.col(coords_col)
@@ -139,29 +147,29 @@ def line_segments(df: DataFrame, type_col: str = "type", coords_col: str = "coor
     n = F.size("line")
     pairs = F.when(n >= 2, F.arrays_zip(F.slice("line", 1, n - 1).alias("a"), F.slice("line", 2, n - 1).alias("b")))
     segs = exploded.select(*keys, "line_idx", F.posexplode(F.coalesce(pairs, F.array().cast("array<struct<a:array<double>,b:array<double>>>"))).alias("seg_idx", "p"))
-    out = segs.select(
+    return segs.select(
         *keys, "line_idx", "seg_idx",
         F.element_at("p.a", 1).alias("lon1"), F.element_at("p.a", 2).alias("lat1"),
         F.element_at("p.b", 1).alias("lon2"), F.element_at("p.b", 2).alias("lat2"),
     )
-    if with_positions:
-        out = out.withColumn("p1", to_cartesian("lat1", "lon1", F.lit(-2.0))).withColumn(
-            "p2", to_cartesian("lat2", "lon2", F.lit(-2.0)))
-    return out
 
 
 def read_line_segments(spark: SparkSession, path: str, multi_fallback: bool = False) -> DataFrame:
-    """Border / coastline FeatureCollection files -> segments (feature position as key)."""
+    """Border / coastline FeatureCollection files -> segments (file and feature position as keys)."""
     doc = spark.read.schema(LINE_COLLECTION).option("multiLine", "true").json(path)
-    feats = doc.select(F.posexplode("features").alias("feature", "f")).select(
-        "feature", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"))
-    return line_segments(feats, keys=["feature"], multi_fallback=multi_fallback)
+    feats = doc.select(F.col("_metadata.file_name").alias("file"), F.posexplode("features").alias("feature", "f")).select(
+        "file", "feature", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"))
+    return line_segments(feats, keys=["file", "feature"], multi_fallback=multi_fallback)
 
 
 def polyline_segments(df: DataFrame, key: str = "line_id", points: str = "points") -> DataFrame:
-    """``(key, array<struct<lon, lat>>)`` polylines through the same segment step."""
-    coords = F.to_json(F.transform(F.col(points), lambda p: F.array(p["lon"].cast("double"), p["lat"].cast("double"))))
-    return line_segments(df.select(key, F.lit("LineString").alias("type"), coords.alias("coordinates")), keys=[key])
+    """Consecutive point pairs of ``(key, array<struct<lon, lat>>)`` polylines, ``line_idx`` 0."""
+    p = F.col(points)
+    n = F.coalesce(F.size(p), F.lit(0))
+    pairs = F.when(n >= 2, F.arrays_zip(F.slice(p, 1, n - 1).alias("a"), F.slice(p, 2, n - 1).alias("b")))
+    segs = df.select(key, F.posexplode(pairs).alias("seg_idx", "p"))
+    ends = [F.col(f"p.{s}.{c}").cast("double").alias(f"{c}{i}") for i, s in ((1, "a"), (2, "b")) for c in ("lon", "lat")]
+    return segs.select(key, F.lit(0).alias("line_idx"), "seg_idx", *ends)
 
 
 def fault_lines(spark: SparkSession) -> DataFrame:

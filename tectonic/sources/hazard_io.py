@@ -3,9 +3,9 @@
 Two layouts: one JSON object per cell with the model constants on every row
 (``write_hazard``), and the viewer's single document
 ``{"mc": 4.5, "catalog_years": 36, "cells": [[lat, lon, a, b, n], ...]}``
-(``write_hazard_document``). The cell table has a proven bound (one row per
-2-degree cell, at most 16,200), so gathering it into one file or one document
-in a single task is safe.
+(``write_hazard_document``). The viewer's grid has at most 16,200 cells of 2
+degrees; the document refuses cells of any other grid, so gathering it in one
+row is bounded.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ HAZARD_SCHEMA = T.StructType([
 
 def write_hazard(cells: DataFrame, path: str) -> None:
     cols = [f.name for f in HAZARD_SCHEMA.fields]
-    cells.select(*cols).coalesce(1).write.mode("overwrite").json(path)
+    cells.select(*cols).write.mode("overwrite").json(path)
 
 
 def read_hazard(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +35,12 @@ def read_hazard(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hazard_document(cells: DataFrame) -> DataFrame:
-    """One row, one column ``value``: the viewer's hazard document, cells sorted by (lat, lon)."""
+    """One row, one column ``value``: the viewer's hazard document, cells sorted by (lat, lon).
+
+    Fails on cells that are not centred on the viewer's 2-degree grid.
+    """
+    centred = (F.pmod(F.col("lat") - 1.0, F.lit(2.0)) == 0) & (F.pmod(F.col("lon") - 1.0, F.lit(2.0)) == 0)
+    cells = cells.where(F.coalesce(centred, F.lit(False)) | F.raise_error(F.lit("the hazard document holds 2-degree cells only")).cast("boolean"))
     as_json = F.to_json(F.array(*[F.expr(f"CAST({c} AS VARIANT)") for c in ("lat", "lon", "a", "b", "n")]))
     return cells.agg(
         F.first("mc").alias("mc"), F.first("catalog_years").alias("catalog_years"),
@@ -48,7 +53,7 @@ def hazard_document(cells: DataFrame) -> DataFrame:
 
 
 def write_hazard_document(cells: DataFrame, path: str) -> None:
-    hazard_document(cells).coalesce(1).write.mode("overwrite").text(path)
+    hazard_document(cells).write.mode("overwrite").text(path)
 
 
 def read_hazard_document(spark: SparkSession, path: str) -> DataFrame:

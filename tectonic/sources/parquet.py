@@ -4,14 +4,18 @@ Layout under a catalog root ``path``::
 
     archive/year=YYYY/*.parquet           core columns, sorted by time within files
     landing/land_date=YYYY-MM-DD/*.parquet core + row_seq
-    landed_days/land_date=YYYY-MM-DD/      n (rows landed that day; 0 is a landed empty day)
+    landed_days/year=YYYY/*.parquet        land_date, n (rows landed; 0 is a landed empty day), at (run number)
+    pending_years/*.parquet                years whose exports a running merge has made stale
 
-All writes use dynamic partition overwrite, so only the partitions a job
-produces are replaced, and commit only when every task has finished.
+Archive and landing writes use dynamic partition overwrite, so only the partitions
+a job produces are replaced, and commit only when every task has finished.
+``landed_days`` is appended to, one file per run and year; the latest run counts.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +25,9 @@ from ..schema import CORE_COLUMNS, CORE_SCHEMA, LANDED_DAYS_SCHEMA, LANDING_SCHE
 
 ARCHIVE_SCHEMA = T.StructType(CORE_SCHEMA.fields + [T.StructField("year", T.IntegerType(), True)])
 
+LANDED_LOG_SCHEMA = T.StructType(LANDED_DAYS_SCHEMA.fields + [
+    T.StructField("at", T.LongType(), True), T.StructField("year", T.IntegerType(), True)])
+
 # Rows per output file when the archive is written (bounded files at any scale).
 MAX_RECORDS_PER_FILE = 5_000_000
 
@@ -45,6 +52,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    s, t = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    fs = s.getFileSystem(conf)
+    fs.mkdirs(t.getParent())
+    if not fs.rename(s, t):
+        raise OSError(f"could not move {source} to {target}")
+
+
 def _has_data(spark: SparkSession, path: str) -> bool:
     if not _exists(spark, path):
         return False
@@ -81,10 +98,9 @@ def write_catalog(df: DataFrame, path: str, partitions: int | None = None) -> No
     Range-partitioned on ``(year, time)``: a year holding a third of all rows is
     spread over many tasks, each writing a time-sorted file (tight row-group
     statistics for time filters), instead of one task per year; ``id`` breaks
-    ties so a single hot millisecond spreads too. Without an
-    explicit ``partitions`` the range shuffle starts at
-    ``spark.sql.shuffle.partitions`` and AQE coalesces it to the advisory
-    partition size, so task size follows the data, not a constant.
+    ties so a single hot millisecond spreads too. Without an explicit
+    ``partitions`` the session's shuffle partition count applies, and files are
+    split at ``MAX_RECORDS_PER_FILE``.
     """
     if "year" not in df.columns:
         df = df.withColumn("year", year_of("time"))
@@ -107,32 +123,89 @@ def read_landing(spark: SparkSession, path: str, year: int | None = None) -> Dat
     return df
 
 
-def read_landed_days(spark: SparkSession, path: str) -> DataFrame:
+def _landed_log(spark: SparkSession, path: str) -> DataFrame:
     p = _join(path, "landed_days")
     if not _has_data(spark, p):
-        return spark.createDataFrame([], LANDED_DAYS_SCHEMA)
-    return spark.read.schema(LANDED_DAYS_SCHEMA).parquet(p)
+        return spark.createDataFrame([], LANDED_LOG_SCHEMA)
+    return spark.read.schema(LANDED_LOG_SCHEMA).parquet(p)
+
+
+def read_landed_days(spark: SparkSession, path: str) -> DataFrame:
+    """(land_date, n) of every landed day, as its latest landing left it."""
+    log = _landed_log(spark, path)
+    return log.groupBy("land_date").agg(F.max_by("n", "at").alias("n"))
+
+
+def _partition_values(spark: SparkSession, path: str, column: str) -> set[str]:
+    """Values of the partition folders under ``path`` (at most one per day or year)."""
+    if not _has_data(spark, path):
+        return set()
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    names = [s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+    return {n.split("=", 1)[1] for n in names if n.startswith(f"{column}=")}
+
+
+# Salts per landing day: a day holding most rows is written by several tasks.
+LANDING_SALTS = 32
 
 
 def land_daily(df: DataFrame, path: str, days: DataFrame | None = None) -> None:
     """Land rows per ``land_date`` and record the landed days with their row counts.
 
-    ``days`` (column ``land_date``) lists every day that was requested, so a day
-    that returned no rows is recorded with ``n = 0`` and is not asked for again.
-    ``row_seq`` must hold the arrival order within a day (the service returns
-    time ascending; ``time`` is used when absent).
+    ``days`` (column ``land_date``) lists every day that was requested: a day that
+    returned no rows loses what an earlier landing left, and is recorded with
+    ``n = 0`` so that it is not asked for again. ``row_seq`` must hold the arrival
+    order within a day (the service returns time ascending; ``time`` is used when
+    absent). The source is evaluated once: rows are dealt by day and id, and the
+    counts come from the partitions just written.
     """
+    spark = df.sparkSession
     if "row_seq" not in df.columns:
         df = df.withColumn("row_seq", F.col("time"))
     rows = df.select(*CORE_COLUMNS, "land_date", "row_seq")
-    keys = ["land_date", "row_seq", "id"]
-    spread = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    _dynamic_writer(spread).partitionBy("land_date").parquet(_join(path, "landing"))
-    counts = rows.groupBy("land_date").agg(F.count(F.lit(1)).alias("n"))
+    landing, stage = _join(path, "landing"), _join(path, f"landing_stage-{uuid.uuid4().hex}")
+    spread = rows.repartition("land_date", F.pmod(F.xxhash64("id", "row_seq"), F.lit(LANDING_SALTS)))
+    _dynamic_writer(spread.sortWithinPartitions("land_date", "row_seq", "id")).partitionBy("land_date").parquet(stage)
+    got = _partition_values(spark, stage, "land_date")
+    asked = {r[0].isoformat() for r in days.select("land_date").distinct().collect()} if days is not None else set()
+    counts = spark.createDataFrame([], LANDED_DAYS_SCHEMA)
+    if got:
+        landed = spark.read.schema(LANDING_SCHEMA).parquet(stage)
+        counts = landed.groupBy("land_date").agg(F.count(F.lit(1)).alias("n"))
     if days is not None:
         zeros = days.select("land_date").distinct().withColumn("n", F.lit(0).cast("long"))
-        counts = zeros.unionByName(counts).groupBy("land_date").agg(F.max("n").alias("n"))
-    _dynamic_writer(counts.coalesce(1)).partitionBy("land_date").parquet(_join(path, "landed_days"))
+        counts = counts.unionByName(zeros).groupBy("land_date").agg(F.max("n").alias("n"))
+    last = _landed_log(spark, path).agg(F.max("at")).first()[0]
+    log = counts.where("land_date IS NOT NULL").withColumn("at", F.lit((last or 0) + 1).cast("long")).withColumn("year", F.year("land_date"))
+    # the record comes last: a day counts as landed only when its rows are in place
+    record = _join(path, f"landed_stage-{uuid.uuid4().hex}")
+    log.write.parquet(record)
+    for day in sorted(got | asked):
+        _delete(spark, _join(landing, f"land_date={day}"))
+        if day in got:
+            _move(spark, _join(stage, f"land_date={day}"), _join(landing, f"land_date={day}"))
+    spark.read.schema(T.StructType([*LANDED_LOG_SCHEMA.fields])).parquet(record).repartition("year").write.mode(
+        "append").partitionBy("year").parquet(_join(path, "landed_days"))
+    _delete(spark, stage)
+    _delete(spark, record)
+
+
+def mark_pending(spark: SparkSession, path: str, years: list[int]) -> None:
+    """Note years whose exports are about to become stale; they stay noted until ``clear_pending``."""
+    if years:
+        spark.createDataFrame([(int(y),) for y in years], "year int").coalesce(1).write.mode("append").parquet(_join(path, "pending_years"))
+
+
+def pending_years(spark: SparkSession, path: str) -> set[int]:
+    p = _join(path, "pending_years")
+    if not _has_data(spark, p):
+        return set()
+    return {r[0] for r in spark.read.schema("year int").parquet(p).distinct().collect()}
+
+
+def clear_pending(spark: SparkSession, path: str) -> None:
+    _delete(spark, _join(path, "pending_years"))
 
 
 def drop_archive_years(spark: SparkSession, path: str, years: list[int]) -> None:

@@ -1,22 +1,23 @@
 """Structured Streaming: live snapshot, streaming upsert, moving-window statistics.
 
 The reference polls the catalog service every 60 s and replaces its snapshot;
-here landed CSV files are a file source, normalized as they arrive.
-``foreachBatch`` sinks reuse the batch operators (``upsert``) so a replayed
-batch changes nothing: the landing rank of a row is ``(batch_id, position)``,
-and keep-last over identical rows is idempotent.
+here landed CSV files are a file source, normalized as they arrive. The
+streaming upsert only appends each micro-batch to the landing area; readers see
+it through the SQL view, and a scheduled ``merge_landing`` rewrites the archive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_even
 from ..operators.filters import today_events
-from ..plans.sync import upsert
+from ..schema import CORE_COLUMNS
 from ..session import ensure_utc
-from ..sources.csv import RAW_TEXT_SCHEMA, apply_null_markers, normalize
+from ..sources.csv import CSV_OPTIONS, RAW_TEXT_SCHEMA, apply_null_markers, normalize
 from ..sources.geojson import geojson_point_rows
 
 DEFAULT_TRIGGER = "60 seconds"
@@ -36,14 +37,21 @@ def interval_text(ms: int | str) -> str:
     return " ".join(parts) or "0 seconds"
 
 
-def live_stream(spark: SparkSession, landing_csv: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming frame of normalized events from CSV files dropped into ``landing_csv``."""
+def live_stream(spark: SparkSession, landing_csv: str, max_files_per_trigger: int | None = None,
+                keep_poll: bool = False) -> DataFrame:
+    """Streaming frame of normalized events from CSV files dropped into ``landing_csv``.
+
+    A stream has one schema: a file whose header names other columns, or another
+    order, fails the query instead of filling the wrong columns. ``poll_ms`` is
+    the time its poll file was written.
+    """
     ensure_utc(spark)
-    reader = spark.readStream.schema(RAW_TEXT_SCHEMA).option("header", "true")
+    reader = spark.readStream.schema(RAW_TEXT_SCHEMA).options(**CSV_OPTIONS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     raw = reader.csv(landing_csv)
-    return normalize(apply_null_markers(raw))
+    raw = raw.select("*", F.unix_millis(F.col("_metadata.file_modification_time")).alias("poll_ms"))
+    return normalize(apply_null_markers(raw), keep=["poll_ms"] if keep_poll else [])
 
 
 def point_stream(spark: SparkSession, landing_geojson: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -58,13 +66,19 @@ def _trigger(writer, available_now: bool, interval: str):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
 
 
-def start_live_snapshot(stream: DataFrame, path: str, checkpoint: str, now_ms: int,
+def start_live_snapshot(stream: DataFrame, path: str, checkpoint: str, now_ms: Callable[[], int],
                         available_now: bool = False, interval: str = DEFAULT_TRIGGER):
-    """Keep ``path`` holding today's events; an empty or failed poll keeps the previous snapshot."""
+    """Keep ``path`` holding today's events as the latest poll has them.
+
+    ``stream`` is ``live_stream(keep_poll=True)``; of several poll files in a batch
+    the newest counts. ``now_ms`` is asked once per batch, so later events and the
+    next midnight are seen. A poll without events of today empties the snapshot; a
+    failed batch leaves it as it is.
+    """
     def replace(batch: DataFrame, batch_id: int) -> None:
-        today = today_events(batch, now_ms)
-        if today.take(1):
-            today.write.mode("overwrite").parquet(path)
+        newest = batch.agg(F.max("poll_ms").alias("poll_ms")).scalar()
+        today = today_events(batch.where(F.col("poll_ms") == newest).drop("poll_ms"), now_ms())
+        today.write.mode("overwrite").parquet(path)
 
     w = stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()
@@ -72,25 +86,26 @@ def start_live_snapshot(stream: DataFrame, path: str, checkpoint: str, now_ms: i
 
 def start_stream_upsert(stream: DataFrame, path: str, checkpoint: str,
                         available_now: bool = False, interval: str = DEFAULT_TRIGGER):
-    """Merge every micro-batch into the year-partitioned archive at ``path`` (later versions win)."""
-    def merge(batch: DataFrame, batch_id: int) -> None:
+    """Append every micro-batch to the landing area at ``path`` (later batches win when merged).
+
+    A batch writes one landing partition named by its number, so a replayed batch
+    overwrites itself; neither the archive nor earlier batches are read. The SQL
+    view serves the rows at once, ``plans.sync.merge_landing`` moves them into the
+    archive.
+    """
+    def land(batch: DataFrame, batch_id: int) -> None:
         # later batches win; within a batch the service's order (time ascending)
-        ranked = batch.select(
-            "*",
-            F.date_add(F.lit("1970-01-01").cast("date"), F.lit(int(batch_id))).alias("land_date"),
-            F.col("time").alias("row_seq"),
-        ).persist()
-        try:
-            upsert(batch.sparkSession, path, ranked)
-        finally:
-            ranked.unpersist()
-
-    w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        day = F.date_add(F.lit("1970-01-01").cast("date"), F.lit(int(batch_id)))
+        rows = batch.select(*CORE_COLUMNS, day.alias("land_date"), F.col("time").alias("row_seq"))
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("land_date").parquet(f"{path.rstrip('/')}/landing"))
+
+    w = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()
 
 
 def stream_window_stats(stream: DataFrame, duration, step, lateness, digits: int = 4) -> DataFrame:
-    """Sliding-window statistics with a watermark: late rows beyond ``lateness`` leave the running
+    """Sliding-window statistics of streamed web rows with a watermark: late rows beyond ``lateness`` leave the running
     statistics (the batch ``window_series`` over the merged archive stays the reference).
 
     A late row is dropped once the watermark of an earlier batch has passed it;

@@ -20,7 +20,8 @@ from .functions.numeric import round_half_even as rnd
 from .operators import dedupe, filters, hazard, nearest, series, stats, topk
 from .plans import calendar, splits
 from .plans import sync as sync_plan
-from .schema import YEAR_MS
+from .plans import view
+from .schema import DAY_MS, YEAR_MS
 from .session import scratch_path
 from .sources import csv as csv_src
 from .sources import geojson, hazard_io, views, web
@@ -89,9 +90,11 @@ def q_hazard_raster(spark, sf_dir):
 SPLIT_LAND_DATE = "2024-01-15"   # rows landed before it form the archive, the rest the landing area
 
 
+VIEW = (VIEW_START_MS, VIEW_DURATION_MS, VIEW_MIN_MAG, VIEW_MAX_DEPTH)
+
+
 def _view_rows(spark, sf_dir):
-    c = load_catalog(spark, sf_dir)
-    return filters.view_filter(c, VIEW_START_MS, VIEW_DURATION_MS, VIEW_MIN_MAG, VIEW_MAX_DEPTH)
+    return view.view_rows(load_catalog(spark, sf_dir), *VIEW)
 
 
 @register("min_magnitude")
@@ -117,7 +120,7 @@ def q_event_range(spark, sf_dir):
 
 @register("regional_filter")
 def q_regional_filter(spark, sf_dir):
-    return filters.regional_filter(load_catalog(spark, sf_dir), show_micro=False, min_mag=4.8)
+    return filters.regional_filter(load_catalog(spark, sf_dir), show_micro=False, min_mag=4.6)
 
 
 @register("trailing_days")
@@ -137,7 +140,7 @@ def q_facing(spark, sf_dir):
 
 @register("window_stats")
 def q_window_stats(spark, sf_dir):
-    return stats.window_stats(web.web_rows(_view_rows(spark, sf_dir), min_mag=None))
+    return stats.window_stats(_view_rows(spark, sf_dir))
 
 
 @register("yearly_counts")
@@ -150,9 +153,23 @@ def q_visible_recent(spark, sf_dir):
     return topk.visible_recent(_view_rows(spark, sf_dir))
 
 
+# Fixed value: a projection x view matrix (16 numbers, column order) of a 50-degree camera at (0, 0, 3),
+# near plane 0.1 and far plane 100.
+CAMERA_MATRIX = (2.144506920509559, 0.0, 0.0, 0.0, 0.0, 2.144506920509559, 0.0, 0.0,
+                 0.0, 0.0, -1.002002002002002, -1.0, 0.0, 0.0, 2.8058058058058056, 3.0)
+FRUSTUM_CAMERA = (0.0, 0.0, 3.0)
+
+
+@register("visible_frustum")
+def q_visible_frustum(spark, sf_dir):
+    rows = web.web_rows(load_catalog(spark, sf_dir), min_mag=4.5)
+    zoomed = tuple(v * (2.5 if i in (0, 5) else 1.0) for i, v in enumerate(CAMERA_MATRIX))
+    return filters.in_frustum(filters.facing(rows, FRUSTUM_CAMERA), zoomed)
+
+
 @register("significant")
 def q_significant(spark, sf_dir):
-    return topk.significant(load_catalog(spark, sf_dir), 3.0, 12)
+    return topk.significant(load_catalog(spark, sf_dir), 3.1, 12)
 
 
 @register("playhead")
@@ -170,21 +187,23 @@ def q_timeline_ticks(spark, sf_dir):
     return stats.timeline_ticks(load_catalog(spark, sf_dir))
 
 
-def _register_catalog_views(spark, sf_dir):
+def _stored(spark, sf_dir):
+    """A stored catalog: rows landed early merged into the archive, later ones in the landing area."""
+    path = _scratch(spark, "stored")
     c = load_catalog(spark, sf_dir)
     early = F.col("land_date") < F.lit(SPLIT_LAND_DATE).cast("date")
-    archive = dedupe.compact(c.filter(early))
-    views.register_frames(spark, archive, c.filter(~early))
+    pq.write_catalog(dedupe.compact(c.filter(early)), path)
+    pq.land_daily(c.filter(~early), path)
+    return path
 
 
 def _sql(text):
     def run(spark, sf_dir):
-        _register_catalog_views(spark, sf_dir)
-        return spark.sql(text)
+        return views.query(spark, _stored(spark, sf_dir), text)
     return run
 
 
-# The reference's documented ad-hoc queries (ties broken by time and id where it limits).
+# The documented ad-hoc queries (ties broken by time and id where it limits).
 SQL_TEXT = {
     "sql_count": "SELECT COUNT(*) AS n FROM events",
     "sql_top_magnitude": "SELECT * FROM events WHERE magnitude >= 8.0 ORDER BY magnitude DESC, time, id LIMIT 20",
@@ -192,6 +211,8 @@ SQL_TEXT = {
     "sql_region": "SELECT * FROM events WHERE magnitude >= 5.0 AND lat BETWEEN 32 AND 49 "
                   "AND lon BETWEEN -125 AND -114 ORDER BY time, id LIMIT 20",
     "sql_count_all": "SELECT COUNT(*) AS n FROM events_all",
+    # pruned by the year partition and a pushed magnitude
+    "sql_stored_archive": "SELECT * FROM events WHERE year BETWEEN 1995 AND 2004 AND magnitude >= 4.75",
 }
 for _k, _t in SQL_TEXT.items():
     QUERIES[_k] = _sql(_t)
@@ -207,6 +228,30 @@ SPLIT_START_MS, SPLIT_END_MS = 473_385_600_000, 1_735_689_600_000   # 1985-01-01
 SPLIT_MAX_ROWS = 1000
 
 
+@register("moving_view")
+def q_moving_view(spark, sf_dir):
+    path = _scratch(spark, "moving")
+    c = load_catalog(spark, sf_dir)
+    midnight = filters.utc_midnight(NOW_MS)
+    pq.write_catalog(c.filter(F.col("time") < midnight), path)
+    live_rows = filters.today_events(c, NOW_MS).select(*CORE)
+    return view.moving_view(pq.read_catalog(spark, path), live_rows, *VIEW)
+
+
+@register("year_pruning")
+def q_year_pruning(spark, sf_dir):
+    path = _scratch(spark, "pruned")
+    pq.write_catalog(load_catalog(spark, sf_dir), path)
+    return filters.event_range(pq.read_catalog(spark, path), 946_684_800_000, 978_307_200_000, 4.5)   # 2000
+
+
+@register("view_progress")
+def q_view_progress(spark, sf_dir):
+    rows = load_catalog(spark, sf_dir)
+    at = style_fn.view_progress("time", SPLIT_START_MS, SPLIT_END_MS - SPLIT_START_MS)
+    return rows.select("id", "time", rnd(at, 9).alias("progress"))
+
+
 def _archive_and_landing(spark, sf_dir):
     c = load_catalog(spark, sf_dir)
     early = F.col("land_date") < F.lit(SPLIT_LAND_DATE).cast("date")
@@ -282,8 +327,9 @@ def q_web_rows_5(spark, sf_dir):
 
 @register("read_web_json")
 def q_read_web_json(spark, sf_dir):
-    rows = web.web_rows(load_catalog(spark, sf_dir), min_mag=4.0)
-    return web.parse_web_lines(web.web_json_lines(rows))
+    path = _scratch(spark, "web")
+    web.write_web_json(web.web_rows(load_catalog(spark, sf_dir), min_mag=4.0, keep_year=True), path)
+    return web.read_web_json(spark, path)
 
 
 @register("geojson_features")
@@ -304,15 +350,55 @@ def q_geojson_features(spark, sf_dir):
 
 @register("geojson_points")
 def q_geojson_points(spark, sf_dir):
-    return geojson.parse_geojson_points(geojson.geojson_lines(load_catalog(spark, sf_dir)))
+    path = _scratch(spark, "points")
+    geojson.write_geojson(load_catalog(spark, sf_dir), path)
+    return geojson.read_geojson_lines(spark, path)
+
+
+@register("regional_chain")
+def q_regional_chain(spark, sf_dir):
+    """The regional page: file, points, toggle, then each event's tick and freshness with the nearest and the page's statistics."""
+    path = _scratch(spark, "regional")
+    geojson.write_geojson(load_catalog(spark, sf_dir), path)
+    points = geojson.read_geojson_lines(spark, path)
+    whole = stats.window_stats(points, mag="mag", depth="depth").agg(F.struct(F.first("n").alias("n"), F.first("max_magnitude").alias("m")).alias("s")).scalar()
+    rows = filters.regional_filter(geojson.regional_events(points), min_mag=4.6)
+    ticks = stats.timeline_ticks(rows).select("time", "magnitude", "pct", "height", "color")
+    top = topk.significant(rows, 4.6, 12).select("time", "lat", "lon")
+    px, py = geo_fn.project_box("lat", "lon", WORLD, WORLD_W, WORLD_H)
+    hover = nearest.nearest_event(top.select((px + 3.0).alias("px"), (py - 2.0).alias("py")).distinct(), rows, WORLD, WORLD_W, WORLD_H)
+    fresh = topk.freshness(rows).where("freshness > 0")
+    kinds = [
+        ticks.agg(F.lit("ticks").alias("part"), F.count(F.lit(1)).alias("n"), rnd(F.sum("pct"), 3).alias("a"), rnd(F.sum("height"), 3).alias("b")),
+        top.agg(F.lit("significant").alias("part"), F.count(F.lit(1)).alias("n"), F.sum("lat").alias("a"), F.sum("lon").alias("b")),
+        hover.agg(F.lit("nearest").alias("part"), F.count("time").alias("n"), rnd(F.sum("dist"), 3).alias("a"), rnd(F.max("dist"), 3).alias("b")),
+        fresh.agg(F.lit("fresh").alias("part"), F.count(F.lit(1)).alias("n"), rnd(F.sum("freshness"), 6).alias("a"), F.max("freshness").alias("b")),
+        rows.agg(F.lit("rows").alias("part"), F.count(F.lit(1)).alias("n"), whole["n"].cast("double").alias("a"), whole["m"].alias("b")),
+    ]
+    out = kinds[0]
+    for k in kinds[1:]:
+        out = out.unionByName(k)
+    return out
 
 
 @register("line_segments")
 def q_line_segments(spark, sf_dir):
-    geoms = geojson.event_geometry_text(load_catalog(spark, sf_dir))
+    # one feature per line, as large sets are written
+    path = _scratch(spark, "lines")
+    geojson.event_geometry_text(load_catalog(spark, sf_dir)).write.json(path)
+    geoms = spark.read.schema("feature long, type string, coordinates string").json(path)
     return geojson.line_segments(geoms, keys=["feature"])
 
 
+@register("polyline_segments")
+def q_polyline_segments(spark, sf_dir):
+    """Tracks of each user's first eight events in time order, as polylines."""
+    c = load_catalog(spark, sf_dir).where("row_seq % 8 < 4")
+    track = c.groupBy(F.expr("row_seq div 8").alias("line_id")).agg(F.sort_array(F.collect_list(
+        F.struct("row_seq", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")))).alias("p"))
+    return geojson.polyline_segments(track.select("line_id", F.transform("p", lambda p: F.struct(p["lon"], p["lat"])).alias("points")))
+
+
 @register("to_cartesian")
 def q_to_cartesian(spark, sf_dir):
     c = load_catalog(spark, sf_dir)
@@ -371,7 +457,7 @@ def q_point_size(spark, sf_dir):
 def q_window_age(spark, sf_dir):
     rows = _view_rows(spark, sf_dir)
     age = style_fn.window_age("time", VIEW_START_MS, VIEW_START_MS + VIEW_DURATION_MS)
-    return rows.select("id", "time", rnd(age, 9).alias("age"), rnd(style_fn.age_fade(age), 9).alias("fade"))
+    return rows.select("time", "magnitude", rnd(age, 9).alias("age"), rnd(style_fn.age_fade(age), 9).alias("fade"))
 
 
 @register("heat_rgb")
@@ -403,6 +489,19 @@ def q_event_label(spark, sf_dir):
     )
 
 
+@register("time_label")
+def q_time_label(spark, sf_dir):
+    return load_catalog(spark, sf_dir).select("id", "time", label_fn.time_label("time").alias("clock"))
+
+
+@register("exact_label")
+def q_exact_label(spark, sf_dir):
+    """Coordinates with four decimals, as real rows have them: three-decimal labels meet halves."""
+    c = load_catalog(spark, sf_dir).select("row_seq", (F.col("lat").cast("double") + (F.col("row_seq") % 9973) / F.lit(10000.0)).alias("lat"))
+    return c.select("row_seq", "lat", label_fn.to_fixed("lat", 3).alias("three"), label_fn.to_fixed("lat", 1).alias("one"),
+                    label_fn.to_fixed("lat", 0).alias("zero"))
+
+
 @register("date_label")
 def q_date_label(spark, sf_dir):
     return load_catalog(spark, sf_dir).select("id", "time", label_fn.date_label("time").alias("date"))
@@ -419,7 +518,7 @@ WORLD_W, WORLD_H = 7200.0, 3600.0
 
 @register("window_series")
 def q_window_series(spark, sf_dir):
-    rows = web.web_rows(load_catalog(spark, sf_dir), min_mag=4.5)
+    rows = web.web_rows(load_catalog(spark, sf_dir), min_mag=4.4).where("magnitude >= 4.5")   # rounded, then filtered
     return series.window_series(rows, SERIES_START_MS, SERIES_END_MS, YEAR_MS, YEAR_MS // 4)
 
 
@@ -444,6 +543,7 @@ def q_nearest_event(spark, sf_dir):
 
 
 
+SNAPSHOT_NOW_MS = 1_714_564_800_000     # 2024-05-01T12:00:00Z
 STREAM_WINDOW = ("30 days", "10 days", "1 day")
 
 
@@ -481,9 +581,6 @@ def q_read_hazard(spark, sf_dir):
     return hazard_io.read_hazard(spark, path)
 
 
-_RAW_CSV: dict = {}
-
-
 @register("hazard_document")
 def q_hazard_document(spark, sf_dir):
     path = _scratch(spark, "hazard-doc")
@@ -492,30 +589,65 @@ def q_hazard_document(spark, sf_dir):
 
 
 def _raw_csv(spark, sf_dir, by_day=True):
-    """The landed CSV input rendered from ``events`` (the catalog service's files).
-
-    It is input data, not operator work, so it is rendered once per process and
-    table folder and reused while it exists.
-    """
-    key = (sf_dir, by_day)
-    path = _RAW_CSV.get(key)
-    if path is None or not pq._has_data(spark, path):
-        path = _scratch(spark, "raw")
-        c = load_catalog(spark, sf_dir)
-        csv_src.write_event_csv(csv_src.raw_text_from_catalog(c), path, by_day=by_day)
-        _RAW_CSV[key] = path
+    """The landed CSV input rendered from ``events`` (the catalog service's files)."""
+    path = _scratch(spark, "raw")
+    csv_src.write_event_csv(csv_src.raw_text_from_catalog(load_catalog(spark, sf_dir)), path, by_day=by_day)
     return path
 
 
+@register("read_csv")
+def q_read_csv(spark, sf_dir):
+    """Files of two column orders and quoted places, read by name."""
+    path = _scratch(spark, "two-headers")
+    raw = csv_src.raw_text_from_catalog(load_catalog(spark, sf_dir)).withColumn(
+        "place", F.when(F.col("place") == "null", F.col("place")).otherwise(F.concat(F.lit('7 km NW of "'), F.col("place"), F.lit('", CA'))))
+    cols = [c for c in raw.columns if c not in ("land_date", "row_seq")]
+    for k, order in enumerate((cols, cols[::-1])):
+        (raw.where(F.col("row_seq") % 2 == k).select(*order).write.option("header", "true").option("emptyValue", "")
+         .option("escape", '"').csv(f"{path}/{k}"))
+    return csv_src.normalize(csv_src.read_event_csv(spark, [f"{path}/0", f"{path}/1"]))
+
+
 @register("sync")
 def q_sync(spark, sf_dir):
     raw = _raw_csv(spark, sf_dir)
     path = _scratch(spark, "sync")
-    sync_plan.sync(spark, raw, path, "2024-01-01", "2024-01-31", min_mag=2.5, export_mag=4.0,
-                   web_path=path + "/web")
+    sync_plan.sync(spark, raw, path, min_mag=2.5, export_mag=4.0, web_path=path + "/web")
     return pq.read_catalog(spark, path)
 
 
+@register("append_then_sync")
+def q_append_then_sync(spark, sf_dir):
+    """Every day landed by itself; a sync with nothing missing merges and exports all of it."""
+    raw_path = _raw_csv(spark, sf_dir)
+    path = _scratch(spark, "appended")
+    raw = csv_src.read_event_csv(spark, raw_path)
+    for day in sorted(pq._partition_values(spark, raw_path, "land_date"))[:3]:
+        sync_plan.append_day(spark, raw, path, day)
+    rest = calendar.day_calendar(spark, *_day_span(spark, raw_path)).join(pq.read_landed_days(spark, path), "land_date", "left_anti")
+    sync_plan.land_raw_days(spark, raw, path, rest, 2.5)
+    sync_plan.sync(spark, raw_path, path, export_mag=4.0, web_path=path + "/web")
+    return web.read_web_json(spark, path + "/web")
+
+
+def _day_span(spark, raw_path):
+    days = sorted(pq._partition_values(spark, raw_path, "land_date"))
+    return days[0], days[-1]
+
+
+@register("reland_empty_day")
+def q_reland_empty_day(spark, sf_dir):
+    """All days landed, then the first one again without rows: its rows and count go."""
+    path = _scratch(spark, "reland")
+    c = load_catalog(spark, sf_dir)
+    pq.land_daily(c, path)
+    first = c.agg(F.min("land_date").alias("land_date"))
+    pq.land_daily(c.limit(0), path, first)
+    counts = pq.read_landing(spark, path).groupBy("land_date").agg(F.count(F.lit(1)).alias("rows"))
+    return pq.read_landed_days(spark, path).join(counts, "land_date", "left").select(
+        "land_date", "n", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"))
+
+
 @register("live_stream")
 def q_live_stream(spark, sf_dir):
     raw = _raw_csv(spark, sf_dir, by_day=False)
@@ -531,13 +663,33 @@ def q_stream_upsert(spark, sf_dir):
     raw = _raw_csv(spark, sf_dir, by_day=False)
     path, ck = _scratch(spark, "archive"), _scratch(spark, "ck")
     live.start_stream_upsert(live.live_stream(spark, raw), path, ck, available_now=True).awaitTermination()
+    sync_plan.merge_landing(spark, path)
     return pq.read_catalog(spark, path)
 
 
+@register("live_snapshot")
+def q_live_snapshot(spark, sf_dir):
+    """Three polls: an early one, a later one with newer events, one without any of today."""
+    day = filters.utc_midnight(SNAPSHOT_NOW_MS)
+    c = load_catalog(spark, sf_dir).withColumn("time", F.lit(day) + F.pmod(F.col("time"), F.lit(DAY_MS)))
+    polls, path, ck = _scratch(spark, "polls"), _scratch(spark, "snapshot"), _scratch(spark, "ck")
+    results = []
+    for k, now in enumerate((SNAPSHOT_NOW_MS, SNAPSHOT_NOW_MS + 6 * 3_600_000, SNAPSHOT_NOW_MS + 7 * 3_600_000)):
+        poll = c.where(F.col("time") < now) if k < 2 else c.withColumn("time", F.col("time") - DAY_MS)
+        csv_src.write_event_csv(csv_src.raw_text_from_catalog(poll).coalesce(1), f"{polls}/poll-{k}", by_day=False)
+        stream = live.live_stream(spark, f"{polls}/*", keep_poll=True)
+        live.start_live_snapshot(stream, path, ck, lambda now=now: now, available_now=True).awaitTermination()
+        kept = _scratch(spark, f"poll-{k}")
+        spark.read.parquet(path).select("id", "time").write.parquet(kept)
+        results.append(spark.read.parquet(kept).withColumn("poll", F.lit(k)))
+    return results[0].unionByName(results[1]).unionByName(results[2])
+
+
 @register("stream_window_stats")
 def q_stream_window_stats(spark, sf_dir):
     raw = _raw_csv(spark, sf_dir, by_day=False)
     out, ck = _scratch(spark, "windows"), _scratch(spark, "ck")
-    stats_df = live.stream_window_stats(live.live_stream(spark, raw), *STREAM_WINDOW)
+    rows = web.web_rows(live.live_stream(spark, raw), min_mag=None)
+    stats_df = live.stream_window_stats(rows, *STREAM_WINDOW)
     live.start_window_stats(stats_df, out, ck, available_now=True).awaitTermination()
     return spark.read.parquet(out)

@@ -90,7 +90,7 @@ def test_sync_is_incremental_and_matches_batch(spark, tmp_path):
     second = sync_plan.sync(spark, raw, path, "2024-01-01", "2024-02-02", web_path=str(tmp_path / "web"))
     assert second["days"][0] == "2024-01-11" and len(second["days"]) == 23
     third = sync_plan.sync(spark, raw, path, "2024-01-01", "2024-02-02")
-    assert third == {"days": [], "years": []}
+    assert third == {"days": [], "years": [], "exported": []}
     expect = dedupe.latest_by_id(c).select(*CORE_COLUMNS)
     assert rows(pq.read_catalog(spark, path).select(*CORE_COLUMNS)) == rows(expect)
     # empty days after the data are recorded as landed with n = 0
@@ -100,13 +100,74 @@ def test_sync_is_incremental_and_matches_batch(spark, tmp_path):
     assert web.count() == pq.read_catalog(spark, path).filter(F.col("magnitude") >= 2.5).count()
 
 
-def test_upsert_revision_window_matches_full_lookup(spark, tmp_path):
-    first = _landing(spark, [("q", NY - 1000, 0.0, 0.0, 1.0, 4.0, "2023-12-31", 1),
-                             ("r", NY - 5000, 0.0, 0.0, 1.0, 4.0, "2023-12-31", 2)])
-    second = _landing(spark, [("r", NY + 5000, 0.0, 0.0, 1.0, 4.5, "2024-01-01", 1)])
-    full, windowed = str(tmp_path / "full"), str(tmp_path / "win")
-    for path, years in ((full, None), (windowed, 1)):
-        sync_plan.upsert(spark, path, first, revision_years=years)
-        sync_plan.upsert(spark, path, second, revision_years=years)
-    assert rows(pq.read_catalog(spark, windowed)) == rows(pq.read_catalog(spark, full))
-    assert rows(pq.read_catalog(spark, full), "id", "year") == [("q", 2023), ("r", 2024)]
+def test_a_revision_over_many_years_leaves_one_copy(spark, tmp_path):
+    path = str(tmp_path / "cat")
+    sync_plan.upsert(spark, path, _landing(spark, [("r", NY - 30 * 31_557_600_000, 0.0, 0.0, 1.0, 4.0, "2023-12-31", 2)]))
+    sync_plan.upsert(spark, path, _landing(spark, [("r", NY + 5000, 0.0, 0.0, 1.0, 4.5, "2024-01-01", 1)]))
+    assert rows(pq.read_catalog(spark, path), "id", "year") == [("r", 2024)]
+
+
+def _raw_days(spark, tmp_path):
+    c = load_catalog(spark, SF0001)
+    raw = str(tmp_path / "raw")
+    csv_src.write_event_csv(csv_src.raw_text_from_catalog(c), raw)
+    return c, raw
+
+
+def test_sync_merges_and_exports_what_has_landed_before(spark, tmp_path):
+    c, raw_path = _raw_days(spark, tmp_path)
+    path, web_path = str(tmp_path / "cat"), str(tmp_path / "web")
+    raw = csv_src.read_event_csv(spark, raw_path)
+    for day in ("2024-01-03", "2024-01-04"):
+        assert sync_plan.append_day(spark, raw, path, day)
+    assert not sync_plan.append_day(spark, raw, path, "2024-01-03")
+    done = sync_plan.sync(spark, raw_path, path, "2024-01-03", "2024-01-04", web_path=web_path)
+    expect = dedupe.latest_by_id(c.filter(F.col("land_date").isin("2024-01-03", "2024-01-04")))
+    assert done["days"] == [] and done["years"] == done["exported"] != []
+    assert rows(pq.read_catalog(spark, path).select(*CORE_COLUMNS)) == rows(expect.select(*CORE_COLUMNS))
+    assert spark.read.text(web_path).count() == expect.count() and pq.read_landing(spark, path).count() == 0
+    # a lost export of one year is filled, and nothing else is done
+    year = done["years"][0]
+    pq._delete(spark, f"{web_path}/year={year}")
+    again = sync_plan.sync(spark, raw_path, path, "2024-01-03", "2024-01-04", web_path=web_path)
+    assert again == {"days": [], "years": [], "exported": [year]}
+    assert spark.read.text(web_path).count() == expect.count()
+
+
+def test_a_crash_after_the_merge_is_resumed(spark, tmp_path):
+    path, web_path = str(tmp_path / "cat"), str(tmp_path / "web")
+    old = _landing(spark, [("r", NY - 5000, 0.0, 0.0, 1.0, 4.0, "2023-12-31", 1), ("s", NY - 9000, 0.0, 0.0, 1.0, 4.0, "2023-12-31", 1)])
+    sync_plan.upsert(spark, path, old)
+    sync_plan.export_web(spark, path, web_path, [2023], 2.5)
+    pq.clear_pending(spark, path)
+    news = _landing(spark, [("r", NY + 5000, 0.0, 0.0, 1.0, 4.5, "2024-01-01", 1)])
+    pq.land_daily(news, path)
+    sync_plan.upsert(spark, path, pq.read_landing(spark, path))     # the run ends here
+    touched = sync_plan.merge_landing(spark, path)
+    assert touched == [2024]                                         # 2023 no longer holds the id, but is pending
+    assert sync_plan.export_web(spark, path, web_path, touched, 2.5) == [2023, 2024]
+    assert sorted(r["year"] for r in spark.read.text(web_path).select("year").collect()) == [2023, 2024]
+
+
+def test_relanding_an_empty_day_removes_its_rows(spark, tmp_path):
+    c, raw_path = _raw_days(spark, tmp_path)
+    path = str(tmp_path / "cat")
+    raw = csv_src.read_event_csv(spark, raw_path)
+    assert sync_plan.append_day(spark, raw, path, "2024-01-03")
+    assert pq.read_landing(spark, path).count() == c.filter("land_date = DATE'2024-01-03'").count() > 0
+    assert sync_plan.append_day(spark, raw.limit(0), path, "2024-01-03", overwrite=True)
+    assert pq.read_landing(spark, path).count() == 0
+    assert [tuple(r) for r in pq.read_landed_days(spark, path).select(F.col("land_date").cast("string"), "n").collect()] == [("2024-01-03", 0)]
+
+
+def test_the_source_is_evaluated_once_when_landing(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    c = load_catalog(spark, SF0001)
+    pq.land_daily(c.mapInPandas(count, c.schema), str(tmp_path / "cat"))
+    assert seen.value == c.count()

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF0001, rows
 from tectonic.operators import dedupe
+from tectonic.plans import sync as sync_plan
 from tectonic.schema import CORE_COLUMNS
 from tectonic.sources import csv as csv_src
 from tectonic.sources import parquet as pq
@@ -11,7 +12,7 @@ from tectonic.streaming import live
 
 def _raw_files(spark, tmp_path, catalog):
     raw = str(tmp_path / "incoming")
-    csv_src.write_event_csv(csv_src.raw_text_from_catalog(catalog), raw, by_day=False)
+    csv_src.write_event_csv(csv_src.raw_text_from_catalog(catalog).coalesce(1), raw, by_day=False)
     return raw
 
 
@@ -26,6 +27,8 @@ def test_stream_upsert_equals_batch_compact(spark, tmp_path):
     path = str(tmp_path / "cat")
     stream = live.live_stream(spark, raw, max_files_per_trigger=1)
     live.start_stream_upsert(stream, path, str(tmp_path / "ck"), available_now=True).awaitTermination()
+    assert pq.read_catalog(spark, path).count() == 0 and pq.read_landing(spark, path).count() == c.count()
+    sync_plan.merge_landing(spark, path)
     expect = dedupe.latest_by_id(c).select(*CORE_COLUMNS)
     assert rows(pq.read_catalog(spark, path).select(*CORE_COLUMNS)) == rows(expect)
 
@@ -37,6 +40,7 @@ def test_stream_upsert_replay_is_idempotent(spark, tmp_path):
     for ck in ("ck1", "ck2"):   # a second run from scratch replays every batch
         live.start_stream_upsert(live.live_stream(spark, raw), path, str(tmp_path / ck),
                                  available_now=True).awaitTermination()
+    sync_plan.merge_landing(spark, path)
     assert pq.read_catalog(spark, path).count() == 900
 
 
@@ -45,7 +49,7 @@ def test_live_snapshot_keeps_today(spark, tmp_path):
     raw = _raw_files(spark, tmp_path, c)
     now = c.agg(F.max("time")).collect()[0][0] + 1
     out = str(tmp_path / "live")
-    live.start_live_snapshot(live.live_stream(spark, raw), out, str(tmp_path / "ck"), now,
+    live.start_live_snapshot(live.live_stream(spark, raw, keep_poll=True), out, str(tmp_path / "ck"), lambda: now,
                              available_now=True).awaitTermination()
     got = spark.read.parquet(out)
     midnight = now // 86_400_000 * 86_400_000

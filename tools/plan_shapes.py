@@ -45,7 +45,6 @@ def main() -> None:
 
     spark = local_session(8)
     spark.conf.set("spark.sql.adaptive.enabled", "false")   # show the static plan
-    spark.conf.set("tectonic.spreadSmallInput", "false")    # the shape a cluster-sized input gets
     cols = ["shuffles", "single", "hash_agg", "sort_agg", "bhj", "smj", "topk", "window", "generate", "subquery"]
     print("| query | " + " | ".join(cols) + " |")
     print("|---|" + "---|" * len(cols))
