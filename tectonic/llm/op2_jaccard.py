@@ -20,8 +20,8 @@ Two documents link when the Jaccard similarity of their sets of 5-word shingles
    the filters. The largest component of a shingle's documents meets the others only, and the others
    each other, so members of a large group are not compared among themselves and no link between
    components is lost.
-5. A pair is verified once, by intersection of the two sets (48 bits of each hash); a second suffix filter
-   (sizes of the sets' parts by hash range) goes before and saves sending the sets.
+5. A pair is verified once, by intersection of the two sets (48 bits of each hash), sent only if the
+   bitmaps leave it possible.
 
 The intermediate tables are written to the shared folder, so a lost executor repeats one step only.
 
@@ -41,19 +41,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, release, table
+from .common import components, forget_shuffles, materialize, release, table
 from .shingles import WORDS, shingle_sets
 
 #: Least similarity, as a fraction of integers.
 SIMILAR = (80, 100)
 SKETCH_BITS = 22      # 2**22 counters of 4 bytes: 16 MB, whatever the corpus
 SKETCH_PARTS = 16
-HASH_RANGES = 64
 SENT_BYTES = 6        # of each hash in a set sent for verification
 PARITY_BITS = 512
 PARITY = [f"parity{i}" for i in range(PARITY_BITS // 64)]
 #: Seeds of the rounds with pivots.
-ROUNDS = ((0,), (1, 2, 3, 4), (5, 6, 7, 8), (9, 10, 11, 12))
+ROUNDS = ((0,), (1, 2, 3, 4))
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -155,6 +154,13 @@ def _prefix_index(docs: DataFrame, sketch: np.ndarray, k: int) -> DataFrame:
     return docs.mapInArrow(run, "gram long, doc_id long, pos int, n int")
 
 
+def _may_be_close(na, nb, bits_a, bits_b):
+    """Suffix filter: whether sets of these sizes and parity bitmaps can be similar enough."""
+    share, of = SIMILAR
+    apart = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(y))) for x, y in zip(bits_a, bits_b, strict=True)), F.lit(0))
+    return (share + of) * (na + nb - apart) >= 2 * share * (na + nb)
+
+
 def _passes(a: str, b: str, parity: bool = False):
     """Length, positional and, with parity bitmaps, suffix filter of two index rows of one shingle."""
     share, of = SIMILAR
@@ -162,31 +168,29 @@ def _passes(a: str, b: str, parity: bool = False):
     rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))   # with the common shingle itself
     enough = (of * F.least(na, nb) >= share * F.greatest(na, nb)) & ((share + of) * rest >= share * (na + nb))
     if parity:
-        apart = sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in PARITY), F.lit(0))
-        enough &= (share + of) * (na + nb - apart) >= 2 * share * (na + nb)
+        enough &= _may_be_close(na, nb, [f"{a}.{p}" for p in PARITY], [f"{b}.{p}" for p in PARITY])
     return enough
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, n, ranges, grams, parity bitmap) of the documents named: the set and the sizes of its parts by hash range."""
-    shift = np.uint64(64 - int(math.log2(HASH_RANGES)))
+    """(id, n, grams, parity bitmap) of the documents named."""
+    shift = np.uint64(64 - int(math.log2(PARITY_BITS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ranges, blobs, parity = [], [], [], []
+            n, blobs, parity = [], [], []
             for _, grams in shingle_sets(batch.column(1), k):
                 n.append(len(grams))
-                odd = np.bincount((grams >> np.uint64(64 - int(math.log2(PARITY_BITS)))).astype(np.int64), minlength=PARITY_BITS) & 1
+                odd = np.bincount((grams >> shift).astype(np.int64), minlength=PARITY_BITS) & 1
                 parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                ranges.append(np.bincount((grams >> shift).astype(np.int64), minlength=HASH_RANGES).astype(np.uint32).tobytes())
                 blobs.append(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES].tobytes())
             bitmaps = np.array(parity, np.int64).reshape(-1, len(PARITY))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(ranges, pa.binary()), pa.array(blobs, pa.binary()),
-                 *[pa.array(np.ascontiguousarray(b)) for b in bitmaps.T]], ["id", "n", "ranges", "grams", *PARITY])
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(blobs, pa.binary()),
+                 *[pa.array(np.ascontiguousarray(b)) for b in bitmaps.T]], ["id", "n", "grams", *PARITY])
 
     wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    return wanted.mapInArrow(run, "id long, n int, ranges binary, grams binary, " + ", ".join(f"{p} long" for p in PARITY))
+    return wanted.mapInArrow(run, "id long, n int, grams binary, " + ", ".join(f"{p} long" for p in PARITY))
 
 
 def _close_enough(common: int, na: int, nb: int) -> bool:
@@ -210,16 +214,6 @@ def _hashes(raw: bytes) -> np.ndarray:
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: suffix filter, then exact intersection."""
-    def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-            ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASH_RANGES).astype(np.int64)
-                      for i in (4, 5))
-            apart = np.abs(ra - rb).sum(axis=1)    # at least so many shingles are in one set only
-            most = (na + nb - apart) // 2
-            keep = SIMILAR[1] * most >= SIMILAR[0] * (na + nb - most)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -230,7 +224,8 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(_close_enough(common, len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    likely = _both(pairs, sets, "n", "ranges").mapInArrow(suffix, "a long, b long")
+    bits = _both(pairs, sets, "n", *PARITY)
+    likely = bits.where(_may_be_close(F.col("n_a"), F.col("n_b"), [f"{p}_a" for p in PARITY], [f"{p}_b" for p in PARITY])).select("a", "b")
     return _both(likely, sets, "grams").mapInArrow(exact, "a long, b long")
 
 
@@ -243,7 +238,7 @@ def _pivot_pairs(active: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
     """Per document and seed one pair with a pivot of another component, if any of its shingles has one."""
     bitmap = [p for p in PARITY if p in active.columns]
     drawn = [F.min(F.struct(F.xxhash64("id", F.lit(seed)).alias("draw"), "id", "pos", "n", "component", *bitmap)).alias(f"p{seed}") for seed in seeds]
-    pivots = materialize(active.groupBy("gram").agg(*drawn), "pivots")
+    pivots = materialize(active.groupBy("gram").agg(*drawn), "pivots")   # a join side of its own: hot shingles split
     y = pivots.select("gram", F.explode(F.array(*[F.struct(F.lit(seed).alias("seed"), F.col(f"p{seed}").alias("p")) for seed in seeds])).alias("s"))
     y = y.select("gram", "s.seed", "s.p.*")
     x, y = active.alias("x"), y.alias("y")
@@ -290,13 +285,15 @@ def similar_documents(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", t
     live = index.join(shared, "gram").join(members.distinct(), "doc_id", "left")
     live = live.groupBy("gram", F.coalesce("rep", "doc_id").alias("id")).agg(F.first("pos").alias("pos"), F.first("n").alias("n"))
     live = materialize(live, "live")
-    release(index)
-    release(shared)
+    for done in (index, shared):
+        release(done)
 
     sets = materialize(_sets(docs, live.select("id").distinct(), k), "shingle-sets")
+    del index, shared, full, classes
+    forget_shuffles(docs.sparkSession)
 
     # rounds with pivots
-    links = tried = comp = None
+    links = tried = None
     active = live.withColumn("component", F.col("id"))
     for seeds in ROUNDS:
         pairs = materialize(_pivot_pairs(active, seeds), "pairs")
@@ -304,14 +301,16 @@ def similar_documents(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", t
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         comp = materialize(components(links), "components")
-        before, active = active, materialize(_mixed(live, comp, sets), "active")
-        if before is not active and seeds != ROUNDS[0]:
-            release(before)
+        active = materialize(_mixed(live, comp, sets), "active")
+        forget_shuffles(docs.sparkSession)
         if not active.take(1):
             break
+    release(live)
 
     cross = materialize(_rest_pairs(active).join(tried.distinct(), ["a", "b"], "left_anti"), "cross")
     more = materialize(_verify(cross, sets), "links")
+    for done in (active, sets):
+        release(done)
     comp = materialize(components(links.unionByName(more)), "components")
 
     # a document's class, the class's component
