@@ -13,12 +13,14 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 
 from .textnum import PolyHash, random_table
 
-MAX_CACHED_WORDS = 1_500_000
+MAX_CACHED_WORDS = 400_000
+MAX_CACHED_PAIRS = 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -33,11 +35,9 @@ class WordBPE:
     """Encoder and decoder for one vocabulary file; caches the encodings of words it has met."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        self.library = Tokenizer.from_file(path)  # its normaliser and word split serve unusual texts
         self.vocab: dict[str, int] = model["model"]["vocab"]
         self.suffix: str = model["model"]["end_of_word_suffix"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["model"]["merges"]]
@@ -64,6 +64,13 @@ class WordBPE:
         self._classes()
         self.reset()
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer: its normaliser and word split serve unusual texts."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def reset(self) -> None:
         self.ids_of: dict[str, int] = {}
         self.pool = np.zeros(0, np.uint32)
@@ -103,7 +110,7 @@ class WordBPE:
         known = self.fits.get(key)
         if known is not None:
             return known
-        if len(self.fits) > 4_000_000:
+        if len(self.fits) > MAX_CACHED_PAIRS:
             self.fits.clear()
         if not before:
             known = self.whole(token)
