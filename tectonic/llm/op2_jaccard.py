@@ -22,11 +22,15 @@ Two documents link when the Jaccard similarity of their sets of 5-word shingles
    components is lost.
 5. A pair is verified once, by intersection of the two sets (48 bits of each hash), sent only if the
    bitmaps leave it possible.
+6. The links: steps 3 and 4 find components, not all links, but every link lies within a component. A
+   component's classes are dealt by size class (linked sets differ by one class at most) into chunks of
+   bounded size, and each pair of chunks is a cell: one group, in which every pair of sets is intersected.
+   A document's links are counted there, a linked class by its number of documents; no pair becomes a row.
 
 The intermediate tables are written to the shared folder, so a lost executor repeats one step only.
 
-Defined results: null, empty or blank text has no shingles, links with nothing and is its own
-component; equal texts are linked; equal ids are one node; rows with a null id are left out; further columns, whatever their names, are
+Defined results: null, empty or blank text has no shingles, links with nothing, has a class of its own and
+is its own component; equal texts are linked; equal ids are one node; rows with a null id are left out; further columns, whatever their names, are
 ignored. An empty table gives an empty result.
 """
 
@@ -52,6 +56,10 @@ SKETCH_PARTS = 16
 SENT_BYTES = 6        # of each hash in a set sent for verification
 PARITY_BITS = 512
 PARITY = [f"parity{i}" for i in range(PARITY_BITS // 64)]
+#: Least documents and shingles that more than one chunk of a component's size class has on average.
+CHUNK_DOCS, CHUNK_SHINGLES = 128, 1 << 18
+#: Ratio of the bounds of a size class: above 1 / SIMILAR, so that linked sets are in the same or adjacent classes.
+SIZE_CLASS = 1.26
 #: Seeds of the rounds with pivots.
 ROUNDS = ((0,), (1, 2, 3, 4))
 
@@ -267,9 +275,74 @@ def _rest_pairs(active: DataFrame) -> DataFrame:
     return _pairs(first.unionByName(second.select("z.id", F.col("y.id").alias("other"))))
 
 
-def similar_documents(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id): the size of every document's set and the smallest id that its
-    links reach."""
+def _cells(nodes: DataFrame) -> DataFrame:
+    """(cell, second, id, w) of nodes (id, component, n, w): every pair of nodes of a component whose sizes
+    may be similar meets in one cell, once. In a cell of two chunks ``second`` tells them apart, in a cell of
+    one chunk it is null."""
+    sized = nodes.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_CLASS)).cast("int"))
+    chunks = sized.groupBy("component", "size").agg(F.ceil(F.greatest(
+        F.count("*") / F.lit(CHUNK_DOCS), F.sum(F.col("n").cast("long")) / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks"))
+    chunks = materialize(chunks, "chunks")
+    near = chunks.select("component", (F.col("size") - 1).alias("size"), F.col("chunks").alias("above"))
+    near = chunks.join(near, ["component", "size"], "left")
+    below = chunks.select("component", (F.col("size") + 1).alias("size"), F.col("chunks").alias("below"))
+    near = materialize(near.join(below, ["component", "size"], "left"), "chunks")
+    placed = sized.join(near, ["component", "size"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+
+    def many(n, cell):
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>")), cell)
+
+    def cell(size, i, j, across, second):
+        return F.struct(size.alias("size"), i.alias("i"), j.alias("j"), F.lit(across).alias("across"), second.alias("second"))
+
+    own, size = F.col("chunk"), F.col("size")
+    cells = F.concat(
+        many(F.col("chunks"), lambda c: cell(size, F.least(own, c), F.greatest(own, c), False, F.when(own != c, own > c))),
+        many(F.coalesce("above", F.lit(0)), lambda c: cell(size, own, c, True, F.lit(False))),
+        many(F.coalesce("below", F.lit(0)), lambda c: cell(size - 1, c, own, True, F.lit(True))))
+    return placed.select("component", "id", "w", F.explode(cells).alias("c")).select("component", "c.*", "id", "w")
+
+
+def _cell_counts(cell: pa.Table) -> pa.Table:
+    """(id, links): for every document of a cell the weights of those linked with it there."""
+    share, of = SIMILAR
+    second = cell.column("second")
+    halves = [slice(None)] * 2 if second.null_count else [second.to_numpy() == flag for flag in (False, True)]
+    ids, w = cell.column("id").to_numpy(), cell.column("w").to_numpy()
+    rows = [np.arange(len(ids))[half] for half in halves]
+    rows = [r[np.unique(ids[r], return_index=True)[1]] for r in rows]       # repeated rows of one id: one node
+    if not len(rows[0]) or not len(rows[1]):
+        return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+    grams = [_hashes(g.as_buffer()) for g in cell.column("grams")]
+    sizes = np.array([len(g) for g in grams], np.int64)
+    known, place = np.unique(np.concatenate(grams), return_inverse=True)
+    place = np.split(place, np.cumsum(sizes)[:-1])
+    others = np.concatenate([place[r] for r in rows[1]])
+    starts = np.cumsum(sizes[rows[1]]) - sizes[rows[1]]
+    links, held = np.zeros(len(ids), np.int64), np.zeros(len(known), np.int32)
+    for r in rows[0]:
+        held[place[r]] = 1
+        common = np.add.reduceat(held[others], starts).astype(np.int64)
+        held[place[r]] = 0
+        close = (of * common >= share * (sizes[r] + sizes[rows[1]] - common)) & (ids[rows[1]] != ids[r])
+        links[r] += w[rows[1][close]].sum()
+        if not second.null_count:
+            links[rows[1][close]] += w[r]
+    named = np.union1d(*rows)
+    return pa.table({"id": pa.array(ids[named]), "links": pa.array(links[named])})
+
+
+def _link_counts(comp: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, links): the number of documents of other classes that every class with any is linked with."""
+    weights = members.distinct().groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("m"))
+    sizes = sets.groupBy("id").agg(F.first("n").alias("n"))
+    nodes = comp.join(sizes, "id").join(weights, "id", "left").select("id", "component", "n", F.coalesce("m", F.lit(1)).alias("w"))
+    cells = _cells(materialize(nodes, "nodes")).join(sets.select("id", "grams"), "id")
+    counts = cells.groupBy("component", "size", "i", "j", "across").applyInArrow(_cell_counts, "id long, links long")
+    return materialize(counts.groupBy("id").agg(F.sum("links").alias("links")), "link-counts")
+
+
+def _joined(docs: DataFrame, k: int, id_col: str, text_col: str, links_too: bool) -> DataFrame:
     docs = _inputs(docs, id_col, text_col)
     first = materialize(_sizes_and_sketch(docs, k), "sets")
     meta = first.where("part < 0").select("doc_id", "n", "key")
@@ -310,16 +383,38 @@ def similar_documents(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", t
 
     cross = materialize(_rest_pairs(active).join(tried.distinct(), ["a", "b"], "left_anti"), "cross")
     more = materialize(_verify(cross, sets), "links")
-    for done in (active, sets):
-        release(done)
+    release(active)
+    if not links_too:
+        release(sets)
     comp = materialize(components(links.unionByName(more)), "components")
+    forget_shuffles(docs.sparkSession)
 
     # a document's class, the class's component
     named = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     by_class = meta.join(named, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     result = by_class.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    size, component = F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
+    if not links_too:
+        return result.select("doc_id", size, component)
+    counts = _link_counts(comp, sets, members)
+    release(sets)
+    alike = members.distinct().groupBy("rep").agg((F.count("*") - 1).alias("alike"))
+    result = result.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(alike, "rep", "left")
+    return result.select("doc_id", size, F.col("rep").alias("class_id"),
+                         (F.coalesce("links", F.lit(0)) + F.coalesce("alike", F.lit(0))).alias("n_links"), component)
+
+
+def similar_documents(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id): the size of every document's set and the smallest id that its
+    links reach."""
+    return _joined(docs, k, id_col, text_col, links_too=False)
+
+
+def similarity_join(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, class_id, n_links, component_id): also the smallest id of an equal set and the
+    number of other documents that the document is linked with, equal sets included."""
+    return _joined(docs, k, id_col, text_col, links_too=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similarity_join(table(spark, sf_dir, "documents"))

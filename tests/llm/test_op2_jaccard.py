@@ -64,3 +64,31 @@ def test_empty_table(make_docs):
 
 def test_similarity_at_the_bound():
     assert op._close_enough(8, 10, 8) and not op._close_enough(7, 9, 7)
+
+
+def linked(rows):
+    """Every document's number of links and smallest id of an equal set, by comparing all pairs."""
+    sets = {i: shingles(t) for i, t in rows}
+    n, equal = dict.fromkeys(sets, 0), {}
+    for i, a in sets.items():
+        equal[i] = min(j for j, b in sets.items() if a == b) if a else i
+        n[i] = sum(1 for j, b in sets.items() if i != j and a and 100 * len(a & b) >= 80 * (len(a) + len(b) - len(a & b)))
+    return sorted((i, equal[i], n[i]) for i in sets)
+
+
+def test_every_link_is_counted(make_docs, monkeypatch):
+    monkeypatch.setattr(op, "CHUNK_DOCS", 8)               # many cells, also across size classes
+    rng = random.Random(3)
+    base, rows = [f"w{i}" for i in range(110)], []
+    for i in range(90):                                 # one component, in which many pairs are no links
+        w = base[:rng.randint(80, 110)]
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"new{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, rows[i % 7][1].upper()) for i in range(20)]   # classes of several documents
+    rows += [(200, ""), (201, None), (202, "a b c"), (203, "quite other words than those of all the rest")]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in op.similarity_join(make_docs(rows + rows[:5])).distinct().collect())
+    assert got == linked(rows)
+    parts = {r.doc_id: r.component_id for r in op.similarity_join(make_docs(rows)).collect()}
+    assert sorted((i, c) for i, c in parts.items()) == [(i, c) for i, _, c in brute(rows)]
+    assert op.similarity_join(make_docs([])).collect() == []
