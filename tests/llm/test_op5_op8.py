@@ -80,6 +80,17 @@ def test_templates_follow_labels(spark):
     assert got[0].template == got[120].template != got[121].template
 
 
+def test_labels_below_the_fourth_segment(spark):
+    urls = [f"https://h.net/2024/05/12/news/{kind}/more/{i}" for kind in ("bad", "good") for i in range(60)]
+    urls += ["https://h.net/2024/05/12/news/bad/more/999/", "https://h.net/2023/1/2/news/good/more/777", "https://h.net/2023/1"]
+    df = spark.createDataFrame([(i, u, 1 if i < 60 else 0 if i < 120 else None) for i, u in enumerate(urls)],
+                               "page_id long, url string, label int")
+    got = {r.page_id: r for r in url.filter_urls(df, rules=(), label=df["label"]).collect()}
+    assert [got[i].verdict for i in (0, 59, 60, 119, 120, 121)] == ["block", "block", "allow", "allow", "block", "allow"]
+    assert got[0].template == got[120].template != got[121].template == got[60].template
+    assert len(got) == len(urls)
+
+
 def test_variable_segments_become_wildcards(spark):
     urls = [f"https://h.net/u/name{chr(97 + i % 26)}{chr(97 + i // 26)}/post" for i in range(300)]
     assert {r.template for r in judge(spark, urls).values()} == {"/u/*/post"}
