@@ -392,8 +392,8 @@ def q_line_segments(spark, sf_dir):
 
 @register("polyline_segments")
 def q_polyline_segments(spark, sf_dir):
-    """Tracks of each user's first eight events in time order, as polylines."""
-    c = load_catalog(spark, sf_dir).where("row_seq % 8 < 4")
+    """Tracks of eight consecutive rows in arrival order (blocks of ``row_seq``), as polylines."""
+    c = load_catalog(spark, sf_dir)
     track = c.groupBy(F.expr("row_seq div 8").alias("line_id")).agg(F.sort_array(F.collect_list(
         F.struct("row_seq", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")))).alias("p"))
     return geojson.polyline_segments(track.select("line_id", F.transform("p", lambda p: F.struct(p["lon"], p["lat"])).alias("points")))

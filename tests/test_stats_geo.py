@@ -159,3 +159,15 @@ def test_append_day_skips_landed(spark, tmp_path):
     assert n > 0 and sync_plan.append_day(spark, raw, path, "2024-01-05") is False
     assert sync_plan.append_day(spark, raw, path, "2024-01-05", overwrite=True) is True
     assert pq.read_landing(spark, path).count() == n
+
+
+def test_polyline_query_joins_all_rows_of_a_block(spark):
+    from conftest import SF0001
+    from tectonic.sources.fixture import load_catalog
+    from tectonic.suite import QUERIES
+
+    lines = {}
+    for seq, lon, lat in sorted(tuple(r) for r in load_catalog(spark, SF0001).select("row_seq", "lon", "lat").collect()):
+        lines.setdefault(seq // 8, []).append((lon, lat))
+    want = [(line, i, *a, *b) for line, p in lines.items() for i, (a, b) in enumerate(zip(p, p[1:], strict=False))]
+    assert rows(QUERIES["polyline_segments"](spark, SF0001), "line_id", "seg_idx", "lon1", "lat1", "lon2", "lat2") == sorted(want)
