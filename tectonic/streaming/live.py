@@ -37,21 +37,29 @@ def interval_text(ms: int | str) -> str:
     return " ".join(parts) or "0 seconds"
 
 
+#: The job id in the name of a file that Spark wrote.
+WRITE_JOB = r"/part-\d+-([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})[^/]*$"
+
+
 def live_stream(spark: SparkSession, landing_csv: str, max_files_per_trigger: int | None = None,
                 keep_poll: bool = False) -> DataFrame:
     """Streaming frame of normalized events from CSV files dropped into ``landing_csv``.
 
     A stream has one schema: a file whose header names other columns, or another
     order, fails the query instead of filling the wrong columns. ``poll_ms`` is
-    the time its poll file was written.
+    the time a row's file was written and ``poll`` its poll: the files of one Spark
+    write (whose names share its job id) are a poll, any other file is one of its own.
     """
     ensure_utc(spark)
     reader = spark.readStream.schema(RAW_TEXT_SCHEMA).options(**CSV_OPTIONS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     raw = reader.csv(landing_csv)
-    raw = raw.select("*", F.unix_millis(F.col("_metadata.file_modification_time")).alias("poll_ms"))
-    return normalize(apply_null_markers(raw), keep=["poll_ms"] if keep_poll else [])
+    path = F.col("_metadata.file_path")
+    job = F.regexp_extract(path, WRITE_JOB, 1)
+    raw = raw.select("*", F.unix_millis(F.col("_metadata.file_modification_time")).alias("poll_ms"),
+                     F.when(job != "", job).otherwise(path).alias("poll"))
+    return normalize(apply_null_markers(raw), keep=["poll_ms", "poll"] if keep_poll else [])
 
 
 def point_stream(spark: SparkSession, landing_geojson: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -70,14 +78,14 @@ def start_live_snapshot(stream: DataFrame, path: str, checkpoint: str, now_ms: C
                         available_now: bool = False, interval: str = DEFAULT_TRIGGER):
     """Keep ``path`` holding today's events as the latest poll has them.
 
-    ``stream`` is ``live_stream(keep_poll=True)``; of several poll files in a batch
-    the newest counts. ``now_ms`` is asked once per batch, so later events and the
+    ``stream`` is ``live_stream(keep_poll=True)``; of several polls in a batch the one
+    with the newest file counts, with all of its files. ``now_ms`` is asked once per batch, so later events and the
     next midnight are seen. A poll without events of today empties the snapshot; a
     failed batch leaves it as it is.
     """
     def replace(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max("poll_ms").alias("poll_ms")).scalar()
-        today = today_events(batch.where(F.col("poll_ms") == newest).drop("poll_ms"), now_ms())
+        newest = batch.agg(F.max(F.struct("poll_ms", "poll"))["poll"].alias("poll")).scalar()
+        today = today_events(batch.where(F.col("poll") == newest).drop("poll_ms", "poll"), now_ms())
         today.write.mode("overwrite").parquet(path)
 
     w = stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)

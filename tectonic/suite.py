@@ -676,7 +676,7 @@ def q_live_snapshot(spark, sf_dir):
     results = []
     for k, now in enumerate((SNAPSHOT_NOW_MS, SNAPSHOT_NOW_MS + 6 * 3_600_000, SNAPSHOT_NOW_MS + 7 * 3_600_000)):
         poll = c.where(F.col("time") < now) if k < 2 else c.withColumn("time", F.col("time") - DAY_MS)
-        csv_src.write_event_csv(csv_src.raw_text_from_catalog(poll).coalesce(1), f"{polls}/poll-{k}", by_day=False)
+        csv_src.write_event_csv(csv_src.raw_text_from_catalog(poll), f"{polls}/poll-{k}", by_day=False)
         stream = live.live_stream(spark, f"{polls}/*", keep_poll=True)
         live.start_live_snapshot(stream, path, ck, lambda now=now: now, available_now=True).awaitTermination()
         kept = _scratch(spark, f"poll-{k}")

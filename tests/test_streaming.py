@@ -114,3 +114,23 @@ def test_point_stream_matches_batch_parse(spark, tmp_path):
          .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
     q.awaitTermination()
     assert rows(spark.read.parquet(out)) == rows(geojson.parse_geojson_points(geojson.geojson_lines(c)))
+
+
+def test_live_snapshot_keeps_all_files_of_the_newest_poll(spark, tmp_path):
+    import os
+
+    from tectonic.sources import csv as csv_src
+
+    c = load_catalog(spark, SF0001)
+    now = c.agg(F.max("time")).collect()[0][0] + 1
+    today = c.withColumn("time", F.lit(now - 1))
+    for poll, rows_ in (("old", today.limit(50)), ("new", today.where("row_seq >= 100").repartition(4))):
+        csv_src.write_event_csv(csv_src.raw_text_from_catalog(rows_), str(tmp_path / "polls" / poll), by_day=False)
+    files = sorted((tmp_path / "polls").rglob("*.csv"), key=lambda f: f.parent.name, reverse=True)   # old, then new
+    assert len(files) >= 5
+    for i, f in enumerate(files):
+        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    out = str(tmp_path / "live")
+    live.start_live_snapshot(live.live_stream(spark, str(tmp_path / "polls" / "*"), keep_poll=True), out, str(tmp_path / "ck"),
+                             lambda: now, available_now=True).awaitTermination()
+    assert spark.read.parquet(out).count() == today.where("row_seq >= 100").count()
