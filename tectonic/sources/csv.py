@@ -32,6 +32,10 @@ def _headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]
     found: dict[str, list[str]] = {}
     for line, file in header.select("value", "file").distinct().collect():
         found.setdefault(line, []).append(file)
+    if len(found) > 1:     # else the whole path is read
+        other = lines.where(F.trim("value") != "").select("file").distinct().join(header.select("file"), "file", "left_anti").take(3)
+        if other:
+            raise ValueError(f"no header with the fields id and time in {', '.join(r.file for r in other)}")
     return dict(sorted(found.items()))
 
 
@@ -39,7 +43,8 @@ def read_event_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Scan landed catalog CSV files (header row; every column text), columns matched by name.
 
     Files are read per distinct header, so a file with another column order or
-    with fewer columns keeps its values under the right names. Spark has a single
+    with fewer columns keeps its values under the right names; beside several
+    headers, a file that is not empty and has no known header is an error. Spark has a single
     ``nullValue``, so both markers (empty and ``null``) are mapped in a
     projection; numeric columns are converted by ``normalize`` with ``try_cast``,
     so a bad number becomes null instead of failing the file.

@@ -107,3 +107,13 @@ def test_csv_by_name_with_doubled_quotes(spark, tmp_path):
     got = rows(csv_src.normalize(csv_src.read_event_csv(spark, str(path))), "id", "lat", "lon", "place", "depth_km")
     assert [(r[0], round(r[1], 3), round(r[2], 3), r[3], r[4]) for r in got] == [
         ("x", 38.1, -122.2, '7 km NW of "The Geysers", CA', 1.0), ("y", 38.2, -122.3, None, None)]
+
+
+def test_csv_file_with_an_unknown_header_is_an_error(spark, tmp_path):
+    texts = ("time,id,latitude\n2024-01-01T00:00:00.000Z,a,1\n", "id,time,latitude\nb,2024-01-01T00:00:00.000Z,2\n", "", "\n")
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.csv").write_text(text)
+    assert rows(csv_src.read_event_csv(spark, str(tmp_path)), "id") == [("a",), ("b",)]
+    (tmp_path / "9.csv").write_text("id, time,latitude\nc,2024-01-01T00:00:00.000Z,3\n")
+    with pytest.raises(ValueError, match="9.csv"):
+        csv_src.read_event_csv(spark, str(tmp_path))
