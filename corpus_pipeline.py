@@ -32,13 +32,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays, once."""
+    """Of equal texts the document with the largest id stays, once; rows of one id with different texts are
+    different documents."""
     decided = op3_exact.exact_dedup(docs, op3_exact.fresh_index(spark))
     rows, at = _coded(docs)
-    stays = materialize(decided.where("kept").select(F.col("doc_id").alias(at["doc_id"])).distinct(), "stays")
-    kept = rows.join(stays, at["doc_id"], "left_semi")
-    # repeated rows of one id: the join has sorted and dealt by id, so this adds no shuffle
-    first = F.row_number().over(Window.partitionBy(at["doc_id"]).orderBy(at["doc_id"]))
+    rows = rows.withColumn("digest", F.sha2(F.coalesce(at["text"], F.lit("")).cast("binary"), 256))
+    stays = decided.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(at["doc_id"]), F.col("text_sha256").alias("digest"))
+    kept = rows.join(materialize(stays.distinct(), "stays"), [at["doc_id"], "digest"], "left_semi")
+    # repeated rows of one id and text: the join has sorted and dealt by both, so this adds no shuffle
+    first = F.row_number().over(Window.partitionBy(at["doc_id"], "digest").orderBy(F.xxhash64(*at.values())))
     return kept.withColumn("place", first).where("place = 1").select(*at.values()).toDF(*at)
 
 

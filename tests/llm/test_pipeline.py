@@ -86,3 +86,9 @@ def test_run_chains_the_stages(spark, tmp_path, sf_docs):
 def test_stages_take_empty_tables(spark, make_docs, name):
     docs = make_docs([]).select(*COLUMNS)
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, "").collect() == []
+
+
+def test_exact_dedup_keeps_all_texts_of_an_id(spark, make_docs):
+    rows = [(1, "shared"), (9, "shared"), (9, "another"), (9, "another"), (1, "only here"), (1, "a third")]
+    out = corpus_pipeline.exact_dedup(spark, make_docs(rows), "")
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, "a third"), (1, "only here"), (9, "another"), (9, "shared")]
