@@ -41,6 +41,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SCAN_TASKS_PER_CORE = 4
+
+
+def scan_tasks(df: DataFrame) -> DataFrame:
+    """At most a few tasks per core, without a shuffle: for scans that send a summary of fixed size per
+    task, so that the summaries grow with the cluster and not with the table."""
+    return df.coalesce(SCAN_TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing reads any more."""
     spark = df.sparkSession

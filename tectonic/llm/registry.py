@@ -17,6 +17,9 @@ from . import (
     op8_urls,
     op9_packing,
     op10_embeddings,
+    op11_negatives,
+    op12_quality,
+    op13_lexical,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,9 +33,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_urls.query,
     "op9_packing": op9_packing.query,
     "op10_embedding_dedup": op10_embeddings.query,
+    "op11_hard_negatives": op11_negatives.query,
+    "op12_quality_classifier": op12_quality.query,
+    "op13_lexical_search": op13_lexical.query,
 }
 
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": op3_exact.ORACLE_SQL,
     "op10_embedding_dedup": op10_embeddings.ORACLE_SQL,
+    "op11_hard_negatives": op11_negatives.ORACLE_SQL,
+    "op13_lexical_search": op13_lexical.ORACLE_SQL,
 }
