@@ -1,7 +1,7 @@
 """Keep-last merging of revised events.
 
 Spark has no row order, so "last" is an explicit rank: source (archive before
-landing), landing date, position in the landing (``row_seq``) or, without one,
+landing), arrival number of the landing batch, landing date, position in the landing (``row_seq``) or, without one,
 ``time`` (the service returns time ascending), then a hash of the row so the
 choice is repeatable. The merge is one ``groupBy(id)`` with ``max_by``, which
 Spark aggregates partially on the map side: an id holding a third of all rows
@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from ..functions.labels import year_of
 from ..schema import CORE_COLUMNS
 
-RANK_COLUMNS = ["_source_rank", "land_date", "row_seq", "time", "_row_hash"]
+RANK_COLUMNS = ["_source_rank", "batch", "land_date", "row_seq", "time", "_row_hash"]
 
 
 def _with_rank(df: DataFrame, source_rank: int) -> DataFrame:
     out = df
     if "_source_rank" not in out.columns:
         out = out.withColumn("_source_rank", F.lit(source_rank))
+    if "batch" not in out.columns:
+        out = out.withColumn("batch", F.lit(None).cast("long"))
     if "land_date" not in out.columns:
         out = out.withColumn("land_date", F.lit(None).cast("date"))
     if "row_seq" not in out.columns:
@@ -35,7 +37,7 @@ def _with_rank(df: DataFrame, source_rank: int) -> DataFrame:
 def latest_by_id(df: DataFrame, order_by: list[str] | None = None, key: str = "id") -> DataFrame:
     """One row per ``key``: the row with the greatest rank. Null keys form one group.
 
-    ``order_by`` defaults to the landing order ``(land_date, row_seq)`` when the
+    ``order_by`` defaults to the landing order ``(batch, land_date, row_seq)`` as far as the
     frame has it; the output keeps the input's columns and their order.
     """
     cols = df.columns
@@ -54,7 +56,7 @@ def compact(archive: DataFrame, landing: DataFrame | None = None) -> DataFrame:
     across New Year leaves exactly one copy, in its new year. Without
     ``landing`` the archive rows alone are merged (a first build).
     """
-    keep = CORE_COLUMNS + ["land_date", "row_seq"]
+    keep = CORE_COLUMNS + ["batch", "land_date", "row_seq"]
     union = _with_rank(archive.select(*[c for c in archive.columns if c in keep]), 0)
     if landing is not None:
         news = _with_rank(landing.select(*[c for c in landing.columns if c in keep]), 1)

@@ -1,18 +1,19 @@
 """Incremental sync: land missing days, merge whatever has landed, export web rows.
 
 The driver only plans (calendar-sized lists of days and years); rows stay on
-executors. Every step writes a table, so a lost executor costs a task retry,
-not the job, and a re-run resumes from what has landed:
-
-1. land the raw rows of the days not landed yet (``land_daily``), recording empty days too;
-2. ``upsert`` the landing area into the archive whenever it holds rows, whoever
-   landed them: only the years an incoming id touches (its old year and its new
-   one) are rewritten;
+executors. Every step writes files of its own and publishes them with one commit
+of the manifest, so a run that ends anywhere leaves a whole catalog, and a re-run
+resumes from what has been published:
+
+1. land the raw rows of the days not landed yet (``land_daily``), recording empty days too; only the raw
+   files between the first and the last of those days are opened;
+2. merge the landing batches listed now, whoever landed them: only the years an incoming id
+   touches (its old year and its new one) are written anew, and one commit switches them and retires just
+   those batches. What lands meanwhile waits for the next merge;
 3. export web rows of those years, of years that an interrupted run left pending
    and of stored years that have no export yet;
 4. optionally refit the hazard grid from the merged archive;
-5. drop the landing area. It goes last, so after a crash the next run finds the
-   same rows and merges them again, which changes nothing already merged.
+5. delete files that an earlier merge has retired.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from ..operators.dedupe import compact
 from ..operators.filters import min_magnitude
 from ..operators.hazard import hazard_cells
 from ..session import ensure_utc, scratch_path
+from ..sources import manifest
 from ..sources import parquet as pq
 from ..sources.csv import apply_null_markers, normalize, read_event_csv
 from ..sources.hazard_io import write_hazard
@@ -35,49 +37,69 @@ from ..sources.web import web_rows, write_web_json
 from .calendar import missing_days
 
 
-def _years(df: DataFrame) -> list[int]:
-    """Distinct years of a frame (one per calendar year)."""
-    return sorted(int(r[0]) for r in df.select("year").distinct().collect() if r[0] is not None)
+def _years(df: DataFrame) -> list[int | None]:
+    """Distinct years of a frame (one per calendar year), a null year last."""
+    return sorted((r[0] for r in df.select("year").distinct().collect()), key=lambda y: (y is None, y or 0))
+
 
+def _folder(year: int | None) -> str:
+    return pq.NO_VALUE if year is None else str(year)
 
-def upsert(spark: SparkSession, path: str, incoming: DataFrame) -> list[int]:
-    """Merge landed rows into the archive; returns the years rewritten.
+
+def upsert(spark: SparkSession, path: str, incoming: DataFrame, claims: list[str] = (), at: manifest.Manifest | None = None) -> list[int]:
+    """Merge rows into the archive; returns the years rewritten.
 
     Years touched = years of the incoming rows plus the years where their ids
     live now (a revision may move an event across New Year; the archive's ``id``
-    and ``year`` columns are searched whole, so any distance is found). Those years
-    are noted as pending, merged keep-last, staged under the shared checkpoint
-    folder (lineage cut: the archive is read before it is replaced), then written
-    with dynamic partition overwrite. A touched year left without rows is removed.
+    and ``year`` columns are searched whole, so any distance is found). They are
+    merged keep-last and written as a new generation beside the old one; one commit makes it
+    the archive, notes the years as pending and retires the landing batches ``claims``. A touched year
+    left without rows is removed. Another merge that published any of these years or batches first is a
+    ``manifest.Conflict``, and nothing changes.
     """
     ensure_utc(spark)
-    archive = pq.read_catalog(spark, path)
+    state = at or manifest.load(spark, path)
+    archive = pq.read_catalog(spark, path, at=state)
     inc = incoming.withColumn("year", year_of("time"))
     old_years = archive.select("id", "year").join(inc.select("id").distinct(), "id", "left_semi").select("year")
     touched = _years(inc.select("year").unionByName(old_years))
-    if not touched:
-        return []
-    pq.mark_pending(spark, path, touched)
-    affected = archive.filter(F.col("year").isin(touched))
-    merged = compact(affected, inc.drop("year"))
-    stage = scratch_path(spark, f"upsert-{uuid.uuid4().hex}")
-    merged.write.mode("overwrite").parquet(stage)
-    staged = spark.read.parquet(stage)
-    present = set(_years(staged))
-    pq.write_catalog(staged, path)
-    pq.drop_archive_years(spark, path, [y for y in touched if y not in present])
-    pq._delete(spark, stage)
-    return touched
+    token, got = "", set()
+    if touched:
+        known = [y for y in touched if y is not None]
+        here = F.col("year").isin(known) | F.col("year").isNull() if None in touched else F.col("year").isin(known)
+        token, got = pq.write_years(compact(archive.filter(here), inc.drop("year")), path)
+    folders = {_folder(y) for y in touched}
+
+    def publish(now: manifest.Manifest) -> bool | None:
+        unmerged = {b["token"] for b in now.batches}
+        if not set(claims) <= unmerged or any(now.years.get(y) != state.years.get(y) for y in folders):
+            raise manifest.Conflict(f"{path}: another merge has published these years or batches")
+        if not touched and not claims:
+            return False
+        now.put_years(token, got, folders - got)
+        for batch in claims:
+            now.retire(f"landing/token={batch}")
+        now.batches = [b for b in now.batches if b["token"] not in claims]
+        now.pending = sorted({*now.pending, *(y for y in touched if y is not None)})
+        return None
+
+    manifest.commit(spark, path, publish)
+    return [y for y in touched if y is not None]
 
 
 def land_raw_days(spark: SparkSession, raw: DataFrame, path: str, days: DataFrame, min_mag: float) -> None:
     """Normalize the raw rows of the given days (column ``land_date``) and land them in the service's order.
 
-    The service returns rows time ascending, so ``row_seq`` is the event time:
+    The least and greatest day are a literal range on ``land_date``, so raw files of other days are not
+    opened; the join picks the days between. The service returns rows time ascending, so ``row_seq`` is the event time:
     it does not depend on how files are split into tasks, so a retried task
     ranks its rows the same way (ties fall to the row hash in ``compact``).
     """
-    rows = raw.withColumn("land_date", F.col("land_date").cast("date")).join(days.select("land_date").distinct(), "land_date", "left_semi")
+    first, last = days.agg(F.min("land_date"), F.max("land_date")).first()
+    rows = raw.withColumn("land_date", F.col("land_date").cast("date"))
+    if first is not None:
+        rows = rows.where(F.col("land_date").between(F.lit(first), F.lit(last)))
+    rows = rows.join(days.select("land_date").distinct(), "land_date", "left_semi")
     core = normalize(rows, keep=["land_date"]).withColumn("row_seq", F.col("time"))
     core = min_magnitude(core, min_mag)
     pq.land_daily(core, path, days)
@@ -96,17 +118,21 @@ def append_day(spark: SparkSession, raw: DataFrame, path: str, day, min_mag: flo
 
 
 def merge_landing(spark: SparkSession, path: str) -> list[int]:
-    """Merge every landed row into the archive; returns the years rewritten (none without landed rows)."""
-    landing = pq.read_landing(spark, path)
-    return upsert(spark, path, landing) if landing.take(1) else []
+    """Merge the batches landed by now into the archive; returns the years rewritten (none without landed
+    rows). Batches that land during the merge stay for the next one."""
+    state = manifest.load(spark, path)
+    if not state.batches:
+        return []
+    return upsert(spark, path, pq.read_landing(spark, path, arrival=True, at=state), [b["token"] for b in state.batches], state)
 
 
 def export_web(spark: SparkSession, path: str, web_path: str, touched: list[int], export_mag: float) -> list[int]:
     """Export the touched and pending years and the stored years without an export; returns them."""
-    archive = pq.read_catalog(spark, path)
-    stored = {int(y) for y in pq._partition_values(spark, f"{path.rstrip('/')}/archive", "year") if y.lstrip("-").isdigit()}
+    state = manifest.load(spark, path)
+    archive = pq.read_catalog(spark, path, at=state)
+    stored = {int(y) for y in state.years if y.lstrip("-").isdigit()}
     exported = {int(y) for y in pq._partition_values(spark, web_path, "year") if y.lstrip("-").isdigit()}
-    stale = set(touched) | pq.pending_years(spark, path)
+    stale = set(touched) | set(state.pending)
     years = sorted((stale & stored) | (stored - exported))
     if years:
         write_web_json(web_rows(archive.filter(F.col("year").isin(years)), export_mag, with_place=True, keep_year=True), web_path)
@@ -137,16 +163,19 @@ def sync(
     ``raw_path`` holds the service's CSV files under ``land_date=YYYY-MM-DD``
     folders; without ``start`` and ``through`` the span is that of its folders. With
     ``hazard_path`` (and ``as_of_year``) the hazard grid is refitted from the merged
-    archive in the same job. Returns a small summary (days landed, years rewritten
+    archive in the same job. ``drop_landing`` deletes the files that the merge before this one
+    retired. Returns a small summary (days landed, years rewritten
     and exported).
     """
     ensure_utc(spark)
     if hazard_path and as_of_year is None:
         raise ValueError("as_of_year is required with hazard_path (no clock reads)")
-    raw = read_event_csv(spark, raw_path) if isinstance(raw_path, str) else apply_null_markers(raw_path)
+    stored = raw_path if isinstance(raw_path, str) else None
+    raw = None if stored else apply_null_markers(raw_path)
     if start is None or through is None:
-        days = sorted(pq._partition_values(spark, raw_path, "land_date")) if isinstance(raw_path, str) else []
+        days = sorted(pq._partition_values(spark, stored, "land_date")) if stored else []
         if not days:
+            raw = raw if raw is not None else read_event_csv(spark, stored)
             span = raw.agg(F.min("land_date").cast("string"), F.max("land_date").cast("string")).first()
             days = [d for d in span if d is not None]
         start, through = start or (days[0] if days else None), through or (days[-1] if days else None)
@@ -157,14 +186,18 @@ def sync(
         if landed_now:
             stage = scratch_path(spark, f"todo-{uuid.uuid4().hex}")
             todo.write.parquet(stage)   # the plan is fixed before landing changes what is missing
+            if raw is None:
+                raw = read_event_csv(spark, stored, days=(landed_now[0], landed_now[-1]))
             land_raw_days(spark, raw, path, spark.read.schema("land_date date").parquet(stage), min_mag)
             pq._delete(spark, stage)
     touched = merge_landing(spark, path)
-    exported = export_web(spark, path, web_path, touched, export_mag) if web_path else []
+    exported, stale = [], pq.pending_years(spark, path)
+    if web_path:
+        exported = export_web(spark, path, web_path, touched, export_mag)
     if hazard_path and touched:
         write_hazard(hazard_cells(pq.read_catalog(spark, path), as_of_year), hazard_path)
     if web_path:
-        pq.clear_pending(spark, path)
+        pq.clear_pending(spark, path, stale)
     if drop_landing:
-        pq.drop_landing(spark, path)
+        manifest.vacuum(spark, path)
     return {"days": landed_now, "years": touched, "exported": exported}

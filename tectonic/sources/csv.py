@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from csv import reader as csv_lines
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
 from pyspark.sql import types as T
 
 from ..schema import CORE_COLUMNS, RAW_CSV_COLUMNS, RAW_DOUBLE_COLUMNS, RAW_NULL_MARKERS, RAW_RENAMES
@@ -24,39 +26,69 @@ def _null_markers(col: Column) -> Column:
 CSV_OPTIONS = {"header": "true", "mode": "PERMISSIVE", "quote": '"', "escape": '"', "enforceSchema": "false"}
 
 
-def _headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
-    """Header line -> its files (the driver lists the files of a scan in any case)."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    fields = F.split(F.regexp_replace("value", '["\\uFEFF]', ""), ",")
-    header = lines.where((F.col("at") == 0) & F.array_contains(fields, "id") & F.array_contains(fields, "time"))
+def _first_line(batches):
+    """The first line that is not blank; the rest of the file is not asked for."""
+    for batch in batches:
+        for line, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if line.strip("\ufeff \t\r"):
+                yield pa.RecordBatch.from_arrays([pa.array([line]), pa.array([file])], ["value", "file"])
+                return
+
+
+def _between_days(df: DataFrame, days: tuple[str, str] | None) -> DataFrame:
+    if days is None:
+        return df
+    first, last = (F.lit(str(d)).cast("date") for d in days)
+    return df.where(F.col("land_date").cast("date").between(first, last))
+
+
+def _headers(spark: SparkSession, path: str | list[str], days: tuple[str, str] | None) -> dict[str, list[str]]:
+    """Header line -> its files (the driver lists the files of a scan in any case).
+
+    A session of its own deals one file to a task, and each task stops at the first line, so
+    that only the head of a file is read here.
+    """
+    own = spark.newSession()
+    for name, value in (("files.maxPartitionBytes", 1 << 40), ("files.openCostInBytes", 1 << 40), ("execution.arrow.maxRecordsPerBatch", 16)):
+        own.conf.set(f"spark.sql.{name}", str(value))
+    lines = _between_days(own.read.text(path), days).select("value", F.col("_metadata.file_path").alias("file"))
     found: dict[str, list[str]] = {}
-    for line, file in header.select("value", "file").distinct().collect():
-        found.setdefault(line, []).append(file)
-    if len(found) > 1:     # else the whole path is read
-        other = lines.where(F.trim("value") != "").select("file").distinct().join(header.select("file"), "file", "left_anti").take(3)
-        if other:
-            raise ValueError(f"no header with the fields id and time in {', '.join(r.file for r in other)}")
+    other: list[str] = []
+    for line, file in lines.mapInArrow(_first_line, "value string, file string").collect():
+        if {"id", "time"} <= set(_fields(line)):
+            found.setdefault(line, []).append(file)
+        else:
+            other.append(file)
+    if len(found) > 1 and other:     # else the whole path is read
+        raise ValueError(f"no header with the fields id and time in {', '.join(sorted(other)[:3])}")
     return dict(sorted(found.items()))
 
 
-def read_event_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _fields(header: str) -> list[str]:
+    return next(csv_lines([header.lstrip("\ufeff")]))
+
+
+def read_event_csv(spark: SparkSession, path: str | list[str], days: tuple[str, str] | None = None) -> DataFrame:
     """Scan landed catalog CSV files (header row; every column text), columns matched by name.
 
     Files are read per distinct header, so a file with another column order or
     with fewer columns keeps its values under the right names; beside several
-    headers, a file that is not empty and has no known header is an error. Spark has a single
+    headers, a file that is not empty and has no known header is an error. Only the first
+    line of each file is read to find the headers. ``days`` (first and last, for paths of
+    ``land_date=`` folders) leaves the files of other days unopened. Spark has a single
     ``nullValue``, so both markers (empty and ``null``) are mapped in a
     projection; numeric columns are converted by ``normalize`` with ``try_cast``,
     so a bad number becomes null instead of failing the file.
     """
-    headers = _headers(spark, path)
-    if len(headers) <= 1:
-        return apply_null_markers(spark.read.options(**CSV_OPTIONS, inferSchema="false").csv(path))
+    headers = _headers(spark, path, days)
     base = path if isinstance(path, str) else None
+    if not headers:
+        return apply_null_markers(_between_days(spark.read.options(**CSV_OPTIONS, inferSchema="false").csv(path), days))
     parts = []
-    for files in headers.values():
-        reader = spark.read.options(**CSV_OPTIONS, inferSchema="false")
-        parts.append((reader.option("basePath", base) if base else reader).csv(files))
+    for header, files in headers.items():
+        reader = spark.read.options(**CSV_OPTIONS).schema(T.StructType([T.StructField(c, T.StringType(), True) for c in _fields(header)]))
+        reader = reader.option("basePath", base) if base else reader
+        parts.append(_between_days(reader.csv(path if len(headers) == 1 else files), days))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)

@@ -8,7 +8,8 @@ from ..functions.labels import register_sql_functions, year_of
 from ..operators.dedupe import latest_by_id
 from ..schema import CORE_COLUMNS, CORE_SCHEMA
 from ..session import ensure_utc
-from .parquet import _has_data, read_catalog, read_landing
+from . import manifest
+from .parquet import read_catalog, read_landing
 
 
 def _empty_core(spark: SparkSession) -> DataFrame:
@@ -57,9 +58,12 @@ def register_frames(
 
 
 def register_views(spark: SparkSession, path: str, name: str = "events") -> None:
-    """Views over a stored archive (``{path}/archive``) and landing area (``{path}/landing``)."""
-    landing = read_landing(spark, path) if _has_data(spark, f"{path.rstrip('/')}/landing") else None
-    register_frames(spark, read_catalog(spark, path), landing, name)
+    """Views over the archive and the landing area at ``path``, both of one state of the manifest: a
+    merge that ends meanwhile changes nothing in them."""
+    state = manifest.load(spark, path)
+    landed = any(b["rows"] for b in state.batches)
+    landing = read_landing(spark, path, arrival=True, at=state) if landed else None
+    register_frames(spark, read_catalog(spark, path, at=state), landing, name)
 
 
 def query(spark: SparkSession, path: str, sql: str) -> DataFrame:

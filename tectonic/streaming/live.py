@@ -8,6 +8,7 @@ it through the SQL view, and a scheduled ``merge_landing`` rewrites the archive.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_half_even
 from ..operators.filters import today_events
-from ..schema import CORE_COLUMNS
 from ..session import ensure_utc
 from ..sources.csv import CSV_OPTIONS, RAW_TEXT_SCHEMA, apply_null_markers, normalize
 from ..sources.geojson import geojson_point_rows
+from ..sources.manifest import Files, join
+from ..sources.parquet import land_stream_batch
 
 DEFAULT_TRIGGER = "60 seconds"
 
@@ -92,21 +94,23 @@ def start_live_snapshot(stream: DataFrame, path: str, checkpoint: str, now_ms: C
     return _trigger(w, available_now, interval).start()
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The streaming query's own id, which Spark keeps in its checkpoint."""
+    return json.loads(Files(spark, checkpoint).read(join(checkpoint, "metadata")))["id"]
+
+
 def start_stream_upsert(stream: DataFrame, path: str, checkpoint: str,
                         available_now: bool = False, interval: str = DEFAULT_TRIGGER):
-    """Append every micro-batch to the landing area at ``path`` (later batches win when merged).
+    """Land every micro-batch at ``path`` as a batch of its own (later batches, landed days included, win
+    when merged).
 
-    A batch writes one landing partition named by its number, so a replayed batch
-    overwrites itself; neither the archive nor earlier batches are read. The SQL
+    A batch is known by the query's id and its number, so a replay changes nothing, also when the batch has been
+    merged since; neither the archive nor other batches are read or replaced. The SQL
     view serves the rows at once, ``plans.sync.merge_landing`` moves them into the
     archive.
     """
     def land(batch: DataFrame, batch_id: int) -> None:
-        # later batches win; within a batch the service's order (time ascending)
-        day = F.date_add(F.lit("1970-01-01").cast("date"), F.lit(int(batch_id)))
-        rows = batch.select(*CORE_COLUMNS, day.alias("land_date"), F.col("time").alias("row_seq"))
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("land_date").parquet(f"{path.rstrip('/')}/landing"))
+        land_stream_batch(batch, path, _query_id(batch.sparkSession, checkpoint), int(batch_id))
 
     w = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()
