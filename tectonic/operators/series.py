@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, round_half_even
+from .stats import mean_of_tenths, tenths
 
 
 def frame_count(start_ms: int, end_ms: int, duration_ms: int, step_ms: int) -> int:
@@ -29,22 +30,18 @@ def frame_count(start_ms: int, end_ms: int, duration_ms: int, step_ms: int) -> i
     return max(0, -(-(max_start - start_ms) // step_ms)) if max_start > start_ms else 0
 
 
-def _tenths(col: str):
-    return F.round(F.col(col).cast("double") * F.lit(10.0)).cast("long")
-
-
 def _partial(df: DataFrame, keys: list):
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(_tenths("magnitude")).alias("mag10"),
-        F.sum(_tenths("depth_km")).alias("dep10"),
+        F.sum(tenths("magnitude")).alias("mag10"),
+        F.sum(tenths("depth_km")).alias("dep10"),
         F.max(F.col("magnitude").cast("double")).alias("max_magnitude"),
     )
 
 
 def _finish(df: DataFrame, start_ms: int, end_ms: int, digits: int) -> DataFrame:
     n = F.coalesce(F.col("n"), F.lit(0).cast("long"))
-    avg = lambda c: round_half_even(F.col(c).cast("double") / F.col("n").cast("double") / F.lit(10.0), digits)
+    avg = lambda c: mean_of_tenths(F.col(c), F.col("n"), digits)
     progress = clamp((F.col("frame_start") - F.lit(start_ms)).cast("double") / F.lit(float(end_ms - start_ms)), 0.0, 1.0)
     return df.select(
         "frame", "frame_start", n.alias("n"),

@@ -96,9 +96,15 @@ ORACLE["regional_filter"] = f"""{CTE} SELECT * FROM catalog
 ORACLE["trailing_days"] = f"{CTE} SELECT * FROM catalog WHERE time >= 1711929600000 AND time < 1714521600000"
 ORACLE["today_events"] = f"{CTE} SELECT * FROM catalog WHERE time >= 1714521600000 AND time < 1714586400000"
 ORACLE["facing"] = f"{CTE} SELECT * FROM catalog WHERE {FACING}"
+def _mean_of_tenths(column: str) -> str:
+    """Mean of one-decimal values from their whole sum: avg() of doubles depends on the rows' order."""
+    return (f"round_even(CAST(sum(CAST(round({column} * 10.0) AS BIGINT)) AS DOUBLE) "
+            f"/ CAST(nullif(count({column}), 0) AS DOUBLE) / 10.0, 4)")
+
+
 ORACLE["window_stats"] = f"""{CTE}
-SELECT count(*) AS n, max(magnitude) AS max_magnitude, round_even(avg(magnitude), 4) AS avg_magnitude,
-       round_even(avg(depth_km), 4) AS avg_depth_km FROM {VIEW}"""
+SELECT count(*) AS n, max(magnitude) AS max_magnitude, {_mean_of_tenths('magnitude')} AS avg_magnitude,
+       {_mean_of_tenths('depth_km')} AS avg_depth_km FROM {VIEW}"""
 ORACLE["yearly_counts"] = f"""{CTE} SELECT CAST(year(make_timestamp(time * 1000)) AS INTEGER) AS yr, count(*) AS n
   FROM catalog GROUP BY 1 ORDER BY 1"""
 ORACLE["visible_recent"] = f"{CTE} SELECT * FROM {VIEW} WHERE {FACING} ORDER BY time DESC, {TIES} LIMIT 100"
@@ -380,16 +386,21 @@ ORACLE["hazard_document"] = ORACLE["hazard_cells"]
 ORACLE["sync"] = ORACLE["compact"]
 ORACLE["live_stream"] = ORACLE["normalize"]
 ORACLE["stream_upsert"] = ORACLE["compact"]
-_WS, _WD, _WL = 864000000, 2592000000, 86400000   # 10-day slide, 30-day window, 1-day lateness
-ORACLE["stream_window_stats"] = f"""{CTE},
-ev AS (SELECT time, magnitude, depth_km, CAST(floor(time / {float(_WS)!r}) AS BIGINT) AS b FROM ({WEB6} FROM catalog)),
-win AS (SELECT (b - k) * {_WS} AS window_start, magnitude, depth_km, time FROM ev, range(0, {_WD // _WS}) t(k)),
-agg AS (SELECT window_start, window_start + {_WD} AS window_end, count(*) AS n,
-               max(CAST(magnitude AS DOUBLE)) AS max_magnitude,
-               round_even(avg(CAST(magnitude AS DOUBLE)), 4) AS avg_magnitude,
-               round_even(avg(coalesce(CAST(depth_km AS DOUBLE), 0.0)), 4) AS avg_depth_km
-        FROM win WHERE time >= window_start AND time < window_start + {_WD} GROUP BY 1)
-SELECT * FROM agg WHERE window_end <= (SELECT max(time) FROM catalog) - {_WL}"""
+def _stream_windows(step: int, duration: int, lateness: int, start: int = 0) -> str:
+    """Windows closed by the watermark, over web rows; ``start`` aligns them."""
+    first = f"CAST(floor((time - {start}) / {float(step)!r}) AS BIGINT)"
+    return f"""{CTE},
+ev AS (SELECT time, magnitude, depth_km, {first} AS b FROM ({WEB6} FROM catalog)),
+win AS (SELECT {start} + (b - k) * {step} AS window_start, magnitude, depth_km, time FROM ev, range(0, {-(-duration // step)}) t(k)),
+agg AS (SELECT window_start, window_start + {duration} AS window_end, count(*) AS n, max(magnitude) AS max_magnitude,
+               {_mean_of_tenths('magnitude')} AS avg_magnitude, {_mean_of_tenths('depth_km')} AS avg_depth_km
+        FROM win WHERE time >= window_start AND time < window_start + {duration} GROUP BY 1)
+SELECT * FROM agg WHERE window_end <= (SELECT max(time) FROM catalog) - {lateness}"""
+
+
+ORACLE["stream_window_stats"] = _stream_windows(864000000, 2592000000, 86400000)   # 30-day windows every 10 days, 1 day late
+# ten years a window, a month (a twelfth of a year) a step, aligned at 1985-01-01T12:00Z
+ORACLE["stream_playback"] = _stream_windows(2629800000, 315576000000, 86400000, 473428800000)
 
 
 # ---- further storage, stream and viewer queries -------------------------------------
@@ -408,10 +419,10 @@ SELECT time, lat, lon, depth_km, magnitude, place FROM p WHERE pz > 0
   AND abs(px * (2.144506920509559 * 2.5)) <= 3.0 - pz AND abs(py * (2.144506920509559 * 2.5)) <= 3.0 - pz
   AND abs(pz * -1.002002002002002 + 2.8058058058058056) <= 3.0 - pz"""
 ORACLE["moving_view"] = f"""{CTE}, v AS (SELECT * FROM {VIEW} WHERE time < 1714586400000),
-st AS (SELECT count(*) AS window_n, max(magnitude) AS window_max_magnitude, round_even(avg(magnitude), 4) AS window_avg_magnitude,
-       round_even(avg(depth_km), 4) AS window_avg_depth_km FROM v)
+st AS (SELECT count(*) AS window_n, max(magnitude) AS window_max_magnitude, {_mean_of_tenths('magnitude')} AS window_avg_magnitude,
+       {_mean_of_tenths('depth_km')} AS window_avg_depth_km FROM v)
 SELECT * FROM (SELECT * FROM v WHERE {FACING} ORDER BY time DESC, {TIES} LIMIT 100), st"""
-ORACLE["polyline_segments"] = f"""{CTE}, c AS (SELECT *, row_seq // 8 AS line_id FROM catalog WHERE row_seq % 8 < 4),
+ORACLE["polyline_segments"] = f"""{CTE}, c AS (SELECT *, row_seq // 8 AS line_id FROM catalog),
 s AS (SELECT line_id, 0 AS line_idx, CAST(row_number() OVER w - 1 AS INTEGER) AS seg_idx,
              CAST(lon AS DOUBLE) AS lon1, CAST(lat AS DOUBLE) AS lat1,
              CAST(lead(lon) OVER w AS DOUBLE) AS lon2, CAST(lead(lat) OVER w AS DOUBLE) AS lat2, lead(row_seq) OVER w AS more

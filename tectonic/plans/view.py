@@ -34,6 +34,6 @@ def moving_view(archive: DataFrame, live: DataFrame, start_ms: int, duration_ms:
     core = [c for c in live.columns if c in archive.columns]
     rows = with_live(view_rows(archive, start_ms, duration_ms, min_mag, max_depth),
                      view_rows(live.select(*core), start_ms, duration_ms, min_mag, max_depth))
-    stats = rows.agg(F.struct(*stats_columns()).alias("s")).scalar()
+    stats = rows.agg(F.struct(*stats_columns(in_tenths=True)).alias("s")).scalar()
     names = ["n", "max_magnitude", "avg_magnitude", "avg_depth_km"]
     return visible_recent(rows, k=k, **camera).select("*", *[stats[c].alias(f"window_{c}") for c in names])

@@ -9,13 +9,14 @@ it through the SQL view, and a scheduled ``merge_landing`` rewrites the archive.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_half_even
 from ..operators.filters import today_events
+from ..operators.stats import mean_of_tenths, tenths
 from ..session import ensure_utc
 from ..sources.csv import CSV_OPTIONS, RAW_TEXT_SCHEMA, apply_null_markers, normalize
 from ..sources.geojson import geojson_point_rows
@@ -116,34 +117,54 @@ def start_stream_upsert(stream: DataFrame, path: str, checkpoint: str,
     return _trigger(w, available_now, interval).start()
 
 
-def stream_window_stats(stream: DataFrame, duration, step, lateness, digits: int = 4) -> DataFrame:
+def span_ms(span: int | str) -> int:
+    """A span in ms, given so or as a Spark interval string of units of fixed length."""
+    if not isinstance(span, str):
+        return int(span)
+    sizes = {"week": 604_800_000, "day": 86_400_000, "hour": 3_600_000, "minute": 60_000, "second": 1_000, "millisecond": 1}
+    words = span.removeprefix("INTERVAL ").split()
+    try:
+        return sum(int(n) * sizes[unit.lower().rstrip("s")] for n, unit in zip(words[::2], words[1::2], strict=True))
+    except (KeyError, ValueError):
+        raise ValueError(f"no span of weeks, days, hours, minutes, seconds and milliseconds: {span!r}") from None
+
+
+def stream_window_stats(stream: DataFrame, duration, step, lateness, digits: int = 4, start_ms: int = 0) -> DataFrame:
     """Sliding-window statistics of streamed web rows with a watermark: late rows beyond ``lateness`` leave the running
     statistics (the batch ``window_series`` over the merged archive stays the reference).
 
-    A late row is dropped once the watermark of an earlier batch has passed it;
+    Two chained stateful aggregates. Rows are first reduced to panes of ``gcd(step, duration)``; a pane that the
+    watermark has closed goes into the ``duration / step`` windows that hold it. A row thus meets one
+    aggregate whatever the spans, and state holds the open panes and windows: ten years of panes and windows at
+    steps of a month, not ten years of rows times 120. Values of one decimal are summed as whole tenths, so rows in any order
+    give equal results. Windows start at ``start_ms`` plus a multiple of ``step``, as the frames of ``window_series`` do.
+
+    A late row is dropped once the watermark of an earlier batch has passed its pane;
     within the batch that moves the watermark Spark may still count it (its
     late-row filter uses the previous batch's watermark).
 
-    Spans are interval strings or ms (e.g. ``WINDOW_STEPS_MS["3 MO"]``). Each row
-    lands in ``duration / step`` windows, so keep that ratio small; long spans
-    with fine steps belong to the batch ``window_series``.
+    Spans are interval strings or ms (e.g. ``WINDOW_STEPS_MS["3 MO"]``).
     """
-    ts = F.timestamp_millis("time")
-    return (
-        stream.withColumn("ts", ts)
+    long, hop = span_ms(duration), span_ms(step)
+    pane = math.gcd(long, hop)
+    offset = interval_text(int(start_ms) % hop)
+    depth = F.coalesce(F.col("depth_km").cast("double"), F.lit(0.0))
+    panes = (
+        stream.withColumn("ts", F.timestamp_millis("time"))
         .withWatermark("ts", interval_text(lateness))
-        .groupBy(F.window("ts", interval_text(duration), interval_text(step)).alias("w"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(F.col("magnitude").cast("double")).alias("max_magnitude"),
-            round_half_even(F.avg(F.col("magnitude").cast("double")), digits).alias("avg_magnitude"),
-            round_half_even(F.avg(F.coalesce(F.col("depth_km").cast("double"), F.lit(0.0))), digits).alias("avg_depth_km"),
-        )
-        .select(
-            F.unix_millis(F.col("w.start")).alias("window_start"),
-            F.unix_millis(F.col("w.end")).alias("window_end"),
-            "n", "max_magnitude", "avg_magnitude", "avg_depth_km",
-        )
+        .groupBy(F.window("ts", interval_text(pane), interval_text(pane), interval_text(int(start_ms) % pane)).alias("pane"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count("magnitude").alias("n_mag"), F.max(F.col("magnitude").cast("double")).alias("max_magnitude"),
+             F.sum(tenths("magnitude")).alias("mag10"), F.sum(tenths(depth)).alias("dep10"))
+    )
+    windows = panes.groupBy(F.window(F.window_time("pane"), interval_text(long), interval_text(hop), offset).alias("w")).agg(
+        F.sum("n").alias("n"), F.sum("n_mag").alias("n_mag"), F.max("max_magnitude").alias("max_magnitude"),
+        F.sum("mag10").alias("mag10"), F.sum("dep10").alias("dep10"))
+    return windows.select(
+        F.unix_millis(F.col("w.start")).alias("window_start"),
+        F.unix_millis(F.col("w.end")).alias("window_end"),
+        "n", "max_magnitude",
+        mean_of_tenths(F.col("mag10"), F.nullif(F.col("n_mag"), F.lit(0).cast("long")), digits).alias("avg_magnitude"),
+        mean_of_tenths(F.col("dep10"), F.col("n"), digits).alias("avg_depth_km"),
     )
 
 

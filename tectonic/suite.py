@@ -21,7 +21,7 @@ from .operators import dedupe, filters, hazard, nearest, series, stats, topk
 from .plans import calendar, splits
 from .plans import sync as sync_plan
 from .plans import view
-from .schema import DAY_MS, YEAR_MS
+from .schema import DAY_MS, WINDOW_STEPS_MS, YEAR_MS
 from .session import scratch_path
 from .sources import csv as csv_src
 from .sources import geojson, hazard_io, views, web
@@ -140,7 +140,7 @@ def q_facing(spark, sf_dir):
 
 @register("window_stats")
 def q_window_stats(spark, sf_dir):
-    return stats.window_stats(_view_rows(spark, sf_dir))
+    return stats.window_stats(_view_rows(spark, sf_dir), in_tenths=True)
 
 
 @register("yearly_counts")
@@ -544,6 +544,7 @@ def q_nearest_event(spark, sf_dir):
 
 
 SNAPSHOT_NOW_MS = 1_714_564_800_000     # 2024-05-01T12:00:00Z
+PLAYBACK_START_MS = 473_428_800_000      # 1985-01-01T12:00Z
 STREAM_WINDOW = ("30 days", "10 days", "1 day")
 
 
@@ -685,6 +686,17 @@ def q_live_snapshot(spark, sf_dir):
     return results[0].unionByName(results[1]).unionByName(results[2])
 
 
+@register("stream_playback")
+def q_stream_playback(spark, sf_dir):
+    """The viewer's longest window, ten years, moved by a month at a time over the stream."""
+    raw = _raw_csv(spark, sf_dir, by_day=False)
+    out, ck = _scratch(spark, "playback"), _scratch(spark, "ck")
+    rows = web.web_rows(live.live_stream(spark, raw), min_mag=None)
+    stats_df = live.stream_window_stats(rows, WINDOW_STEPS_MS["10 YR"], WINDOW_STEPS_MS["1 MO"], "1 day", start_ms=PLAYBACK_START_MS)
+    live.start_window_stats(stats_df, out, ck, available_now=True).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @register("stream_window_stats")
 def q_stream_window_stats(spark, sf_dir):
     raw = _raw_csv(spark, sf_dir, by_day=False)
