@@ -386,6 +386,21 @@ ORACLE["hazard_document"] = ORACLE["hazard_cells"]
 ORACLE["sync"] = ORACLE["compact"]
 ORACLE["live_stream"] = ORACLE["normalize"]
 ORACLE["stream_upsert"] = ORACLE["compact"]
+_CORE = "id, time, lat, lon, depth_km, magnitude, mag_type, place"
+ORACLE["stream_revises_landed"] = f"""{CTE}, {LATEST},
+s AS (SELECT id, time, lat, lon, depth_km, CAST(magnitude + CAST(1.0 AS FLOAT) AS FLOAT) AS magnitude, mag_type, 'revised' AS place
+      FROM catalog WHERE land_date < DATE '2024-01-15' QUALIFY row_number() OVER (PARTITION BY id ORDER BY time DESC) = 1)
+SELECT {_CORE}, {YEAR} AS year FROM (SELECT {_CORE} FROM s UNION ALL SELECT {_CORE} FROM latest WHERE id NOT IN (SELECT id FROM s))"""
+_POLL = 1714564800000
+ORACLE["poll_changes"] = f"""{CTE}, {LATEST},
+early AS (SELECT {_CORE} FROM catalog WHERE land_date < DATE '2024-01-15'
+          QUALIFY row_number() OVER (PARTITION BY id ORDER BY land_date DESC, row_seq DESC) = 1)
+SELECT *, 'new' AS change, {_POLL} AS at_ms FROM early
+UNION ALL SELECT *, 'new', {_POLL + 60_000} FROM latest WHERE id NOT IN (SELECT id FROM early)
+UNION ALL SELECT *, 'revised', {_POLL + 60_000} FROM (SELECT * FROM latest EXCEPT SELECT * FROM early) WHERE id IN (SELECT id FROM early)
+UNION ALL SELECT *, 'vanished', {_POLL + 120_000 + 90_000} FROM latest WHERE time < 946684800000"""
+
+
 def _stream_windows(step: int, duration: int, lateness: int, start: int = 0) -> str:
     """Windows closed by the watermark, over web rows; ``start`` aligns them."""
     first = f"CAST(floor((time - {start}) / {float(step)!r}) AS BIGINT)"

@@ -77,29 +77,67 @@ def _trigger(writer, available_now: bool, interval: str):
     return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The streaming query's own id, which Spark keeps in its checkpoint."""
+    return json.loads(Files(spark, checkpoint).read(join(checkpoint, "metadata")))["id"]
+
+
+def _last_snapshot(files: Files, path: str) -> dict | None:
+    names = sorted(n for n in files.names(join(path, "_state")) if n.endswith(".json"))
+    return json.loads(files.read(join(path, "_state", names[-1]))) if names else None
+
+
+def read_live_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Today's events as the newest poll had them; an error before the first one."""
+    last = _last_snapshot(Files(spark, path), path)
+    if last is None:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return spark.read.parquet(join(path, f"snapshot={last['n']}"))
+
+
 def start_live_snapshot(stream: DataFrame, path: str, checkpoint: str, now_ms: Callable[[], int],
                         available_now: bool = False, interval: str = DEFAULT_TRIGGER):
     """Keep ``path`` holding today's events as the latest poll has them.
 
     ``stream`` is ``live_stream(keep_poll=True)``; of several polls in a batch the one
-    with the newest file counts, with all of its files. ``now_ms`` is asked once per batch, so later events and the
+    with the newest file counts, with all of its files. Files of that poll that come in a later batch are added to
+    it; files of an older poll change nothing. ``now_ms`` is asked once per batch, so later events and the
     next midnight are seen. A poll without events of today empties the snapshot; a
-    failed batch leaves it as it is.
+    failed or replayed batch leaves it as it is: each snapshot is a folder of its own, which a small file published
+    last names (``read_live_snapshot``), and the one before goes after that.
     """
     def replace(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max(F.struct("poll_ms", "poll"))["poll"].alias("poll")).scalar()
-        today = today_events(batch.where(F.col("poll") == newest).drop("poll_ms", "poll"), now_ms())
-        today.write.mode("overwrite").parquet(path)
+        spark = batch.sparkSession
+        files, query = Files(spark, path), _query_id(spark, checkpoint)
+        last = _last_snapshot(files, path)
+        if last and last["query"] == query and last["batch"] >= batch_id:
+            return
+        newest = batch.agg(F.max(F.struct("poll_ms", "poll")).alias("at")).first()["at"]
+        if newest is None or last and newest["poll"] != last["poll"] and newest["poll_ms"] < last["poll_ms"]:
+            return
+        now, n = now_ms(), last["n"] + 1 if last else 0
+        today = today_events(batch.where(F.col("poll") == newest["poll"]).drop("poll_ms", "poll"), now)
+        if last and last["poll"] == newest["poll"]:
+            today = today.unionByName(today_events(read_live_snapshot(spark, path), now))
+        today.write.mode("overwrite").parquet(join(path, f"snapshot={n}"))
+        state = {"n": n, "poll": newest["poll"], "poll_ms": max(newest["poll_ms"], last["poll_ms"] if last and last["poll"] == newest["poll"] else 0),
+                 "query": query, "batch": int(batch_id)}
+        draft = join(path, "_state", f"draft-{query}")
+        files.delete(draft)
+        files.write(draft, json.dumps(state))
+        if not files.claim(draft, join(path, "_state", f"{n:012d}.json")):
+            raise RuntimeError(f"two streams write the snapshot {path}")
+        for name in files.names(path):
+            if name.startswith("snapshot=") and name != f"snapshot={n}":
+                files.delete(join(path, name))
+        for name in files.names(join(path, "_state")):
+            if name.endswith(".json") and int(name[:-5]) < n - 1:
+                files.delete(join(path, "_state", name))
 
     w = stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()
 
 
-def _query_id(spark: SparkSession, checkpoint: str) -> str:
-    """The streaming query's own id, which Spark keeps in its checkpoint."""
-    return json.loads(Files(spark, checkpoint).read(join(checkpoint, "metadata")))["id"]
-
-
 def start_stream_upsert(stream: DataFrame, path: str, checkpoint: str,
                         available_now: bool = False, interval: str = DEFAULT_TRIGGER):
     """Land every micro-batch at ``path`` as a batch of its own (later batches, landed days included, win

@@ -26,8 +26,9 @@ from .session import scratch_path
 from .sources import csv as csv_src
 from .sources import geojson, hazard_io, views, web
 from .sources import parquet as pq
+from .sources.manifest import Files
 from .sources.fixture import load_catalog
-from .streaming import live
+from .streaming import changes, live
 
 # Fixed query parameters (the reference reads these from the clock or the UI).
 AS_OF_YEAR = 2026
@@ -544,6 +545,7 @@ def q_nearest_event(spark, sf_dir):
 
 
 SNAPSHOT_NOW_MS = 1_714_564_800_000     # 2024-05-01T12:00:00Z
+GONE_BEFORE_MS = 946_684_800_000          # 2000-01-01T00:00Z
 PLAYBACK_START_MS = 473_428_800_000      # 1985-01-01T12:00Z
 STREAM_WINDOW = ("30 days", "10 days", "1 day")
 
@@ -668,6 +670,44 @@ def q_stream_upsert(spark, sf_dir):
     return pq.read_catalog(spark, path)
 
 
+@register("stream_revises_landed")
+def q_stream_revises_landed(spark, sf_dir):
+    """All days landed, then a stream of revisions of the early ones; the merge keeps what came last."""
+    c = load_catalog(spark, sf_dir)
+    path, ck, raw = _scratch(spark, "revised"), _scratch(spark, "ck"), _scratch(spark, "raw")
+    pq.land_daily(c, path)
+    early = c.where(F.col("land_date") < F.lit(SPLIT_LAND_DATE).cast("date"))
+    revised = early.withColumn("magnitude", F.col("magnitude") + F.lit(1.0).cast("float")).withColumn("place", F.lit("revised"))
+    csv_src.write_event_csv(csv_src.raw_text_from_catalog(revised), raw, by_day=False)
+    live.start_stream_upsert(live.live_stream(spark, raw), path, ck, available_now=True).awaitTermination()
+    sync_plan.merge_landing(spark, path)
+    return pq.read_catalog(spark, path)
+
+
+def _set_poll_time(spark, folder, ms):
+    """Give the files of a written poll the time of its poll."""
+    files = Files(spark, folder)
+    for name in files.names(folder):
+        if name.startswith("part-"):
+            files.fs.setTimes(files.path(f"{folder}/{name}"), ms, -1)
+
+
+@register("poll_changes")
+def q_poll_changes(spark, sf_dir):
+    """Five polls a minute apart: early versions, all of them, the same again, then without the events before 2000."""
+    c = load_catalog(spark, sf_dir)
+    first = dedupe.latest_by_id(c.where(F.col("land_date") < F.lit(SPLIT_LAND_DATE).cast("date")))
+    every = dedupe.latest_by_id(c)
+    rest = every.where(F.col("time") >= GONE_BEFORE_MS)
+    polls, out, ck = _scratch(spark, "polls"), _scratch(spark, "changes"), _scratch(spark, "ck")
+    for k, poll in enumerate((first, every, every, rest, rest)):
+        csv_src.write_event_csv(csv_src.raw_text_from_catalog(poll), f"{polls}/poll-{k}", by_day=False)
+        _set_poll_time(spark, f"{polls}/poll-{k}", SNAPSHOT_NOW_MS + k * 60_000)
+    stream = live.live_stream(spark, f"{polls}/*", keep_poll=True)
+    changes.start_change_feed(changes.poll_changes(stream, "90 seconds", "1 second"), out, ck, available_now=True).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @register("live_snapshot")
 def q_live_snapshot(spark, sf_dir):
     """Three polls: an early one, a later one with newer events, one without any of today."""
@@ -681,7 +721,7 @@ def q_live_snapshot(spark, sf_dir):
         stream = live.live_stream(spark, f"{polls}/*", keep_poll=True)
         live.start_live_snapshot(stream, path, ck, lambda now=now: now, available_now=True).awaitTermination()
         kept = _scratch(spark, f"poll-{k}")
-        spark.read.parquet(path).select("id", "time").write.parquet(kept)
+        live.read_live_snapshot(spark, path).select("id", "time").write.parquet(kept)
         results.append(spark.read.parquet(kept).withColumn("poll", F.lit(k)))
     return results[0].unionByName(results[1]).unionByName(results[2])
 
