@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LIBC = ctypes.CDLL(None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,6 +64,16 @@ def release(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def give_back() -> None:
+    """Return what a task's arrays held to the system: a Python worker lives on, and what it keeps counts
+    against the executor while other stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)     # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def forget_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now.
 

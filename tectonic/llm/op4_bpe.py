@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from . import wordbpe
@@ -26,13 +27,13 @@ from .textnum import text_slices
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>): the token ids of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = wordbpe.load(path)
-        for batch in batches:
-            for lo, hi, *_ in text_slices(batch.column(1)):
-                part = batch.slice(lo, hi - lo)
-                _, _, ids, first = coder.encode([t or "" for t in part.column(1).to_pylist()])
-                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
+        with wordbpe.loaded(path) as coder:
+            for batch in batches:
+                for lo, hi, *_ in text_slices(batch.column(1)):
+                    part = batch.slice(lo, hi - lo)
+                    _, _, ids, first = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                    lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>")
@@ -41,32 +42,30 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text): the decoded text of (doc_id, ids) rows; null ids give an empty text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = wordbpe.load(path)
-        for batch in batches:
-            texts = [coder.decode(ids or ()) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        with wordbpe.loaded(path) as coder:
+            for batch in batches:
+                lists = batch.column(1)
+                first = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])
+                texts = coder.decode_lists(pc.list_flatten(lists).to_numpy(), first)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode in one pass; per document the number of ids and the digests of both results."""
+    """Encode, then decode the ids, in one pass; per document the number of ids and the digests of both results."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = wordbpe.load(path)
-        for batch in batches:
-            for lo, hi, *_ in text_slices(batch.column(1)):
-                part = batch.slice(lo, hi - lo)
-                words, first_word, ids, first = coder.encode([t or "" for t in part.column(1).to_pylist()])
-                raw = memoryview(ids.astype("<u4").tobytes())
-                shown = coder.shown
-                n_tokens, ids_sha, text_sha = np.diff(first), [], []
-                for i in range(hi - lo):
-                    ids_sha.append(hashlib.sha256(raw[4 * first[i]:4 * first[i + 1]]).hexdigest())
-                    decoded = b" ".join([shown[w] for w in words[first_word[i]:first_word[i + 1]].tolist()])
-                    text_sha.append(hashlib.sha256(decoded).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n_tokens.astype(np.int64)), pa.array(ids_sha), pa.array(text_sha)],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with wordbpe.loaded(path) as coder:
+            for batch in batches:
+                for lo, hi, *_ in text_slices(batch.column(1)):
+                    part = batch.slice(lo, hi - lo)
+                    _, _, ids, first = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                    raw = memoryview(ids.astype("<u4").tobytes())
+                    ids_sha = [hashlib.sha256(raw[4 * a:4 * b]).hexdigest() for a, b in zip(first[:-1], first[1:], strict=True)]
+                    text_sha = [hashlib.sha256(text).hexdigest() for text in coder.decode_lists(ids, first)]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(np.diff(first).astype(np.int64)), pa.array(ids_sha), pa.array(text_sha)],
+                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

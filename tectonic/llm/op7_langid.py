@@ -19,22 +19,22 @@ gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 from .textnum import text_slices
 
 BUCKET_BITS = 13
 PARTS = 8                  # blocks of a language's counters
 AMBIGUOUS = 0.02           # relative gap of the two nearest codewords
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 # A-Z in lower case, other characters below 0x80 that are not letters count as space.
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x61:0x7B] = _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
@@ -93,6 +93,7 @@ def learn_counts(labelled: DataFrame) -> dict[str, np.ndarray]:
                 for lang in set(here):
                     got = counts[here == lang].sum(axis=0).astype(np.int64)
                     sums[lang] = sums[lang] + got if lang in sums else got
+        give_back()
         rows = [(lang, p, c[p * width:(p + 1) * width].tobytes()) for lang, c in sums.items() for p in range(PARTS)]
         yield _rows(rows)
 
@@ -190,6 +191,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(names[best], pa.string()), pa.array(score), pa.array(unsure)],
                 [*batch.schema.names[1:], "lang_pred", "score", "ambiguous"])
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     out = rows.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")

@@ -114,7 +114,6 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, g
         raise ValueError("tiers must be powers of two and divide group_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = wordbpe.load(path)
         packer = Packer(tiers)
         base = TaskContext.get().partitionId() << 40
         made = groups = filled = 0
@@ -136,18 +135,19 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, g
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        for batch in batches:
-            for lo, hi, *_ in text_slices(batch.column(1)):
-                part = batch.slice(lo, hi - lo)
-                _, _, ids, first = coder.encode([t or "" for t in part.column(1).to_pylist()])
-                ids = np.insert(ids, first[1:], SEPARATOR).astype("<u4")
-                first = first + np.arange(len(first))
-                done: list[list[Piece]] = []
-                for i, doc_id in enumerate(part.column(0).to_pylist()):
-                    n = int(first[i + 1] - first[i])
-                    done += packer.add((doc_id, ids[first[i]:first[i + 1]].tobytes(), n), n)
-                done += packer.windows()
-                yield rows(done)
+        with wordbpe.loaded(path) as coder:
+            for batch in batches:
+                for lo, hi, *_ in text_slices(batch.column(1)):
+                    part = batch.slice(lo, hi - lo)
+                    _, _, ids, first = coder.encode([t or "" for t in part.column(1).to_pylist()])
+                    ids = np.insert(ids, first[1:], SEPARATOR).astype("<u4")
+                    first = first + np.arange(len(first))
+                    done: list[list[Piece]] = []
+                    for i, doc_id in enumerate(part.column(0).to_pylist()):
+                        n = int(first[i + 1] - first[i])
+                        done += packer.add((doc_id, ids[first[i]:first[i + 1]].tobytes(), n), n)
+                    done += packer.windows()
+                    yield rows(done)
         yield rows(list(packer.rest()))
 
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, SCHEMA)

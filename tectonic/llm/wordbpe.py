@@ -5,7 +5,11 @@ one is a marked symbol. For every prefix of a word the BPE encoding has one last
 may follow token u exactly if BPE keeps the pair (u, t) as it is; the last token of a prefix therefore
 follows from the last tokens of its shorter prefixes. Words in sorted order are a trie in preorder: the
 stack of last-token states holds the path to the current word, and what a word shares with the one
-before it is not computed again.
+before it is not computed again. Which tokens end at a prefix is the state of a suffix-link automaton over the
+vocabulary, one step per symbol.
+
+Encodings of words are kept in two generations: when the younger is full the older one goes, and words
+that were met since have moved on, so frequent words stay however many rare ones pass.
 """
 
 from __future__ import annotations
@@ -13,14 +17,19 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property
+from struct import pack
 
 import numpy as np
 
+from .common import give_back
 from .textnum import PolyHash, random_table
 
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 200_000    # of a generation
 MAX_CACHED_PAIRS = 500_000
+MAX_CACHED_STEPS = 500_000
+WORD_START = 0xFFFF           # stands for no token before
 
 
 def byte_symbols() -> list[str]:
@@ -48,20 +57,15 @@ class WordBPE:
         #: From U+0300 on (combining marks and other scripts), and the dotted I, whose lower case has one.
         self.uncommon = re.compile("[\u0130\u0300-\U0010ffff]")
         self.symbols = byte_symbols()
-        self.parts: dict[str, tuple[str, ...]] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
-        n_suffix = len(self.suffix)
+        self.byte_of = {s: b for b, s in enumerate(self.symbols)}
         self.made = {a + b: (i, a, b) for i, (a, b) in enumerate(pairs)}
-        #: Tokens inside a word, and by their spelling without the mark those that end one.
-        self.inner = {t: t for t in self.vocab if not t.endswith(self.suffix)}
-        self.final = {t[:-n_suffix]: t for t in self.vocab if t.endswith(self.suffix)}
-        #: Per last three symbols the longest token that ends so, to skip look-ups that must fail.
-        self.reach: dict[str, int] = {}
-        for t in [*self.inner, *self.final]:
-            self.reach[t[-3:]] = max(self.reach.get(t[-3:], 2), len(t))
+        self._automaton()
         self.poly = PolyHash(11)
         self.code_hash = random_table(12, 0x300)
         self._classes()
+        self._token_bytes()
+        self.fits: dict[int, bool] = {}
+        self.steps: dict[int, int] = {}
         self.reset()
 
     @cached_property
@@ -72,11 +76,64 @@ class WordBPE:
         return Tokenizer.from_file(self.path)
 
     def reset(self) -> None:
-        self.ids_of: dict[str, int] = {}
-        self.pool = np.zeros(0, np.uint32)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.shown: list[bytes] = []
+        """Forget all words."""
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def word_bytes(self, word: str) -> bytes:
+        """The bytes that a word's symbols stand for."""
+        return bytes(map(self.byte_of.__getitem__, word))
+
+    def _automaton(self) -> None:
+        """Trie of all token spellings without the end mark, with suffix links.
+
+        Per node the nearest node on its suffix chain, itself included, whose spelling is a token inside a
+        word, and likewise for tokens that end one; 0, the root, is none.
+        """
+        n_suffix = len(self.suffix)
+        child: dict[int, int] = {}
+        inner, final, self.length = [0], [0], [0] * (max(self.tokens) + 1)
+        inner_token, final_token = [-1], [-1]
+        parent_key = [0]
+        for token, number in self.vocab.items():
+            ends = token.endswith(self.suffix)
+            spelling = self.word_bytes(token[:-n_suffix] if ends else token)
+            self.length[number] = len(spelling)
+            node = 0
+            for c in spelling:
+                key = node << 8 | c
+                node = child.get(key, 0)
+                if not node:
+                    node = child[key] = len(inner_token)
+                    inner_token.append(-1)
+                    final_token.append(-1)
+                    parent_key.append(key)
+            (final_token if ends else inner_token)[node] = number
+        size = len(inner_token)
+        fail, inner, final = [0] * size, [0] * size, [0] * size
+        depth = [0] * size
+        for node in range(1, size):
+            depth[node] = depth[parent_key[node] >> 8] + 1      # a parent's number is smaller
+        for node in sorted(range(1, size), key=depth.__getitem__):
+            parent, c = parent_key[node] >> 8, parent_key[node] & 255
+            link = 0
+            if parent:
+                link = fail[parent]
+                while link and (link << 8 | c) not in child:
+                    link = fail[link]
+                link = child.get(link << 8 | c, 0)
+            fail[node] = link
+            inner[node] = node if inner_token[node] >= 0 else inner[link]
+            final[node] = node if final_token[node] >= 0 else final[link]
+        self.child, self.fail = child, fail
+        self.inner, self.final, self.inner_token, self.final_token = inner, final, inner_token, final_token
+
+    def _token_bytes(self) -> None:
+        """Bytes of every token as the decoder shows it, each with a space behind it, end to end."""
+        shown = [(self.tokens.get(i, "") + " ").encode() for i in range(max(self.tokens) + 1)]
+        self.shown_size = np.array([len(t) for t in shown], np.int64)
+        self.shown_first = np.cumsum(self.shown_size) - self.shown_size
+        self.shown_bytes = np.frombuffer(b"".join(shown), np.uint8)
 
     # ---- pair rule -----------------------------------------------------------------
 
@@ -100,22 +157,23 @@ class WordBPE:
         """Whether BPE turns the token's own symbols into the token."""
         return self.merge(self.symbols_of(token)) == [token]
 
-    def follows(self, before: str, token: str) -> bool:
-        """Whether BPE leaves ``before`` and ``token`` as they are side by side ("" for a word's start).
+    def follows(self, before: int, token: int) -> bool:
+        """Whether BPE leaves ``before`` and ``token`` as they are side by side (WORD_START: a word's start).
 
         Walks back the merges that made the two: at each point the symbols at the seam may merge only
         if that merge ranks before the next one that uses either of them, the left one first on a tie.
         """
-        key = (before, token)
+        key = before << 16 | token
         known = self.fits.get(key)
         if known is not None:
             return known
         if len(self.fits) > MAX_CACHED_PAIRS:
             self.fits.clear()
-        if not before:
-            known = self.whole(token)
+        right = self.tokens[token]
+        if before == WORD_START:
+            known = self.whole(right)
         else:
-            known, limit, left, right = self.follows("", token), 1 << 60, before, token
+            known, limit, left = self.follows(WORD_START, token), 1 << 60, self.tokens[before]
             while known:
                 if self.ranks.get((left, right), 1 << 60) < limit:
                     known = False
@@ -133,39 +191,72 @@ class WordBPE:
     # ---- trie ----------------------------------------------------------------------
 
     def encode_words(self, words: list[str]) -> Iterator[list[str]]:
-        """Tokens of distinct words given in byte symbols and in sorted order."""
-        path: list[str] = []   # per symbol of the current path: the last token there
-        last = ""
-        state = self._state
+        """Tokens of distinct words given in byte symbols and in the order of their bytes."""
+        for ids in self.walk([self.word_bytes(w) for w in words]):
+            yield [self.tokens[i] for i in ids]
+
+    def walk(self, words: list[bytes]) -> Iterator[list[int]]:
+        """Token ids of distinct words given in sorted order."""
+        fits, follows, length, fail = self.fits, self.follows, self.length, self.fail
+        inner, final, inner_token, final_token, steps, step = self.inner, self.final, self.inner_token, self.final_token, self.steps, self._step
+        nodes = [0]              # automaton state after each byte of the current path
+        path: list[int] = []     # and the last token there
+        last = b""
         for word in words:
-            shared, most = 0, min(len(word) - 1, len(path))
+            end = len(word) - 1
+            shared, most = 0, min(end, len(path))
             while shared < most and word[shared] == last[shared]:
                 shared += 1
-            del path[shared:]
-            for i in range(shared + 1, len(word)):
-                path.append(state(word[:i], path, self.inner))
-            token = state(word, path, self.final)
+            del path[shared:], nodes[shared + 1:]
+            node, size = nodes[shared], shared
+            for c in word[shared:end]:
+                size += 1
+                key = node << 8 | c
+                node = steps.get(key)
+                if node is None:
+                    node = step(key)
+                at = inner[node]
+                while True:
+                    token = inner_token[at]
+                    start = size - length[token]
+                    key = (path[start - 1] if start else 0xFFFF) << 16 | token
+                    fit = fits.get(key)
+                    if fit or fit is None and follows(key >> 16, token):
+                        break
+                    at = inner[fail[at]]
+                path.append(token)
+                nodes.append(node)
+            key = node << 8 | word[end]
+            node = steps.get(key)
+            if node is None:
+                node = step(key)
+            at = final[node]
+            while True:
+                token = final_token[at]
+                start = end + 1 - length[token]
+                key = (path[start - 1] if start else 0xFFFF) << 16 | token
+                fit = fits.get(key)
+                if fit or fit is None and follows(key >> 16, token):
+                    break
+                at = final[fail[at]]
             found = [token]
-            at = len(word) - len(token) + len(self.suffix)
-            while at:
-                token = path[at - 1]
+            while start:
+                token = path[start - 1]
                 found.append(token)
-                at -= len(token)
+                start -= length[token]
             found.reverse()
             yield found
             last = word
 
-    def _state(self, prefix: str, path: list[str], tokens: dict[str, str]) -> str:
-        """Last token of the encoding of ``prefix``, from the states of shorter prefixes."""
-        fits, n = self.fits, len(prefix)
-        for at in range(max(0, n - self.reach.get(prefix[-3:], 2)), n):
-            token = tokens.get(prefix[at:])
-            if token is not None:
-                before = path[at - 1] if at else ""
-                fit = fits.get((before, token))
-                if fit or fit is None and self.follows(before, token):
-                    return token
-        raise ValueError(f"no token ends {prefix!r}")
+    def _step(self, key: int) -> int:
+        """The automaton's state after a symbol: the longest suffix that is the beginning of a token."""
+        if len(self.steps) > MAX_CACHED_STEPS:
+            self.steps.clear()
+        child, node, c = self.child, key >> 8, key & 255
+        while node and (node << 8 | c) not in child:
+            node = self.fail[node]
+        self.steps[key] = found = child.get(node << 8 | c, 0)
+        return found
 
     # ---- words of texts ------------------------------------------------------------
 
@@ -180,56 +271,51 @@ class WordBPE:
             kind[[i for i in range(0x300) if test.match(chr(i))]] = cls
         self.kind = kind
 
-    def odd_words(self, text: str) -> list[str]:
-        """Words of any text, in byte symbols, by the library's own normaliser and split; added tokens
-        stand for themselves with a leading space, which no word has."""
-        words: list[str] = []
+    def odd_words(self, text: str) -> list[bytes]:
+        """Words of any text by the library's own normaliser and split; added tokens stand for
+        themselves behind a space, which no word has."""
+        words: list[bytes] = []
         for part in self.split_added.split(text):
             if part in self.added:
-                words.append(" " + part)
+                words.append(b" " + part.encode())
             elif part:
                 clean = self.library.normalizer.normalize_str(part)
-                words += [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
+                words += [self.word_bytes(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
         return words
 
-    def _word_numbers(self, words: list[str]) -> list[int]:
-        """Numbers of words (byte symbols) in the cache; new ones go through the trie together."""
-        known = self.ids_of
-        fresh = sorted({w for w in words if w not in known})
-        special = [w for w in fresh if w[0] == " "]
-        fresh = fresh[len(special):]
-        flat: list[int] = []
-        sizes: list[int] = []
-        vocab = self.vocab
-        for tokens in self.encode_words(fresh):
-            flat += [vocab[t] for t in tokens]
-            sizes.append(len(tokens))
-            self.shown.append(" ".join(tokens).encode())
-        for w in special:
-            flat.append(self.added[w[1:]])
-            sizes.append(1)
-            self.shown.append(w[1:].encode())
-        fresh += special
-        n = len(known)
-        known.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum([0, *sizes], dtype=np.int64)[:-1]])
-        self.count = np.concatenate([self.count, np.array(sizes, np.int64)])
-        self.pool = np.concatenate([self.pool, np.array(flat, np.uint32)])
-        return [known[w] for w in words]
+    def _word_ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of distinct words; new ones go through the trie together."""
+        if len(self.young) > MAX_CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        fresh = []
+        for w in words:
+            if w not in young:
+                known = old.get(w)
+                if known is None:
+                    fresh.append(w)
+                else:
+                    young[w] = known
+        fresh.sort()
+        plain = [w for w in fresh if w[0] != 0x20]
+        for w in fresh if len(plain) < len(fresh) else ():
+            if w[0] == 0x20:
+                young[w] = pack("<I", self.added[w[1:].decode()])
+        for w, ids in zip(plain, self.walk(plain), strict=True):
+            young[w] = pack(f"<{len(ids)}I", *ids)
+        return [young[w] for w in words]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Encode texts together.
 
-        Returns word numbers, each text's first word (one entry more than texts), all ids, each text's
-        first id (likewise). Texts of common characters are split into words as arrays; a text with
-        other characters or with an added token's string goes through the library's normaliser.
+        Returns the words' numbers within this call, each text's first word (one entry more than texts), all
+        ids, each text's first id (likewise). Texts of common characters are split into words as arrays;
+        a text with other characters or with an added token's string goes through the library's normaliser.
         """
         import pandas as pd
 
-        if len(self.ids_of) > MAX_CACHED_WORDS:
-            self.reset()
         plain: list[str] = []
-        odd: dict[int, list[str]] = {}
+        odd: dict[int, list[bytes]] = {}
         for i, text in enumerate(texts):
             if "<|" in text and self.split_added.search(text):
                 odd[i] = self.odd_words(text)
@@ -246,27 +332,30 @@ class WordBPE:
         numbers, distinct = pd.factorize(hashes)
         where = np.empty(len(distinct), np.int64)
         where[numbers[::-1]] = np.arange(len(numbers))[::-1]   # first place of each word
-        latin, s, e = "".join(plain), starts[where].tolist(), ends[where].tolist()
-        sym = self.symbols
-        words = [latin[a:b] for a, b in zip(s, e, strict=True)]
-        words = [w if w.isascii() and w.isprintable() else "".join(sym[c] for c in w.encode()) for w in words]
-        table = np.array(self._word_numbers(words), np.int64)
-        numbers = table[numbers] if len(numbers) else np.zeros(0, np.int64)
+        whole = "".join(plain)
+        words = [whole[a:b].encode() for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        encoded = self._word_ids(words)
         first_word = np.searchsorted(starts, offsets)
         if odd:
             pieces, counts = [], np.diff(first_word)
             for i in range(len(texts)):
                 if i in odd:
-                    got = np.array(self._word_numbers(odd[i]), np.int64)
+                    known = dict.fromkeys(odd[i])
+                    place = dict(zip(known, range(len(encoded), len(encoded) + len(known)), strict=True))
+                    encoded += self._word_ids(list(known))
+                    got = np.array([place[w] for w in odd[i]], np.int64)
                     counts[i] = len(got)
                 else:
                     got = numbers[first_word[i]:first_word[i + 1]]
                 pieces.append(got)
             numbers = np.concatenate(pieces).astype(np.int64)
             first_word = np.concatenate([[0], np.cumsum(counts)])
-        sizes = self.count[numbers]
+        pool = np.frombuffer(b"".join(encoded), "<u4")
+        count = np.array([len(e) >> 2 for e in encoded], np.int64)
+        first = np.cumsum(count) - count
+        sizes = count[numbers]
         done = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.pool[np.repeat(self.first[numbers] - done[:-1], sizes) + np.arange(done[-1])]
+        ids = pool[np.repeat(first[numbers] - done[:-1], sizes) + np.arange(done[-1])]
         return numbers, first_word, ids, done[first_word]
 
     def _plain_words(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,19 +394,36 @@ class WordBPE:
         word = kind[starts] != self.SPACE
         return starts[word], ends[word]
 
+    def decode_lists(self, ids: np.ndarray, first: np.ndarray) -> list[bytes]:
+        """Decoded text (UTF-8) of each list of ids; list i is ids[first[i]:first[i + 1]].
+
+        Tokens are joined by a space, as the file names no decoder; special tokens are kept.
+        """
+        sizes = self.shown_size[ids]
+        done = np.concatenate([[0], np.cumsum(sizes)])
+        data = self.shown_bytes[np.repeat(self.shown_first[ids] - done[:-1], sizes) + np.arange(done[-1])].tobytes()
+        ends = done[first].tolist()
+        return [data[a:max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     def decode(self, ids) -> str:
-        """Tokens joined by a space, as the file names no decoder; special tokens are kept."""
-        return " ".join(self.tokens[int(i)] for i in ids)
+        ids = np.asarray(ids, np.int64)
+        return self.decode_lists(ids, np.array([0, len(ids)]))[0].decode()
 
 
 _LOADED: dict[str, WordBPE] = {}
 
 
-def load(path: str) -> WordBPE:
-    """The encoder of a vocabulary file, once per Python worker."""
+@contextmanager
+def loaded(path: str) -> Iterator[WordBPE]:
+    """The encoder of a vocabulary file, once per Python worker; the words met go when the task ends, so
+    that a reused worker takes none into other work."""
     if path not in _LOADED:
         _LOADED[path] = WordBPE(path)
-    return _LOADED[path]
+    try:
+        yield _LOADED[path]
+    finally:
+        _LOADED[path].reset()
+        give_back()
 
 
 def default_path() -> str:

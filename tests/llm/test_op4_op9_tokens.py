@@ -62,6 +62,34 @@ def test_cache_reset_keeps_results(monkeypatch):
     assert [coder.encode([t])[2].tolist() for t in texts] == [wordbpe.WordBPE(PATH).encode([t])[2].tolist() for t in texts]
 
 
+def test_words_met_again_outlive_a_generation(monkeypatch):
+    monkeypatch.setattr(wordbpe, "MAX_CACHED_WORDS", 3)
+    coder, walked = wordbpe.WordBPE(PATH), []
+    walk = coder.walk
+    monkeypatch.setattr(coder, "walk", lambda words: walked.extend(words) or walk(words))
+    for k in range(12):
+        coder.encode([f"often rare{chr(97 + k)}x"])
+    assert walked.count(b"often") == 1 and len(set(walked)) == 13
+    assert len(coder.young) + len(coder.old) <= 2 * (3 + 2)
+
+
+def test_a_task_leaves_no_words_behind():
+    with wordbpe.loaded(PATH) as coder:
+        coder.encode(["some words"])
+        assert coder.young
+    with wordbpe.loaded(PATH) as again:
+        assert again is coder and not again.young and not again.old
+
+
+def test_decoding_reads_nothing_but_the_ids(library):
+    coder = wordbpe.WordBPE(PATH)
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(0, 49_408, n).tolist() for n in (0, 1, 7, 0, 300)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    got = coder.decode_lists(np.array(sum(lists, []), np.int64), first)
+    assert [g.decode() for g in got] == [library.decode(x, skip_special_tokens=False) for x in lists]
+
+
 def test_empty_tables(make_docs):
     assert op4_bpe.digest_documents(make_docs([]), PATH).collect() == []
     assert op9_packing.pack_documents(make_docs([]), PATH).collect() == []

@@ -91,3 +91,60 @@ def test_learns_from_labelled_rows_only(make_docs):
 def test_many_languages_have_distant_codewords():
     c = lid.code(40)
     assert min((c[i] != c[j]).sum() for i in range(40) for j in range(i)) >= c.shape[1] // 4
+
+
+def test_numbers_are_no_letters(make_docs):
+    docs = make_docs([(i, "the of and", "en") for i in range(1, 9)] + [(20, "½ ² ①"), (21, "Ⅷ ٣"), (22, "² a"), (23, "ª"), (24, "_")])
+    got = {r.doc_id: r.lang_pred for r in lid.predict(docs, lid.fit(docs)).collect()}
+    assert [got[i] for i in (20, 21, 22, 23, 24)] == ["und", "und", "en", "en", "und"]
+
+
+def plain_grams(text):
+    raw = [b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in (text or "").encode()]
+    out = {}
+    for i in range(len(raw)):
+        if i + 1 < len(raw) and raw[i] == raw[i + 1] == 0x20:
+            continue
+        for size in (2, 3):
+            if i + size <= len(raw):
+                gram = sum(b << 8 * k for k, b in enumerate(raw[i:i + size])) | (0xFF0000 if size == 2 else 0)
+                bucket = (gram * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - lid.BUCKET_BITS
+                out[bucket] = out.get(bucket, 0) + 1
+    return out
+
+
+def test_decoding_equals_a_plain_version(spark, make_docs):
+    """Counts, bit classifiers, margins and loss-weighted decoding, each written out for one document at a time."""
+    import math
+
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").limit(150).collect()]
+    docs += [(9_000, docs[0][1], "fr"), (9_000, docs[0][1], "fr"), (9_001, "zz", None)]
+    counts = {}
+    for i, text, lang in docs:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            mine = counts.setdefault(lang, {})
+            for g, n in plain_grams(text).items():
+                mine[g] = mine.get(g, 0) + n
+    langs, size = sorted(counts), 1 << lid.BUCKET_BITS
+    words = [[1 - 2 * (s >> k & 1) for s in range(1, 1 << len(langs) - 1)] for k in range(len(langs))]
+    total = {x: sum(counts[x].values()) for x in langs}
+    share = {x: [(counts[x].get(g, 0) + 0.5) / (total[x] + 0.5 * size) for g in range(size)] for x in langs}
+    bits = []
+    for bit in range(len(words[0])):
+        pos, neg = ([share[x] for k, x in enumerate(langs) if words[k][bit] == side] for side in (1, -1))
+        weight = [math.log(sum(s[g] for s in pos) / len(pos)) - math.log(sum(s[g] for s in neg) / len(neg)) for g in range(size)]
+        own = [words[k][bit] * sum(a * b for a, b in zip(share[x], weight, strict=True)) for k, x in enumerate(langs)]
+        scale = max(sum(map(abs, own)) / len(own), 1e-9)
+        bits.append((weight, scale, max(min(own) / scale, 0.0) + 1e-6))
+    got = {}
+    frame = make_docs(docs).selectExpr("*", "'x' AS lang_pred", "'y' AS kept_0", "'z' AS held_out")
+    for r in lid.predict(frame, lid.fit(frame)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert len(got[9_000]) == 2 and got[9_000][0] == got[9_000][1]
+    for i, text, _ in docs:
+        grams = plain_grams(text)
+        margin = [sum(w[g] * n for g, n in grams.items()) / max(sum(grams.values()), 1) / s for w, s, _ in bits]
+        loss = [sum(max(0.0, 1 - m * c) * b[2] for m, c, b in zip(margin, word, bits, strict=True)) for word in words]
+        order = sorted(loss)
+        assert got[i][0].lang_pred == langs[loss.index(order[0])]
+        assert abs(got[i][0].score - (order[1] - order[0]) / (order[1] + order[0])) < 1e-6
