@@ -29,7 +29,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with wordbpe.loaded(path) as coder:
             for batch in batches:
-                for lo, hi, *_ in text_slices(batch.column(1)):
+                for lo, hi, *_ in text_slices(batch.column(1), wordbpe.SLICE_BYTES):
                     part = batch.slice(lo, hi - lo)
                     _, _, ids, first = coder.encode([t or "" for t in part.column(1).to_pylist()])
                     lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))
@@ -57,7 +57,7 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with wordbpe.loaded(path) as coder:
             for batch in batches:
-                for lo, hi, *_ in text_slices(batch.column(1)):
+                for lo, hi, *_ in text_slices(batch.column(1), wordbpe.SLICE_BYTES):
                     part = batch.slice(lo, hi - lo)
                     _, _, ids, first = coder.encode([t or "" for t in part.column(1).to_pylist()])
                     raw = memoryview(ids.astype("<u4").tobytes())

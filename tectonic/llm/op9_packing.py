@@ -137,7 +137,7 @@ def pack_documents(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, g
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         with wordbpe.loaded(path) as coder:
             for batch in batches:
-                for lo, hi, *_ in text_slices(batch.column(1)):
+                for lo, hi, *_ in text_slices(batch.column(1), wordbpe.SLICE_BYTES):
                     part = batch.slice(lo, hi - lo)
                     _, _, ids, first = coder.encode([t or "" for t in part.column(1).to_pylist()])
                     ids = np.insert(ids, first[1:], SEPARATOR).astype("<u4")

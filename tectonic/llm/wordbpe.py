@@ -5,8 +5,9 @@ one is a marked symbol. For every prefix of a word the BPE encoding has one last
 may follow token u exactly if BPE keeps the pair (u, t) as it is; the last token of a prefix therefore
 follows from the last tokens of its shorter prefixes. Words in sorted order are a trie in preorder: the
 stack of last-token states holds the path to the current word, and what a word shares with the one
-before it is not computed again. Which tokens end at a prefix is the state of a suffix-link automaton over the
-vocabulary, one step per symbol.
+before it is not computed again (``walk``). Which tokens end at a prefix is the state of a suffix-link
+automaton over the vocabulary, one step per symbol. Many words at once are the same trie as arrays in
+preorder, whose states pass from parents to children one depth at a time (``walk_together``).
 
 Encodings of words are kept in two generations: when the younger is full the older one goes, and words
 that were met since have moved on, so frequent words stay however many rare ones pass.
@@ -29,6 +30,9 @@ from .textnum import PolyHash, random_table
 MAX_CACHED_WORDS = 200_000    # of a generation
 MAX_CACHED_PAIRS = 500_000
 MAX_CACHED_STEPS = 500_000
+PAIR_SLOTS = 1 << 20          # of the array cache of pairs
+SLICE_BYTES = 1 << 20         # of texts encoded together: the more, the more words they share
+LONG_WORD = 48                # bytes; longer words go one by one
 WORD_START = 0xFFFF           # stands for no token before
 
 
@@ -40,6 +44,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
+def _slots(key: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64) & (PAIR_SLOTS - 1)
+
+
 class WordBPE:
     """Encoder and decoder for one vocabulary file; caches the encodings of words it has met."""
 
@@ -127,6 +136,12 @@ class WordBPE:
             final[node] = node if final_token[node] >= 0 else final[link]
         self.child, self.fail = child, fail
         self.inner, self.final, self.inner_token, self.final_token = inner, final, inner_token, final_token
+        keys = np.fromiter(child, np.int64, len(child))
+        order = np.argsort(keys)
+        self.child_keys, self.child_nodes = keys[order], np.fromiter(child.values(), np.int64, len(child))[order]
+        self.fail_array, self.length_array = np.array(fail), np.array(self.length)
+        self.near = {False: (np.array(inner), np.array(inner_token)), True: (np.array(final), np.array(final_token))}
+        self.pair_keys, self.pair_fits = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
 
     def _token_bytes(self) -> None:
         """Bytes of every token as the decoder shows it, each with a space behind it, end to end."""
@@ -248,6 +263,87 @@ class WordBPE:
             yield found
             last = word
 
+    def walk_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of distinct words in sorted order, end to end, and how many each word has."""
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        most = int(size.max(initial=1))
+        done = np.cumsum(size) - size
+        column = np.arange(size.sum()) - np.repeat(done, size)
+        spelled = np.zeros((n, most), np.int64)
+        spelled[np.repeat(np.arange(n), size), column] = np.frombuffer(b"".join(words), np.uint8)
+        before = np.concatenate([[0], size[:-1]])
+        same = np.zeros((n, most + 1), bool)
+        same[1:, :-1] = spelled[1:] == spelled[:-1]
+        shared = np.minimum(same.argmin(axis=1), np.minimum(size, before))
+        # a prefix's row is that of the first word that goes on after it
+        row = np.zeros((most, n), np.int64)
+        node, token = np.zeros((most, n), np.int64), np.full((most, n), WORD_START, np.int64)
+        every = np.arange(n)
+        for depth in range(1, most):
+            longer = size > depth
+            own = np.flatnonzero(longer & ((shared < depth) | (before <= depth)))
+            if not len(own):
+                break
+            first = np.zeros(n, np.int64)
+            first[own] = own
+            row[depth] = np.maximum.accumulate(first)
+            node[depth, own] = at = self._steps(node[depth - 1, row[depth - 1, own]], spelled[own, depth - 1])
+            token[depth, own] = self._last_tokens(at, own, np.full(len(own), depth), row, token, False)
+        parent = node[size - 1, row[size - 1, every]]
+        last = self._last_tokens(self._steps(parent, spelled[every, size - 1]), every, size, row, token, True)
+        # back from each word's end
+        found, count, left, word = [], np.zeros(n, np.int64), size.copy(), every
+        while len(word):
+            found.append((word, last))
+            count[word] += 1
+            left[word] -= self.length_array[last]
+            word = word[left[word] > 0]
+            last = token[left[word], row[left[word], word]]
+        ends = np.cumsum(count)
+        ids = np.empty(int(ends[-1]) if n else 0, np.uint32)
+        for k, (word, last) in enumerate(found):
+            ids[ends[word] - 1 - k] = last
+        return ids, count
+
+    def _steps(self, node: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The automaton's states after a byte each."""
+        out, todo, at = np.zeros(len(node), np.int64), np.arange(len(node)), node
+        while len(todo):
+            key = at << 8 | c[todo]
+            place = np.minimum(np.searchsorted(self.child_keys, key), len(self.child_keys) - 1)
+            hit = self.child_keys[place] == key
+            out[todo[hit]] = self.child_nodes[place[hit]]
+            again = ~hit & (at > 0)
+            todo, at = todo[again], self.fail_array[at[again]]
+        return out
+
+    def _last_tokens(self, node, word, size, row, token, ends: bool) -> np.ndarray:
+        """Last token of each prefix (its state, its word, its length) from those of shorter prefixes."""
+        near, token_of = self.near[ends]
+        out, todo, at = np.empty(len(node), np.int64), np.arange(len(node)), near[node]
+        while len(todo):
+            last = token_of[at]
+            start = size[todo] - self.length_array[last]
+            key = token[start, row[start, word[todo]]] << 16 | last
+            fit = self._fit(key)
+            out[todo[fit]] = last[fit]
+            todo, at = todo[~fit], near[self.fail_array[at[~fit]]]
+        return out
+
+    def _fit(self, key: np.ndarray) -> np.ndarray:
+        slot = _slots(key)
+        new = np.unique(key[self.pair_keys[slot] != key])
+        if len(new):
+            fits = np.array([self.follows(k >> 16, k & 0xFFFF) for k in new.tolist()])
+            at = _slots(new)
+            self.pair_keys[at], self.pair_fits[at] = new, fits
+            out = self.pair_fits[slot]
+            missed = np.flatnonzero(self.pair_keys[slot] != key)      # another key took the slot
+            out[missed] = [self.follows(k >> 16, k & 0xFFFF) for k in key[missed].tolist()]
+            return out
+        return self.pair_fits[slot]
+
     def _step(self, key: int) -> int:
         """The automaton's state after a symbol: the longest suffix that is the beginning of a token."""
         if len(self.steps) > MAX_CACHED_STEPS:
@@ -288,22 +384,24 @@ class WordBPE:
         if len(self.young) > MAX_CACHED_WORDS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        fresh = []
-        for w in words:
-            if w not in young:
-                known = old.get(w)
-                if known is None:
-                    fresh.append(w)
-                else:
-                    young[w] = known
+        fresh = [w for w in words if w not in young]
+        if old:
+            young.update((w, old[w]) for w in fresh if w in old)
+            fresh = [w for w in fresh if w not in young]
         fresh.sort()
         plain = [w for w in fresh if w[0] != 0x20]
         for w in fresh if len(plain) < len(fresh) else ():
             if w[0] == 0x20:
                 young[w] = pack("<I", self.added[w[1:].decode()])
-        for w, ids in zip(plain, self.walk(plain), strict=True):
+        long = [w for w in plain if len(w) > LONG_WORD]
+        for w, ids in zip(long, self.walk(long), strict=True):
             young[w] = pack(f"<{len(ids)}I", *ids)
-        return [young[w] for w in words]
+        short = [w for w in plain if len(w) <= LONG_WORD] if long else plain
+        if short:
+            ids, count = self.walk_together(short)
+            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+            young.update(zip(short, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+        return list(map(young.__getitem__, words))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Encode texts together.
@@ -351,7 +449,7 @@ class WordBPE:
             numbers = np.concatenate(pieces).astype(np.int64)
             first_word = np.concatenate([[0], np.cumsum(counts)])
         pool = np.frombuffer(b"".join(encoded), "<u4")
-        count = np.array([len(e) >> 2 for e in encoded], np.int64)
+        count = np.fromiter(map(len, encoded), np.int64, len(encoded)) >> 2
         first = np.cumsum(count) - count
         sizes = count[numbers]
         done = np.concatenate([[0], np.cumsum(sizes)])

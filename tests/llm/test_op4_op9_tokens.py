@@ -65,14 +65,28 @@ def test_cache_reset_keeps_results(monkeypatch):
 def test_words_met_again_outlive_a_generation(monkeypatch):
     monkeypatch.setattr(wordbpe, "MAX_CACHED_WORDS", 3)
     coder, walked = wordbpe.WordBPE(PATH), []
-    walk = coder.walk
-    monkeypatch.setattr(coder, "walk", lambda words: walked.extend(words) or walk(words))
+    walk = coder.walk_together
+    monkeypatch.setattr(coder, "walk_together", lambda words: walked.extend(words) or walk(words))
     for k in range(12):
         coder.encode([f"often rare{chr(97 + k)}x"])
     assert walked.count(b"often") == 1 and len(set(walked)) == 13
     assert len(coder.young) + len(coder.old) <= 2 * (3 + 2)
 
 
+@pytest.mark.parametrize("slots", [1 << 20, 1])
+def test_arrays_and_stack_walk_the_same_trie(monkeypatch, slots):
+    """Also when the cache of pairs holds hardly any."""
+    monkeypatch.setattr(wordbpe, "PAIR_SLOTS", slots)
+    coder, rng = wordbpe.WordBPE(PATH), random.Random(6)
+    words = {"".join(rng.choice("aeionrstlhdnéß漢!1'") for _ in range(rng.randint(1, 16))).encode() for _ in range(1500)}
+    words |= {w[:k] for w in list(words)[:300] for k in range(1, len(w))} | {b"a", b"\x00", b"\xff\xfe", b"internationally", b"international"}
+    words = sorted(words)
+    for some in (words, words[:1], words[700:760]):
+        ids, count = coder.walk_together(some)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == list(coder.walk(some))
+    assert coder.walk_together([])[0].tolist() == []
+
+
 def test_a_task_leaves_no_words_behind():
     with wordbpe.loaded(PATH) as coder:
         coder.encode(["some words"])
