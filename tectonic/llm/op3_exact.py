@@ -8,6 +8,10 @@ buckets, and the rest is appended, one file per bucket. Which row stays:
 * a digest that the index holds: none of the new rows, ``keep_id`` is the index's,
 * otherwise: the row with the largest id.
 
+Every digest carries the name of the batch that brought it. Digests of the batch at hand count as new, so a
+job that fails after its append, or whose result is lost, runs again under the same name and decides as
+before; what it has appended already is not appended twice.
+
 Defined results: null text counts as empty; texts are equal when their UTF-8 bytes are; of rows with
 equal text and equal id each is a row of the result, kept or dropped alike; null ids rank below all
 others; further columns, whatever their names, are ignored. An empty table gives an empty result and
@@ -29,7 +33,7 @@ INDEX_BUCKETS = 32
 def create_index(spark: SparkSession, name: str, path: str, buckets: int = INDEX_BUCKETS) -> str:
     """Attach the digest index at ``path`` as table ``name``; a new folder gives an empty index."""
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS `{name}` (digest BINARY, keep_id BIGINT, n BIGINT) USING parquet "
+        f"CREATE TABLE IF NOT EXISTS `{name}` (digest BINARY, keep_id BIGINT, n BIGINT, batch STRING) USING parquet "
         f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
     return name
 
@@ -44,31 +48,33 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
 
 
-def append_new(digested: DataFrame, index: str) -> DataFrame:
+def append_new(digested: DataFrame, index: str, batch: str) -> DataFrame:
     """Append the digests that the index lacks; returns (digest, keep_id, n, is_new) of all digests given.
 
-    ``keep_id`` is the row that stays for the digest, ``n`` the number of rows given with it.
+    ``keep_id`` is the row that stays for the digest, ``n`` the number of rows given with it. ``batch`` names
+    the documents given; digests that an earlier run of the same batch appended are new still.
     """
     spark = digested.sparkSession
     groups = materialize(digested.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), "digests")
     known = spark.table(index)
-    fresh = groups.join(known.hint("merge"), "digest", "left_anti")
-    fresh = materialize(fresh.select("digest", "keep_id", "n"), "digests-new")
-    met = groups.join(known.select("digest", F.col("keep_id").alias("old_id")).hint("merge"), "digest")
+    fresh = materialize(groups.join(known.hint("merge"), "digest", "left_anti").select("digest", "keep_id", "n"), "digests-new")
+    met = groups.join(known.select("digest", F.col("keep_id").alias("old_id"), F.col("batch").eqNullSafe(F.lit(batch)).alias("is_new")).hint("merge"), "digest")
     result = fresh.withColumn("is_new", F.lit(True)).unionByName(
-        met.select("digest", F.col("old_id").alias("keep_id"), "n", F.lit(False).alias("is_new")))
+        met.select("digest", F.when(F.col("is_new"), F.col("keep_id")).otherwise(F.col("old_id")).alias("keep_id"), "n", "is_new"))
     result = materialize(result, "digests-kept")
-    fresh.repartition(index_buckets(spark, index), "digest").sortWithinPartitions("digest").write.insertInto(index)
+    appended = fresh.withColumn("batch", F.lit(batch))
+    appended.repartition(index_buckets(spark, index), "digest").sortWithinPartitions("digest").write.insertInto(index)
     return result
 
 
-def exact_dedup(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: str, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per document, dropped ones too.
 
-    ``index`` is the name of a table made by ``create_index``; it holds all digests afterwards.
+    ``index`` is the name of a table made by ``create_index``; it holds all digests afterwards. ``batch``
+    names these documents, so that a failed job can run again; without a name every call is a batch of its own.
     """
     digested = digests(docs, id_col, text_col)
-    decided = append_new(digested, index)
+    decided = append_new(digested, index, batch or uuid.uuid4().hex)
     joined = digested.join(decided, "digest")
     return joined.select(
         "doc_id", "keep_id", F.col("n").alias("group_size"),
@@ -82,7 +88,10 @@ def fresh_index(spark: SparkSession) -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"), fresh_index(spark))
+    index = fresh_index(spark)
+    out = exact_dedup(table(spark, sf_dir, "documents"), index)
+    spark.sql(f"DROP TABLE `{index}`")    # the decisions are stored; the index's files stay where they are
+    return out
 
 
 ORACLE_SQL = """

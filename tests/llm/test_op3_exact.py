@@ -43,3 +43,26 @@ def test_index_persists_between_batches(spark, make_docs):
 def test_corpus(spark, sf_docs):
     rows = [(r.doc_id, r.text) for r in sf_docs.select("doc_id", "text").collect()]
     assert run(spark, sf_docs) == brute(rows)
+
+
+def test_a_batch_that_runs_again_decides_as_before(spark, make_docs):
+    index = op.fresh_index(spark)
+    first, second = make_docs([(2, "a"), (3, "b"), (1, "a")]), make_docs([(9, "a"), (8, "c"), (7, "c")])
+
+    def decide(docs, batch):
+        return sorted((r.doc_id, r.kept, r.keep_id, r.group_size) for r in op.exact_dedup(docs, index, batch=batch).collect())
+
+    once = decide(first, "monday")
+    assert once == [(1, False, 2, 2), (2, True, 2, 2), (3, True, 3, 1)]
+    assert decide(first, "monday") == once                       # its result was lost: the same again
+    late = decide(second, "tuesday")
+    assert late == [(7, False, 8, 2), (8, True, 8, 2), (9, False, 2, 1)]
+    assert decide(second, "tuesday") == late and decide(first, "monday") == once
+    assert decide(first, None) == [(1, False, 2, 2), (2, False, 2, 2), (3, False, 3, 1)]
+    assert spark.table(index).count() == 3                       # nothing was appended twice
+
+
+def test_the_query_leaves_no_table(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert op.query(spark, "/root/testdata/sf0.001").count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before
