@@ -63,6 +63,69 @@ TEMPLATES = {
                 "particular purpose and noninfringement in no event shall <<any 12>> be liable for any claim damages "
                 "or other liability whether in an action of contract tort or otherwise arising from out of or in "
                 "connection with the software or the use or other dealings in the software",
+    "gpl-header": "<<any 4>> is free software you can redistribute it and or modify it under the terms of the gnu general "
+                  "public license as published by the free software foundation either version <<any 1>> of the license or "
+                  "<<optional>> at your option <</optional>> any later version <<any 4>> is distributed in the hope that it "
+                  "will be useful but without any warranty without even the implied warranty of merchantability or fitness "
+                  "for a particular purpose see the gnu general public license for more details "
+                  "<<optional>> you should have received a copy of the gnu general public license along with <<any 4>> "
+                  "if not see <<any 8>> <</optional>>",
+    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this file except in "
+                         "compliance with the license you may obtain a copy of the license at <<any 12>> unless required by "
+                         "applicable law or agreed to in writing software distributed under the license is distributed on "
+                         "an as is basis without warranties or conditions of any kind either express or implied see the "
+                         "license for the specific language governing permissions and limitations under the license",
+    "bsd-2-clause-text": "<<optional>> copyright <<any 12>> <</optional>> redistribution and use in source and binary forms "
+                         "with or without modification are permitted provided that the following conditions are met "
+                         "<<optional>> 1 <</optional>> redistributions of source code must retain the above copyright "
+                         "notice this list of conditions and the following disclaimer <<optional>> 2 <</optional>> "
+                         "redistributions in binary form must reproduce the above copyright notice this list of conditions "
+                         "and the following disclaimer in the documentation and or other materials provided with the "
+                         "distribution this software is provided by <<any 12>> as is and any express or implied warranties "
+                         "including but not limited to the implied warranties of merchantability and fitness for a "
+                         "particular purpose are disclaimed in no event shall <<any 12>> be liable for any direct indirect "
+                         "incidental special exemplary or consequential damages including but not limited to procurement "
+                         "of substitute goods or services loss of use data or profits or business interruption however "
+                         "caused and on any theory of liability whether in contract strict liability or tort including "
+                         "negligence or otherwise arising in any way out of the use of this software even if advised of "
+                         "the possibility of such damage",
+    "bsd-3-clause-text": "<<optional>> copyright <<any 12>> <</optional>> redistribution and use in source and binary forms "
+                         "with or without modification are permitted provided that the following conditions are met "
+                         "<<optional>> 1 <</optional>> redistributions of source code must retain the above copyright "
+                         "notice this list of conditions and the following disclaimer <<optional>> 2 <</optional>> "
+                         "redistributions in binary form must reproduce the above copyright notice this list of conditions "
+                         "and the following disclaimer in the documentation and or other materials provided with the "
+                         "distribution <<optional>> 3 <</optional>> neither the name of <<any 12>> nor the names of its "
+                         "contributors may be used to endorse or promote products derived from this software without "
+                         "specific prior written permission this software is provided by <<any 12>> as is and any express "
+                         "or implied warranties including but not limited to the implied warranties of merchantability and "
+                         "fitness for a particular purpose are disclaimed in no event shall <<any 12>> be liable for any "
+                         "direct indirect incidental special exemplary or consequential damages including but not limited "
+                         "to procurement of substitute goods or services loss of use data or profits or business "
+                         "interruption however caused and on any theory of liability whether in contract strict liability "
+                         "or tort including negligence or otherwise arising in any way out of the use of this software "
+                         "even if advised of the possibility of such damage",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will <<any 6>> be held "
+                 "liable for any damages arising from the use of this software permission is granted to anyone to use this "
+                 "software for any purpose including commercial applications and to alter it and redistribute it freely "
+                 "subject to the following restrictions <<optional>> 1 <</optional>> the origin of this software must not be "
+                 "misrepresented you must not claim that you wrote the original software if you use this software in a "
+                 "product an acknowledgment in the product documentation would be appreciated but is not required "
+                 "<<optional>> 2 <</optional>> altered source versions must be plainly marked as such and must not be "
+                 "misrepresented as being the original software <<optional>> 3 <</optional>> this notice may not be removed "
+                 "or altered from any source distribution",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify "
+                      "publish use compile sell or distribute this software either in source code form or as a compiled "
+                      "binary for any purpose commercial or non commercial and by any means <<optional>> in jurisdictions "
+                      "that recognize copyright laws the author or authors of this software dedicate any and all copyright "
+                      "interest in the software to the public domain we make this dedication for the benefit of the public "
+                      "at large and to the detriment of our heirs and successors we intend this dedication to be an overt "
+                      "act of relinquishment in perpetuity of all present and future rights to this software under copyright "
+                      "law <</optional>> the software is provided as is without warranty of any kind express or implied "
+                      "including but not limited to the warranties of merchantability fitness for a particular purpose and "
+                      "noninfringement in no event shall the authors be liable for any claim damages or other liability "
+                      "whether in an action of contract tort or otherwise arising from out of or in connection with the "
+                      "software or the use or other dealings in the software",
     "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee "
                 "is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
 }
@@ -101,9 +164,13 @@ class Automaton:
                     self.skips[state].append(at)
             elif not close:
                 open_at.append(at)
+            elif not open_at:
+                raise ValueError(f"an optional region ends that has not begun: {markup!r}")
             else:
                 self.skips[open_at.pop()].append(at)
         self.final = at
+        if open_at or not any(runs_of_words):
+            raise ValueError(f"a template needs mandatory words, and every optional region an end: {markup!r}")
         #: The longest run of mandatory words; where a text lacks it, the template cannot match.
         self.anchor = max(runs_of_words, key=lambda r: sum(map(len, r)))
         #: No stretch starts further before the anchor than all arrows could read.

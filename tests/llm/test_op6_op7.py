@@ -57,6 +57,70 @@ def test_templates_accept_their_regions_and_nothing_else(make_docs, label):
     assert label not in got[len(whole)].labels.split(",")
 
 
+@pytest.mark.parametrize("markup", ["", "<<any 3>>", "<<optional>> a b <</optional>>", "a <<optional>> b", "a <</optional>> b"])
+def test_templates_without_mandatory_wording_are_refused(make_docs, markup):
+    with pytest.raises(ValueError, match="template|optional region"):
+        lic.Automaton(markup)
+
+
+def stretches_by_hand(words, markup):
+    """Accepted stretches, with the template as a regular expression over words joined by spaces."""
+    body = re.sub(r"<<any (\d+)>>", r"(?:[^ ]+ ){0,\1}", markup)
+    parts = re.split(r"(\(\?:\[\^ \]\+ \)\{0,\d+\})|(<<optional>>)|(<</optional>>)", body)
+    regex, run, runs, depth = "", [], [], 0
+    for part in filter(None, parts):
+        if part == "<<optional>>":
+            regex, depth, run = regex + "(?:", depth + 1, []
+        elif part == "<</optional>>":
+            regex, depth, run = regex + ")?", depth - 1, []
+        elif part.startswith("(?:[^"):
+            regex, run = regex + part, []
+        else:
+            regex += "".join(re.escape(w) + " " for w in part.split())
+            if not depth and part.split():
+                run = part.split()
+                runs.append(run)
+    anchor, pattern = max(runs, key=lambda r: sum(map(len, r))), re.compile(regex)
+    out, done = [], 0
+    for at in range(len(words) - len(anchor) + 1):
+        if words[at:at + len(anchor)] != anchor or at < done:
+            continue
+        hit = next(((a, b) for a in range(done, at + 1) for b in range(len(words), at + len(anchor) - 1, -1)
+                    if pattern.fullmatch("".join(w + " " for w in words[a:b]))), None)
+        if hit:
+            out.append(hit)
+            done = hit[1]
+    return out
+
+
+def test_labels_spans_and_score_equal_brute_force(make_docs, monkeypatch):
+    import random
+
+    templates = {"one": "a b <<any 2>> c", "two": "<<optional>> x <</optional>> b a <<optional>> c <<any 1>> <</optional>> d",
+                 "three": "d <<any 1>> <<optional>> a <<optional>> b <</optional>> c <</optional>> d d"}
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice("aabbccddx") for _ in range(rng.randint(0, 24)))) for i in range(300)]
+    got = {r.doc_id: r for r in lic.scan(make_docs(rows), base={"c d": "base", "x": "x"}, templates=templates).collect()}
+    seen = 0
+    for i, text in rows:
+        words, covered, labels, spans = text.split(), set(), set(), []
+        for label, phrase in (("base", ["c", "d"]), ("x", ["x"])):
+            for k in range(len(words) - len(phrase) + 1):
+                if words[k:k + len(phrase)] == phrase:
+                    labels.add(label)
+                    covered |= set(range(k, k + len(phrase)))
+        for label, markup in templates.items():
+            for a, b in stretches_by_hand(words, markup):
+                labels.add(label)
+                spans.append((label, a, b))
+                covered |= set(range(a, b))
+        seen += len(spans)
+        assert sorted((s.label, s.start, s.stop) for s in got[i].spans) == sorted(spans), text
+        assert got[i].labels == ",".join(sorted(labels))
+        assert abs(got[i].score - (len(covered) / len(words) if words else 0)) < 1e-12
+    assert seen > 100
+
+
 def test_replaceable_region_is_bounded():
     a = lic.Automaton("start <<any 2>> end")
     assert [a.longest([b"start", *[b"x"] * n, b"end"], 0) for n in range(4)] == [2, 3, 4, None]
