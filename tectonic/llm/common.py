@@ -56,12 +56,17 @@ def scan_tasks(df: DataFrame) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and nothing reads any more."""
+    """Delete a table that ``materialize`` wrote and nothing reads any more; other files are left alone."""
     spark = df.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    shared = hadoop.Path(shared_dir(spark))
+    shared = shared.getFileSystem(conf).makeQualified(shared)
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        if path.startswith(("file:", "hdfs:", "s3", "viewfs:", "/")) and shared_dir(spark).split(":")[-1].lstrip("/") in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        folder = hadoop.Path(path)
+        files = folder.getFileSystem(conf)
+        folder = files.makeQualified(folder)
+        if folder.getParent().equals(shared):
+            files.delete(folder, True)
 
 
 def give_back() -> None:
@@ -88,7 +93,7 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): rows (id, component), component = smallest id.
 
     Alternates "link every larger neighbour to my smallest neighbour" with "link my smaller neighbours
@@ -99,9 +104,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = edges.select("a", "b").where("a <> b")
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     before = _digest(edges)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialize(both.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
@@ -118,7 +121,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

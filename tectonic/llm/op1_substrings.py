@@ -5,16 +5,21 @@ text is cut where the hash is small at a place between words, unless another suc
 Cuts thus depend on nearby content only: an insertion moves the chunks after it but does not change them,
 and a passage has the same inner chunks wherever it stands.
 
-Chunks are grouped by digest and length over the corpus. Of equal chunks the first (smallest doc_id,
+A stretch of more than ``LONG_BYTES`` without such a cut (long data strings, scripts without spaces) is cut
+at character boundaries by the same hash, so that it too has the same chunks wherever it stands; only what
+repeats itself so closely that no place stands out is cut by length.
+
+Chunks are grouped by their 128-bit digest over the corpus. Of equal chunks the first (smallest doc_id,
 then place) stays, the others are dropped where consecutive ones make up at least ``MIN_BYTES``: shorter
 repeats are idiom and stay. Groups are reduced to their first chunk by partial aggregates and joined
 back as an ordinary join that Spark can split, so a passage that a third of all documents hold is no
 task's load. Texts move once, to meet their dropped spans.
 
 Defined results: null text stays null and an empty text empty; texts without spaces between words are
-cut between three-byte characters, and every text after at most MAX_BYTES; equal rows count as one and
-keep their text alike, rows of one id with different texts are different documents; rows with a null id keep their text and lend nothing; other
-columns are carried along unchanged. An empty table gives an empty result.
+cut between three-byte characters or as long stretches; equal rows count as one and
+keep their text alike, rows of one id with different texts are different documents; rows with a null id
+keep their text and lend nothing; other columns are carried along unchanged. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -23,23 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
-from .textnum import PolyHash, random_table, text_slices
+from .common import give_back, materialize, table
+from .textnum import random_table, text_slices
 
 CUT_SHARE = 1 / 4      # of the places between words
 GAP_BYTES = 12         # a place with another one so near before it is no cut
-MAX_BYTES = 1024
+LONG_BYTES = 1024      # a chunk beyond it is cut anew,
+LONG_SHARE = 1 / 256   # at this share of its characters
 MIN_BYTES = 80         # least length of a dropped run of chunks
 WINDOW = 32
 
 _GEAR = (random_table(31, 256) >> np.uint64(32)).astype(np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_DIGEST_BYTES = random_table(32, 256)
-_DIGEST = PolyHash(33)
 
 
 def gear_hash(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -67,49 +72,70 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     place = _SPACE[data]
     place[:-1] |= data[1:] >= 0xE0
-    place &= gear_hash(data, offsets) < np.uint32(int(CUT_SHARE * 2**32))
+    hashes = gear_hash(data, offsets)
+    place &= hashes < np.uint32(int(CUT_SHARE * 2**32))
     cuts = np.flatnonzero(place) + 1
     doc = np.searchsorted(offsets, cuts, "left")
     near = np.zeros(len(cuts), bool)
     near[1:] = (np.diff(cuts) < GAP_BYTES) & (doc[1:] == doc[:-1])
     cuts = np.unique(np.concatenate([cuts[~near], offsets[1:][offsets[1:] > 0]]))
     starts = np.concatenate([[0], cuts[:-1]])
-    forced = []
-    for at, end in zip(starts[cuts - starts > MAX_BYTES], cuts[cuts - starts > MAX_BYTES], strict=True):
-        at += MAX_BYTES
-        while at < end:
+    more = [_long_cuts(data, hashes, at, end) for at, end in
+            zip(starts[cuts - starts > LONG_BYTES].tolist(), cuts[cuts - starts > LONG_BYTES].tolist(), strict=True)]
+    return np.sort(np.concatenate([cuts, *more]).astype(np.int64)) if more else cuts
+
+
+def _long_cuts(data: np.ndarray, hashes: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Cuts within a stretch that has none: before characters where the hash is small, the first of close
+    ones; then, where none stands out, every LONG_BYTES."""
+    whole = (data[start + 1:end] & 0xC0) != 0x80          # before a character's first byte
+    places = start + 1 + np.flatnonzero(whole & (hashes[start:end - 1] < np.uint32(int(LONG_SHARE * 2**32))))
+    far = np.ones(len(places), bool)
+    far[1:] = np.diff(places) >= GAP_BYTES
+    cuts, at = [], start
+    for stop in [*places[far].tolist(), end]:
+        while stop - at > LONG_BYTES:
+            at += LONG_BYTES
             while data[at] & 0xC0 == 0x80:    # not within a character
                 at -= 1
-            forced.append(at)
-            at += MAX_BYTES
-    return np.sort(np.concatenate([cuts, forced]).astype(np.int64)) if forced else cuts
+            cuts.append(at)
+        if stop < end:
+            cuts.append(stop)
+        at = stop
+    return np.array(cuts, np.int64)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(digest, length, doc_id, text_hash, start) of every chunk of (doc_id, text_hash, text)."""
+    """(high, low, length, doc_id, text_hash, start) of every chunk of (doc_id, text_hash, text): the two halves of its
+    digest and where it stands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, _, data, offsets in text_slices(batch.column(2)):
                 ends = chunk_bounds(data, offsets)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[:len(ends)]
-                digest = _DIGEST.ranges(_DIGEST_BYTES[data], starts, ends).view(np.int64)
+                raw = memoryview(data)
+                digests = b"".join([digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+                halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 doc = np.searchsorted(offsets, starts, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest), pa.array((ends - starts).astype(np.int32)), pa.array(ids[lo + doc]),
+                    [pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])),
+                     pa.array((ends - starts).astype(np.int32)), pa.array(ids[lo + doc]),
                      pa.array(hashes[lo + doc]), pa.array((starts - offsets[doc]).astype(np.int32))],
-                    ["digest", "length", "doc_id", "text_hash", "start"])
+                    ["high", "low", "length", "doc_id", "text_hash", "start"])
+        give_back()
 
-    return docs.mapInArrow(run, "digest long, length int, doc_id long, text_hash long, start int")
+    return docs.mapInArrow(run, "high long, low long, length int, doc_id long, text_hash long, start int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, start, length, kept_in) of the chunks that stand earlier in the corpus."""
     place = F.struct("doc_id", "text_hash", "start")
     every = materialize(chunks(docs), "chunks")
-    first = every.groupBy("digest", "length").agg(F.min(place).alias("first"), F.count("*").alias("m"))
-    first = materialize(first.where("m > 1").select("digest", "length", "first"), "repeated")
-    later = every.join(first, ["digest", "length"]).where(place != F.col("first"))
+    first = every.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("m"))
+    first = materialize(first.where("m > 1").select("high", "low", "first"), "repeated")
+    later = every.join(first, ["high", "low"]).where(place != F.col("first"))
     return later.select("doc_id", "text_hash", "start", "length", F.col("first.doc_id").alias("kept_in"))
 
 

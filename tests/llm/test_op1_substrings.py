@@ -10,21 +10,28 @@ def cut_by_hand(raw: bytes) -> list[int]:
     """Ends of chunks by a plain rolling loop."""
     gear = [int(x) >> 32 for x in random_table(31, 256)]
     space = {0x20, *range(0x09, 0x0E)}
-    h, places = 0, []
+    h, places, hashes = 0, [], []
     for i, b in enumerate(raw):
         h = (2 * h + gear[b]) % 2**32
+        hashes.append(h)
         if (b in space or i + 1 < len(raw) and raw[i + 1] >= 0xE0) and h < op.CUT_SHARE * 2**32:
             places.append(i + 1)
     cuts = [p for k, p in enumerate(places) if not k or p - places[k - 1] >= op.GAP_BYTES]
     ends, at = [], 0
     for end in sorted({*cuts, len(raw)} - {0}):
-        while end - at > op.MAX_BYTES:
-            at += op.MAX_BYTES
-            while raw[at] & 0xC0 == 0x80:
-                at -= 1
-            ends.append(at)
-        ends.append(end)
-        at = end
+        if end - at > op.LONG_BYTES:              # a stretch without cuts: by the hash at any character
+            inner = [p for p in range(at + 1, end) if raw[p] & 0xC0 != 0x80 and hashes[p - 1] < op.LONG_SHARE * 2**32]
+            inner = [p for k, p in enumerate(inner) if not k or p - inner[k - 1] >= op.GAP_BYTES]
+        else:
+            inner = []
+        for stop in [*inner, end]:
+            while stop - at > op.LONG_BYTES:
+                at += op.LONG_BYTES
+                while raw[at] & 0xC0 == 0x80:
+                    at -= 1
+                ends.append(at)
+            ends.append(stop)
+            at = stop
     return ends
 
 
@@ -98,6 +105,19 @@ def test_an_insertion_shifts_chunks_but_does_not_change_them():
     assert len(a - b) <= 4
 
 
+def test_a_long_run_without_spaces_shares_its_chunks_after_a_shift(make_docs):
+    rng = random.Random(7)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/") for _ in range(20_000))
+    a, b = run.encode(), ("some other letters" + run).encode()
+    chunks = [{t[s:e] for s, e in zip([0, *cut_by_hand(t)], cut_by_hand(t), strict=False)} for t in (a, b)]
+    assert len(chunks[0] & chunks[1]) >= len(chunks[0]) - 2 > 30
+    for t in (a, b, "é".encode() * 3000, "漢字かな交じり文".encode() * 400, b"ab" * 3000):
+        bounds = op.chunk_bounds(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert bounds.tolist() == cut_by_hand(t) and max(np.diff([0, *bounds])) <= op.LONG_BYTES
+    got = {r.doc_id: r for r in op.substring_dedup(make_docs([(1, a.decode()), (2, b.decode())])).collect()}
+    assert got[1].text == run and len(got[2].text) < 3000
+
+
 def test_batch_neighbours_do_not_matter():
     rng = random.Random(4)
     texts = [words(rng, n).encode() for n in (3, 200, 50, 1, 400)] + [b"", b"a"]
