@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import year_of
-from ..operators.dedupe import compact
+from ..operators.dedupe import compact, latest_by_id
 from ..operators.filters import min_magnitude
 from ..operators.hazard import hazard_cells
 from ..session import ensure_utc, scratch_path
@@ -46,12 +46,27 @@ def _folder(year: int | None) -> str:
     return pq.NO_VALUE if year is None else str(year)
 
 
-def upsert(spark: SparkSession, path: str, incoming: DataFrame, claims: list[str] = (), at: manifest.Manifest | None = None) -> list[int]:
+#: Buckets of a new id index: a day's ids touch few of them in a large archive.
+ID_BUCKETS = 64
+
+
+def indexed_years(spark: SparkSession, path: str, ids: DataFrame, state: manifest.Manifest) -> DataFrame:
+    """(id, year) of the archive rows with one of ``ids`` (a distinct column ``id``), from the id index alone:
+    only the buckets that these ids fall in are read, and no file of the archive."""
+    touched = [r[0] for r in ids.select(pq.id_bucket(state.id_buckets)).distinct().collect()]   # at most one per bucket
+    known, wanted = pq.read_ids(spark, path, touched, at=state), ids.withColumnRenamed("id", "_id")
+    return known.join(wanted, known["id"].eqNullSafe(wanted["_id"]), "left_semi").select("id", "year")
+
+
+def upsert(spark: SparkSession, path: str, incoming: DataFrame, claims: list[str] = (), at: manifest.Manifest | None = None,
+           id_buckets: int = ID_BUCKETS) -> list[int]:
     """Merge rows into the archive; returns the years rewritten.
 
     Years touched = years of the incoming rows plus the years where their ids
-    live now (a revision may move an event across New Year; the archive's ``id``
-    and ``year`` columns are searched whole, so any distance is found). They are
+    live now (a revision may move an event across New Year, however far). An id index beside the archive,
+    bucketed by hash and sorted, knows the year of every id: only the buckets of the incoming ids are read and
+    written anew. An archive without one (a first merge, or years replaced by ``write_catalog``) gets it
+    with this merge, in ``id_buckets`` buckets. The touched years are
     merged keep-last and written as a new generation beside the old one; one commit makes it
     the archive, notes the years as pending and retires the landing batches ``claims``. A touched year
     left without rows is removed. Another merge that published any of these years or batches first is a
@@ -61,22 +76,31 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, claims: list[str
     state = at or manifest.load(spark, path)
     archive = pq.read_catalog(spark, path, at=state)
     inc = incoming.withColumn("year", year_of("time"))
-    old_years = archive.select("id", "year").join(inc.select("id").distinct(), "id", "left_semi").select("year")
+    ids = inc.select("id").distinct()
+    if state.id_buckets:
+        old_years = indexed_years(spark, path, ids, state).select("year")
+    else:
+        wanted = ids.withColumnRenamed("id", "_id")
+        old_years = archive.join(wanted, archive["id"].eqNullSafe(wanted["_id"]), "left_semi").select("year")
     touched = _years(inc.select("year").unionByName(old_years))
-    token, got = "", set()
+    token, got, id_token, buckets, n_buckets = "", set(), "", set(), state.id_buckets or int(id_buckets)
     if touched:
         known = [y for y in touched if y is not None]
         here = F.col("year").isin(known) | F.col("year").isNull() if None in touched else F.col("year").isin(known)
         token, got = pq.write_years(compact(archive.filter(here), inc.drop("year")), path)
+        id_token, buckets = pq.write_ids(_index_rows(spark, path, archive, inc, state, n_buckets), path, n_buckets)
     folders = {_folder(y) for y in touched}
 
     def publish(now: manifest.Manifest) -> bool | None:
         unmerged = {b["token"] for b in now.batches}
-        if not set(claims) <= unmerged or any(now.years.get(y) != state.years.get(y) for y in folders):
+        moved = any(now.years.get(y) != state.years.get(y) for y in folders) or any(now.ids.get(b) != state.ids.get(b) for b in buckets)
+        if not set(claims) <= unmerged or moved or now.id_buckets != state.id_buckets:
             raise manifest.Conflict(f"{path}: another merge has published these years or batches")
         if not touched and not claims:
             return False
         now.put_years(token, got, folders - got)
+        if touched:
+            now.put_ids(id_token, buckets, n_buckets)
         for batch in claims:
             now.retire(f"landing/token={batch}")
         now.batches = [b for b in now.batches if b["token"] not in claims]
@@ -87,6 +111,20 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, claims: list[str
     return [y for y in touched if y is not None]
 
 
+def _index_rows(spark, path, archive: DataFrame, inc: DataFrame, state: manifest.Manifest, n_buckets: int) -> DataFrame:
+    """(id, year) as the index holds them after a merge of ``inc``: of the touched buckets, or of all ids
+    where there is no index yet."""
+    news = latest_by_id(inc.select(*[c for c in inc.columns if c in ("id", "batch", "land_date", "row_seq", "time", "year")]))
+    news = news.select(F.col("id").alias("_id"), F.col("year").alias("_year"))
+    if state.id_buckets:
+        touched = [r[0] for r in inc.select(pq.id_bucket(n_buckets)).distinct().collect()]
+        known = pq.read_ids(spark, path, touched, at=state).select("id", "year")
+    else:
+        known = archive.select("id", "year")
+    kept = known.join(news, known["id"].eqNullSafe(news["_id"]), "left_anti")
+    return kept.unionByName(news.select(F.col("_id").alias("id"), F.col("_year").alias("year")))
+
+
 def land_raw_days(spark: SparkSession, raw: DataFrame, path: str, days: DataFrame, min_mag: float) -> None:
     """Normalize the raw rows of the given days (column ``land_date``) and land them in the service's order.
 

@@ -23,6 +23,9 @@ from .manifest import Manifest
 
 ARCHIVE_SCHEMA = T.StructType(CORE_SCHEMA.fields + [T.StructField("year", T.IntegerType(), True)])
 
+ID_SCHEMA = T.StructType([T.StructField("id", T.StringType(), True), T.StructField("year", T.IntegerType(), True),
+                          T.StructField("bucket", T.IntegerType(), True)])
+
 TOKEN = T.StructField("token", T.StringType(), True)
 
 # Rows per output file when the archive is written (bounded files at any scale).
@@ -108,9 +111,37 @@ def write_years(df: DataFrame, path: str, partitions: int | None = None) -> tupl
 
 
 def write_catalog(df: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Replace the archive years present in ``df``, all at once."""
+    """Replace the archive years present in ``df``, all at once. The id index starts anew with the next merge."""
     token, years = write_years(df, path, partitions)
-    manifest.commit(df.sparkSession, path, lambda state: state.put_years(token, years))
+
+    def change(state: Manifest) -> None:
+        state.put_years(token, years)
+        state.drop_ids()
+
+    manifest.commit(df.sparkSession, path, change)
+
+
+def id_bucket(buckets: int):
+    return F.pmod(F.xxhash64("id"), F.lit(int(buckets))).cast("int").alias("bucket")
+
+
+def read_ids(spark: SparkSession, path: str, buckets: list[int] | None = None, at: Manifest | None = None) -> DataFrame:
+    """(id, year, bucket) of the archive out of the id index, of all buckets or those given only."""
+    state = at or manifest.load(spark, path)
+    wanted = set(state.ids) if buckets is None else {str(b) for b in buckets} & set(state.ids)
+    if not wanted:
+        return spark.createDataFrame([], ID_SCHEMA)
+    folders = [f"token={state.ids[b]}/bucket={b}" for b in sorted(wanted, key=int)]
+    return _scan(spark, _join(path, "ids"), folders, ID_SCHEMA).select("id", "year", "bucket")
+
+
+def write_ids(rows: DataFrame, path: str, buckets: int) -> tuple[str, set[str]]:
+    """Write (id, year) rows as buckets of the id index that nothing reads yet: their token and buckets."""
+    token = manifest.new_token()
+    folder = _join(path, "ids", f"token={token}")
+    dealt = rows.select("id", "year", id_bucket(buckets)).repartition("bucket").sortWithinPartitions("bucket", "id")
+    _writer(dealt).partitionBy("bucket").parquet(folder)
+    return token, _partition_values(rows.sparkSession, folder, "bucket")
 
 
 def read_landing(spark: SparkSession, path: str, year: int | None = None, arrival: bool = False, at: Manifest | None = None) -> DataFrame:

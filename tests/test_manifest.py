@@ -254,3 +254,42 @@ def test_an_archive_without_a_manifest_is_read_but_not_written(spark, tmp_path):
     assert places(spark, path) == [("x", "a")]
     with pytest.raises(ValueError, match="without a manifest"):
         pq.write_catalog(old, path)
+
+
+def index_is_right(spark, path):
+    state = manifest.load(spark, path)
+    assert rows(pq.read_ids(spark, path), "id", "year") == rows(pq.read_catalog(spark, path), "id", "year")
+    assert all(r["bucket"] == r["want"] for r in pq.read_ids(spark, path).select("bucket", pq.id_bucket(state.id_buckets).alias("want")).collect())
+
+
+def test_the_id_index_follows_every_merge(spark, tmp_path):
+    path, year = str(tmp_path / "cat"), 31_557_600_000
+    first = [(f"e{k}", NY - (k % 7) * year, 0.0, 0.0, 1.0, 4.0) for k in range(60)] + [(None, NY - 3 * year, 0.0, 0.0, 1.0, 4.0)]
+    sync_plan.upsert(spark, path, core_df(spark, first), id_buckets=8)
+    index_is_right(spark, path)
+    # revisions that change the year, one of them to no time at all, a new event, and the event without an id
+    later = [("e1", NY + 366 * DAY, 0.0, 0.0, 1.0, 5.0), ("e2", None, 0.0, 0.0, 1.0, 5.0), ("new", NY, 0.0, 0.0, 1.0, 5.0), (None, NY, 0.0, 0.0, 1.0, 5.0)]
+    assert {2024, 2025} <= set(sync_plan.upsert(spark, path, core_df(spark, later)))
+    index_is_right(spark, path)
+    assert manifest.load(spark, path).id_buckets == 8
+    got = {r["id"]: r["year"] for r in pq.read_catalog(spark, path).collect()}
+    assert len(got) == 62 and got["e1"] == 2025 and got["e2"] is None and got[None] == 2024 and got["new"] == 2024
+    # years replaced by other means: the index starts anew
+    pq.write_catalog(core_df(spark, [("x", NY, 0.0, 0.0, 1.0, 4.0)]), path)
+    assert manifest.load(spark, path).id_buckets == 0
+    sync_plan.upsert(spark, path, core_df(spark, [("x", NY + year, 0.0, 0.0, 1.0, 4.0)]))
+    index_is_right(spark, path)
+
+
+def test_old_years_come_from_few_buckets_and_no_archive_file(spark, tmp_path):
+    path = str(tmp_path / "cat")
+    sync_plan.upsert(spark, path, core_df(spark, [(f"e{k}", NY - k * 31_557_600_000, 0.0, 0.0, 1.0, 4.0) for k in range(40)]), id_buckets=32)
+    state = manifest.load(spark, path)
+    ids = spark.createDataFrame([("e5",), ("e6",), ("absent",)], "id string")
+    frame = sync_plan.indexed_years(spark, path, ids, state)
+    assert rows(frame) == rows(pq.read_catalog(spark, path).where("id IN ('e5', 'e6')"), "id", "year") and frame.count() == 2
+    files = frame.inputFiles()
+    assert files and all("/ids/token=" in f for f in files)
+    assert len({f.split("bucket=")[1].split("/")[0] for f in files}) <= 3 < len(state.ids)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "/archive" not in plan
