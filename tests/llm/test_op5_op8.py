@@ -1,4 +1,5 @@
 import base64
+import random
 
 import numpy as np
 import public_tokenizers
@@ -105,3 +106,115 @@ def test_empty_and_repeated(spark):
 def test_vocabulary_file_is_whole():
     with open(VOCAB, "rb") as f:
         assert len({base64.b64decode(line.split()[0]) for line in f}) == 50_256
+
+
+def plain_verdicts(pages):
+    """The template tree written out: {(host, shape): (template, score)} from (host, shape, label) rows."""
+    def grow(shapes, source, name_children):
+        """Names per shape: recursion over forks, one segment at a time."""
+        out = {}
+
+        def go(members, names, level):
+            rests = {source(m)[level:] for m in members}
+            if len(rests) == 1:
+                for m in members:
+                    out[m] = (*names, *rests.copy().pop())
+                return
+            children = {}
+            for m in members:
+                rest = source(m)[level:]
+                children.setdefault(rest[0] if rest else "", []).append(m)
+            named = {}
+            for child, name in name_children(children).items():
+                named.setdefault(name, []).extend(children[child])
+            for name, below in named.items():
+                go(below, (*names, name), level + 1)
+
+        hosts = {}
+        for m in shapes:
+            hosts.setdefault(m[0], []).append(m)
+        for members in hosts.values():
+            go(members, (), 0)
+        return out
+
+    count, blocked, labelled = {}, {}, {}
+    for host, s, label in pages:
+        key = (host, s)
+        count[key] = count.get(key, 0) + 1
+        blocked[key] = blocked.get(key, 0) + (label or 0)
+        labelled[key] = labelled.get(key, 0) + (label is not None)
+
+    def wildcards(children):
+        total = sum(count[m] for ms in children.values() for m in ms)
+        return {c: url.WILD if c and sum(count[m] for m in ms) < total * url.RARE else c for c, ms in children.items()}
+
+    def merged(children):
+        stat = {c: (sum(blocked[m] for m in ms), sum(labelled[m] for m in ms)) for c, ms in children.items()}
+        all_b, all_n = map(sum, zip(*stat.values(), strict=True))
+        out = {}
+        for c, (b, n) in stat.items():
+            rate = all_b / all_n if all_n else 0
+            differs = n and abs(b / n - rate) > url.DIFFERENT * (rate * (1 - rate) / n) ** 0.5
+            out[c] = c if differs or len(children) == 1 else url.MERGED
+        return out
+
+    general = grow(count, lambda m: m[1], wildcards)
+    final = grow(count, lambda m: general[m], merged)
+    groups, hosts = {}, {}
+    for m, t in final.items():
+        for store, key in ((groups, (m[0], t)), (hosts, m[0])):
+            b, n = store.get(key, (0, 0))
+            store[key] = (b + blocked[m], n + labelled[m])
+    all_b, all_n = map(sum, zip(*hosts.values(), strict=True))
+    prior = (all_b + 0.5 * url.WEIGHT) / (all_n + url.WEIGHT)
+    out = {}
+    for m, t in final.items():
+        rate = (hosts[m[0]][0] + url.WEIGHT * prior) / (hosts[m[0]][1] + url.WEIGHT)
+        b, n = groups[m[0], t]
+        out[m] = ("/" + "/".join(x for x in t if x), (b + url.WEIGHT * rate) / (n + url.WEIGHT))
+    return out
+
+
+def shape_of(link):
+    import re
+
+    rest = link.split("://", 1)[1] if link and "://" in link else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host):])[0].rstrip("/")
+    parts = [re.sub(r"^[0-9]+(?=$|\.)", "{n}", p) for p in path.split("/")[1:]]
+    return host.lower(), tuple(re.sub(r"^(?=[0-9a-fA-F-]*[0-9])[0-9a-fA-F-]{8,}(?=$|\.)", "{h}", p) for p in parts)
+
+
+def test_templates_equal_a_plain_tree(spark):
+    rng = random.Random(4)
+    urls = []
+    for _ in range(1500):
+        host = rng.choice(["a.test", "b.test", "b.test", "b.test", "c.test"])
+        depth = rng.randint(0, 4)
+        parts = [rng.choice(["news", "news", "shop", "x", f"user{rng.randint(0, 400)}", str(rng.randint(0, 99)), "deadbeef01"]) for _ in range(depth)]
+        urls.append((f"http://{host}/{'/'.join(parts)}", rng.choice([None, 0, 1]) if "shop" not in parts else rng.choice([1, 1, 1, 0])))
+    urls += [("http://d.test/" + "/".join(f"p{k}" for k in range(40)), 1), ("http://d.test/" + "/".join(f"p{k}" for k in range(39)), 0),
+             (None, 1), ("no url", None), ("http://e.test", None), ("http://e.test//x//", 0)]
+    rows = [(i, u, label) for i, (u, label) in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, label int").selectExpr("*", "'c' AS child", "'n' AS name", "'t' AS t", "'s' AS s", "'r' AS rest")
+    got = {r.page_id: r for r in url.filter_urls(pages, rules=(), label=pages["label"]).collect()}
+    want = plain_verdicts([(*shape_of(u), label) for u, label in urls])
+    for i, (u, _) in enumerate(urls):
+        template, score = want[shape_of(u)]
+        assert (got[i].template, round(got[i].block_score, 9)) == (template, round(score, 9)), u
+
+
+def test_a_deep_path_adds_no_rounds(spark, monkeypatch):
+    written = []
+    keep = url.materialize
+    monkeypatch.setattr(url, "materialize", lambda df, name: written.append(name) or keep(df, name))
+
+    def jobs(urls):
+        written.clear()
+        pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+        assert url.filter_urls(pages).count() == len(urls)
+        return len(written)
+
+    shallow = [f"http://h.test/{a}/{b}" for a in "xyz" for b in range(10)]
+    deep = "http://h.test/" + "/".join(f"s{k}" for k in range(300))
+    assert jobs([*shallow, deep, deep + "/end"]) <= jobs(shallow) + 4
