@@ -62,3 +62,63 @@ def project_box(lat, lon, bounds: dict, width: float, height: float) -> tuple[Co
     x = (lon_c - F.lit(bounds["min_lon"])) / F.lit(bounds["max_lon"] - bounds["min_lon"]) * F.lit(float(width))
     y = (F.lit(1.0) - (lat_c - F.lit(bounds["min_lat"])) / F.lit(bounds["max_lat"] - bounds["min_lat"])) * F.lit(float(height))
     return x, y
+
+
+#: Bits of each axis in the space key; 2**16 steps are 300 m of latitude.
+SPACE_BITS = 16
+
+
+def _steps(value: float, low: float, span: float) -> int:
+    return max(0, min((1 << SPACE_BITS) - 1, math.floor((value - low) / span * (1 << SPACE_BITS))))
+
+
+def _axis(col, low: float, span: float) -> Column:
+    c = _c(col).cast("double")
+    at = F.when(c.between(-1000.0, 1000.0), F.floor((c - F.lit(low)) / F.lit(span) * F.lit(float(1 << SPACE_BITS))))
+    at = F.greatest(F.lit(0).cast("long"), F.least(F.lit((1 << SPACE_BITS) - 1).cast("long"), at))
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):    # a zero bit behind each bit
+        at = at.bitwiseOR(F.shiftleft(at, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return F.when(c.between(-1000.0, 1000.0), at)
+
+
+def space_key(lat, lon) -> Column:
+    """Position along a space-filling curve: the bits of latitude and longitude in turn, so that rows near
+    each other in the order are near each other on the map. Null without a position."""
+    return _axis(lon, -180.0, 360.0).bitwiseOR(F.shiftleft(_axis(lat, -90.0, 180.0), 1))
+
+
+def box_ranges(min_lat: float, max_lat: float, min_lon: float, max_lon: float, most: int = 24) -> list[tuple[int, int]]:
+    """Ranges of ``space_key`` (both ends included) that hold every point of the box, about ``most`` of them.
+
+    Quadrants that lie in the box are ranges, those that cross its edge are divided, the largest first,
+    until there are enough. The box is widened a little, as stored positions are rounded.
+    """
+    near = 1e-4
+    x0, x1 = (_steps(v, -180.0, 360.0) for v in (min_lon - near, max_lon + near))
+    y0, y1 = (_steps(v, -90.0, 180.0) for v in (min_lat - near, max_lat + near))
+    if min_lat > max_lat or min_lon > max_lon:
+        return []
+    inside: list[tuple[int, int]] = []
+    crossing = [(0, 0, 0, SPACE_BITS)]          # first key, x, y, bits of a side
+    while crossing and len(inside) + len(crossing) < most:
+        key, x, y, bits = crossing.pop(0)
+        if not bits:
+            inside.append((key, key))
+            continue
+        half = 1 << (bits - 1)
+        for quadrant in range(4):
+            qx, qy = x + half * (quadrant & 1), y + half * (quadrant >> 1)
+            first = key + (quadrant << 2 * (bits - 1))
+            if qx > x1 or qx + half - 1 < x0 or qy > y1 or qy + half - 1 < y0:
+                continue
+            if x0 <= qx and qx + half - 1 <= x1 and y0 <= qy and qy + half - 1 <= y1:
+                inside.append((first, first + (1 << 2 * (bits - 1)) - 1))
+            else:
+                crossing.append((first, qx, qy, bits - 1))
+    out: list[tuple[int, int]] = []
+    for first, last in sorted([*inside, *((key, key + (1 << 2 * bits) - 1) for key, _, _, bits in crossing)]):
+        if out and first <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out

@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import cartesian_xyz
+from ..functions.geo import box_ranges, cartesian_xyz
 from ..functions.geo import facing as facing_expr
 from ..functions.labels import year_of
 from ..functions.numeric import threshold_for
@@ -76,6 +76,13 @@ def view_filter(df: DataFrame, start_ms, duration_ms, min_mag: float, max_depth:
 
 
 def bbox(df: DataFrame, min_lat: float, max_lat: float, min_lon: float, max_lon: float) -> DataFrame:
+    """Rows in a box, edges included. A frame with a ``space_key`` (see ``plans.view.box_rows``) is first filtered
+    by the few key ranges that hold the box, which a scan sorted by the key answers from its statistics."""
+    if "space_key" in df.columns:
+        near = F.lit(False)
+        for first, last in box_ranges(min_lat, max_lat, min_lon, max_lon):
+            near = near | F.col("space_key").between(F.lit(first).cast("long"), F.lit(last).cast("long"))
+        df = df.filter(near)
     lat, lon = F.col("lat"), F.col("lon")
     return df.filter(
         (lat >= threshold_for(df, "lat", min_lat)) & (lat <= threshold_for(df, "lat", max_lat))

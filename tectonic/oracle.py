@@ -391,6 +391,9 @@ ORACLE["stream_revises_landed"] = f"""{CTE}, {LATEST},
 s AS (SELECT id, time, lat, lon, depth_km, CAST(magnitude + CAST(1.0 AS FLOAT) AS FLOAT) AS magnitude, mag_type, 'revised' AS place
       FROM catalog WHERE land_date < DATE '2024-01-15' QUALIFY row_number() OVER (PARTITION BY id ORDER BY time DESC) = 1)
 SELECT {_CORE}, {YEAR} AS year FROM (SELECT {_CORE} FROM s UNION ALL SELECT {_CORE} FROM latest WHERE id NOT IN (SELECT id FROM s))"""
+ORACLE["bbox_stored"] = f"""{CTE} SELECT {_CORE}, {YEAR} AS year FROM catalog
+  WHERE lat BETWEEN -30.0 AND 45.0 AND lon BETWEEN -90.0 AND 90.0"""
+ORACLE["playhead_half"] = f"{CTE} SELECT {_CORE} FROM catalog ORDER BY time, id LIMIT (SELECT count(*) // 2 FROM catalog)"
 _POLL = 1714564800000
 ORACLE["poll_changes"] = f"""{CTE}, {LATEST},
 early AS (SELECT {_CORE} FROM catalog WHERE land_date < DATE '2024-01-15'

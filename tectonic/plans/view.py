@@ -1,14 +1,15 @@
-"""The viewer's moving window over a stored archive and the live layer."""
+"""The viewer's moving window over a stored archive and the live layer; boxes of a stored archive."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedupe import with_live
-from ..operators.filters import time_between, view_filter
+from ..operators.filters import bbox, time_between, view_filter
 from ..operators.stats import stats_columns
 from ..operators.topk import visible_recent
+from ..sources.parquet import read_catalog
 from ..sources.web import web_rows
 
 # Web rows carry one decimal: a magnitude rounds up by at most half of that.
@@ -37,3 +38,9 @@ def moving_view(archive: DataFrame, live: DataFrame, start_ms: int, duration_ms:
     stats = rows.agg(F.struct(*stats_columns(in_tenths=True)).alias("s")).scalar()
     names = ["n", "max_magnitude", "avg_magnitude", "avg_depth_km"]
     return visible_recent(rows, k=k, **camera).select("*", *[stats[c].alias(f"window_{c}") for c in names])
+
+
+def box_rows(spark: SparkSession, path: str, min_lat: float, max_lat: float, min_lon: float, max_lon: float,
+             years: list[int] | None = None) -> DataFrame:
+    """Archive rows in a box. Of an archive in the ``space`` layout only the row groups near the box are read."""
+    return bbox(read_catalog(spark, path, years, with_key=True), min_lat, max_lat, min_lon, max_lon).drop("space_key")

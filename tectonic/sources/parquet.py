@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.geo import space_key
 from ..functions.labels import year_of
 from ..schema import CORE_COLUMNS, CORE_SCHEMA, LANDED_DAYS_SCHEMA, LANDING_SCHEMA
 from . import manifest
@@ -26,12 +27,17 @@ ARCHIVE_SCHEMA = T.StructType(CORE_SCHEMA.fields + [T.StructField("year", T.Inte
 ID_SCHEMA = T.StructType([T.StructField("id", T.StringType(), True), T.StructField("year", T.IntegerType(), True),
                           T.StructField("bucket", T.IntegerType(), True)])
 
+SPACE_KEY = T.StructField("space_key", T.LongType(), True)
+
 TOKEN = T.StructField("token", T.StringType(), True)
 
 # Rows per output file when the archive is written (bounded files at any scale).
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
+# Row groups of the space layout: a box meets some of them only.
+SPACE_ROW_GROUP = 16 << 20
+
 _join = manifest.join
 
 
@@ -69,15 +75,18 @@ def _scan(spark: SparkSession, base: str, folders: list[str], schema: T.StructTy
     return spark.read.schema(T.StructType([*schema.fields, TOKEN])).option("basePath", base).parquet(*[_join(base, f) for f in folders])
 
 
-def read_catalog(spark: SparkSession, path: str, years: list[int] | None = None, at: Manifest | None = None) -> DataFrame:
+def read_catalog(spark: SparkSession, path: str, years: list[int] | None = None, at: Manifest | None = None,
+                 with_key: bool = False) -> DataFrame:
     """Archive rows (core columns + ``year``); empty with the schema when absent.
 
-    A folder of ``year=`` folders that was written without a manifest is read as it is.
+    ``with_key`` adds the ``space_key`` where the archive has that layout. A folder of ``year=`` folders that was written without a manifest is read as it is.
     """
     state, base = at or manifest.load(spark, path), _join(path, "archive")
     folders = [f"token={token}/year={year}" for year, token in sorted(state.years.items())]
     if folders:
-        df = _scan(spark, base, folders, ARCHIVE_SCHEMA).select(*CORE_COLUMNS, "year")
+        key = [SPACE_KEY] if with_key and state.layout == "space" else []
+        schema = T.StructType([*ARCHIVE_SCHEMA.fields, *key])
+        df = _scan(spark, base, folders, schema).select(*CORE_COLUMNS, "year", *[f.name for f in key])
     elif state.version == 0 and _has_data(spark, base):
         df = spark.read.schema(ARCHIVE_SCHEMA).parquet(base)
     else:
@@ -87,7 +96,7 @@ def read_catalog(spark: SparkSession, path: str, years: list[int] | None = None,
     return df
 
 
-def write_years(df: DataFrame, path: str, partitions: int | None = None) -> tuple[str, set[str]]:
+def write_years(df: DataFrame, path: str, partitions: int | None = None, layout: str | None = None) -> tuple[str, set[str]]:
     """Write rows as archive years that nothing reads yet; their token and year folders.
 
     Range-partitioned on ``(year, time)``: a year holding a third of all rows is
@@ -95,26 +104,43 @@ def write_years(df: DataFrame, path: str, partitions: int | None = None) -> tupl
     statistics for time filters), instead of one task per year; ``id`` breaks
     ties so a single hot millisecond spreads too. Without an explicit
     ``partitions`` the session's shuffle partition count applies, and files are
-    split at ``MAX_RECORDS_PER_FILE``.
+    split at ``MAX_RECORDS_PER_FILE``. In the ``space`` layout (that of the archive unless given) rows are
+    dealt and sorted by ``(year, space_key, time)`` and the key is stored, in row groups of ``SPACE_ROW_GROUP`` bytes: filters
+    on the key, or on lat and lon, then skip most row groups.
     """
     spark, token = df.sparkSession, manifest.new_token()
-    if manifest.load(spark, path).version == 0 and _has_data(spark, _join(path, "archive")) and _partition_values(spark, _join(path, "archive"), "year"):
+    state = manifest.load(spark, path)
+    layout = layout or state.layout
+    if state.version == 0 and _has_data(spark, _join(path, "archive")) and _partition_values(spark, _join(path, "archive"), "year"):
         raise ValueError(f"{path}/archive was written without a manifest; read it and write it to a new path")
     if "year" not in df.columns:
         df = df.withColumn("year", year_of("time"))
     out = df.select(*CORE_COLUMNS, "year")
     keys = ["year", "time", "id"]
+    if layout == "space":
+        out, keys = out.withColumn("space_key", space_key("lat", "lon")), ["year", "space_key", "time", "id"]
     spread = out.repartitionByRange(partitions, *keys) if partitions else out.repartitionByRange(*keys)
     folder = _join(path, "archive", f"token={token}")
-    _writer(spread.sortWithinPartitions(*keys)).partitionBy("year").parquet(folder)
+    writer = _writer(spread.sortWithinPartitions(*keys))
+    if layout == "space":
+        writer = writer.option("parquet.block.size", SPACE_ROW_GROUP)
+    writer.partitionBy("year").parquet(folder)
     return token, _partition_values(spark, folder, "year")
 
 
-def write_catalog(df: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Replace the archive years present in ``df``, all at once. The id index starts anew with the next merge."""
-    token, years = write_years(df, path, partitions)
+def write_catalog(df: DataFrame, path: str, partitions: int | None = None, layout: str | None = None) -> None:
+    """Replace the archive years present in ``df``, all at once. The id index starts anew with the next merge.
+
+    ``layout`` is ``time`` or ``space``; an archive keeps the one it has, also through merges, and only one
+    whose years are all replaced can change it.
+    """
+    token, years = write_years(df, path, partitions, layout)
 
     def change(state: Manifest) -> None:
+        if layout and layout != state.layout:
+            if set(state.years) - years:
+                raise ValueError(f"{path} holds years in the layout {state.layout!r} that would stay")
+            state.layout = layout
         state.put_years(token, years)
         state.drop_ids()
 

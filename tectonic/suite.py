@@ -554,6 +554,21 @@ def _scratch(spark, name):
     return scratch_path(spark, f"tectonic-{name}-{uuid.uuid4().hex}")
 
 
+@register("bbox_stored")
+def q_bbox_stored(spark, sf_dir):
+    """A box of an archive sorted along a space-filling curve."""
+    path = _scratch(spark, "space")
+    pq.write_catalog(load_catalog(spark, sf_dir), path, layout="space")
+    return view.box_rows(spark, path, -30.0, 45.0, -90.0, 90.0)
+
+
+@register("playhead_half")
+def q_playhead_half(spark, sf_dir):
+    """The first half of all events: too many for a top-k in one task."""
+    c = load_catalog(spark, sf_dir).select(*CORE)
+    return topk.playhead(c, c.count() // 2, take_most=100)
+
+
 @register("write_catalog")
 def q_write_catalog(spark, sf_dir):
     path = _scratch(spark, "catalog")
