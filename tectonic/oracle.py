@@ -260,6 +260,8 @@ ORACLE["geojson_features"] = f"""{CTE} SELECT id, time, 'Feature' AS feature_typ
 ORACLE["geojson_points"] = f"""{CTE} SELECT CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat, {_Z} AS depth,
   CASE WHEN magnitude IS NULL OR isnan(magnitude) OR magnitude = 0 THEN 0.0 ELSE CAST(magnitude AS DOUBLE) END AS mag,
   time, CASE WHEN place IS NULL OR place = '' THEN 'Unknown' ELSE place END AS place FROM catalog ORDER BY time"""
+ORACLE["read_points"] = ORACLE["geojson_points"].replace(
+    "CASE WHEN place IS NULL OR place = '' THEN 'Unknown' ELSE place END AS place", "coalesce(place, '') || ' }{ \"x\" \\ ]' AS place")
 
 
 def _seg(kind: str, li: int, si: int, a: tuple[str, str], b: tuple[str, str]) -> str:
@@ -268,12 +270,15 @@ def _seg(kind: str, li: int, si: int, a: tuple[str, str], b: tuple[str, str]) ->
 
 
 _LO, _LA = "CAST(lon AS DOUBLE)", "CAST(lat AS DOUBLE)"
-ORACLE["line_segments"] = f"""{CTE}, c AS (SELECT * FROM catalog)
-{_seg('mb', 0, 0, (_LO, _LA), (f'{_LO} + 1.0', _LA))}
+_SEGMENTS = f"""{_seg('mb', 0, 0, (_LO, _LA), (f'{_LO} + 1.0', _LA))}
 UNION ALL {_seg('mb', 0, 1, (f'{_LO} + 1.0', _LA), (f'{_LO} + 1.0', f'{_LA} + 1.0'))}
 UNION ALL {_seg('mw', 0, 0, (_LO, _LA), (_LO, f'{_LA} + 1.0'))}
 UNION ALL {_seg('mw', 1, 0, (f'{_LO} - 1.0', _LA), (f'{_LO} - 1.0', f'{_LA} - 1.0'))}
 UNION ALL {_seg('mw', 1, 1, (f'{_LO} - 1.0', f'{_LA} - 1.0'), (f'{_LO} - 2.0', f'{_LA} - 1.0'))}"""
+ORACLE["line_segments"] = f"{CTE}, c AS (SELECT * FROM catalog) {_SEGMENTS}"
+# documents of 1000 features: a feature's place in its document
+ORACLE["read_borders"] = f"""{CTE}, c AS (SELECT * REPLACE (
+  CAST(row_number() OVER (PARTITION BY row_seq // 1000 ORDER BY row_seq) - 1 AS INTEGER) AS row_seq) FROM catalog) {_SEGMENTS}"""
 
 _X, _Y, _ZZ = _xyz("lat", "lon", "coalesce(CAST(depth_km AS DOUBLE), 0.0)")
 ORACLE["to_cartesian"] = f"{CTE} SELECT id, time, {_r9(_X)} AS x, {_r9(_Y)} AS y, {_r9(_ZZ)} AS z FROM catalog"

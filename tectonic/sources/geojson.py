@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_blocks import read_features
+
 # Fault traces of the regional page, [lon, lat] pairs.
 FAULTS = [
     ("San Andreas", [(-124.1, 40.5), (-122.5, 38.0), (-121.5, 36.9), (-120.5, 35.8), (-119.5, 34.5), (-117.8, 33.9), (-116.5, 33.2)]),
@@ -31,7 +33,6 @@ POINT_FEATURE = T.StructType([
     T.StructField("geometry", T.StructType([T.StructField("coordinates", T.ArrayType(T.DoubleType()))])),
     T.StructField("properties", POINT_PROPERTIES),
 ])
-POINT_COLLECTION = T.StructType([T.StructField("features", T.ArrayType(POINT_FEATURE))])
 
 LINE_FEATURE = T.StructType([
     T.StructField("geometry", T.StructType([
@@ -39,7 +40,6 @@ LINE_FEATURE = T.StructType([
         T.StructField("coordinates", T.StringType()),
     ])),
 ])
-LINE_COLLECTION = T.StructType([T.StructField("features", T.ArrayType(LINE_FEATURE))])
 
 
 def _surface_offset(depth) -> Column:
@@ -111,12 +111,10 @@ def parse_geojson_points(lines: DataFrame, column: str = "value") -> DataFrame:
 def read_geojson_points(spark: SparkSession, path: str) -> DataFrame:
     """FeatureCollection documents -> points (``lon, lat, depth, mag, time, place``), time ascending.
 
-    One document is one task (a page's export); large sets are written feature per
-    line and read with ``read_geojson_lines``.
+    A document is read by several tasks, whatever its size and line breaks (``json_blocks``).
     Missing magnitude reads as 0 and missing place as ``Unknown``, as the regional page does.
     """
-    doc = spark.read.schema(POINT_COLLECTION).option("multiLine", "true").json(path)
-    return doc.select(F.explode("features").alias("f")).select(*_points(F.col("f"))).orderBy(*POINT_ORDER)
+    return parse_geojson_points(read_features(spark, path))
 
 
 def regional_events(points: DataFrame) -> DataFrame:
@@ -155,9 +153,10 @@ def line_segments(df: DataFrame, type_col: str = "type", coords_col: str = "coor
 
 
 def read_line_segments(spark: SparkSession, path: str, multi_fallback: bool = False) -> DataFrame:
-    """Border / coastline FeatureCollection files -> segments (file and feature position as keys)."""
-    doc = spark.read.schema(LINE_COLLECTION).option("multiLine", "true").json(path)
-    feats = doc.select(F.col("_metadata.file_name").alias("file"), F.posexplode("features").alias("feature", "f")).select(
+    """Border / coastline FeatureCollection files -> segments (file and feature position as keys), a document
+    read by several tasks."""
+    feats = read_features(spark, path).select(
+        F.element_at(F.split("file", "/"), -1).alias("file"), "feature", F.from_json("value", LINE_FEATURE).alias("f")).select(
         "file", "feature", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("coordinates"))
     return line_segments(feats, keys=["file", "feature"], multi_fallback=multi_fallback)
 

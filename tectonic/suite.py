@@ -554,6 +554,34 @@ def _scratch(spark, name):
     return scratch_path(spark, f"tectonic-{name}-{uuid.uuid4().hex}")
 
 
+def _documents(features, column, path):
+    """FeatureCollection files of up to 1000 features each, on one line, with a member object before them."""
+    doc = F.concat(F.lit('{"type":"FeatureCollection","metadata":{"title":"}{\\""},"features":['),
+                   F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_seq", column))), lambda f: f[column]), ","), F.lit("]}"))
+    docs = features.groupBy(F.expr("row_seq div 1000").alias("doc")).agg(doc.alias("value"))
+    docs.write.partitionBy("doc").option("maxRecordsPerFile", 1).text(path)
+
+
+@register("read_borders")
+def q_read_borders(spark, sf_dir):
+    """Line documents written and read back in pieces."""
+    path = _scratch(spark, "borders")
+    lines = geojson.event_geometry_text(load_catalog(spark, sf_dir)).withColumnRenamed("feature", "row_seq")
+    text = F.concat(F.lit('{"type":"Feature","geometry":{"type":"'), "type", F.lit('","coordinates":'), "coordinates", F.lit("}}"))
+    _documents(lines.select("row_seq", text.alias("feature")), "feature", path)
+    return geojson.read_line_segments(spark, path).drop("file")
+
+
+@register("read_points")
+def q_read_points(spark, sf_dir):
+    """Point documents written and read back in pieces."""
+    path = _scratch(spark, "points")
+    c = load_catalog(spark, sf_dir)
+    lines = geojson.geojson_lines(c.withColumn("place", F.concat(F.coalesce("place", F.lit("")), F.lit(' }{ "x" \\ ]'))))
+    _documents(lines.withColumn("row_seq", F.monotonically_increasing_id()).withColumnRenamed("value", "feature"), "feature", path)
+    return geojson.read_geojson_points(spark, path)
+
+
 @register("bbox_stored")
 def q_bbox_stored(spark, sf_dir):
     """A box of an archive sorted along a space-filling curve."""
