@@ -35,6 +35,42 @@ def all_scenarios() -> list[tuple[float, int]]:
     return [(m, y) for m in SCENARIO_MAGNITUDES for y in SCENARIO_YEARS]
 
 
+#: Magnitudes are summed as whole multiples of 2**-23: exact for stored magnitudes from 1 on, and in any order.
+MAGNITUDE_UNIT = 1 << 23
+
+
+def cell_sums(df: DataFrame, mc: float = HAZARD_MC, start_ms: int = CATALOG_START_MS, end_ms: int | None = None,
+              grid_deg: float = HAZARD_GRID_DEG, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, lat_bin, lon_bin, n, mag_units) of events ``>= mc`` since ``start_ms``: what the fit needs of a
+    cell, and what adds up over parts of a catalog."""
+    cond = (F.col("time") >= F.lit(start_ms)) & (F.col("magnitude") >= threshold_for(df, "magnitude", mc))
+    if end_ms is not None:
+        cond = cond & (F.col("time") < F.lit(end_ms))
+    units = F.round(F.col("magnitude").cast("double") * F.lit(float(MAGNITUDE_UNIT))).cast("long")
+    return df.filter(cond).groupBy(*keys, grid_bin("lat", grid_deg).alias("lat_bin"), grid_bin("lon", grid_deg).alias("lon_bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(units).alias("mag_units"))
+
+
+def fit_cells(sums: DataFrame, years: int, mc: float = HAZARD_MC, grid_deg: float = HAZARD_GRID_DEG, min_events: int = HAZARD_MIN_EVENTS) -> DataFrame:
+    """The fit of every cell from its sums (see ``hazard_cells``)."""
+    mean = F.col("mag_units").cast("double") / F.lit(float(MAGNITUDE_UNIT)) / F.col("n").cast("double")
+    diff = mean - F.lit(float(mc))
+    b_raw = F.lit(LOG10_E) / diff
+    a_raw = F.log10(F.col("n").cast("double")) + b_raw * F.lit(float(mc))
+    lat_c, lon_c = cell_center("lat_bin", grid_deg), cell_center("lon_bin", grid_deg)
+    return (
+        sums.filter((F.col("n") >= min_events) & (diff > 0))
+        .select(
+            lat_c.alias("lat"), lon_c.alias("lon"),
+            round_half_even(a_raw, 4).alias("a"), round_half_even(b_raw, 4).alias("b"),
+            F.col("n"),
+            F.lit(float(mc)).alias("mc"),
+            F.lit(int(years)).alias("catalog_years"),
+        )
+        .filter(F.col("lat").between(-90.0, 90.0) & F.col("lon").between(-180.0, 180.0))
+    )
+
+
 def hazard_cells(
     df: DataFrame,
     as_of_year: int,
@@ -53,30 +89,7 @@ def hazard_cells(
     to ``as_of_year``, or to the year of ``end_ms``, from the year of ``start_ms``.
     """
     until = as_of_year if end_ms is None else min(as_of_year, utc_year(end_ms))
-    years = int(until - utc_year(start_ms))
-    cond = (F.col("time") >= F.lit(start_ms)) & (F.col("magnitude") >= threshold_for(df, "magnitude", mc))
-    if end_ms is not None:
-        cond = cond & (F.col("time") < F.lit(end_ms))
-    cells = (
-        df.filter(cond)
-        .groupBy(grid_bin("lat", grid_deg).alias("lat_bin"), grid_bin("lon", grid_deg).alias("lon_bin"))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("magnitude").cast("double")).alias("mean_mag"))
-    )
-    diff = F.col("mean_mag") - F.lit(float(mc))
-    b_raw = F.lit(LOG10_E) / diff
-    a_raw = F.log10(F.col("n").cast("double")) + b_raw * F.lit(float(mc))
-    lat_c, lon_c = cell_center("lat_bin", grid_deg), cell_center("lon_bin", grid_deg)
-    return (
-        cells.filter((F.col("n") >= min_events) & (diff > 0))
-        .select(
-            lat_c.alias("lat"), lon_c.alias("lon"),
-            round_half_even(a_raw, 4).alias("a"), round_half_even(b_raw, 4).alias("b"),
-            F.col("n"),
-            F.lit(float(mc)).alias("mc"),
-            F.lit(years).alias("catalog_years"),
-        )
-        .filter(F.col("lat").between(-90.0, 90.0) & F.col("lon").between(-180.0, 180.0))
-    )
+    return fit_cells(cell_sums(df, mc, start_ms, end_ms, grid_deg), until - utc_year(start_ms), mc, grid_deg, min_events)
 
 
 def exceedance_probability(a, b, catalog_years, magnitude, horizon_years):

@@ -5,20 +5,19 @@ executors. Every step writes files of its own and publishes them with one commit
 of the manifest, so a run that ends anywhere leaves a whole catalog, and a re-run
 resumes from what has been published:
 
-1. land the raw rows of the days not landed yet (``land_daily``), recording empty days too; only the raw
-   files between the first and the last of those days are opened;
+1. land the raw rows of the days not landed yet (``land_daily``), recording empty days too, in ranges of bounded
+   size that the request ledger keeps; only the raw files of those days' ranges are opened;
 2. merge the landing batches listed now, whoever landed them: only the years an incoming id
    touches (its old year and its new one) are written anew, and one commit switches them and retires just
    those batches. What lands meanwhile waits for the next merge;
 3. export web rows of those years, of years that an interrupted run left pending
    and of stored years that have no export yet;
-4. optionally refit the hazard grid from the merged archive;
+4. optionally refit the hazard grid, from the changed years' rows and the other years' sums;
 5. delete files that an earlier merge has retired.
 """
 
 from __future__ import annotations
 
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +26,15 @@ from pyspark.sql import functions as F
 from ..functions.labels import year_of
 from ..operators.dedupe import compact, latest_by_id
 from ..operators.filters import min_magnitude
-from ..operators.hazard import hazard_cells
-from ..session import ensure_utc, scratch_path
+from ..session import ensure_utc
 from ..sources import manifest
 from ..sources import parquet as pq
 from ..sources.csv import apply_null_markers, normalize, read_event_csv
 from ..sources.hazard_io import write_hazard
 from ..sources.web import web_rows, write_web_json
+from . import ledger
 from .calendar import missing_days
+from .refit import refit_hazard
 
 
 def _years(df: DataFrame) -> list[int | None]:
@@ -125,7 +125,7 @@ def _index_rows(spark, path, archive: DataFrame, inc: DataFrame, state: manifest
     return kept.unionByName(news.select(F.col("_id").alias("id"), F.col("_year").alias("year")))
 
 
-def land_raw_days(spark: SparkSession, raw: DataFrame, path: str, days: DataFrame, min_mag: float) -> None:
+def land_raw_days(spark: SparkSession, raw: DataFrame, path: str, days: DataFrame, min_mag: float, also=None) -> None:
     """Normalize the raw rows of the given days (column ``land_date``) and land them in the service's order.
 
     The least and greatest day are a literal range on ``land_date``, so raw files of other days are not
@@ -140,7 +140,22 @@ def land_raw_days(spark: SparkSession, raw: DataFrame, path: str, days: DataFram
     rows = rows.join(days.select("land_date").distinct(), "land_date", "left_semi")
     core = normalize(rows, keep=["land_date"]).withColumn("row_seq", F.col("time"))
     core = min_magnitude(core, min_mag)
-    pq.land_daily(core, path, days)
+    pq.land_daily(core, path, days, also)
+
+
+def _backfill(spark: SparkSession, raw: DataFrame, path: str, days: list[str], min_mag: float, batch_rows: int) -> None:
+    """Land the missing days range by range as the request ledger has them."""
+    todo = ledger.open_ranges(spark, path, raw, days, batch_rows)
+    while todo:
+        one = todo.pop(0)
+        if one["first"] != one["last"]:
+            size = ledger.count_rows(raw, one) if one["n"] is None else one["n"]
+            if size >= batch_rows:
+                todo = ledger.halve(spark, path, one) + todo
+                continue
+        here = [d for d in days if one["first"] <= d <= one["last"]]
+        frame = spark.createDataFrame([(date.fromisoformat(d),) for d in here], "land_date date")
+        land_raw_days(spark, raw, path, frame, min_mag, also=lambda state, one=one: ledger.mark_done(state, one))
 
 
 def append_day(spark: SparkSession, raw: DataFrame, path: str, day, min_mag: float = 2.5,
@@ -195,13 +210,14 @@ def sync(
     drop_landing: bool = True,
     hazard_path: str | None = None,
     as_of_year: int | None = None,
+    batch_rows: int = ledger.BATCH_ROWS,
 ) -> dict:
     """Land every missing day in ``[start, through]`` from landed CSV, merge, export.
 
     ``raw_path`` holds the service's CSV files under ``land_date=YYYY-MM-DD``
-    folders; without ``start`` and ``through`` the span is that of its folders. With
-    ``hazard_path`` (and ``as_of_year``) the hazard grid is refitted from the merged
-    archive in the same job. ``drop_landing`` deletes the files that the merge before this one
+    folders; without ``start`` and ``through`` the span is that of its folders. Missing days are landed in ranges
+    of fewer than ``batch_rows`` rows, each with a commit of its own (``ledger``): an interrupted run repeats none. With
+    ``hazard_path`` (and ``as_of_year``) the hazard grid is refitted in the same job, from the years that changed. ``drop_landing`` deletes the files that the merge before this one
     retired. Returns a small summary (days landed, years rewritten
     and exported).
     """
@@ -222,18 +238,15 @@ def sync(
         todo = missing_days(pq.read_landed_days(spark, path), start, through)
         landed_now = [r[0].isoformat() for r in todo.orderBy("land_date").collect()]
         if landed_now:
-            stage = scratch_path(spark, f"todo-{uuid.uuid4().hex}")
-            todo.write.parquet(stage)   # the plan is fixed before landing changes what is missing
             if raw is None:
                 raw = read_event_csv(spark, stored, days=(landed_now[0], landed_now[-1]))
-            land_raw_days(spark, raw, path, spark.read.schema("land_date date").parquet(stage), min_mag)
-            pq._delete(spark, stage)
+            _backfill(spark, raw, path, landed_now, min_mag, batch_rows)
     touched = merge_landing(spark, path)
     exported, stale = [], pq.pending_years(spark, path)
     if web_path:
         exported = export_web(spark, path, web_path, touched, export_mag)
     if hazard_path and touched:
-        write_hazard(hazard_cells(pq.read_catalog(spark, path), as_of_year), hazard_path)
+        write_hazard(refit_hazard(spark, path, as_of_year), hazard_path)
     if web_path:
         pq.clear_pending(spark, path, stale)
     if drop_landing:

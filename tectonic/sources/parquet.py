@@ -10,6 +10,7 @@ event the one of the later batch counts, within a batch that of the later day, t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -247,7 +248,7 @@ def _write_batch(rows: DataFrame, path: str) -> tuple[str, set[str], bool]:
     return token, got - {NO_VALUE}, bool(got)
 
 
-def land_daily(df: DataFrame, path: str, days: DataFrame | None = None) -> None:
+def land_daily(df: DataFrame, path: str, days: DataFrame | None = None, also: Callable[[Manifest], None] | None = None) -> None:
     """Land rows per ``land_date`` as one batch and record the landed days with their row counts.
 
     ``days`` (column ``land_date``) lists every day that was requested: a day that
@@ -256,7 +257,7 @@ def land_daily(df: DataFrame, path: str, days: DataFrame | None = None) -> None:
     order within a day (the service returns time ascending; ``time`` is used when
     absent). The source is evaluated once: rows are dealt by day and id, and the
     counts come from the partitions just written. Rows and record appear together;
-    no file is moved.
+    no file is moved. ``also`` is a further change that the same commit publishes.
     """
     spark = df.sparkSession
     if "row_seq" not in df.columns:
@@ -278,6 +279,8 @@ def land_daily(df: DataFrame, path: str, days: DataFrame | None = None) -> None:
     def change(state: Manifest) -> None:
         n = state.add_batch(token, covered, any_rows)
         state.landed.append({"n": n, "token": token})
+        if also is not None:
+            also(state)
 
     manifest.commit(spark, path, change)
 
