@@ -36,6 +36,7 @@ COSINE = 0.93
 SAMPLE = 4096
 BLOCK = 1024
 MOST_CENTRES = 256
+DENSE = 32             # from one pair in so many on, all are multiplied at once
 _NEAR = 1e-9           # cosines so near the threshold are computed again without rounding of sums
 
 
@@ -81,10 +82,12 @@ class Tree:
         node = np.zeros(n, np.int64)
         radius, levels = 1.0, [node]
         while radius > least:
-            node = self._split(far, node, radius)
-            levels.append(node)
-            radius /= 2
-        levels.append(self._split(far, node, 0.0))      # single vectors
+            below = self._split(far, node, radius)
+            if len(np.unique(below)) > len(np.unique(node)):
+                levels.append(below)
+            node, radius = below, radius / 2
+        if len(np.unique(node)) < n:
+            levels.append(np.arange(n))                 # single vectors
         self.order = np.lexsort(levels[::-1])
         self.levels = []
         for node in levels:
@@ -95,11 +98,13 @@ class Tree:
             reach = np.maximum.reduceat(far[self.order, sorted_nodes], first)
             self.levels.append((centre, reach, first, last))
 
+    def at(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The level, or the last one where the tree is not so deep."""
+        return self.levels[min(level, len(self.levels) - 1)]
+
     @staticmethod
     def _split(far: np.ndarray, parent: np.ndarray, radius: float) -> np.ndarray:
         """Nodes one level down: within each parent, greedy centres farther apart than ``radius``."""
-        if radius == 0.0:
-            return np.arange(len(parent))
         node = np.full(len(parent), -1, np.int64)
         for p in np.unique(parent):
             mine = np.flatnonzero(parent == p)
@@ -130,44 +135,49 @@ def dual_traversal(x: np.ndarray, y: np.ndarray | None, raw_x, raw_y, cosine: fl
     tx = Tree(x, reach / 2)
     ty = tx if same else Tree(y, reach / 2)
     y = x if same else y
-    groups, last = [], len(tx.levels) - 1
-    a = b = np.zeros(1, np.int64)
-    for level in range(last + 1):
-        cx, rx, fx, lx = tx.levels[level]
-        cy, ry, fy, ly = ty.levels[level]
-        dots = np.empty(len(a))
-        for s in range(0, len(a), 1 << 16):
-            part = slice(s, s + (1 << 16))
-            dots[part] = np.einsum("ij,ij->i", x[cx[a[part]]], y[cy[b[part]]])
-        if level == last:
-            hit = dots >= cosine
-            for k in np.flatnonzero(np.abs(dots - cosine) < _NEAR):
-                hit[k] = _exact(np.asarray(raw_x[cx[a[k]]], float), np.asarray(raw_y[cy[b[k]]], float)) >= cosine
-            if same:
-                hit &= a < b
-            return [cx[a[hit]], cy[b[hit]]], groups
+    groups = []
+    live = np.ones((1, 1), bool)      # node pairs of a level that are not decided yet
+    depth = max(len(tx.levels), len(ty.levels))
+    for level in range(depth):
+        cx, rx, fx, lx = tx.at(level)
+        cy, ry, fy, ly = ty.at(level)
+        dots = _products(x[cx], y[cy], live)
+        if level == depth - 1:
+            hit = live & (dots >= cosine)
+            for i, j in zip(*np.nonzero(live & (np.abs(dots - cosine) < _NEAR)), strict=True):
+                hit[i, j] = _exact(np.asarray(raw_x[cx[i]], float), np.asarray(raw_y[cy[j]], float)) >= cosine
+            i, j = np.nonzero(np.triu(hit, 1) if same else hit)
+            return [cx[i], cy[j]], groups
         apart = np.sqrt(np.maximum(0.0, 2 - 2 * dots))
-        whole = apart + rx[a] + ry[b] <= reach - _NEAR
+        both = rx[:, None] + ry[None, :]
+        whole = live & (apart + both <= reach - _NEAR)
         if same:
-            whole &= (lx[a] - fx[a] > 1) | (a != b)
-        for i, j in zip(a[whole], b[whole], strict=True):
+            single = np.flatnonzero(lx - fx == 1)
+            whole[single, single] = False
+        for i, j in zip(*np.nonzero(whole), strict=True):
             groups.append((tx.order[fx[i]:lx[i]], ty.order[fy[j]:ly[j]]))
-        go = ~whole & (apart <= rx[a] + ry[b] + reach + _NEAR)
-        a, b = a[go], b[go]
-        # children: the next level's nodes within the parents' stretches
-        nx, ny = tx.levels[level + 1][2], ty.levels[level + 1][2]
-        ax, bx = np.searchsorted(nx, fx[a]), np.searchsorted(nx, lx[a])
-        ay, by = np.searchsorted(ny, fy[b]), np.searchsorted(ny, ly[b])
-        wide, tall = bx - ax, by - ay
-        size = wide * tall
-        which = np.repeat(np.arange(len(a)), size)
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        a, b = ax[which] + place // tall[which], ay[which] + place % tall[which]
+        go = live & ~whole & (apart <= both + reach + _NEAR)
+        # children: the next level's nodes lie within their parents' stretches
+        px = np.searchsorted(fx, tx.at(level + 1)[2], "right") - 1
+        py = np.searchsorted(fy, ty.at(level + 1)[2], "right") - 1
+        live = go[px][:, py]
         if same:
-            a, b = a[a <= b], b[a <= b]
+            live = np.triu(live)
     raise AssertionError("a tree has a last level")
 
 
+def _products(x: np.ndarray, y: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """Inner products of the live pairs of x and y (others -2): one matrix product unless few are live."""
+    a, b = np.nonzero(live)
+    if len(a) * DENSE >= live.size:
+        return np.where(live, x @ y.T, -2.0)
+    dots = np.full(live.shape, -2.0)
+    for s in range(0, len(a), 1 << 16):
+        i, j = a[s:s + (1 << 16)], b[s:s + (1 << 16)]
+        dots[i, j] = np.einsum("ij,ij->i", x[i], y[j])
+    return dots
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index of each node's component under links a-b."""
     low = np.arange(n)
