@@ -7,7 +7,7 @@ executor never repeats an earlier stage. Rows with a null doc_id leave at the fi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tectonic.llm import op1_substrings, op2_jaccard, op3_exact, op7_langid, op9_packing, wordbpe
@@ -37,11 +37,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     decided = op3_exact.exact_dedup(docs, op3_exact.fresh_index(spark))
     rows, at = _coded(docs)
     rows = rows.withColumn("digest", F.sha2(F.coalesce(at["text"], F.lit("")).cast("binary"), 256))
+    # repeated rows of one id and text: one of them, by a partial aggregate, before any row is dealt by them
+    whole = F.struct(*at.values())
+    rows = rows.groupBy(at["doc_id"], "digest").agg(F.max_by(whole, F.xxhash64(*at.values())).alias("whole"))
     stays = decided.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(at["doc_id"]), F.col("text_sha256").alias("digest"))
     kept = rows.join(materialize(stays.distinct(), "stays"), [at["doc_id"], "digest"], "left_semi")
-    # repeated rows of one id and text: the join has sorted and dealt by both, so this adds no shuffle
-    first = F.row_number().over(Window.partitionBy(at["doc_id"], "digest").orderBy(F.xxhash64(*at.values())))
-    return kept.withColumn("place", first).where("place = 1").select(*at.values()).toDF(*at)
+    return kept.select("whole.*").toDF(*at)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
