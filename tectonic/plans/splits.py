@@ -31,6 +31,7 @@ def size_bounded_splits(
     end_ms: int,
     max_rows: int = MAX_EVENTS_PER_REQUEST,
     max_depth: int = MAX_SPLIT_DEPTH,
+    weight: str | None = None,
 ) -> DataFrame:
     """Leaves of the halving tree: ``level, idx, start_ms, end_ms, n, too_dense``.
 
@@ -40,7 +41,8 @@ def size_bounded_splits(
     is split when ``left + right >= max_rows``; its two children (an absent one
     has 0 rows) are leaves when below ``max_rows``, too dense when not and at
     the deepest level, and split further otherwise. The root is the parent of
-    level 1; a zero-count bucket keeps it present when nothing is in range.
+    level 1; a zero-count bucket keeps it present when nothing is in range. With a column
+    ``weight`` its sum takes the place of the number of rows.
     """
     spark = df.sparkSession
     span = int(end_ms) - int(start_ms)
@@ -54,7 +56,7 @@ def size_bounded_splits(
     # integer division: these values pass 2^53 for spans of decades
     deepest = F.expr(f"((time - {int(start_ms)}L + 1L) * {1 << depth}L - 1L) div {span}L")
     buckets = (
-        df.filter(in_range).groupBy(deepest.alias("d")).agg(F.count(F.lit(1)).alias("n"))
+        df.filter(in_range).groupBy(deepest.alias("d")).agg((F.sum(weight).cast("long") if weight else F.count(F.lit(1))).alias("n"))
         .unionByName(spark.range(1).select(F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("n")))
     )
     nodes = buckets.select("n", "d", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("level")).select(

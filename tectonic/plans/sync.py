@@ -46,6 +46,9 @@ def _folder(year: int | None) -> str:
     return pq.NO_VALUE if year is None else str(year)
 
 
+#: Bytes that a raw row counts for where rows come without files.
+RAW_ROW_BYTES = 200
+
 #: Buckets of a new id index: a day's ids touch few of them in a large archive.
 ID_BUCKETS = 64
 
@@ -143,14 +146,14 @@ def land_raw_days(spark: SparkSession, raw: DataFrame, path: str, days: DataFram
     pq.land_daily(core, path, days, also)
 
 
-def _backfill(spark: SparkSession, raw: DataFrame, path: str, days: list[str], min_mag: float, batch_rows: int) -> None:
+def _backfill(spark: SparkSession, raw: DataFrame, path: str, days: list[str], min_mag: float, sizes: DataFrame, batch_bytes: int) -> None:
     """Land the missing days range by range as the request ledger has them."""
-    todo = ledger.open_ranges(spark, path, raw, days, batch_rows)
+    todo = ledger.open_ranges(spark, path, sizes, days, batch_bytes)
     while todo:
         one = todo.pop(0)
         if one["first"] != one["last"]:
-            size = ledger.count_rows(raw, one) if one["n"] is None else one["n"]
-            if size >= batch_rows:
+            size = ledger.size_of(sizes, one) if one["bytes"] is None else one["bytes"]
+            if size >= batch_bytes:
                 todo = ledger.halve(spark, path, one) + todo
                 continue
         here = [d for d in days if one["first"] <= d <= one["last"]]
@@ -210,13 +213,13 @@ def sync(
     drop_landing: bool = True,
     hazard_path: str | None = None,
     as_of_year: int | None = None,
-    batch_rows: int = ledger.BATCH_ROWS,
+    batch_bytes: int = ledger.BATCH_BYTES,
 ) -> dict:
     """Land every missing day in ``[start, through]`` from landed CSV, merge, export.
 
     ``raw_path`` holds the service's CSV files under ``land_date=YYYY-MM-DD``
     folders; without ``start`` and ``through`` the span is that of its folders. Missing days are landed in ranges
-    of fewer than ``batch_rows`` rows, each with a commit of its own (``ledger``): an interrupted run repeats none. With
+    of less than ``batch_bytes`` of raw files, each with a commit of its own (``ledger``): an interrupted run repeats none. With
     ``hazard_path`` (and ``as_of_year``) the hazard grid is refitted in the same job, from the years that changed. ``drop_landing`` deletes the files that the merge before this one
     retired. Returns a small summary (days landed, years rewritten
     and exported).
@@ -240,7 +243,11 @@ def sync(
         if landed_now:
             if raw is None:
                 raw = read_event_csv(spark, stored, days=(landed_now[0], landed_now[-1]))
-            _backfill(spark, raw, path, landed_now, min_mag, batch_rows)
+            if stored:
+                sizes = ledger.raw_sizes(spark, stored)
+            else:     # rows without files: their number times a usual length
+                sizes = raw.select(F.col("land_date").cast("date").alias("land_date"), F.lit(RAW_ROW_BYTES).alias("bytes"))
+            _backfill(spark, raw, path, landed_now, min_mag, sizes, batch_bytes)
     touched = merge_landing(spark, path)
     exported, stale = [], pq.pending_years(spark, path)
     if web_path:

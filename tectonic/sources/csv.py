@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
 from csv import reader as csv_lines
 
 import pyarrow as pa
@@ -35,6 +37,44 @@ def _first_line(batches):
                 return
 
 
+#: So many files' first lines are read by the driver, which lists them anyway; more are dealt to tasks.
+HEADS_ON_DRIVER = 512
+
+
+def _head(spark: SparkSession, file: str) -> str | None:
+    """The first line of a file that is not blank."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        line = reader.readLine()
+        while line is not None and not line.strip("\ufeff \t\r"):
+            line = reader.readLine()
+        return line
+    finally:
+        stream.close()
+
+
+def _first_lines(spark: SparkSession, path: str | list[str], days: tuple[str, str] | None) -> list[tuple[str, str]]:
+    """(line, file) of every file that is not blank."""
+    files = spark.read.text(path).inputFiles()
+    if days is not None:
+        known = [(re.search(r"/land_date=(\d{4}-\d\d-\d\d)/", f), f) for f in files]
+        files = [f for at, f in known if at and str(days[0]) <= at[1] <= str(days[1])]
+    if len(files) <= HEADS_ON_DRIVER:
+        with ThreadPoolExecutor(16) as pool:
+            lines = list(pool.map(lambda f: _head(spark, f), files))
+        return [(line, file) for line, file in zip(lines, files, strict=True) if line is not None]
+    # a session of its own deals one file to a task, and each task stops at the first line
+    own = spark.newSession()
+    for name, value in (("files.maxPartitionBytes", 1 << 40), ("files.openCostInBytes", 1 << 40), ("execution.arrow.maxRecordsPerBatch", 16)):
+        own.conf.set(f"spark.sql.{name}", str(value))
+    lines = _between_days(own.read.text(path), days).select("value", F.col("_metadata.file_path").alias("file"))
+    return [(r.value, r.file) for r in lines.mapInArrow(_first_line, "value string, file string").collect()]
+
+
 def _between_days(df: DataFrame, days: tuple[str, str] | None) -> DataFrame:
     if days is None:
         return df
@@ -43,18 +83,10 @@ def _between_days(df: DataFrame, days: tuple[str, str] | None) -> DataFrame:
 
 
 def _headers(spark: SparkSession, path: str | list[str], days: tuple[str, str] | None) -> dict[str, list[str]]:
-    """Header line -> its files (the driver lists the files of a scan in any case).
-
-    A session of its own deals one file to a task, and each task stops at the first line, so
-    that only the head of a file is read here.
-    """
-    own = spark.newSession()
-    for name, value in (("files.maxPartitionBytes", 1 << 40), ("files.openCostInBytes", 1 << 40), ("execution.arrow.maxRecordsPerBatch", 16)):
-        own.conf.set(f"spark.sql.{name}", str(value))
-    lines = _between_days(own.read.text(path), days).select("value", F.col("_metadata.file_path").alias("file"))
+    """Header line -> its files (the driver lists the files of a scan in any case); only heads are read."""
     found: dict[str, list[str]] = {}
     other: list[str] = []
-    for line, file in lines.mapInArrow(_first_line, "value string, file string").collect():
+    for line, file in _first_lines(spark, path, days):
         if {"id", "time"} <= set(_fields(line)):
             found.setdefault(line, []).append(file)
         else:

@@ -234,13 +234,16 @@ def test_a_one_day_sync_opens_no_other_raw_file(spark, tmp_path):
         csv_src.read_event_csv(spark, raw).collect()
 
 
-def test_a_path_of_one_header_is_read_once(spark, tmp_path):
+def test_a_path_of_one_header_is_read_once(spark, tmp_path, monkeypatch):
     """Beside the scan itself only first lines are read."""
     c = load_catalog(spark, SF0001)
     raw = str(tmp_path / "raw")
     csv_src.write_event_csv(csv_src.raw_text_from_catalog(c).repartition(3), raw, by_day=False)
     headers = csv_src._headers(spark, raw, None)
     assert len(headers) == 1 and len(next(iter(headers.values()))) == 3
+    monkeypatch.setattr(csv_src, "HEADS_ON_DRIVER", 0)                 # the same from tasks
+    names = [{h: sorted(x.rsplit("/", 1)[1] for x in f) for h, f in found.items()} for found in (headers, csv_src._headers(spark, raw, None))]
+    assert names[0] == names[1]
     batches = iter([pa.RecordBatch.from_arrays([pa.array(v), pa.array(["f"] * len(v))], ["value", "file"])
                     for v in ([""], [" ", "id,time", "x,y"], ["z,z"])])
     assert [b.to_pylist() for b in csv_src._first_line(batches)] == [[{"value": "id,time", "file": "f"}]]

@@ -72,23 +72,31 @@ def raw_files(spark, tmp_path, through="2024-01-08"):
     return c, raw
 
 
+def day_bytes(tmp_path):
+    out = {}
+    for f in (tmp_path / "raw").rglob("*.csv"):
+        day = f.parent.name.split("=")[1]
+        out[day] = out.get(day, 0) + f.stat().st_size
+    return out
+
+
 def test_ranges_cover_the_days_below_the_limit(spark, tmp_path):
-    c, raw = raw_files(spark, tmp_path)
-    frame = csv_src.read_event_csv(spark, raw)
-    per_day = {r["land_date"].isoformat(): r["n"] for r in c.groupBy("land_date").agg(F.count("*").alias("n")).collect()}
-    for limit in (40, 80, 150, 10**9):
-        got = ledger.plan_ranges(frame, "2024-01-01", "2024-01-10", limit)
+    _, raw = raw_files(spark, tmp_path)
+    sizes, per_day = ledger.raw_sizes(spark, raw), day_bytes(tmp_path)
+    day = max(per_day.values())
+    for limit in (day // 2, day * 2, day * 5, 10**12):
+        got = ledger.plan_ranges(sizes, "2024-01-01", "2024-01-10", limit)
         days = [d for r in got for d in sorted(per_day) if r["first"] <= d <= r["last"]]
         assert days == sorted(per_day) and got[0]["first"] == "2024-01-01" and got[-1]["last"] == "2024-01-10"
         for r in got:
             n = sum(n for d, n in per_day.items() if r["first"] <= d <= r["last"])
-            assert r["n"] == n and (n < limit or r["first"] == r["last"])
-    assert len(ledger.plan_ranges(frame, "2024-01-01", "2024-01-10", 10**9)) == 1
+            assert r["bytes"] == n and (n < limit or r["first"] == r["last"])
+    assert len(ledger.plan_ranges(sizes, "2024-01-01", "2024-01-10", 10**12)) == 1
 
 
 def test_an_interrupted_backfill_repeats_no_finished_range(spark, tmp_path, monkeypatch):
     c, raw = raw_files(spark, tmp_path)
-    path = str(tmp_path / "cat")
+    path, limit = str(tmp_path / "cat"), 2 * max(day_bytes(tmp_path).values())
     commit, calls = manifest.commit, []
 
     def crash(*args):
@@ -100,25 +108,32 @@ def test_an_interrupted_backfill_repeats_no_finished_range(spark, tmp_path, monk
     with monkeypatch.context() as m:
         m.setattr(manifest, "commit", crash)
         with pytest.raises(RuntimeError, match="killed"):
-            sync_plan.sync(spark, raw, path, batch_rows=80)
+            sync_plan.sync(spark, raw, path, batch_bytes=limit)
     state = manifest.load(spark, path)
     done, left = ([r for r in state.requests if r["done"] is flag] for flag in (True, False))
     assert len(done) == 2 and len(left) >= 2 and len(state.batches) == 2
     assert pq.read_landing(spark, path).count() == c.where(F.col("land_date") <= F.lit(done[-1]["last"]).cast("date")).count()
     for r in done:                      # files of finished ranges would fail if they were read
         (tmp_path / "raw" / f"land_date={r['first']}" / "x.csv").write_text("what,is,this\n1,2,3\n")
-    sync_plan.sync(spark, raw, path, batch_rows=80)
+    sync_plan.sync(spark, raw, path, batch_bytes=limit)
     assert all(r["done"] for r in manifest.load(spark, path).requests)
     assert rows(pq.read_catalog(spark, path).select(*CORE_COLUMNS)) == rows(dedupe.latest_by_id(c).select(*CORE_COLUMNS))
 
 
-def test_a_range_that_has_grown_is_halved(spark, tmp_path, monkeypatch):
+def test_a_range_that_has_grown_is_halved(spark, tmp_path):
     c, raw = raw_files(spark, tmp_path, "2024-01-04")
-    path = str(tmp_path / "cat")
-    frame = csv_src.read_event_csv(spark, raw)
-    days = ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"]
-    assert len(ledger.open_ranges(spark, path, frame, days, 10**6)) == 1
-    sync_plan._backfill(spark, frame, path, days, 2.5, batch_rows=80)      # the limit is lower now
+    path, limit = str(tmp_path / "cat"), 2 * max(day_bytes(tmp_path).values())
+    sizes, days = ledger.raw_sizes(spark, raw), ["2024-01-01", "2024-01-02", "2024-01-03", "2024-01-04"]
+    assert len(ledger.open_ranges(spark, path, sizes, days, 10**12)) == 1
+    sync_plan._backfill(spark, csv_src.read_event_csv(spark, raw), path, days, 2.5, sizes, limit)      # the limit is lower now
     state = manifest.load(spark, path)
     assert len(state.requests) >= 2 and all(r["done"] for r in state.requests) and len(state.batches) == len(state.requests)
     assert pq.read_landing(spark, path).count() == c.count() and pq.read_landed_days(spark, path).count() == 4
+
+
+def test_rows_without_files_are_planned_too(spark, tmp_path):
+    c, raw = raw_files(spark, tmp_path, "2024-01-04")
+    frame = csv_src.read_event_csv(spark, raw)
+    sync_plan.sync(spark, frame, str(tmp_path / "cat"), batch_bytes=70 * sync_plan.RAW_ROW_BYTES)
+    assert rows(pq.read_catalog(spark, str(tmp_path / "cat")).select(*CORE_COLUMNS)) == rows(dedupe.latest_by_id(c).select(*CORE_COLUMNS))
+    assert len(manifest.load(spark, str(tmp_path / "cat")).requests) >= 2
