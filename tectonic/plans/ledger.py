@@ -50,6 +50,9 @@ def size_of(sizes: DataFrame, one: dict) -> int:
 def plan_ranges(sizes: DataFrame, first: str, last: str, max_bytes: int = BATCH_BYTES) -> list[dict]:
     """Ranges of days (first and last, both included) that cover the span, each smaller than ``max_bytes`` or a
     single day."""
+    total = size_of(sizes, {"first": first, "last": last})
+    if total < max_bytes:
+        return [{"first": first, "last": last, "bytes": total, "done": False}]
     span = _between(sizes, first, last).select(F.unix_millis(F.col("land_date").cast("timestamp")).alias("time"), "bytes")
     days = (date.fromisoformat(last) - date.fromisoformat(first)).days + 1
     # deep enough that a leaf is a day at least

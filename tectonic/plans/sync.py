@@ -49,8 +49,9 @@ def _folder(year: int | None) -> str:
 #: Bytes that a raw row counts for where rows come without files.
 RAW_ROW_BYTES = 200
 
-#: Buckets of a new id index: a day's ids touch few of them in a large archive.
-ID_BUCKETS = 64
+#: Least number of buckets of a new id index; it has as many as the session has shuffle partitions, which are
+#: sized to the data, so that a day's ids touch few of them in a large archive.
+ID_BUCKETS = 16
 
 
 def indexed_years(spark: SparkSession, path: str, ids: DataFrame, state: manifest.Manifest) -> DataFrame:
@@ -62,14 +63,14 @@ def indexed_years(spark: SparkSession, path: str, ids: DataFrame, state: manifes
 
 
 def upsert(spark: SparkSession, path: str, incoming: DataFrame, claims: list[str] = (), at: manifest.Manifest | None = None,
-           id_buckets: int = ID_BUCKETS) -> list[int]:
+           id_buckets: int | None = None) -> list[int]:
     """Merge rows into the archive; returns the years rewritten.
 
     Years touched = years of the incoming rows plus the years where their ids
     live now (a revision may move an event across New Year, however far). An id index beside the archive,
     bucketed by hash and sorted, knows the year of every id: only the buckets of the incoming ids are read and
     written anew. An archive without one (a first merge, or years replaced by ``write_catalog``) gets it
-    with this merge, in ``id_buckets`` buckets. The touched years are
+    with this merge, in ``id_buckets`` buckets (as many as shuffle partitions). The touched years are
     merged keep-last and written as a new generation beside the old one; one commit makes it
     the archive, notes the years as pending and retires the landing batches ``claims``. A touched year
     left without rows is removed. Another merge that published any of these years or batches first is a
@@ -86,7 +87,9 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, claims: list[str
         wanted = ids.withColumnRenamed("id", "_id")
         old_years = archive.join(wanted, archive["id"].eqNullSafe(wanted["_id"]), "left_semi").select("year")
     touched = _years(inc.select("year").unionByName(old_years))
-    token, got, id_token, buckets, n_buckets = "", set(), "", set(), state.id_buckets or int(id_buckets)
+    token, got, id_token, buckets, n_buckets = "", set(), "", set(), state.id_buckets or int(id_buckets or 0)
+    if not n_buckets:
+        n_buckets = max(ID_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if touched:
         known = [y for y in touched if y is not None]
         here = F.col("year").isin(known) | F.col("year").isNull() if None in touched else F.col("year").isin(known)
