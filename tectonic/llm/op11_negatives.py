@@ -303,9 +303,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
-                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+                  [floor(256 * x::DOUBLE) for x in embedding] AS q
            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
-             AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+             AND list_bool_and([x IS NOT NULL AND isfinite(x) for x in embedding])),
 s AS (SELECT a.r, a.vec_id AS anchor_id, a.label = b.label AS same, b.r AS other, b.vec_id AS id, list_inner_product(a.q, b.q)::BIGINT AS score
       FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
 p AS (SELECT r, anchor_id, id AS positive_id, other, score AS positive_score,
