@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize, table
+from .common import forget_shuffles, give_back, materialize, table
 from .textnum import random_table, text_slices
 
 CUT_SHARE = 1 / 4      # of the places between words
@@ -136,6 +136,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     every = materialize(chunks(docs), "chunks")
     first = every.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("m"))
     first = materialize(first.where("m > 1").select("high", "low", "first"), "repeated")
+    forget_shuffles(docs.sparkSession)      # all chunks were dealt once for this, and are again for the join
     later = every.join(first, ["high", "low"]).where(place != F.col("first"))
     return later.select("doc_id", "text_hash", "start", "length", F.col("first.doc_id").alias("kept_in"))
 
