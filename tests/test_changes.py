@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,44 @@ def test_spans():
     assert live.span_ms("1 week") == 7 * DAY and live.span_ms(live.interval_text(987_654_321)) == 987_654_321
     with pytest.raises(ValueError, match="month"):
         live.span_ms("1 month")
+
+
+def plain_feed(polls, gone):
+    """The changes of polls (time, {id: row}) event by event, with all that vanish by the last watermark."""
+    known, out = {}, []
+    for at, events in polls:
+        for key, row in events.items():
+            if key in known and at > known[key][1] + gone:
+                out.append((key, known[key][0], "vanished", known[key][1] + gone))
+                del known[key]
+            if key not in known or known[key][0] != row:
+                out.append((key, row, "revised" if key in known else "new", at))
+            known[key] = (row, at)
+    return out + [(k, row, "vanished", at + gone) for k, (row, at) in known.items() if at + gone <= polls[-1][0] - 1000]
+
+
+@pytest.mark.parametrize("buckets", [1, 7, changes.BUCKETS])
+def test_buckets_of_events_equal_a_plain_feed(spark, tmp_path, buckets):
+    rng = random.Random(buckets)
+    polls = []
+    for k in range(6):
+        ids = [i for i in [*(f"e{n}" for n in range(60)), None] if rng.random() < 0.7]
+        polls.append((POLL + 60_000 * k, {i: (rng.choice([None, 1, 2]), rng.choice([1.5, 2.5, None]), rng.choice(["p", None])) for i in ids}))
+        write_poll(spark, tmp_path / "in" / f"p{k}", [(i, t, 1.0, 2.0, 3.0, m, "ml", p) for i, (t, m, p) in polls[-1][1].items()], polls[-1][0])
+    stream = live.live_stream(spark, str(tmp_path / "in" / "*"), keep_poll=True)
+    out = str(tmp_path / "out")
+    feed = changes.poll_changes(stream, "90 seconds", "1 second", buckets=buckets)
+    changes.start_change_feed(feed, out, str(tmp_path / "ck"), available_now=True).awaitTermination()
+    got = [(r.id, (r.time, r.magnitude, r.place), r.change, r.at_ms) for r in spark.read.parquet(out).collect()]
+    assert sorted(got, key=repr) == sorted(plain_feed(polls, 90_000), key=repr)
+
+
+def test_state_is_kept_by_bucket_not_by_event(spark, tmp_path):
+    """A call per event and batch, each with its own trips to the state store, took minutes for 100,000 events."""
+    write_poll(spark, tmp_path / "in" / "a", [(f"e{k}", k, 1.0, 2.0, 3.0, 4.0) for k in range(3000)], POLL)
+    stream = live.live_stream(spark, str(tmp_path / "in" / "*"), keep_poll=True)
+    out = str(tmp_path / "out")
+    query = changes.start_change_feed(changes.poll_changes(stream, "90 seconds"), out, str(tmp_path / "ck"), available_now=True)
+    query.awaitTermination()
+    assert spark.read.parquet(out).where("change = 'new'").count() == 3000
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 4 * changes.BUCKETS
