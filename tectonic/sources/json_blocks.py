@@ -86,27 +86,31 @@ def _object_start(text: Column, first: Column) -> Column:
 def read_features(spark: SparkSession, path: str, key: str = "features") -> DataFrame:
     """(file, feature, value): the JSON text of every object in the root's array ``key``, and its place among them.
 
-    Pieces, with the state at their start, are written once to the shared folder; features are put together from
-    there. A task holds one block's states or some features, never a document.
+    Pieces, with the state at their start, are written once to the shared folder, the objects put together from
+    them once more: either is read several times. A task holds one block's states or some features, never a document.
     """
+    def stored(df: DataFrame) -> DataFrame:
+        stage = scratch_path(spark, f"json-{uuid.uuid4().hex}")
+        df.write.parquet(stage)
+        return spark.read.schema(df.schema).parquet(stage)
+
     pieces = _pieces(spark, path)
+    states = [f"{name}{start}" for name in ("state", "open", "net", "depth") for start in (0, 1)]
+    pieces = stored(pieces.select("file", "block", "seq", "value", "quotes", *states))
     blocks = _blocks(pieces).withColumnRenamed("state", "block_state").withColumnRenamed("depth", "block_depth")
-    placed = pieces.join(blocks, ["file", "block"])
 
     def chosen(name: str) -> Column:
         return F.when(F.col("block_state") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1"))
 
     outside = (chosen("state") + F.col("quotes")) % 2 == 0
     ends = outside & (F.col("block_depth") + chosen("depth") + chosen("open") == 2)
-    stage = scratch_path(spark, f"json-{uuid.uuid4().hex}")
-    placed.select("file", "block", "seq", "value", ends.cast("int").alias("ends")).write.parquet(stage)
-    stored = spark.read.parquet(stage)
+    placed = pieces.join(blocks, ["file", "block"]).select("file", "block", "seq", "value", ends.cast("int").alias("ends"))
 
-    counts = stored.groupBy("file", "block").agg(F.sum("ends").alias("ends"))
+    counts = placed.groupBy("file", "block").agg(F.sum("ends").alias("ends"))
     over_blocks = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("file", "block", F.coalesce(F.sum("ends").over(over_blocks), F.lit(0)).alias("earlier"))
     within = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = stored.withColumn("here", F.coalesce(F.sum("ends").over(within), F.lit(0))).join(counts, ["file", "block"])
+    numbered = placed.withColumn("here", F.coalesce(F.sum("ends").over(within), F.lit(0))).join(counts, ["file", "block"])
     numbered = numbered.withColumn("number", F.col("earlier") + F.col("here"))
     # all pieces up to an end; what follows the last end of a file is no object
     together = numbered.groupBy("file", "number").agg(
@@ -115,7 +119,7 @@ def read_features(spark: SparkSession, path: str, key: str = "features") -> Data
     objects = objects.withColumn("start", _object_start(F.col("text"), F.col("number") == 0))
     lead = F.substring(F.col("text"), F.lit(1), F.col("start") - 1)
     kind = F.when(F.regexp_like(lead, F.lit(_ARRAY_OF)), F.regexp_extract(lead, _ARRAY_OF, 1)).when(F.regexp_like(lead, F.lit(_MEMBER)), F.lit(""))
-    objects = objects.select("file", "number", kind.alias("kind"), F.substring(F.col("text"), F.col("start"), F.length("text")).alias("value"))
+    objects = stored(objects.select("file", "number", kind.alias("kind"), F.substring(F.col("text"), F.col("start"), F.length("text")).alias("value")))
 
     # the array's objects: from its bracket to the next object that another key leads to; few rows per file
     marks = objects.where("kind IS NOT NULL").select("file", "number", "kind")

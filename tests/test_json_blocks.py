@@ -83,3 +83,11 @@ def test_no_files_and_empty_files(spark, tmp_path):
     (tmp_path / "empty.json").write_text("")
     (tmp_path / "blank.json").write_text("\n \n")
     assert read_features(spark, str(tmp_path)).count() == 0
+
+
+def test_objects_are_put_together_once(spark, tmp_path):
+    """Marks and result read stored objects; each used to gather and parse all pieces again."""
+    (tmp_path / "one.json").write_text(json.dumps({"metadata": {"a": 1}, "features": [feature(random.Random(1), k) for k in range(5)]}))
+    found = read_features(spark, str(tmp_path))
+    assert found.count() == 5
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
