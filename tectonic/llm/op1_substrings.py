@@ -107,8 +107,8 @@ def _long_cuts(data: np.ndarray, hashes: np.ndarray, start: int, end: int) -> np
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(high, low, length, doc_id, text_hash, start) of every chunk of (doc_id, text_hash, text): 64 and 32 bits of its
-    digest and where it stands."""
+    """(high, low, doc_id, text_hash, start) of every chunk of (doc_id, text_hash, text): 64 bits of its digest, 32 more
+    with its length below them (a shuffled row has eight bytes for either column), and where it stands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
@@ -121,23 +121,27 @@ def chunks(docs: DataFrame) -> DataFrame:
                 parts = np.frombuffer(digests, np.int32).reshape(-1, 4)
                 doc = np.searchsorted(offsets, starts, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(parts[:, :2]).view(np.int64).ravel()), pa.array(np.ascontiguousarray(parts[:, 2])),
-                     pa.array((ends - starts).astype(np.int32)), pa.array(ids[lo + doc]),
+                    [pa.array(np.ascontiguousarray(parts[:, :2]).view(np.int64).ravel()),
+                     pa.array(parts[:, 2].astype(np.int64) << 32 | (ends - starts)), pa.array(ids[lo + doc]),
                      pa.array(hashes[lo + doc]), pa.array((starts - offsets[doc]).astype(np.int32))],
-                    ["high", "low", "length", "doc_id", "text_hash", "start"])
+                    ["high", "low", "doc_id", "text_hash", "start"])
         give_back()
 
-    return docs.mapInArrow(run, "high long, low int, length int, doc_id long, text_hash long, start int")
+    return docs.mapInArrow(run, "high long, low long, doc_id long, text_hash long, start int")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, start, length, kept_in) of the chunks that stand earlier in the corpus."""
+    """(doc_id, text_hash, start, length, kept_in) of the chunks that stand earlier in the corpus.
+
+    The texts are cut twice, for the first places and for the join: as a table, all chunks would take
+    most of the texts' size beside both shuffles."""
     place = F.struct("doc_id", "text_hash", "start")
-    every = materialize(chunks(docs), "chunks")
+    every = chunks(docs)
     first = every.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("m"))
     first = materialize(first.where("m > 1").select("high", "low", "first"), "repeated")
     later = every.join(first, ["high", "low"]).where(place != F.col("first"))
-    return later.select("doc_id", "text_hash", "start", "length", F.col("first.doc_id").alias("kept_in"))
+    length = F.col("low").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("length")
+    return later.select("doc_id", "text_hash", "start", length, F.col("first.doc_id").alias("kept_in"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
