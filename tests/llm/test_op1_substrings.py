@@ -144,7 +144,7 @@ def test_chunks_are_no_table_of_their_own(spark, monkeypatch):
     """Written out, all chunks took two thirds of the texts' size beside both shuffles of them."""
     names, write = [], op.materialize
     monkeypatch.setattr(op, "materialize", lambda df, name: names.append(name) or write(df, name))
-    passage = "the same words stand in both of these documents and are long enough to be taken out of one of them, the later one."
+    passage = " ".join(f"word{k} stands at {k * k} in both of them" for k in range(60))
     docs = spark.createDataFrame([(k, f"{k} begins here. {passage} {k} ends here.") for k in (1, 2)], "doc_id long, text string")
     done = {r.doc_id: r for r in op.substring_dedup(docs).collect()}
     assert names == ["repeated"] and not done[1]._spans and done[2]._kept_in == [1]
